@@ -33,7 +33,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     shared folder, so lineage stays short and a lost executor costs one round at most.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = written(edges, name)
+    # a small star first: a node with many hubs keeps one edge, and its hubs are joined among themselves
+    edges = written(_small_star(edges), name)
     was = _print(edges)
     for _ in range(rounds):
         if not was[0]:
