@@ -86,7 +86,7 @@ class EliasFano:
 class Encoder:
     """Ids of whole texts as 32-bit little-endian bytes, distinct words encoded once (up to ``limit`` kept)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
@@ -95,6 +95,27 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _cores(part: str) -> list[str]:
+        """Pieces of a part that the pre-tokeniser never joins: lines, and a last stop or comma after a letter."""
+        out = []
+        for at, line in enumerate(part.split("\n")):
+            if at:
+                out.append("\n")
+            if len(line) > 1 and line[-1] in ".,!?;:" and line[-2].isalpha():
+                out += [line[:-1], line[-1]]
+            elif line:
+                out.append(line)
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        known, cores = self.known, {p: self._cores(p) for p in parts}
+        new = list(set().union(*cores.values()).difference(known))
+        known.update(zip(new, self._ids(new), strict=True))
+        for part, own in cores.items():
+            if part not in known:
+                known[part] = b"".join(map(known.__getitem__, own))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split: dict[int, list[str]] = {}
@@ -106,8 +127,7 @@ class Encoder:
                 split[i] = [parts[0], *(" " + p for p in parts[1:])]
         if len(self.known) > self.limit:
             self.known.clear()
-        new = list(set().union(*split.values()).difference(self.known)) if split else []
-        self.known.update(zip(new, self._ids(new), strict=True))
+        self._learn(set().union(*split.values()).difference(self.known)) if split else None
         for i, parts in split.items():
             out[i] = b"".join(map(self.known.__getitem__, parts))
         whole = [i for i, x in enumerate(out) if x is None]
