@@ -104,11 +104,14 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     members = nodes.select("key", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1")
     met = written(members.join(sizes, "bucket"), "near-buckets")
-    hot = met.where((F.col("n") > HOT) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    cold = met.where(F.col("n") <= HOT)
-    left = cold.select("bucket", F.col("key").alias("a"))
-    right = cold.select("bucket", F.col("key").alias("b"))
-    pairs = left.join(right, "bucket").where("a < b").select("a", "b").distinct()
+    star = met.where((F.col("n") > HOT) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    hot = written(components(star, "near-hot"), "near-hot-groups")
+    cold = met.where(F.col("n") <= HOT).select("bucket", "key").join(hot.withColumnRenamed("node", "key"), "key", "left")
+    left = cold.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"))
+    right = cold.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
+    # pairs within a large bucket's component are verified with it anyway
+    apart = F.col("ra").isNull() | F.col("rb").isNull() | (F.col("ra") != F.col("rb"))
+    pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & apart).select("a", "b").distinct()
     own = nodes.select("key", "signature")
     pairs = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
 
@@ -121,7 +124,7 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array((sa == sb).mean(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return hot.distinct().union(pairs.mapInArrow(agree, "a binary, b binary"))
+    return hot.where("node <> root").toDF("a", "b").union(pairs.mapInArrow(agree, "a binary, b binary"))
 
 
 def linked(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
