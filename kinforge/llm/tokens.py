@@ -32,6 +32,7 @@ from kinforge.llm.common import column, open_fs, pieces, shared_path
 
 MAGIC = b"KFTOKEF1"
 SAMPLE = 64
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 class EliasFano:
@@ -97,13 +98,14 @@ class Encoder:
 
     @staticmethod
     def _cores(part: str) -> list[str]:
-        """Pieces of a part that the pre-tokeniser never joins: lines, and a last stop or comma after a letter."""
+        """Pieces of a part that the pre-tokeniser never joins: lines, and the punctuation after a last letter."""
         out = []
         for at, line in enumerate(part.split("\n")):
             if at:
                 out.append("\n")
-            if len(line) > 1 and line[-1] in ".,!?;:" and line[-2].isalpha():
-                out += [line[:-1], line[-1]]
+            core = line.rstrip(PUNCTUATION)
+            if core != line and core[-1:].isalpha():
+                out += [core, line[len(core) :]]
             elif line:
                 out.append(line)
         return out
