@@ -2,10 +2,524 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinforge import lenses as L
+from kinforge.functions.stats import with_hwe
+from kinforge.operators import coo, design
+from kinforge.operators import genotypes as G
+from kinforge.operators import pedigree as P
+from kinforge.plans import variance as V
+from kinforge.plans.mixed_model import MixedModel
+from kinforge.sources import text as T
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column, digits: int = 6) -> Column:
+    """Rounded, without a negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def _long(rows: DataFrame, *cols: str) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+def _ainv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ped = L.pedigree(spark, sf_dir)
+    d = ped.select("idx", (1 - F.when(F.col("sire").isNull(), 0.0).otherwise(0.5)).alias("d"))
+    return P.a_inverse(ped, d)
+
+
+# --- scans and records
+
+_TEXT = """SELECT o_orderkey AS line, 'c' || o_custkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS y, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS f FROM orders"""
+
+
+def _pheno_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phenotype text with missing tokens, header first."""
+    o = L.table(spark, sf_dir, "orders")
+    y = F.when(F.col("o_orderkey") % 11 == 0, "NA").otherwise(F.col("o_totalprice").cast("string"))
+    f = F.when(F.col("o_orderkey") % 13 == 0, ".").otherwise(F.col("o_orderpriority"))
+    body = o.select(F.col("o_orderkey").alias("line"), F.concat_ws(",", F.concat(F.lit("c"), F.col("o_custkey")), y, f).alias("text"))
+    return spark.createDataFrame([(-1, "id,trait,prio")], body.schema).union(body)
+
+
+@query(f"SELECT line, id, y, f AS prio FROM ({_TEXT}) WHERE y IS NOT NULL AND f IS NOT NULL")
+def pheno_clean(spark, sf_dir):
+    rows = T.phenotypes(_pheno_lines(spark, sf_dir), "trait", ["prio"])
+    return rows.where("why is null").select("line", "id", "y", "prio")
+
+
+@query(f"""SELECT CASE WHEN y IS NULL THEN 'trait' WHEN f IS NULL THEN 'missing prio' ELSE 'used' END AS why, count(*)::BIGINT AS n FROM ({_TEXT}) GROUP BY 1""")
+def pheno_drop_counts(spark, sf_dir):
+    rows = T.phenotypes(_pheno_lines(spark, sf_dir), "trait", ["prio"])
+    return rows.groupBy(F.coalesce("why", F.lit("used")).alias("why")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey AS id, max_by(o_totalprice, o_orderkey) AS y, max(o_orderkey) AS line FROM orders GROUP BY 1")
+def last_row_dedupe(spark, sf_dir):
+    rows = L.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("y"), F.col("o_orderkey").alias("line"))
+    return T.last_row_per_id(rows)
+
+
+@query("""WITH c AS (SELECT n_nationkey AS i, n_regionkey AS j, (n_nationkey + 1) * 0.5 AS v FROM nation WHERE n_nationkey > n_regionkey OR n_nationkey = n_regionkey)
+SELECT i::BIGINT AS i, j::BIGINT AS j, v::DOUBLE AS v FROM c UNION ALL SELECT j, i, v FROM c WHERE i <> j""")
+def rel_symmetrise(spark, sf_dir):
+    cells = L.table(spark, sf_dir, "nation").where("n_nationkey >= n_regionkey")
+    lines = cells.select(F.col("n_nationkey").cast("long").alias("line"), F.concat_ws(" ", "n_nationkey", "n_regionkey", (F.col("n_nationkey") + 1) * 0.5).alias("text"))
+    return T.triplets(lines)
+
+
+@query("SELECT rec, 'mu' AS name, 1.0::DOUBLE AS val FROM (SELECT o_orderkey AS rec FROM orders) UNION ALL SELECT o_orderkey, 'priority_' || o_orderpriority, 1.0 FROM orders WHERE o_orderpriority <> (SELECT min(o_orderpriority) FROM orders) UNION ALL SELECT o_orderkey, 'mon', month(o_orderdate)::DOUBLE FROM orders")
+def design_long(spark, sf_dir):
+    return design.long_design(L.phenotypes(spark, sf_dir), ["priority"], ["mon"])
+
+
+@query("SELECT level, (row_number() OVER (ORDER BY level) - 1)::INT AS place FROM (SELECT DISTINCT o_orderpriority AS level FROM orders)")
+def fixed_levels(spark, sf_dir):
+    return design.factor_levels(L.phenotypes(spark, sf_dir), "priority")
+
+
+_LONG = f"""WITH {L.PHENO}, d AS (SELECT rec, 'mu' AS name, 1.0 AS val FROM pheno UNION ALL SELECT rec, 'priority_' || priority, 1.0 FROM pheno
+  WHERE priority <> (SELECT min(priority) FROM pheno) UNION ALL SELECT rec, 'mon', mon FROM pheno)"""
+
+
+@query(f"{_LONG} SELECT a.name AS c1, b.name AS c2, round(sum(a.val * b.val)::DOUBLE, 6) AS v FROM d a JOIN d b USING (rec) GROUP BY 1, 2")
+def xtx(spark, sf_dir):
+    return design.cross_products(design.long_design(L.phenotypes(spark, sf_dir), ["priority"], ["mon"])).withColumn("v", r6(F.col("v")))
+
+
+@query(f"{_LONG} SELECT name, round(sum(val * y)::DOUBLE, 2) AS v FROM d JOIN pheno USING (rec) GROUP BY 1")
+def xty(spark, sf_dir):
+    rows = L.phenotypes(spark, sf_dir)
+    long = design.long_design(rows, ["priority"], ["mon"]).join(rows.select("rec", "y"), "rec")
+    return long.groupBy("name").agg(r6(F.sum(F.col("val") * F.col("y")), 2).alias("v"))
+
+
+@query("SELECT o_custkey AS i, count(*)::BIGINT AS v FROM orders GROUP BY 1")
+def ztz_diag(spark, sf_dir):
+    return L.phenotypes(spark, sf_dir).groupBy(F.col("id").alias("i")).agg(F.count(F.lit(1)).alias("v"))
+
+
+_LEG = f"""WITH {L.PHENO}, t AS (SELECT rec, id, 2 * (mon - min(mon) OVER ()) / (max(mon) OVER () - min(mon) OVER ()) - 1 AS x FROM pheno),
+  b AS (SELECT rec, id, sqrt(0.5::DOUBLE) AS p0, sqrt(1.5::DOUBLE) * x AS p1, sqrt(2.5::DOUBLE) * (3 * x * x - 1) / 2 AS p2 FROM t)"""
+
+
+def _basis(spark, sf_dir):
+    rows = L.phenotypes(spark, sf_dir)
+    low, high = rows.agg(F.min("mon"), F.max("mon")).first()
+    return rows.select("rec", "id", *[c.alias(f"p{k}") for k, c in enumerate(design.legendre(F.col("mon"), low, high, 2))])
+
+
+@query(f"{_LEG} SELECT rec, round(p0, 6) AS p0, round(p1, 6) + 0.0 AS p1, round(p2, 6) + 0.0 AS p2 FROM b")
+def legendre_basis(spark, sf_dir):
+    return _basis(spark, sf_dir).select("rec", *[r6(F.col(f"p{k}")).alias(f"p{k}") for k in range(3)])
+
+
+@query(f"{_LEG} SELECT id, round(sum(p0 * p1), 5) + 0.0 AS c01, round(sum(p1 * p1), 5) + 0.0 AS c11, round(sum(p1 * p2), 5) + 0.0 AS c12 FROM b GROUP BY id")
+def rr_xtx(spark, sf_dir):
+    pair = lambda a, b: r6(F.sum(F.col(f"p{a}") * F.col(f"p{b}")), 5).alias(f"c{a}{b}")
+    return _basis(spark, sf_dir).groupBy("id").agg(pair(0, 1), pair(1, 1), pair(1, 2))
+
+
+@query(f"""WITH {L.PHENO}, m AS (SELECT id, avg(y) AS mean, count(*) AS n, var_pop(y) AS v FROM pheno GROUP BY id)
+SELECT count(*)::BIGINT AS subjects, round(sum(n * v) / sum(n - 1), 4) AS within, round(var_samp(mean), 4) AS between_means FROM m""")
+def subject_anova(spark, sf_dir):
+    m = L.phenotypes(spark, sf_dir).groupBy("id").agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n"), F.var_pop("y").alias("v"))
+    return m.agg(F.count(F.lit(1)).alias("subjects"), r6(F.sum(F.col("n") * F.col("v")) / F.sum(F.col("n") - 1), 4).alias("within"), r6(F.var_samp("mean"), 4).alias("between_means"))
+
+
+_RESIDUAL = f"""WITH {L.PHENO}, r AS (SELECT rec, id, y, avg(y) OVER (PARTITION BY priority) AS fit FROM pheno)"""
+
+
+@query(f"{_RESIDUAL} SELECT rec, round(fit, 5) + 0.0 AS fitted, round(y - fit, 5) + 0.0 AS residual FROM r")
+def obs_residuals(spark, sf_dir):
+    """Residuals of the factor's least-squares fit: its solution comes from X'X and X'y."""
+    rows = L.phenotypes(spark, sf_dir)
+    columns = design.columns_of(rows, ["priority"], [])
+    xx, xy, _, _ = design.cross_wide(rows, columns)
+    beta = np.linalg.solve(xx, xy)
+    fit = sum((x * float(b) for x, b in zip(design.wide_columns(columns), beta, strict=True)), F.lit(0.0))
+    return rows.select("rec", r6(fit, 5).alias("fitted"), r6(F.col("y") - fit, 5).alias("residual"))
+
+
+@query(f"{_RESIDUAL} SELECT id, round(avg(y - fit), 5) + 0.0 AS residual, count(*)::BIGINT AS n_obs FROM r GROUP BY id")
+def rand_means(spark, sf_dir):
+    rows = L.phenotypes(spark, sf_dir)
+    means = rows.groupBy("priority").agg(F.avg("y").alias("fit"))
+    return rows.join(means, "priority").groupBy("id").agg(r6(F.avg(F.col("y") - F.col("fit")), 5).alias("residual"), F.count(F.lit(1)).alias("n_obs"))
+
+
+# --- pedigree
+
+_AINV = f"""WITH {L.PED}, d AS (SELECT *, CASE WHEN sire IS NULL THEN 1.0 ELSE 0.5 END AS d FROM ped),
+  t AS (SELECT idx AS k, idx, 1.0 AS c, d FROM d UNION ALL SELECT sire, idx, -0.5, d FROM d WHERE sire IS NOT NULL UNION ALL SELECT dam, idx, -0.5, d FROM d WHERE dam IS NOT NULL),
+  ainv AS (SELECT a.k AS i, b.k AS j, sum(a.c * b.c / a.d)::DOUBLE AS v FROM t a JOIN t b USING (idx) GROUP BY 1, 2)"""
+
+
+@query(f"{_AINV} SELECT i, j, round(v, 6) + 0.0 AS v FROM ainv WHERE abs(v) > 1e-12")
+def ainv_triplets(spark, sf_dir):
+    return _ainv(spark, sf_dir).withColumn("v", r6(F.col("v")))
+
+
+@query(f"{_AINV} SELECT i, round(sum(v * c_acctbal), 4) + 0.0 AS v FROM ainv JOIN customer ON j = c_custkey GROUP BY i")
+def ainv_spmv(spark, sf_dir):
+    x = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").alias("v"))
+    return coo.multiply(_ainv(spark, sf_dir), x).withColumn("v", r6(F.col("v"), 4))
+
+
+@query(f"WITH RECURSIVE {L.DEEP}, g AS (SELECT idx, 0 AS generation FROM deep WHERE sire IS NULL UNION SELECT d.idx, g.generation + 1 FROM deep d JOIN g ON d.sire = g.idx OR d.dam = g.idx) SELECT idx, max(generation)::INT AS generation FROM g GROUP BY idx")
+def ped_generation(spark, sf_dir):
+    return P.generations(L.deep_pedigree(spark, sf_dir))
+
+
+_PATHS = f"""WITH RECURSIVE {L.DEEP}, par AS (SELECT idx, sire AS p FROM deep WHERE sire IS NOT NULL UNION ALL SELECT idx, dam FROM deep WHERE dam IS NOT NULL),
+  w AS (SELECT idx, idx AS ancestor, 1.0::DOUBLE AS weight FROM deep UNION ALL SELECT w.idx, par.p, w.weight * 0.5 FROM w JOIN par ON w.ancestor = par.idx),
+  l AS (SELECT idx, ancestor, sum(weight) AS weight FROM w GROUP BY 1, 2)"""
+
+
+@query(f"{_PATHS} SELECT idx, ancestor, round(weight, 9) AS weight FROM l")
+def ped_paths(spark, sf_dir):
+    return P.ancestor_paths(L.deep_pedigree(spark, sf_dir)).withColumn("weight", r6(F.col("weight"), 9))
+
+
+@query()
+def ped_inbreeding(spark, sf_dir):
+    return P.inbreeding(L.deep_pedigree(spark, sf_dir))
+
+
+@query(f"""WITH {L.PED} SELECT a.idx AS i, b.idx AS j, (CASE WHEN a.idx = b.idx THEN 1.0 WHEN a.sire = b.sire THEN 0.5 WHEN a.sire = b.idx OR a.dam = b.idx OR b.sire = a.idx OR b.dam = a.idx THEN 0.5 END)::DOUBLE AS v
+FROM ped a JOIN ped b ON a.idx = b.idx OR a.sire = b.sire OR a.sire = b.idx OR a.dam = b.idx OR b.sire = a.idx OR b.dam = a.idx""")
+def ped_relationship(spark, sf_dir):
+    ped = L.pedigree(spark, sf_dir)
+    d = ped.select("idx", F.when(F.col("sire").isNull(), 1.0).otherwise(0.5).alias("d"))
+    return P.relationship(ped, d).withColumn("v", r6(F.col("v")))
+
+
+@query("""SELECT o_custkey AS id, (row_number() OVER (ORDER BY min(o_orderkey), o_custkey) - 1)::BIGINT AS level FROM orders GROUP BY 1""")
+def random_levels(spark, sf_dir):
+    return P.first_appearance(L.phenotypes(spark, sf_dir).select("id", "rec"), "id", "rec")
+
+
+# --- genotypes
+
+
+@query(f"WITH {L.GENO} SELECT snp, count_if(dosage = 0)::BIGINT AS n0, count_if(dosage = 1)::BIGINT AS n1, count_if(dosage = 2)::BIGINT AS n2, count_if(dosage IS NULL)::BIGINT AS missing, count(*)::BIGINT AS n FROM geno GROUP BY snp")
+def geno_counts(spark, sf_dir):
+    return G.snp_counts(L.genotypes(spark, sf_dir))
+
+
+_QUALITY = f"""WITH {L.GENO}, q AS (SELECT snp, count_if(dosage = 0) AS n0, count_if(dosage = 1) AS n1, count(dosage) AS valid, count(*) AS n FROM geno GROUP BY snp),
+  m AS (SELECT snp, coalesce(least((2 * n0 + n1) / nullif(2.0 * valid, 0), 1 - (2 * n0 + n1) / nullif(2.0 * valid, 0)), 0) AS maf, (n - valid) / n::DOUBLE AS miss_rate FROM q)"""
+
+
+@query(f"{_QUALITY} SELECT snp, round(maf, 6)::DOUBLE AS maf, round(miss_rate, 6)::DOUBLE AS miss_rate FROM m")
+def snp_maf_miss(spark, sf_dir):
+    return G.snp_quality(L.genotypes(spark, sf_dir)).select("snp", r6(F.col("maf")).alias("maf"), r6(F.col("miss_rate")).alias("miss_rate"))
+
+
+@query(f"{_QUALITY} SELECT snp FROM m WHERE miss_rate <= 0.26 AND maf BETWEEN 0.3 AND 0.5")
+def qc_pass_snp(spark, sf_dir):
+    return G.passing_snps(G.snp_quality(L.genotypes(spark, sf_dir)), geno=0.26, maf=0.3, max_maf=0.5).select("snp")
+
+
+_SAMPLES = f"""WITH {L.GENO}, s AS (SELECT sample, count(*)::BIGINT AS n, count(dosage)::BIGINT AS valid, count_if(dosage = 1)::BIGINT AS het, count_if(dosage IN (0, 2))::BIGINT AS homo FROM geno GROUP BY sample)"""
+
+
+@query(f"{_SAMPLES} SELECT sample, n, valid, round(1 - valid / n::DOUBLE, 6) AS miss_rate, round(het / valid::DOUBLE, 6) AS het_rate FROM s")
+def ind_qc(spark, sf_dir):
+    return G.sample_quality(L.genotypes(spark, sf_dir)).select("sample", "n", "valid", r6(F.col("miss_rate")).alias("miss_rate"), r6(F.col("het_rate")).alias("het_rate"))
+
+
+@query(f"{_SAMPLES} SELECT sample FROM s WHERE 1 - valid / n::DOUBLE <= 0.25")
+def qc_pass_ind(spark, sf_dir):
+    return G.passing_samples(G.sample_quality(L.genotypes(spark, sf_dir)), 0.25).select("sample")
+
+
+@query(f"WITH {L.GENO}, {L.FREQ} SELECT sample, count_if(dosage IN (0, 2))::BIGINT AS homo, count_if(dosage = 1)::BIGINT AS het, count(dosage)::BIGINT AS valid FROM geno JOIN ok USING (snp) GROUP BY sample")
+def homo_hete(spark, sf_dir):
+    g = L.genotypes(spark, sf_dir)
+    kept = G.usable_frequencies(G.frequencies(g)).select("snp")
+    return G.sample_quality(g.join(kept, "snp", "left_semi")).select("sample", "homo", "het", "valid")
+
+
+@query(f"WITH {L.GENO}, {L.FREQ} SELECT snp, round(p, 6) AS p, round(var, 6) + 0.0 AS var, valid::BIGINT AS valid FROM freq")
+def allele_freq(spark, sf_dir):
+    return G.frequencies(L.genotypes(spark, sf_dir)).select("snp", r6(F.col("p")).alias("p"), r6(F.col("var")).alias("var"), "valid")
+
+
+@query(f"WITH {L.GENO}, {L.FREQ} SELECT round(sum(2 * p * (1 - p)), 4) AS sum2pq, round(sum(4 * p * p * (1 - p) * (1 - p)), 4) AS sum4p2q2, round(sum(var), 4) AS sumvar, count(*)::BIGINT AS m FROM ok")
+def sum2pq(spark, sf_dir):
+    s = G.sum_2pq(G.usable_frequencies(G.frequencies(L.genotypes(spark, sf_dir))))
+    return s.select(*[r6(F.col(c), 4).alias(c) for c in ("sum2pq", "sum4p2q2", "sumvar")], "m")
+
+
+@query(f"WITH {L.GENO}, {L.FREQ}, own AS (SELECT snp, s_nationkey AS grp, avg(dosage) / 2 AS p FROM geno JOIN supplier ON sample = s_suppkey GROUP BY 1, 2) SELECT own.snp, grp, round(coalesce(own.p, freq.p), 6) AS p FROM own JOIN freq USING (snp)")
+def pop_freq(spark, sf_dir):
+    groups = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_nationkey").alias("grp"))
+    return G.group_frequencies(L.genotypes(spark, sf_dir), groups).withColumn("p", r6(F.col("p")))
+
+
+def _grm_sql(z: str, by: str, post: str = "v") -> str:
+    return f"""WITH {L.GENO}, {L.FREQ}, z AS (SELECT snp, sample, coalesce(CASE WHEN dosage IS NOT NULL THEN {z} END, 0) AS z FROM geno JOIN ok USING (snp)),
+  raw AS (SELECT a.sample AS i, b.sample AS j, sum(a.z * b.z) AS v FROM z a JOIN z b ON a.snp = b.snp AND a.sample >= b.sample GROUP BY 1, 2),
+  g AS (SELECT i, j, v / ({by}) AS v FROM raw) SELECT i, j, round({post}, 6) + 0.0 AS v FROM g"""
+
+
+def _grm(method: int):
+    def run(spark, sf_dir):
+        n = L.table(spark, sf_dir, "supplier").count()
+        return G.relationship(L.genotypes(spark, sf_dir), n, method).withColumn("v", r6(F.col("v")))
+
+    return run
+
+
+_OK = "(SELECT {} FROM ok)"
+for _name, _method, _z, _by in (
+    ("grm_vanraden", G.VANRADEN, "dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))")),
+    ("grm_zeng", G.ZENG, "CASE dosage WHEN 2 THEN 1 - p WHEN 1 THEN 1 - 2 * p ELSE -p END", "(SELECT avg(v) FROM raw WHERE i = j)"),
+    ("grm_yang", G.YANG, "(dosage - 2 * p) / sqrt(2 * p * (1 - p))", _OK.format("count(*)")),
+    ("grm_dominance", G.DOMINANCE, "CASE dosage WHEN 2 THEN -2 * (1 - p) * (1 - p) WHEN 1 THEN 2 * p * (1 - p) ELSE -2 * p * p END", _OK.format("sum(4 * p * p * (1 - p) * (1 - p))")),
+    ("grm_truevar", G.TRUE_VARIANCE, "(dosage - 2 * p) / sqrt(var)", _OK.format("sum(var)")),
+):
+    QUERIES[_name], ORACLE[_name] = _grm(_method), _grm_sql(_z, _by)
+
+
+@query(_grm_sql("dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))"), "v * v"))
+def grm_epistasis(spark, sf_dir):
+    n = L.table(spark, sf_dir, "supplier").count()
+    return coo.hadamard_square(G.relationship(L.genotypes(spark, sf_dir), n)).withColumn("v", r6(F.col("v")))
+
+
+@query(_grm_sql("dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))")).replace("SELECT i, j, round(v, 6) + 0.0 AS v FROM g", "SELECT round(avg(v) FILTER (i = j), 6) AS diagonal, round(avg(v) FILTER (i <> j), 6) + 0.0 AS off FROM g"))
+def grm_tune_means(spark, sf_dir):
+    n = L.table(spark, sf_dir, "supplier").count()
+    g = G.relationship(L.genotypes(spark, sf_dir), n)
+    return g.agg(r6(F.avg(F.when(F.col("i") == F.col("j"), F.col("v")))).alias("diagonal"), r6(F.avg(F.when(F.col("i") != F.col("j"), F.col("v")))).alias("off"))
+
+
+@query(_grm_sql("dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))")).replace("SELECT i, j, round(v, 6) + 0.0 AS v FROM g", "SELECT a.s_name AS id1, b.s_name AS id2, round(v, 6) + 0.0 AS rc FROM g JOIN supplier a ON a.s_suppkey = i JOIN supplier b ON b.s_suppkey = j"))
+def rel_coef(spark, sf_dir):
+    ids = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    g = G.relationship(L.genotypes(spark, sf_dir), ids.count())
+    out = g.join(ids.toDF("i", "id1"), "i").join(ids.toDF("j", "id2"), "j")
+    return out.select("id1", "id2", r6(F.col("v")).alias("rc"))
+
+
+@query(f"""{_AINV}, gn AS (SELECT s_suppkey AS i, s_suppkey AS j, 0.7::DOUBLE AS v FROM supplier),
+  u AS (SELECT * FROM ainv UNION ALL SELECT * FROM gn) SELECT i, j, round(sum(v), 6) + 0.0 AS v FROM u GROUP BY 1, 2""")
+def hinv_union(spark, sf_dir):
+    """A^-1 plus a block for genotyped animals, as single-step models add G^-1 - A22^-1."""
+    ids = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
+    block = ids.select("i", F.col("i").alias("j"), F.lit(0.7).alias("v"))
+    return coo.add(_ainv(spark, sf_dir), block).withColumn("v", r6(F.col("v")))
+
+
+@query(f"WITH {L.EFFECTS} SELECT snp, round(beta, 8) + 0.0 AS beta FROM beta")
+def sumstat_align(spark, sf_dir):
+    return G.aligned_effects(L.variants(spark, sf_dir), L.effects(spark, sf_dir)).select("snp", r6(F.col("beta"), 8).alias("beta"))
+
+
+@query(f"WITH {L.GENO}, {L.EFFECTS} SELECT s_suppkey AS sample, round(coalesce(sum(dosage * beta), 0), 6) + 0.0 AS score FROM supplier LEFT JOIN (SELECT * FROM geno JOIN beta USING (snp) WHERE dosage IS NOT NULL) x ON x.sample = s_suppkey GROUP BY 1")
+def score_prs(spark, sf_dir):
+    effects = G.aligned_effects(L.variants(spark, sf_dir), L.effects(spark, sf_dir))
+    samples = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"))
+    return G.scores(L.genotypes(spark, sf_dir), samples, effects).withColumn("score", r6(F.col("score")))
+
+
+@query(f"""WITH {L.GENO}, {L.FREQ}, z AS (SELECT snp, sample, coalesce(dosage - 2 * p, 0) AS z FROM geno JOIN ok USING (snp))
+SELECT snp, round(sum(z * s_acctbal) / (SELECT sum(2 * p * (1 - p)) FROM ok), 4) + 0.0 AS effect FROM z JOIN supplier ON sample = s_suppkey GROUP BY snp""")
+def snp_backsolve(spark, sf_dir):
+    g = L.genotypes(spark, sf_dir)
+    f = G.usable_frequencies(G.frequencies(g))
+    q = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_acctbal").alias("v"))
+    return G.snp_effects(G.coded(g, f), q, G.divisor(f, G.VANRADEN)).withColumn("effect", r6(F.col("effect"), 4))
+
+
+@query(f"""WITH {L.GENO}, {L.FREQ}, z AS (SELECT snp, sample, coalesce((dosage - 2 * p) / sqrt(var), 0) AS z FROM geno JOIN freq USING (snp) WHERE var > 0)
+SELECT a.snp AS snp1, b.snp AS snp2, round(sum(a.z * b.z) / (SELECT count(*) FROM supplier), 6) + 0.0 AS r FROM z a JOIN z b ON a.sample = b.sample AND a.snp // 20 = b.snp // 20 AND a.snp < b.snp GROUP BY 1, 2""")
+def ld_block_corr(spark, sf_dir):
+    n = L.table(spark, sf_dir, "supplier").count()
+    z = G.standardised(L.genotypes(spark, sf_dir)).withColumn("block", F.floor(F.col("snp") / 20))
+    left, right = z.toDF("snp1", "sample", "z1", "block"), z.toDF("snp2", "sample", "z2", "block")
+    pairs = left.join(right, ["block", "sample"]).where("snp1 < snp2")
+    return pairs.groupBy("snp1", "snp2").agg(r6(F.sum(F.col("z1") * F.col("z2")) / n).alias("r"))
+
+
+@query("SELECT s_suppkey AS sample, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS core FROM supplier")
+def apy_core_flag(spark, sf_dir):
+    core = L.table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey", F.lit(True).alias("core"))
+    s = L.table(spark, sf_dir, "supplier").join(core, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return s.select(F.col("s_suppkey").alias("sample"), F.coalesce("core", F.lit(False)).alias("core"))
+
+
+@query(f"""WITH {L.PHENO}, {L.PED}, m AS (SELECT id, avg(y) AS y FROM pheno GROUP BY id), r AS (SELECT id, y - avg(y) OVER () AS r FROM m),
+  rel AS (SELECT a.idx AS i, b.idx AS j, 0.5 AS v FROM ped a JOIN ped b ON a.idx > b.idx AND (a.sire = b.sire OR a.sire = b.idx OR a.dam = b.idx))
+SELECT round(sum(v * v)::DOUBLE, 4) AS aa, round(sum(v * x.r * y.r), 2) + 0.0 AS ayy, count(*)::BIGINT AS pairs FROM rel JOIN r x ON x.id = i JOIN r y ON y.id = j""")
+def he_moments(spark, sf_dir):
+    """Haseman-Elston sums over related pairs j < i with records: only the matrix's entries are joined."""
+    m = L.phenotypes(spark, sf_dir).groupBy("id").agg(F.avg("y").alias("y"))
+    r = m.crossJoin(F.broadcast(m.agg(F.avg("y").alias("mean")))).select("id", (F.col("y") - F.col("mean")).alias("r"))
+    a = ped_relationship(spark, sf_dir).where("i > j")
+    pairs = a.join(r.toDF("i", "ri"), "i").join(r.toDF("j", "rj"), "j")
+    return pairs.agg(r6(F.sum(F.col("v") * F.col("v")), 4).alias("aa"), r6(F.sum(F.col("v") * F.col("ri") * F.col("rj")), 2).alias("ayy"), F.count(F.lit(1)).alias("pairs"))
+
+
+@query()
+def hwe_exact(spark, sf_dir):
+    counts = G.snp_counts(L.genotypes(spark, sf_dir))
+    return with_hwe(counts, "n0", "n1", "n2").select("snp", "n0", "n1", "n2", "hwe_p")
+
+
+# --- models
+
+
+def _model(spark, sf_dir) -> tuple[MixedModel, int]:
+    n = L.table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
+    model = MixedModel(L.phenotypes(spark, sf_dir)).fixed(["priority"], ["mon"])
+    return model.random("u", "id", n, _ainv(spark, sf_dir)), n
+
+
+def _vector(spark, name: str, values) -> DataFrame:
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"idx long, {name} double")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pedigree BLUP with fixed variances: (idx, u)."""
+    model, _ = _model(spark, sf_dir)
+    return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
+
+
+@query()
+def pblup_fixed(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query()
+def repeatability(spark, sf_dir):
+    """Additive and permanent effects of repeated records; one row per record."""
+    model, n = _model(spark, sf_dir)
+    model.records = model.records.withColumn("pe_id", F.col("id"))
+    model.random("pe", "pe_id", n)
+    return model.fitted(model.solve({"u": 0.4, "pe": 0.2, "e": 0.6}, dense_cap=4000)).select("rec", "y", "fixed", "u", "pe", "fitted", "residual")
+
+
+def _genomic(spark, sf_dir, method: int = G.VANRADEN) -> tuple[np.ndarray, np.ndarray]:
+    """Dense G within the cap, and one phenotype a sample."""
+    n = L.table(spark, sf_dir, "supplier").count()
+    g = coo.dense(G.full(G.relationship(L.genotypes(spark, sf_dir), n, method)), n)
+    y = L.table(spark, sf_dir, "supplier").orderBy("s_suppkey").select((F.col("s_acctbal") / 1000).alias("y")).toPandas()["y"].to_numpy()
+    return g, y
+
+
+@query()
+def gblup_fixed(spark, sf_dir):
+    g, _ = _genomic(spark, sf_dir)
+    rows = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rec"), F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("y"))
+    from kinforge.sources.matrices import coo as to_rows
+
+    model = MixedModel(rows).random("u", "id", len(g), to_rows(spark, G.psd_inverse(G.tune(g, np.eye(len(g))))))
+    return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
+
+
+@query()
+def vce_ai(spark, sf_dir):
+    g, y = _genomic(spark, sf_dir)
+    x = np.ones((len(y), 1))
+    out = V.ai_reml(y, x, [G.tune(g, np.eye(len(g)))])
+    return spark.createDataFrame([("u", float(out["s2"][0])), ("e", float(out["s2"][1]))], "item string, var double")
+
+
+@query()
+def vce_spectral(spark, sf_dir):
+    g, y = _genomic(spark, sf_dir)
+    out = V.spectral(y, np.ones((len(y), 1)), G.tune(g, np.eye(len(g))))
+    return spark.createDataFrame([("u", float(out["s2"][0])), ("e", float(out["s2"][1]))], "item string, var double")
+
+
+@query()
+def vce_em(spark, sf_dir):
+    g, y = _genomic(spark, sf_dir)
+    out = V.em_reml(y, np.ones((len(y), 1)), [np.eye(len(y))], [G.tune(g, np.eye(len(g)))])
+    return spark.createDataFrame([("u", float(out["s2"][0])), ("e", float(out["s2"][1]))], "item string, var double")
+
+
+@query()
+def vce_he(spark, sf_dir):
+    g, y = _genomic(spark, sf_dir)
+    out = V.haseman_elston(y, np.ones((len(y), 1)), g)
+    return spark.createDataFrame([("u", float(out["s2"][0])), ("e", float(out["s2"][1]))], "item string, var double")
+
+
+@query()
+def multitrait(spark, sf_dir):
+    g, y = _genomic(spark, sf_dir)
+    two = np.column_stack([y, np.roll(y, 3) * 0.5 + y * 0.3])
+    x, k = np.ones((len(y), 1)), G.tune(g, np.eye(len(g)))
+    out = V.multi_trait_em(two, x, k, rounds=50)
+    _, u = V.multi_trait_solve(two, x, k, out["vg"], out["ve"])
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(u)], "idx long, trait1 double, trait2 double")
+
+
+@query()
+def apy_inverse(spark, sf_dir):
+    g, _ = _genomic(spark, sf_dir)
+    from kinforge.sources.matrices import coo as to_rows
+
+    return to_rows(spark, G.apy_inverse(G.tune(g, np.eye(len(g))), np.arange(len(g) // 2)))
+
+
+@query()
+def pca(spark, sf_dir):
+    g, _ = _genomic(spark, sf_dir)
+    pcs = G.principal_components(g, 3)
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(pcs)], "sample long, pc1 double, pc2 double, pc3 double")
+
+
+@query()
+def sblup(spark, sf_dir):
+    g = L.genotypes(spark, sf_dir)
+    n, m = L.table(spark, sf_dir, "supplier").count(), L.table(spark, sf_dir, "part").count()
+    beta = G.aligned_effects(L.variants(spark, sf_dir), L.effects(spark, sf_dir))
+    return G.block_shrinkage(G.standardised(g), beta, n, m, 0.3, 200)
+
+
+@query()
+def rrm_curve(spark, sf_dir):
+    """Random regression of order 1 on month: (idx, t, value) over the observed times."""
+    rows = L.phenotypes(spark, sf_dir)
+    low, high = rows.agg(F.min("mon"), F.max("mon")).first()
+    p0, p1 = design.legendre(F.col("mon"), low, high, 1)
+    n = L.table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
+    kinv = _ainv(spark, sf_dir)
+    rows = rows.withColumn("k0", p0).withColumn("k1", p1).withColumn("id1", F.col("id"))
+    model = MixedModel(rows).fixed(["priority"], ["mon"]).random("u0", "id", n, kinv, "k0").random("u1", "id1", n, kinv, "k1")
+    s = model.solve({"u0": 0.4, "u1": 0.1, "e": 0.6})
+    coef = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(s.u["u0"], s.u["u1"], strict=True))], "idx long, c0 double, c1 double")
+    times = rows.select("mon", "k0", "k1").distinct()
+    return coef.crossJoin(F.broadcast(times)).select("idx", F.col("mon").alias("t"), (F.col("c0") * F.col("k0") + F.col("c1") * F.col("k1")).alias("value"))
+
+
+@query("""SELECT s_suppkey AS sample, row_number() OVER (ORDER BY s_suppkey) <= 50 AS core FROM supplier""")
+def apy_first_core(spark, sf_dir):
+    place = F.row_number().over(Window.orderBy("s_suppkey"))
+    return L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), (place <= 50).alias("core"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
