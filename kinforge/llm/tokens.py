@@ -91,6 +91,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found before all else
         self.byte_level = '"type":"ByteLevel"' in self.tokenizer.to_str().replace(" ", "").partition('"pre_tokenizer":')[2][:40]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -124,7 +125,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
-            elif self.byte_level and text.count(" ") + text.count("\n") + text.count("\t") == len(text.split()) - 1:
+            elif self.byte_level and not any(t in text for t in self.added) and text.count(" ") + text.count("\n") + text.count("\t") == len(text.split()) - 1:
                 parts = text.split(" ")  # white space stands singly: no run of it spans a cut
                 split[i] = [parts[0], *(" " + p for p in parts[1:])]
         if len(self.known) > self.limit:
