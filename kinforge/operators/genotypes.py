@@ -180,9 +180,9 @@ def block_shrinkage(x: DataFrame, beta: DataFrame, n: int, m: int, h2: float, wi
 
 
 def standardised(g: DataFrame) -> DataFrame:
-    """(snp, sample, z): centred and scaled to unit population variance, missing 0; constant variants go."""
-    f = frequencies(g).where("var > 0")
-    return g.join(f.select("snp", "mean", "var"), "snp").select("snp", "sample", F.coalesce((F.col("dosage") - F.col("mean")) / F.sqrt("var"), F.lit(0.0)).alias("z"))
+    """(snp, sample, z): centred, missing 0, then scaled to unit mean square over all samples; constant variants go."""
+    f = g.groupBy("snp").agg(F.avg("dosage").alias("mean"), (F.var_pop("dosage") * F.count("dosage") / F.count(F.lit(1))).alias("square"))
+    return g.join(f.where("square > 0"), "snp").select("snp", "sample", F.coalesce((F.col("dosage") - F.col("mean")) / F.sqrt("square"), F.lit(0.0)).alias("z"))
 
 
 def apy_inverse(g: np.ndarray, core: np.ndarray, ridge: float = 0.0) -> np.ndarray:

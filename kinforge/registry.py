@@ -350,7 +350,7 @@ def snp_backsolve(spark, sf_dir):
     return G.snp_effects(G.coded(g, f), q, G.divisor(f, G.VANRADEN)).withColumn("effect", r6(F.col("effect"), 4))
 
 
-@query(f"""WITH {L.GENO}, {L.FREQ}, z AS (SELECT snp, sample, coalesce((dosage - 2 * p) / sqrt(var), 0) AS z FROM geno JOIN freq USING (snp) WHERE var > 0)
+@query(f"""WITH {L.GENO}, {L.FREQ}, z AS (SELECT snp, sample, coalesce((dosage - 2 * p) / sqrt(var * valid / (SELECT count(*) FROM supplier)), 0) AS z FROM geno JOIN freq USING (snp) WHERE var > 0)
 SELECT a.snp AS snp1, b.snp AS snp2, round(sum(a.z * b.z) / (SELECT count(*) FROM supplier), 6) + 0.0 AS r FROM z a JOIN z b ON a.sample = b.sample AND a.snp // 20 = b.snp // 20 AND a.snp < b.snp GROUP BY 1, 2""")
 def ld_block_corr(spark, sf_dir):
     n = L.table(spark, sf_dir, "supplier").count()
