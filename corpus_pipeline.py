@@ -31,9 +31,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in mix order, as often as the mix takes them (up to twice)."""
-    carried = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    served = mixing.serve(docs, keep=("text", *carried)) if docs.columns else docs
-    return mixing.in_mix_order(served).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

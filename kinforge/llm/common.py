@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a word: digits, letters and everything beyond ASCII; A-Z becomes a-z, the rest a space.
@@ -72,13 +74,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within go when the block ends, unless written to stay: what follows must not read them."""
+    _SCRATCH.append(paths := [])
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(paths)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """The rows, written once as a table in the shared folder and read from there: lineage ends here."""
     path = shared_path(df.sparkSession, name)
+    if _SCRATCH and not stays:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether any doc_id (null too) stands in more than one row; reads that column only."""
+    ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
+    return ids[0] != ids[1]
+
+
 def open_fs(url: str):
     """pyarrow file system and path of a URL (local paths too); works on executors."""
     from pyarrow import fs

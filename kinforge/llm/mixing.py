@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import written
+from kinforge.llm.common import ids_repeat, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -108,20 +108,36 @@ def serve(
     return rows.select("doc_id", "source", "size", "source_size", "target", F.array(*turns).alias("served"), *keep)
 
 
-def in_mix_order(served: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The mix itself: a row per document and pass that it takes, range-sorted by virtual finish time.
+def turns_taken(served: DataFrame) -> DataFrame:
+    """A row per document and pass that the mix takes, with its virtual finish time ``vfinish``.
 
     Documents that the mix cuts stay when at least half of their words are taken; documents without words
     stay once if their turn comes before virtual time 1.
     """
-    n = partitions or max(1, int(served.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     t = F.col("turn")
     turns = served.withColumn("turn", F.explode("served")).where(
         ((F.col("size") > 0) & (t["words"] * 2 >= F.col("size")))
         | ((F.col("size") == 0) & (t["pass"] == 1) & (t["finish"] <= 1))
     )
-    turns = turns.withColumn("vfinish", t["finish"]).drop("turn", "served")
-    return turns.repartitionByRange(n, "vfinish", "doc_id").sortWithinPartitions("vfinish", "doc_id")
+    return turns.withColumn("vfinish", t["finish"]).drop("turn", "served")
+
+
+def mixed(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The mix itself: the documents' rows as often as it takes them, range-sorted by virtual finish time.
+
+    Where ids are unique, texts stay out of the queues and join the turns once; else they go along.
+    """
+    n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if ids_repeat(docs):
+        carried = [c for c in docs.columns if c not in ("doc_id", "source")]
+        inner = {c: f"__{c}" for c in carried}
+        wide = docs.select("doc_id", "source", "text", *[F.col(c).alias(k) for c, k in inner.items()])
+        turns = turns_taken(serve(wide, keep=tuple(inner.values())))
+        turns = turns.select("doc_id", "source", "vfinish", *[F.col(k).alias(c) for c, k in inner.items()])
+    else:
+        turns = turns_taken(serve(docs)).select(F.col("doc_id").alias("__id"), "vfinish")
+        turns = docs.join(turns, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return turns.repartitionByRange(n, "vfinish", "doc_id").sortWithinPartitions("vfinish", "doc_id").select(*docs.columns)
 
 
 def mix_table(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import WordHasher, column, mix64, pieces, words_of, written
+from kinforge.llm.common import WordHasher, column, ids_repeat, mix64, pieces, scratch, words_of, written
 from kinforge.llm.components import components
 
 BLOCK, HOT = 256, 64
@@ -241,8 +241,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents that name their class, with all their columns; of rows that repeat one, one stays."""
-    classes = jaccard_join(docs, size, threshold)
-    named = written(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "near-kept")
+    with scratch(docs.sparkSession):
+        classes = jaccard_join(docs, size, threshold)
+        named = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+        named = written(named, "near-kept", stays=True)
     kept = docs.join(named.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    return kept if ids[0] == ids[1] else kept.dropDuplicates(["doc_id", "text"])
+    return kept.dropDuplicates(["doc_id", "text"]) if ids_repeat(docs) else kept
