@@ -18,10 +18,15 @@ the sections: validity of doc ids, doc ids (64-bit), low bits, high bits, select
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,9 @@ from kinforge.llm.common import column, open_fs, pieces, shared_path
 
 MAGIC = b"KFTOKEF1"
 SAMPLE = 64
-PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Letters that every version of the library takes for letters, and the ASCII punctuation but the apostrophe.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+PLAIN, PIECE = re.compile(f"[{LETTERS}0-9\\n{SIGNS}]+"), re.compile(f"[{LETTERS}]+|[0-9]+|\\n|[{SIGNS}]+")
 
 
 class EliasFano:
@@ -85,54 +92,89 @@ class EliasFano:
 
 
 class Encoder:
-    """Ids of whole texts as 32-bit little-endian bytes, distinct words encoded once (up to ``limit`` kept)."""
+    """Ids of whole texts as 32-bit little-endian bytes, distinct words encoded once (up to ``limit`` kept).
+
+    A text is cut at its spaces; a part may be encoded on its own (with the space before it) if it is not empty and
+    neither begins nor ends with white space. New parts of plain letters, digits and signs are cut where the
+    byte-level pre-tokeniser cuts (between those kinds) and go to the library's model piece by piece. Other parts
+    are encoded many at a time, between tabs: a tab beside a part is a token of its own, so the ids between two tabs
+    are the part's.
+    """
 
     def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found before all else
-        self.byte_level = '"type":"ByteLevel"' in self.tokenizer.to_str().replace(" ", "").partition('"pre_tokenizer":')[2][:40]
+        settings = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        tab = self.tokenizer.encode("\t", add_special_tokens=False).ids
+        model = type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.normalizer is None
+        plain = settings.get("type") == "ByteLevel" and settings["use_regex"] and not settings["add_prefix_space"]
+        self.byte_level = bool(plain and len(tab) == 1 and model)
+        self.tab = tab[0] if tab else None
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}  # the others' characters begin at 256
+        hidden = [b for b in range(256) if b not in printable]
+        self.chars = {b: 256 + i for i, b in enumerate(hidden)}
+        self.tokenize = self.tokenizer.model.tokenize
+        self._forget()
+
+    def _forget(self) -> None:
+        # no ids for parts that are not encoded on their own
+        self.spaced: dict[str, bytes | None] = {"": None}  # with a space before them
+        self.bare: dict[str, bytes | None] = {"": None}  # first parts of texts
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _cores(part: str) -> list[str]:
-        """Pieces of a part that the pre-tokeniser never joins: lines, and the punctuation after a last letter."""
-        out = []
-        for at, line in enumerate(part.split("\n")):
-            if at:
-                out.append("\n")
-            core = line.rstrip(PUNCTUATION)
-            if core != line and core[-1:].isalpha():
-                out += [core, line[len(core) :]]
-            elif line:
-                out.append(line)
-        return out
-
-    def _learn(self, parts: set[str]) -> None:
-        known, cores = self.known, {p: self._cores(p) for p in parts}
-        new = list(set().union(*cores.values()).difference(known))
-        known.update(zip(new, self._ids(new), strict=True))
-        for part, own in cores.items():
-            if part not in known:
-                known[part] = b"".join(map(known.__getitem__, own))
+    def _piece(self, known: dict[str, bytes | None], before: str, piece: str) -> bytes:
+        if (ids := known.get(piece)) is None:
+            tokens = self.tokenize((before + piece).encode().decode("latin-1").translate(self.chars))
+            ids = known[piece] = array("I", [t.id for t in tokens]).tobytes()
+        return ids
+
+    def _learn(self, known: dict[str, bytes | None], before: str, parts: Iterable[str]) -> None:
+        others = []
+        for part in set(filterfalse(known.__contains__, parts)):
+            if part[0].isspace() or part[-1].isspace() or "\t" in part:
+                known[part] = None
+            elif PLAIN.fullmatch(part) and "\n\n" not in part:
+                first, *rest = PIECE.findall(part)
+                ids = self._piece(known, before, first)
+                known[part] = ids + b"".join([self._piece(self.bare, "", p) for p in rest]) if rest else ids
+            else:
+                others.append(part)
+        self._learn_rows(known, before, others)
+
+    def _learn_rows(self, known: dict[str, bytes | None], before: str, new: list[str]) -> None:
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            row = self.tokenizer.encode(before + f"\t{before}".join(some), add_special_tokens=False).ids
+            ids = np.asarray(row, "<u4")
+            cuts = [*np.flatnonzero(ids == self.tab).tolist(), len(ids)]
+            if len(cuts) != len(some):
+                raise ValueError("the vocabulary joins tabs with words")
+            whole, begin = ids.tobytes(), 0
+            for part, cut in zip(some, cuts, strict=True):
+                known[part] = whole[4 * begin : 4 * cut]
+                begin = cut + 1
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.spaced) + len(self.bare) > self.limit:
+            self._forget()
         out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
+        split: dict[int, tuple[str, list[str]]] = {}
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
-            elif self.byte_level and not any(t in text for t in self.added) and text.count(" ") + text.count("\n") + text.count("\t") == len(text.split()) - 1:
-                parts = text.split(" ")  # white space stands singly: no run of it spans a cut
-                split[i] = [parts[0], *(" " + p for p in parts[1:])]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        self._learn(set().union(*split.values()).difference(self.known)) if split else None
-        for i, parts in split.items():
-            out[i] = b"".join(map(self.known.__getitem__, parts))
+            elif self.byte_level and "  " not in text and not any(t in text for t in self.added):
+                first, *rest = text.split(" ")
+                split[i] = first, rest
+        self._learn(self.bare, "", (first for first, _ in split.values()))
+        self._learn(self.spaced, " ", chain.from_iterable(rest for _, rest in split.values()))
+        spaced = self.spaced.__getitem__
+        for i, (first, rest) in split.items():
+            with suppress(TypeError):  # of a part without ids
+                out[i] = b"".join([self.bare[first], *map(spaced, rest)])
         whole = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
