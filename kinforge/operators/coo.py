@@ -41,6 +41,11 @@ def hadamard_square(m: DataFrame) -> DataFrame:
     return m.select("i", "j", (F.col("v") * F.col("v")).alias("v"))
 
 
+def sparse(m: DataFrame, least: float = 0.05) -> DataFrame:
+    """The lower triangle's entries of at least that size."""
+    return m.where((F.col("i") >= F.col("j")) & (F.abs("v") >= least))
+
+
 def mirrored(m: DataFrame, floor: float = 1e-10) -> DataFrame:
     """Half the sum with the transpose, tiny diagonals raised to ``floor``."""
     half = add(scale(m, 0.5), scale(transpose(m), 0.5))

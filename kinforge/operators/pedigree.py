@@ -28,10 +28,13 @@ def generations(ped: DataFrame, limit: int = 200) -> DataFrame:
     raise ValueError(f"a loop, or more than {limit} generations")
 
 
-def ancestor_paths(ped: DataFrame, limit: int = 100) -> DataFrame:
-    """(idx, ancestor, weight): sum over all paths of 0.5 to the number of steps; itself with weight 1."""
+def ancestor_paths(ped: DataFrame, limit: int = 100, of: DataFrame | None = None) -> DataFrame:
+    """(idx, ancestor, weight): sum over all paths of 0.5 to the number of steps; itself with weight 1.
+
+    Of all animals, or of the rows (idx) of ``of`` only.
+    """
     parents = ped.select("idx", F.explode(F.array("sire", "dam")).alias("parent")).where("parent is not null")
-    front = ped.select("idx", F.col("idx").alias("ancestor"), F.lit(1.0).alias("weight"))
+    front = (ped if of is None else of).select("idx", F.col("idx").alias("ancestor"), F.lit(1.0).alias("weight"))
     out = front
     step = parents.select(F.col("idx").alias("ancestor"), "parent")
     for _ in range(limit):
@@ -81,9 +84,9 @@ def a_inverse(ped: DataFrame, d: DataFrame) -> DataFrame:
     return out.groupBy("i", "j").agg(F.sum("v").alias("v")).where(F.abs("v") > 1e-12)
 
 
-def relationship(ped: DataFrame, d: DataFrame) -> DataFrame:
-    """A = L D L' as one join on the common ancestor and one sum; entries (i, j, v)."""
-    paths = ancestor_paths(ped).join(d.select(F.col("idx").alias("ancestor"), "d"), "ancestor")
+def relationship(ped: DataFrame, d: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """A = L D L' as one join on the common ancestor and one sum; entries (i, j, v). The block of ``of`` only, if given."""
+    paths = ancestor_paths(ped, of=of).join(d.select(F.col("idx").alias("ancestor"), "d"), "ancestor")
     left = paths.select("ancestor", F.col("idx").alias("i"), (F.col("weight") * F.col("d")).alias("x"))
     right = paths.select("ancestor", F.col("idx").alias("j"), F.col("weight").alias("y"))
     return left.join(right, "ancestor").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
@@ -93,3 +96,9 @@ def first_appearance(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, level): levels numbered from 0 in order of first appearance."""
     firsts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("at"))
     return firsts.select(key, (F.row_number().over(Window.orderBy("at", key)) - 1).cast("long").alias("level"))
+
+
+def to_dams(records: DataFrame, ped: DataFrame, id: str = "id", name: str = "dam_id") -> DataFrame:
+    """The records with their animal's dam; null where it is unknown, so that the record bears no maternal effect."""
+    dams = ped.select(F.col("idx").alias(id), F.col("dam").alias(name))
+    return records.join(dams, id, "left")

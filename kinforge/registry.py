@@ -299,6 +299,12 @@ for _name, _method, _z, _by in (
     QUERIES[_name], ORACLE[_name] = _grm(_method), _grm_sql(_z, _by)
 
 
+@query(_grm_sql("dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))")) + " WHERE abs(v) >= 0.05")
+def grm_sparse(spark, sf_dir):
+    n = L.table(spark, sf_dir, "supplier").count()
+    return coo.sparse(G.relationship(L.genotypes(spark, sf_dir), n)).withColumn("v", r6(F.col("v")))
+
+
 @query(_grm_sql("dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))"), "v * v"))
 def grm_epistasis(spark, sf_dir):
     n = L.table(spark, sf_dir, "supplier").count()
@@ -436,6 +442,43 @@ def gblup_fixed(spark, sf_dir):
     return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
 
 
+@query(f"""WITH {L.PHENO}, {L.PED} SELECT dam, count(*) AS n, round(sum(y), 4) AS sum_y, count(DISTINCT id) AS n_offspring
+  FROM pheno JOIN ped ON id = idx WHERE dam IS NOT NULL GROUP BY dam""")
+def maternal_remap(spark, sf_dir):
+    """Right-hand side and diagonal of the maternal effect: records go to their animal's dam."""
+    rows = P.to_dams(L.phenotypes(spark, sf_dir), L.pedigree(spark, sf_dir)).where("dam_id is not null")
+    # an animal has one dam: records are summed by animal before the dams are
+    by_id = rows.groupBy("dam_id", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    return by_id.groupBy(F.col("dam_id").alias("dam")).agg(F.sum("n").alias("n"), F.round(F.sum("y"), 4).alias("sum_y"), F.count(F.lit(1)).alias("n_offspring"))
+
+
+@query()
+def maternal_blup(spark, sf_dir):
+    """Direct and maternal effects over one A inverse: (idx, u, mat)."""
+    model, n = _model(spark, sf_dir)
+    model.records = P.to_dams(model.records, L.pedigree(spark, sf_dir))
+    model.random("mat", "dam_id", n, _ainv(spark, sf_dir))
+    u = model.solve({"u": 0.4, "mat": 0.1, "e": 0.5}).u
+    return spark.createDataFrame([(i, float(a), float(m)) for i, (a, m) in enumerate(zip(u["u"], u["mat"], strict=True))], "idx long, u double, mat double")
+
+
+@query()
+def single_step(spark, sf_dir):
+    """Single-step BLUP: A inverse plus the inverse of tuned, blended G less that of A22, for genotyped animals."""
+    from kinforge.sources.matrices import coo as to_rows
+
+    g, _ = _genomic(spark, sf_dir)
+    ped = L.pedigree(spark, sf_dir)
+    d = ped.select("idx", (1 - F.when(F.col("sire").isNull(), 0.0).otherwise(0.5)).alias("d"))
+    typed = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"))
+    a22 = coo.dense(P.relationship(ped, d, typed), len(g))
+    block = G.psd_inverse(G.tune(g, a22)) - G.psd_inverse(a22)
+    n = L.table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
+    model = MixedModel(L.phenotypes(spark, sf_dir)).fixed(["priority"], ["mon"])
+    model.random("u", "id", n, coo.add(P.a_inverse(ped, d), to_rows(spark, block)))
+    return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
+
+
 @query()
 def vce_ai(spark, sf_dir):
     g, y = _genomic(spark, sf_dir)

@@ -119,6 +119,38 @@ def test_formats(spark, tmp_path):
     assert np.array_equal(coo.dense(cells, 2), m)
 
 
+def test_grm_files(tmp_path):
+    m, counts = np.array([[1.0, 0.25], [0.25, 0.75]]), np.array([[4.0, 3.0], [3.0, 4.0]])
+    M.write_grm(str(tmp_path), "x", m, counts, [("f", "a"), ("f", "b")])
+    values, n, ids = M.read_grm(str(tmp_path), "x")
+    assert np.array_equal(values, m) and np.array_equal(n, counts) and ids == [("f", "a"), ("f", "b")]
+    (tmp_path / "x.grm.N.bin").write_bytes(b"1234")
+    with pytest.raises(ValueError):
+        M.read_grm(str(tmp_path), "x")
+
+
+def test_maternal_and_single_step(spark):
+    ped = spark.createDataFrame([(0, None, None), (1, None, None), (2, 0, 1), (3, 0, 1), (4, 2, 3)], "idx long, sire long, dam long")
+    f = P.inbreeding(ped)
+    a = coo.dense(P.relationship(ped, f), 5)
+    some = ped.where("idx in (2, 4)")
+    block = {(r["i"], r["j"]): r["v"] for r in P.relationship(ped, f, some).collect()}
+    assert {k: pytest.approx(a[k]) for k in ((2, 2), (2, 4), (4, 2), (4, 4))} == block
+    records = spark.createDataFrame([(0, 2, 10.0), (1, 3, 12.0), (2, 4, 9.0), (3, 1, 8.0), (4, 4, 11.0)], "rec long, id long, y double")
+    ainv = P.a_inverse(ped, f)
+    model = MixedModel(P.to_dams(records, ped)).random("u", "id", 5, ainv).random("mat", "dam_id", 5, ainv)
+    u = model.solve({"u": 0.4, "mat": 0.1, "e": 0.5}).u
+    z, m = np.zeros((5, 5)), np.zeros((5, 5))
+    for r, (i, dam) in enumerate(((2, 1), (3, 1), (4, 3), (1, None), (4, 3))):
+        z[r, i] = 1
+        if dam is not None:
+            m[r, dam] = 1
+    y, one = np.array([10.0, 12, 9, 8, 11]), np.ones((5, 1))
+    v = 0.4 * z @ a @ z.T + 0.1 * m @ a @ m.T + 0.5 * np.eye(5)
+    rest = np.linalg.solve(v, y - one @ np.linalg.solve(one.T @ np.linalg.solve(v, one), one.T @ np.linalg.solve(v, y)))
+    assert np.allclose(u["u"], 0.4 * a @ z.T @ rest) and np.allclose(u["mat"], 0.1 * a @ m.T @ rest)
+
+
 def test_summary_statistics_and_phenotypes(spark):
     s = T.summary_statistics(lines(spark, "SNP EFFECT_ALLELE A2 BETA\nr1 a c 0.1\nr1 a c 0.2\nr2 a c x")).collect()
     assert [tuple(r) for r in s] == [("r1", "A", "C", 0.2)]
