@@ -442,14 +442,14 @@ def gblup_fixed(spark, sf_dir):
     return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
 
 
-@query(f"""WITH {L.PHENO}, {L.PED} SELECT dam, count(*) AS n, round(sum(y), 4) AS sum_y, count(DISTINCT id) AS n_offspring
+@query(f"""WITH {L.PHENO}, {L.PED} SELECT dam, count(*) AS n, round(sum(y), 6) AS sum_y, count(DISTINCT id) AS n_offspring
   FROM pheno JOIN ped ON id = idx WHERE dam IS NOT NULL GROUP BY dam""")
 def maternal_remap(spark, sf_dir):
     """Right-hand side and diagonal of the maternal effect: records go to their animal's dam."""
     rows = P.to_dams(L.phenotypes(spark, sf_dir), L.pedigree(spark, sf_dir)).where("dam_id is not null")
     # an animal has one dam: records are summed by animal before the dams are
     by_id = rows.groupBy("dam_id", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
-    return by_id.groupBy(F.col("dam_id").alias("dam")).agg(F.sum("n").alias("n"), F.round(F.sum("y"), 4).alias("sum_y"), F.count(F.lit(1)).alias("n_offspring"))
+    return by_id.groupBy(F.col("dam_id").alias("dam")).agg(F.sum("n").alias("n"), F.round(F.sum("y"), 6).alias("sum_y"), F.count(F.lit(1)).alias("n_offspring"))
 
 
 @query()
