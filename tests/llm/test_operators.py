@@ -314,3 +314,12 @@ def test_pipeline(spark, tmp_path, corpus):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count() > 40
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_encoder_equals_library_on_odd_texts(limit):
+    encode = tokens.Encoder(tokens.default_vocabulary(), limit)
+    odd = ["a\tb c", "  x y", "x \n y", "a\n\nb c", "x\n\n\ny z", "é  b", "tail ", "\tq w", "a <|endoftext|> b", " a", "don't 're x's", "x y 　 z"]
+    odd += ["é,,x1a a1b2", "À×b ÷a", "a\r\nb c", "İi ɏɐ", "x_y a\\b [q] ^_`{~}", "a’b", "\nq w", "4th x²y", "Ⅷa ªb", "a\x1c b", "", "\n", "ǅ'll we'll", "end.\nNext, word*** a.\n-b"]
+    for text in odd * 2:
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
