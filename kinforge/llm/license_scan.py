@@ -2,7 +2,7 @@
 
 A document becomes its words joined by single spaces. Each rule is a regular expression over that, gated by a
 keyword that must occur in the document first. Rules stand in order of priority: full grants before names with
-versions, those before bare names. All matches of all gated rules are found; sorted by priority, then length,
+versions, those before bare names, those before short names (which need no word for licence). All matches of all gated rules are found; sorted by priority, then length,
 then place, a match is dropped when its interval lies within the interval of a match kept before it.
 
 Base phrases are counted apart from that, at every place, and their labels always stay.
@@ -90,6 +90,164 @@ SENTENCES = (
     ("proprietary", "proprietary and confidential", r"proprietary and confidential", 0.8),
 )
 
+# Short and hyphenated names as their words, with and without version, special ones before general
+# ones; the last field says whether the name alone is a licence or only after wording of LEAD.
+V1, V2, V3 = r"(?: ?(?:version |ver |v ?)?1(?: [0-3])?)?", r"(?: ?(?:version |ver |v ?)?[12](?: [01])?)?", r"(?: ?(?:version |ver |v ?)?[1-3](?: [01])?)?"
+LATER = r"(?: only| plus| or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?)?"
+CC = r"(?: ?v?[1-4] [05])?(?: (?:international|unported|generic|intergovernmental|igo|deed|us|uk|de|fr))?(?: public)?(?: licen[sc]e)?"
+SHORT = (
+    ("gpl-classpath", "classpath", rf"(?:gnu )?gpl{V3}(?: only)? (?:with|w) (?:the )?classpath(?: linking)? exception(?: 2 0)?", True),
+    ("gpl-classpath", "classpath", r"gnu classpath (?:linking )?exception", True),
+    ("agpl", "agpl", rf"(?:the )?(?:gnu )?agpl{V3}{LATER}", True),
+    ("agpl", "affero gpl", rf"(?:the )?(?:gnu )?affero gpl{V3}{LATER}", True),
+    ("agpl", "affero general public", rf"(?:the )?(?:gnu )?affero general public licence{V3}{LATER}", True),
+    ("lgpl", "lgpl", rf"(?:the )?(?:gnu )?lgpl(?: ?(?:version |ver |v ?)?[23](?: [01])?)?{LATER}", True),
+    ("lgpl", "lesser gpl", rf"(?:the )?(?:gnu )?lesser gpl(?: ?(?:version |ver |v ?)?[23](?: [01])?)?{LATER}", True),
+    ("lgpl", "library gpl", rf"(?:the )?(?:gnu )?library gpl(?: ?(?:version |ver |v ?)?2(?: 0)?)?{LATER}", True),
+    ("fdl", "gfdl", rf"(?:the )?(?:gnu )?gfdl{V1}{LATER}", True),
+    ("fdl", "gnu fdl", rf"(?:the )?gnu fdl{V1}{LATER}", True),
+    ("gpl", "gpl", rf"(?:the )?(?:gnu )?gpl{V3}{LATER}", True),
+    ("gpl", "gnu public licen", rf"(?:the )?gnu public licen[sc]e{V3}{LATER}", True),
+    ("apache", "apache 2", r"(?:the )?(?:asf )?apache 2 0(?: licen[sc]ed?)?", True),
+    ("apache", "apache 1", r"(?:the )?apache 1 [01](?: licen[sc]ed?)?", True),
+    ("apache", "apache 2", r"(?:the )?apache 2 licen[sc]ed?", True),
+    ("apache", "apache v", r"(?:the )?apache v ?[12](?: [01])?(?: licen[sc]ed?)?", True),
+    ("apache", "apache version", r"(?:the )?apache version [12](?: [01])?", True),
+    ("apache", "apache2", r"(?:the )?apache2(?: 0)?(?: licen[sc]ed?)?", False),
+    ("apache", "apache licensed", r"apache licensed", True),
+    ("apache", "asl 2", r"(?:the )?asl 2 0", True),
+    ("apache", "al2", r"al2(?: 0)?", False),
+    ("apache", "apache", r"(?:the )?apache(?: 2)?", False),
+    ("bsd-0", "0bsd", r"(?:the )?0bsd", True),
+    ("bsd-0", "zero clause bsd", r"(?:the )?zero clause bsd", True),
+    ("bsd", "clause bsd", r"(?:the )?(?:1|2|3|4|one|two|three|four) clause bsd", True),
+    ("bsd", "bsd 4", r"(?:the )?bsd 4 clause(?: uc)?", True),
+    ("bsd", "bsd 3", r"(?:the )?bsd 3 clause(?: (?:clear|attribution|lbnl))?", True),
+    ("bsd", "bsd 2", r"(?:the )?bsd 2 clause(?: (?:patent|views|freebsd|netbsd))?", True),
+    ("bsd", "bsd 1", r"(?:the )?bsd 1 clause", True),
+    ("bsd", "bsd three clause", r"(?:the )?bsd three clause", True),
+    ("bsd", "bsd two clause", r"(?:the )?bsd two clause", True),
+    ("bsd", "bsd3", r"(?:the )?bsd3(?: clause)?", True),
+    ("bsd", "bsd2", r"(?:the )?bsd2(?: clause)?", True),
+    ("bsd", "new bsd", r"(?:the )?new bsd", False),
+    ("bsd", "modified bsd", r"(?:the )?modified bsd", True),
+    ("bsd", "simplified bsd", r"(?:the )?simplified bsd", True),
+    ("bsd", "revised bsd", r"(?:the )?revised bsd", True),
+    ("bsd", "freebsd licen", r"(?:the )?freebsd licen[sc]e", True),
+    ("bsd", "bsd style", r"(?:a )?bsd style(?: licen[sc]ed?)?", True),
+    ("bsd", "bsd licensed", r"bsd licensed", True),
+    ("bsd", "bsd", r"(?:the )?bsd", False),
+    ("mit-0", "mit 0", r"(?:the )?mit 0", True),
+    ("mit-0", "mit no attribution", r"(?:the )?mit no attribution(?: licen[sc]e)?", True),
+    ("mit", "mit licensed", r"mit licensed", True),
+    ("mit", "mit style", r"(?:a )?mit style licen[sc]ed?", True),
+    ("mit", "mit x11", r"(?:the )?mit x11(?: licen[sc]e)?", True),
+    ("mit", "x11 licen", r"(?:the )?x11 licen[sc]e", True),
+    ("mit", "mit expat", r"(?:the )?mit expat(?: licen[sc]e)?", True),
+    ("mit", "expat licen", r"(?:the )?expat licen[sc]e", True),
+    ("mit", "mit or apache", r"mit or apache(?: 2 0)?", True),
+    ("mit", "apache 2 0 or mit", r"apache 2 0 or mit", True),
+    ("mit", "mit", r"(?:the )?mit", False),
+    ("isc", "isc licensed", r"isc licensed", True),
+    ("isc", "isc", r"(?:the )?isc", False),
+    ("zlib", "zlib", r"(?:the )?zlib(?: libpng)?(?: acknowledgement)?", False),
+    ("mpl", "mpl 2", r"(?:the )?mpl 2 0(?: no copyleft exception)?", True),
+    ("mpl", "mpl 1", r"(?:the )?mpl 1 [01]", True),
+    ("mpl", "mplv", r"(?:the )?mplv[12](?: [01])?", True),
+    ("mpl", "mpl v", rf"(?:the )?mpl{V2}", True),
+    ("mpl", "mpl", r"(?:the )?mpl", False),
+    ("epl", "epl 2", r"(?:the )?epl 2 0", True),
+    ("epl", "epl 1", r"(?:the )?epl 1 0", True),
+    ("epl", "epl", r"(?:the )?epl(?: ?v?[12](?: 0)?)?", False),
+    ("edl", "edl 1", r"(?:the )?edl 1 0", True),
+    ("edl", "eclipse distribution", r"(?:the )?eclipse distribution licen[sc]e(?: v?1 0)?", True),
+    ("cddl", "cddl", rf"(?:the )?cddl{V1}", True),
+    ("cpl", "cpl 1", r"(?:the )?cpl 1 0", True),
+    ("cpal", "cpal", r"(?:the )?cpal(?: 1 0)?", True),
+    ("eupl", "eupl", rf"(?:the )?eupl{V1}", True),
+    ("cecill", "cecill", r"(?:the )?cecill(?: [bc])?(?: ?v?[12](?: [01])?)?", True),
+    ("osl", "osl 3", r"(?:the )?osl 3 0", True),
+    ("osl", "open software licen", r"(?:the )?open software licen[sc]e(?: (?:version |v )?[123] [01])?", True),
+    ("afl", "afl 3", r"(?:the )?afl 3 0", True),
+    ("afl", "academic free", r"(?:the )?academic free licen[sc]e(?: (?:version |v )?[123] [0-2])?", True),
+    ("artistic", "artistic 2", r"(?:the )?(?:perl )?artistic 2 0", True),
+    ("artistic", "artistic 1", r"(?:the )?(?:perl )?artistic 1 0(?: (?:perl|cl8))?", True),
+    ("boost", "bsl 1 0", r"(?:the )?bsl 1 0", True),
+    ("boost", "boost 1 0", r"(?:the )?boost 1 0", True),
+    ("boost", "boost licen", r"(?:the )?boost licen[sc]e", True),
+    ("busl", "busl", r"(?:the )?busl(?: 1 1)?", True),
+    ("busl", "bsl 1 1", r"(?:the )?bsl 1 1", True),
+    ("busl", "business source", r"(?:the )?business source licen[sc]e(?: (?:version |v )?1 1)?", True),
+    ("sspl", "sspl", r"(?:the )?sspl(?: ?v?1(?: 0)?)?", True),
+    ("sspl", "server side public", r"(?:the )?server side public licen[sc]e(?: (?:version |v )?1)?", True),
+    ("elastic", "elastic licen", r"(?:the )?elastic licen[sc]e(?: (?:version |v ?)?2(?: 0)?)?", True),
+    ("polyform", "polyform", r"(?:the )?polyform (?:noncommercial|small business|shield|perimeter|strict|internal use)(?: licen[sc]e)?(?: 1 0 0)?", True),
+    ("commons-clause", "commons clause", r"(?:the )?commons clause", True),
+    ("ncsa", "ncsa", r"(?:the )?(?:university of illinois )?ncsa(?: open source)?(?: licen[sc]e)?", False),
+    ("json", "json licen", r"(?:the )?json licen[sc]e", True),
+    ("php", "php licen", r"(?:the )?php licen[sc]e(?: (?:version |v )?3 0[01]?)?", True),
+    ("ruby", "ruby licen", r"(?:the )?ruby licen[sc]e", True),
+    ("vim", "vim licen", r"(?:the )?vim licen[sc]e", True),
+    ("w3c", "w3c", r"(?:the )?w3c (?:software(?: notice)?(?: and document)? )?(?:notice and )?licen[sc]e", True),
+    ("x-consortium", "x consortium", r"(?:the )?x consortium licen[sc]e", True),
+    ("beerware", "beerware", r"(?:the )?beerware(?: licen[sc]e)?", True),
+    ("beerware", "beer ware", r"(?:the )?beer ware licen[sc]e", True),
+    ("blueoak", "blue oak", r"(?:the )?blue oak model licen[sc]e(?: 1 0 0)?", True),
+    ("blueoak", "blueoak", r"blueoak 1 0 0", True),
+    ("mulan", "mulan", r"(?:the )?mulan(?: psl| permissive software licen[sc]e)(?: ?v?[12](?: 0)?)?", True),
+    ("psf", "psf", r"(?:the )?psf(?: 2 0| licen[sc]e(?: (?:version |v )?2)?)", True),
+    ("psf", "python 2 0", r"(?:the )?python 2 0", False),
+    ("upl", "upl 1", r"(?:the )?upl 1 0", True),
+    ("ofl", "ofl", rf"(?:the )?(?:sil )?ofl{V1}", True),
+    ("ofl", "open font", rf"(?:the )?(?:sil )?open font licen[sc]e{V1}", True),
+    ("ms-pl", "ms pl", r"(?:the )?ms pl", True),
+    ("ms-rl", "ms rl", r"(?:the )?ms rl", True),
+    ("wtfpl", "wtfpl", r"(?:the )?wtfpl(?: ?(?:version |v ?)?2(?: 0)?)?", True),
+    ("unlicense", "unlicense", r"(?:the )?unlicense", True),
+    ("unlicense", "unlicence", r"(?:the )?unlicence", True),
+    ("unlicense", "unlicense org", r"(?:www )?unlicense org", True),
+    ("odbl", "odbl", rf"(?:the )?(?:odc )?odbl{V1}", True),
+    ("odc-by", "odc by", rf"(?:the )?odc by{V1}", True),
+    ("odc-by", "open data commons attribution", rf"(?:the )?open data commons attribution(?: licen[sc]e)?{V1}", True),
+    ("pddl", "pddl", rf"(?:the )?(?:odc )?pddl{V1}", True),
+    ("cdla", "cdla", r"(?:the )?cdla (?:permissive|sharing)(?: [12] 0)?", True),
+    ("ogl", "open government", r"(?:the )?open government licen[sc]e(?: (?:version |v ?)?[1-3](?: 0)?)?", True),
+    ("ogl", "ogl uk", r"ogl uk [1-3] 0", True),
+    ("openrail", "openrail", r"(?:the )?(?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: ?v?1)?", True),
+    ("cc-by-nc-sa", "cc by nc sa", rf"(?:the )?cc by nc sa{CC}", True),
+    ("cc-by-nc-nd", "cc by nc nd", rf"(?:the )?cc by nc nd{CC}", True),
+    ("cc-by-nc", "cc by nc", rf"(?:the )?cc by nc{CC}", True),
+    ("cc-by-sa", "cc by sa", rf"(?:the )?cc by sa{CC}", True),
+    ("cc-by-nd", "cc by nd", rf"(?:the )?cc by nd{CC}", True),
+    ("cc-by", "cc by", r"(?:the )?cc by ?v?[1-4] [05](?: (?:international|unported|generic|igo))?(?: licen[sc]e)?", True),
+    ("cc-by", "cc by", r"(?:the )?cc by licen[sc]e", True),
+    ("cc-by", "cc by", r"(?:the )?cc by", False),
+    ("cc-by-nc-sa", "by nc sa", rf"(?:the )?(?:creative commons )?by nc sa{CC}", True),
+    ("cc-by-nc-nd", "by nc nd", rf"(?:the )?(?:creative commons )?by nc nd{CC}", True),
+    ("cc-by-nc", "creative commons by nc", rf"(?:the )?creative commons by nc{CC}", True),
+    ("cc-by-sa", "creative commons by sa", rf"(?:the )?creative commons by sa{CC}", True),
+    ("cc-by-nd", "creative commons by nd", rf"(?:the )?creative commons by nd{CC}", True),
+    ("cc-by", "creative commons by", rf"(?:the )?creative commons by{CC}", True),
+    ("cc-by-nc-sa", "attribution non", rf"(?:the |a )?(?:creative commons|cc) attribution non ?commercial share ?alike{CC}", True),
+    ("cc-by-nc-nd", "attribution non", rf"(?:the |a )?(?:creative commons|cc) attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?{CC}", True),
+    ("cc-by-nc", "attribution non", rf"(?:the |a )?(?:creative commons|cc) attribution non ?commercial{CC}", True),
+    ("cc-by-sa", "attribution share", rf"(?:the |a )?(?:creative commons|cc) attribution share ?alike{CC}", True),
+    ("cc-by-nd", "attribution no", rf"(?:the |a )?(?:creative commons|cc) attribution no ?deriv(?:ative)?s?(?: works)?{CC}", True),
+    ("cc-by", "commons attribution", rf"(?:the |a )?creative commons attribution{CC}", True),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa", r"creativecommons org licenses by nc sa(?: [1-4] [05])?", True),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd", r"creativecommons org licenses by nc nd(?: [1-4] [05])?", True),
+    ("cc-by-nc", "creativecommons org licenses by nc", r"creativecommons org licenses by nc(?: [1-4] [05])?", True),
+    ("cc-by-nd", "creativecommons org licenses by nd", r"creativecommons org licenses by nd(?: [1-4] [05])?", True),
+    ("cc0", "cc0", rf"(?:the )?(?:creative commons )?cc0{V1}(?: universal)?", True),
+    ("cc0", "cc zero", r"(?:the )?(?:creative commons )?cc zero(?: 1 0)?", True),
+    ("cc0", "creative commons zero", r"(?:the )?creative commons zero(?: v?1 0)?(?: universal)?", True),
+    ("public-domain", "public domain mark", r"(?:the )?public domain mark(?: 1 0)?", True),
+    ("public-domain", "in the public domain", r"(?:is|are) in the public domain", True),
+    ("proprietary", "unlicensed", r"license unlicensed", True),
+)
+# Wording before a short name.
+LEAD = r"(?:(?:is |are |be |was )?(?:re|dual |multi |sub )?(?:licen[sc]ed|released|distributed|published|available|provided|covered|offered|shared|redistributed)(?: only| also)? (?:under|by) (?:the terms (?:and conditions )?of )?|(?:under|subject to) (?:the terms (?:and conditions )?of )?|spdx license identifier (?:[a-z0-9 ]{0,20} )?|licen[sc]es?(?: (?:is|as|name|type|under))? )"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -103,7 +261,7 @@ class Rule:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """Every family with every wording, with each version and without, in order of priority."""
+    """Every family with every wording, with each version and without, then the short names, in order of priority."""
     made = [(f"{label}-text", label, key, pattern, weight) for label, key, pattern, weight in SENTENCES]
     for kind, weight, wording in GRANTS:
         for label, key, name, versions in FAMILIES:
@@ -111,6 +269,10 @@ def rules() -> tuple[Rule, ...]:
                 tail = rf"(?: (?:version|v))? {v}(?: or (?:\(?at your option )?(?:any )?later(?: version)?)?"
                 made.append((f"{label}-{v.replace(' ', '.')}-{kind}", label, key, wording.format(name=name, version=tail), weight))
             made.append((f"{label}-{kind}", label, key, wording.format(name=name, version=""), weight - 0.05))
+    for at, (label, key, pattern, alone) in enumerate(SHORT):
+        made.append((f"{label}-short-{at}-grant", label, key, LEAD + pattern, 0.95))
+        if alone:
+            made.append((f"{label}-short-{at}", label, key, pattern, 0.75))
     for label in dict.fromkeys(f[0] for f in FAMILIES):
         made.append((f"{label}-spdx", label, "spdx license identifier", rf"spdx license identifier (?:[a-z0-9 ]{{0,20}} )?{label.replace('-', ' ')}(?: [0-9]+){{0,2}}", 1.0))
     return tuple(

@@ -255,6 +255,24 @@ def test_license_rules(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("line", "labels"), [
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("GNU GPL version 3", "gpl"), ("GPLv2", "gpl"), ("GPL-2.0-or-later", "gpl"), ("This is gplv3+ code", "gpl"),
+    ("uses the LGPL", "lgpl"), ("LGPL-2.1-only", "lgpl"), ("AGPLv3", "agpl"), ("GNU Lesser GPL v3", "lgpl"), ("BSD-3-Clause", "bsd"), ("the 2-clause BSD", "bsd"),
+    ("License: BSD", "bsd"), ("CC BY-SA 4.0", "cc-by-sa"), ("CC-BY-4.0", "cc-by"), ("CC BY-NC-SA 3.0", "cc-by-nc-sa"), ("by-nc-nd 4.0", "cc-by-nc-nd"),
+    ("shared under CC BY", "cc-by"), ("CC0 1.0 Universal", "cc0"), ("Apache-2.0", "apache"), ("Apache v2", "apache"), ("licensed under Apache", "apache"),
+    ("the Unlicense", "unlicense"), ("Released under MIT.", "mit"), ("MIT-licensed", "mit"), ("MIT OR Apache-2.0", "apache,mit"), ("MPL-2.0", "mpl"), ("MPL v2", "mpl"),
+    ("EPL-2.0", "epl"), ("CDDL-1.1", "cddl"), ("EUPL v1.2", "eupl"), ("BSL-1.0", "boost"), ("BSL 1.1", "busl"), ("SSPL", "sspl"), ("OFL-1.1", "ofl"), ("WTFPL", "wtfpl"),
+    ("ODbL", "odbl"), ("0BSD", "bsd-0"), ("license: ISC", "isc"), ("under zlib", "zlib"), ("Artistic-2.0", "artistic"),
+    ("Creative Commons Attribution 4.0 International License", "cc-by"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc-sa"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl"),
+    ("http://creativecommons.org/licenses/by-nc/4.0/", "cc-by-nc"), ("GPL-2.0 with Classpath exception", "gpl-classpath"),
+    ("Wir fahren mit dem Bus, cc by mail, apache helicopter, zlib 1.2, FreeBSD 13", ""),
+])
+def test_license_short_names(line, labels):
+    got = license_scan.scan_text(line)
+    assert got["labels"] == labels and (got["score"] > 0) == bool(labels)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5], [7, 7, 7], np.sort(rng.integers(0, 1 << 40, 1000)), np.cumsum(rng.integers(0, 3, 5000))):
