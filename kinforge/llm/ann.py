@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by anisotropic product quantisation and four-bit table scans.
+"""Nearest neighbours by anisotropic product quantisation, four-bit table scans and exact reranking.
 
 Vectors are scaled to unit length, so the inner product is the cosine. A vector is cut into subspaces of
 ``width`` components, each coded by one of 16 centres (four bits, two codes a byte). Codes and centres minimise a
@@ -7,10 +7,13 @@ orthogonal part, by the factor eta = (d - 1) t^2 / (1 - t^2) for scores above t.
 alternating coordinate descent on a bounded sample (``fit_rows`` rows with the smallest hashes); every row is
 indexed.
 
-Codes are packed into blocks of ``block_rows`` rows and meet the queries in blocks of ``query_rows``; a task adds up
-256-entry tables (pairs of four-bit tables) for a query block over a code block and keeps the ``shortlist`` best of
-each query, ties to the smaller id. The shortlists of all blocks are merged and reranked with the exact cosine of
-the original vectors in double precision.
+Codes are packed with their vectors into blocks of at most ``block_rows`` rows and ``block_bytes`` bytes of vectors and
+meet the queries in blocks of ``query_rows``. A task adds up 256-entry tables (pairs of four-bit tables) for each query
+over a code block. From that score and the stored angle between a vector and its code follows the most the vector's
+cosine can be; every vector that can still reach the k-th best of the block is reranked with the exact cosine of the
+original vectors in double precision, ties to the smaller id. No shortlist of fixed size is cut: codes only say what
+need not be read, so equal codes are reranked whole, and the result is the exact one. The k best of all blocks are
+merged.
 
 Null vectors, zero vectors and those holding null or non-finite components take no part, nor do rows with a null
 id or another dimension than most usable rows of the sample have. A repeated id counts once, with its best score.
@@ -68,6 +71,15 @@ class Codebook:
                 break
         return codes.astype(np.uint8)
 
+    def angles(self, unit: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(row, 3): one over the length of each row's coded vector (0 if it has none), cosine and sine of the angle to it."""
+        x = self.pad(unit)
+        coded = self.centres[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+        length = np.sqrt((coded * coded).sum(1))
+        inverse = np.divide(1.0, length, out=np.zeros_like(length), where=length > 1e-6)
+        cosine = np.clip((coded * x).sum(1) * inverse, -1, 1)
+        return np.stack([inverse, cosine, np.sqrt(1 - cosine**2)], 1)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Four-bit tables (query, subspace, centre)."""
         q = self.pad(queries)
@@ -118,28 +130,42 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & some)
 
 
-def units(batch: pa.RecordBatch, name: str = "embedding", dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and unit vectors of the rows with ``dim`` components."""
+def raws(batch: pa.RecordBatch, name: str = "embedding", dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and vectors of the rows with ``dim`` components."""
     lists = batch.column(name)
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
     keep = np.flatnonzero(lengths == dim)
-    flat = lists.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).reshape(len(keep), dim)
-    flat = flat / np.abs(flat).max(1, keepdims=True) if len(keep) else flat  # no overflow in the squares
-    return keep, flat / np.sqrt((flat * flat).sum(1, keepdims=True)) if len(keep) else flat
+    return keep, lists.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False).reshape(len(keep), dim)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row divided by a power of two: no overflow in the squares, and cosines stay the same to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def to_unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def first_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best, ties to the smaller id, of each id the best one only."""
+    order = np.lexsort((ids, -score))
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
 
 
 def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    shortlist: int = 128,
     fit_rows: int = 6144,
     block_rows: int = 16384,
     query_rows: int = 512,
     width: int = 2,
     threshold: float = 0.2,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of every query (vec_id, embedding) but its own id."""
+    """query_id, rank, vec_id, score: the ``k`` nearest of every query (vec_id, embedding) but its own id."""
     spark = vectors.sparkSession
     base, asked = usable(vectors), usable(queries)
     hashed = F.xxhash64("vec_id", F.lit(17))
@@ -148,31 +174,33 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(v) for v in sample]
     dim = max(set(lengths), key=lambda d: (lengths.count(d), d))
-    fitted = np.array([v for v in sample if len(v) == dim])
-    fitted /= np.abs(fitted).max(1, keepdims=True)
-    fitted /= np.sqrt((fitted * fitted).sum(1, keepdims=True))
-    book = spark.sparkContext.broadcast(fit(fitted, width, threshold))
+    book = spark.sparkContext.broadcast(fit(to_unit(np.array([v for v in sample if len(v) == dim])), width, threshold))
+    # vectors stay in the blocks as they are given
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    full = max(1, min(block_rows, block_bytes // (dim * int(kind[2]))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes, held = [], [], 0
+        held, parts = 0, []
 
         def block() -> pa.RecordBatch:
-            packed = np.concatenate(codes)
-            packed = packed[:, 0::2] | packed[:, 1::2] << 4
-            cols = [pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["ids", "codes"])
+            ids, codes, angles, raw = (np.concatenate(c) for c in zip(*parts, strict=True))
+            packed = codes[:, 0::2] | codes[:, 1::2] << 4
+            cols = [pa.array([c.tobytes()], pa.binary()) for c in (ids.astype("<i8"), packed, angles.astype("<f4"), raw.astype(kind))]
+            return pa.RecordBatch.from_arrays(cols, ["ids", "codes", "angles", "raw"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                keep, unit = units(part, dim=dim)
+            step = min(2048, full)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                keep, raw = raws(part, dim=dim)
                 if len(keep):
-                    ids.append(part.column("vec_id").to_numpy()[keep])
-                    codes.append(book.value.encode(unit))
+                    unit = to_unit(raw)
+                    codes = book.value.encode(unit)
+                    parts.append((part.column("vec_id").to_numpy()[keep], codes, book.value.angles(unit, codes), raw))
                     held += len(keep)
-                if held >= block_rows:
+                if held >= full:
                     yield block()
-                    ids, codes, held = [], [], 0
+                    held, parts = 0, []
         if held:
             yield block()
 
@@ -180,70 +208,63 @@ def search(
         for batch in batches:
             for at in range(0, batch.num_rows, query_rows):
                 part = batch.slice(at, query_rows)
-                keep, unit = units(part, dim=dim)
+                keep, raw = raws(part, dim=dim)
                 if len(keep):
                     ids = part.column("vec_id").to_numpy()[keep]
-                    cols = [pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([unit.astype("<f8").tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["q_ids", "q_units"])
+                    cols = [pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([raw.astype("<f8").tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["q_ids", "q_raw"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("ids", "codes", "angles", "raw", "q_ids", "q_raw")
         for batch in batches:
-            for ids, codes, q_ids, q_units in zip(*(column(batch, c) for c in ("ids", "codes", "q_ids", "q_units")), strict=True):
+            for at in range(batch.num_rows):
+                ids, codes, angles, raw, q_ids, q_raw = (batch.column(c)[at].as_buffer() for c in names)
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                order = np.argsort(ids, kind="stable")  # a smaller position is a smaller id
-                ids = ids[order]
-                packed = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1)[order].T)
-                tables = book.value.tables(np.frombuffer(q_units, "<f8").reshape(len(q_ids), dim)).astype(np.float32)
-                pairs = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(q_ids), len(packed), 256)
+                packed = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
+                inverse, cosine, sine = np.ascontiguousarray(np.frombuffer(angles, "<f4").reshape(len(ids), 3).T)
+                v = scaled(np.frombuffer(raw, kind).astype("<f8").reshape(len(ids), dim))
+                lengths = np.sqrt((v * v).sum(1))
+                asks = scaled(np.frombuffer(q_raw, "<f8").reshape(len(q_ids), dim))
+                tables = book.value.tables(to_unit(asks)).astype(np.float32)
+                slack = np.float32(1e-6 * tables.shape[1])  # more than sums of single precision can be off
                 out_q, out_v, out_s = [], [], []
-                for q, own, table in zip(q_ids, range(len(q_ids)), pairs, strict=True):
-                    score = np.zeros(len(ids), np.float32)
-                    for row, codes_of in zip(table, packed, strict=True):
-                        score += row[codes_of]
-                    score[ids == q] = -np.inf
-                    if len(score) > shortlist:
-                        least = np.partition(score, len(score) - shortlist)[len(score) - shortlist]
-                        best = np.flatnonzero(score > least)
-                        best = np.concatenate((best, np.flatnonzero(score == least)[: shortlist - len(best)]))
-                    else:
-                        best = np.arange(len(score))
-                    best = best[score[best] > -np.inf]
-                    out_q.append(np.full(len(best), q))
-                    out_v.append(ids[best])
-                    out_s.append(score[best])
+                for q, ask_of, table in zip(q_ids, asks, tables, strict=True):
+                    pairs = (table[1::2, :, None] + table[0::2, None, :]).reshape(len(packed), 256)
+                    rough = np.zeros(len(ids), np.float32)
+                    for row, codes_of in zip(pairs, packed, strict=True):
+                        rough += row[codes_of]
+                    # the angle to a vector is at least that to its code less that between code and vector
+                    near = np.minimum((rough + slack) * inverse, 1)
+                    most = near * cosine + np.sqrt(np.maximum(1 - near * near, 0)) * sine + np.float32(1e-5)
+                    most[near >= cosine - np.float32(1e-5)] = 2
+                    most[inverse == 0] = 2
+                    most[ids == q] = -np.inf
+                    length = np.sqrt((ask_of * ask_of).sum())
+
+                    def exact(rows, ask_of=ask_of, length=length):
+                        return (ask_of * v[rows]).sum(1) / (length * lengths[rows])
+
+                    some = np.argpartition(most, -8 * k)[-8 * k :] if len(ids) > 8 * k else np.arange(len(ids))
+                    some = some[most[some] > -np.inf]
+                    score = exact(some)
+                    top = first_of(ids[some], score, k)
+                    least = score[top[-1]] if len(top) == k else -2.0
+                    rows = np.flatnonzero(most >= least - 1e-9)
+                    score = exact(rows)
+                    top = first_of(ids[rows], score, k)
+                    out_q.append(np.full(len(top), q))
+                    out_v.append(ids[rows[top]])
+                    out_s.append(score[top])
                 cols = [np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "rough"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
 
     rows = base.select("vec_id", "embedding")
-    code_blocks = written(rows.mapInArrow(encode, "ids binary, codes binary"), "ann-codes")
-    query_blocks = written(asked.mapInArrow(ask, "q_ids binary, q_units binary"), "ann-queries")
+    code_blocks = written(rows.mapInArrow(encode, "ids binary, codes binary, angles binary, raw binary"), "ann-codes")
+    query_blocks = written(asked.mapInArrow(ask, "q_ids binary, q_raw binary"), "ann-queries")
     # a stated set of queries against all rows, block by block
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = code_blocks.repartition(n).crossJoin(query_blocks)
-    rough = met.mapInArrow(scan, "query_id long, vec_id long, rough float")
-    short = rough.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rough").desc(), "vec_id")))
-    short = short.where(F.col("place") <= shortlist).select("query_id", "vec_id")
-    exact = short.join(base.withColumnRenamed("embedding", "v"), "vec_id").join(
-        asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id"
-    )
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                same = np.flatnonzero(
-                    (part.column("q").value_lengths().to_numpy(zero_copy_only=False) == dim)
-                    & (part.column("v").value_lengths().to_numpy(zero_copy_only=False) == dim)
-                )
-                part = part.take(pa.array(same))
-                if not part.num_rows:
-                    continue
-                q, v = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in ("q", "v"))
-                score = (q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
-                cols = [part.column("query_id"), part.column("vec_id"), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score"])
-
-    scored = exact.mapInArrow(rerank, "query_id long, vec_id long, score double")
+    scored = met.mapInArrow(scan, "query_id long, vec_id long, score double")
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

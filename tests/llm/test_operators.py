@@ -96,6 +96,27 @@ def test_anisotropic_search(spark):
     assert sorted(r["vec_id"] for r in ann.neighbours(few).collect()) == [1, 2]
 
 
+def test_search_is_exact_among_near_copies(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate((rng.normal(size=(400, 16)), rng.normal(size=16) + 1e-4 * rng.normal(size=(1000, 16)), 1e200 * rng.normal(size=(10, 16))))
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(1395, x[1300].tolist()), (1395, (-x[1300]).tolist())]  # a repeated id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.neighbours(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = np.array([r[1] for r in rows])
+    unit /= np.abs(unit).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    ids = np.array([r[0] for r in rows])
+    for q in range(0, len(x), 50):
+        best: dict = {}
+        for i, s in zip(ids, unit @ unit[q], strict=True):
+            best[i] = max(s, best.get(i, -2))
+        best.pop(q)
+        assert got[q] == sorted(best, key=lambda i: (-best[i], i))[:5]
+    assert len(got) == 29
+
+
 def test_wu_manber_equals_brute_force(spark):
     rng = random.Random(9)
     items = [(str(i), prose(rng, n, 12)) for i, n in enumerate([1, 2, 3, 5, 9, 10, 14, 30, 10])] + [("9", "w1x w2x"), ("9", "w1x w2x")]
