@@ -513,7 +513,9 @@ def multitrait(spark, sf_dir):
     g, y = _genomic(spark, sf_dir)
     two = np.column_stack([y, np.roll(y, 3) * 0.5 + y * 0.3])
     x, k = np.ones((len(y), 1)), G.tune(g, np.eye(len(g)))
-    out = V.multi_trait_em(two, x, k, rounds=50)
+    out = V.multi_trait_reml(two, x, k)
+    if not out["converged"]:
+        raise ArithmeticError(f"multi-trait variances not converged after {out['rounds']} rounds")
     _, u = V.multi_trait_solve(two, x, k, out["vg"], out["ve"])
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(u)], "idx long, trait1 double, trait2 double")
 

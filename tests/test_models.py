@@ -105,6 +105,48 @@ def test_variance_components():
     assert np.allclose(beta[:, 0], b1) and np.allclose(u[:, 0], sp["s2"][0] * g @ np.linalg.solve(v, y - x @ b1))
 
 
+def test_multi_trait_fit_is_finished():
+    rng = np.random.default_rng(3)
+    b = rng.normal(size=(120, 40))
+    g, x = b @ b.T / 40, np.ones((120, 1))
+    genetic = np.linalg.cholesky(g + 1e-9 * np.eye(120)) @ rng.normal(size=(120, 2)) @ np.array([[1.0, 0.3], [0, 1]])
+    inner, none = genetic + rng.normal(size=(120, 2)) * 0.5, rng.normal(size=(120, 2)) @ np.array([[1.0, 0.3], [0, 1]]) + 2
+
+    def likelihood(y, o):
+        values, e = V.projected(y, x, g)
+        v = values[:, None, None] * o["vg"] + o["ve"]
+        return -0.5 * (np.linalg.slogdet(v)[1].sum() + np.einsum("ni,nij,nj->", e, np.linalg.inv(v), e))
+
+    long = V.multi_trait_em(inner, x, g, tol=1e-9, rounds=20000)
+    fit = V.multi_trait_reml(inner, x, g)
+    assert long["converged"] and fit["converged"] and np.allclose(fit["vg"], long["vg"], atol=1e-3) and np.allclose(fit["ve"], long["ve"], atol=1e-3)
+    short = V.multi_trait_em(none, x, g, rounds=50)
+    assert not short["converged"]
+    fit, long = V.multi_trait_reml(none, x, g), V.multi_trait_em(none, x, g, rounds=20000)
+    assert fit["converged"] and likelihood(none, fit) >= likelihood(none, long) - 1e-9 > likelihood(none, short)
+    assert np.linalg.norm(fit["vg"] - long["vg"]) < 0.1 * np.linalg.norm(short["vg"] - long["vg"])
+
+
+def test_multitrait_query_runs_to_the_end(monkeypatch):
+    from kinforge import registry
+
+    rng = np.random.default_rng(8)
+    b, seen = rng.normal(size=(50, 25)), {}
+    g, y = b @ b.T / 25, rng.normal(size=50)
+
+    class Rows:
+        def createDataFrame(self, rows, schema):
+            return np.array(rows)[:, 1:]
+
+    solve = V.multi_trait_solve
+    monkeypatch.setattr(registry, "_genomic", lambda *_: (g, y))
+    monkeypatch.setattr(V, "multi_trait_solve", lambda *a: seen.update(vg=a[3], ve=a[4]) or solve(*a))
+    registry.multitrait(Rows(), "")
+    two, k = np.column_stack([y, np.roll(y, 3) * 0.5 + y * 0.3]), G.tune(g, np.eye(50))
+    long = V.multi_trait_em(two, np.ones((50, 1)), k, rounds=20000)
+    assert np.allclose(seen["vg"], long["vg"], atol=2e-2) and np.allclose(seen["ve"], long["ve"], atol=2e-2)
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "x.bed").write_bytes(GS.encode_bed(DOSAGE))
     (tmp_path / "x.pgen").write_bytes(GS.encode_pgen(DOSAGE))
