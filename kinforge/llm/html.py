@@ -3,8 +3,10 @@
 A page becomes blocks of text, each with the elements it stands in. Containers (article, main, section, div and
 the like) are scored by the words of their blocks, less those in links, and by tag and class. Each page votes for
 the generalised path (tags and classes, digits masked) of its best container with that score; votes are summed
-per host in Spark. The host's winning paths, best first, then decide which container a page's text comes from; a
-page that none of them fits, or without a host, uses its own best container.
+per host in Spark. The host's paths, best first, then decide which container a page's text comes from: the first that
+holds most words of the page's own best container, which itself stands among them by its votes. So a page keeps its text
+whatever templates its host has; a page without a host uses its own best container. A path that one page alone votes for
+counts for that page only.
 
 Inside the container, menus, headers, footers, asides, forms, scripts, styles, adverts, notices and comments are
 left out. Character references are decoded, white space within a block becomes one space, blocks are joined by
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm.common import column, pieces, written
@@ -53,10 +55,10 @@ NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "step", "outside", "firm", "n_words", "n_linked", "n_blocks")
+    __slots__ = ("tag", "names", "parent", "step", "outside", "firm", "way", "n_words", "n_linked", "n_blocks")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+        self.tag, self.parent, self.way = tag, parent, None
         self.n_words = self.n_linked = self.n_blocks = 0
         classes, names, hidden = "", frozenset(), False
         if attrs and "=" in attrs:
@@ -90,12 +92,15 @@ class Node:
         return False
 
     def path(self) -> str:
+        if self.way is not None:
+            return self.way
         steps, node = [], self
         while node is not None:
             if node.tag in CONTAINER or node.tag in ("html", "body"):
                 steps.append(node.step)
             node = node.parent
-        return ">".join(reversed(steps))
+        self.way = ">".join(reversed(steps))
+        return self.way
 
     def chain(self) -> Iterator[Node]:
         node: Node | None = self
@@ -237,18 +242,33 @@ def vote(html: str | None) -> tuple[str, float] | None:
     return path, scores[path]
 
 
-def extract(html: str | None, paths: list[str]) -> str:
-    """Text of the blocks in containers of the first of ``paths`` that the page has, else of its own best one."""
+def extract(html: str | None, paths: list[str], votes: list[float] | None = None) -> str:
+    """Text of the blocks in containers of the first of ``paths`` that holds most words of the page's own best one.
+
+    ``votes`` are the scores of the paths, best first: from where they are below the page's own, its own comes first.
+    """
     blocks = blocks_of(html) if html else []
     if not blocks:
         return ""
+    scores = containers(blocks)
+    if not scores:
+        return "\n".join(text for text, _ in blocks)
     own = [{up.path() for up in node.chain() if up.tag in CONTAINER} for _, node in blocks]
-    have = set().union(*own)
-    path = next((p for p in paths if p in have), None)
-    if path is None:
-        scores = containers(blocks)
-        path = max(scores, key=lambda p: (scores[p], p)) if scores else None
-    return "\n".join(text for (text, _), inside in zip(blocks, own, strict=True) if path is None or path in inside)
+    best = max(scores, key=lambda p: (scores[p], p))
+    held: dict[str, int] = {}
+    for (text, _), inside in zip(blocks, own, strict=True):
+        if best in inside:
+            n = text.count(" ") + 1
+            for p in inside:
+                held[p] = held.get(p, 0) + n
+    path = best
+    for at, p in enumerate(paths):
+        if votes and votes[at] < scores[best]:
+            break
+        if 2 * held.get(p, 0) > held[best]:
+            path = p
+            break
+    return "\n".join(text for (text, _), inside in zip(blocks, own, strict=True) if path in inside)
 
 
 def host_of(url: Column) -> Column:
@@ -256,12 +276,8 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-#: Paths kept a host, best first.
-PATHS = 5
-
-
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the winning container paths of each host, votes summed over all its pages."""
+    """(host, paths, votes): the container paths that several pages of a host vote for, votes summed over all its pages."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], list[float]] = {}
@@ -281,11 +297,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, ["host", "path", "score", "pages"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null and html is not null")
-    sums = rows.mapInArrow(votes, "host string, path string, score double, pages long").groupBy("host", "path").agg(F.round(F.sum("score"), 3).alias("score"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.col("score").desc(), "path"))
-    best = sums.withColumn("place", place).where(F.col("place") <= PATHS)
-    ranked = F.array_sort(F.collect_list(F.struct("place", "path")))
-    return best.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
+    sums = rows.mapInArrow(votes, "host string, path string, score double, pages long").groupBy("host", "path")
+    sums = sums.agg(F.round(F.sum("score"), 3).alias("score"), F.sum("pages").alias("pages")).where("pages > 1")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "path")))
+    return sums.groupBy("host").agg(ranked.alias("ranked")).select("host", F.transform("ranked", lambda x: x["path"]).alias("paths"), F.transform("ranked", lambda x: -x["less"]).alias("votes"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -299,9 +314,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = [extract(h, p or []) for h, p in zip(column(batch, "html"), column(batch, "paths"), strict=True)]
+            texts = [extract(h, p or [], v) for h, p, v in zip(*(column(batch, c) for c in ("html", "paths", "votes")), strict=True)]
             cols = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "paths").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "paths", "votes").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")

@@ -162,6 +162,19 @@ def test_html_text(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_text_of_hosts_with_many_templates(spark):
+    long, short = "word " * 60, "teaser"
+    page = lambda body: f"<html><body>{body}</body></html>"
+    rows = [page(f"<div><p>{long}{i}</p></div>") for i in range(30)]  # the host's commonest path is html>body>div
+    rows += [page(f"<div>{short}</div><article><p>{long}x{i}</p></article>") for i in range(3)]
+    for kind in range(8):  # more templates than there were places
+        rows += [page(f'<div>{short}</div><section class="t{"abcdefgh"[kind]}"><p>{long}y{i}</p></section>') for i in range(2)]
+    rows += [page(f'<div>{short}</div><div class="only"><p>{long}z</p></div>')]
+    pages = spark.createDataFrame([(i, "http://h.example/", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    for r in html.extract_pages(pages).collect():
+        assert r["text"].count("word") == 60 and short not in r["text"]
+
+
 def test_katz_sums_to_one_and_scores(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40, 30), "en", "s") for i in range(200)] + [(1000, None, None, None), (1001, "", None, None), (None, "new words here", None, None), (7, rows7 := "w1x  w2x", "en", "s"), (7, rows7, "en", "s")]
