@@ -12,6 +12,9 @@ Inside the container, menus, headers, footers, asides, forms, scripts, styles, a
 left out. Character references are decoded, white space within a block becomes one space, blocks are joined by
 one line feed.
 
+Class names are only guesses: where they and hidden elements leave nothing of a page, the text of its articles is read
+without them.
+
 Null or empty html, and pages without text, give an empty text. Repeated rows are pages of their own; extra
 columns are ignored.
 """
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from kinforge.llm.common import column, pieces, written
 
 # Elements by role.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg annotation annotation-xml".split())
+#: Those that may close themselves, and without an end leave the rest of the page alone.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("article main section div td body center".split())
 BLOCK = CONTAINER | frozenset(
@@ -39,48 +44,49 @@ BLOCK = CONTAINER | frozenset(
 OUTSIDE = frozenset("nav footer aside form button select option head menu dialog search header script style noscript template iframe".split())
 CLOSES_P = BLOCK - frozenset("option legend summary caption figcaption".split())
 # Words in class, id and role of elements that are not the text; doubtful ones only without a wanted one.
-REPLIES = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
-UNWANTED = REPLIES | frozenset(
+REPLIES = re.compile(r"(?:comments?|disqus|repl(?:y|ies)|respond|discussions?)(?:[-_]*(?:lists?|area|section|thread|respond|form|body|content|text|meta|author|item|wrap|wrapper|container|box|block|inner))?(?:[-_]*\d+)?")
+UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored outbrain taboola "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc sidebar aside related recommended recirc trending "
     "sharing masthead topbar footer bottombar copyright notice notices cookie cookies consent gdpr popup modal overlay "
     "newsletter subscribe signup login paywall".split()
 )
-DOUBTFUL = frozenset("header rail widget widgets popular share social follow legal alert form search skip print hidden".split())
+DOUBTFUL = frozenset("header rail widget widgets popular share social follow legal alert form search skip print".split())
 WANTED = frozenset("article content main post entry story body text page maincontent".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`]+))")
+ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`]+)))?")
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Node:
     __slots__ = ("tag", "names", "parent", "step", "outside", "firm", "way", "n_words", "n_linked", "n_blocks")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
+    def __init__(self, tag: str, attrs: str, parent: Node | None, by_name: bool = True):
         self.tag, self.parent, self.way = tag, parent, None
         self.n_words = self.n_linked = self.n_blocks = 0
-        classes, names, hidden = "", frozenset(), False
-        if attrs and "=" in attrs:
+        classes, names, hidden, replies = "", frozenset(), False, False
+        if attrs and not attrs.isspace():
             for key, a, b, c in ATTR.findall(attrs):
                 key, value = key.lower(), (a or b or c).lower()
                 if key == "class":
                     classes = value
                 if key in ("class", "id", "role", "aria-label"):
                     names |= frozenset(NAME.findall(value))
-                hidden |= key == "style" and "display:none" in value.replace(" ", "") or key == "aria-hidden" and value == "true"
-        hidden |= bool(attrs) and bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs))
+                    replies |= any(map(REPLIES.fullmatch, value.split()))
+                hidden |= key == "hidden" or key == "style" and "display:none" in value.replace(" ", "") or key == "aria-hidden" and value == "true"
         self.names = names
         own = "" if not classes else "." + ".".join(sorted({re.sub(r"\d+", "#", c) for c in classes.split()}))
         self.step = tag + own
         in_text = parent is not None and parent.inside("article", "main")
-        by_tag = tag in OUTSIDE and not (tag == "header" and in_text) or hidden
+        whole = tag in ("body", "html", "article", "main")
+        by_tag = tag in OUTSIDE and not (tag == "header" and in_text) or by_name and hidden and tag not in ("body", "html")
         # what readers say, and roles by tag, are never the text; class names may also sit on wrappers of it
-        self.firm = by_tag or bool(names & REPLIES) and tag not in ("body", "html") or (parent.firm if parent else False)
-        if tag in ("body", "html", "article", "main"):
+        self.firm = by_tag or by_name and replies and not whole or (parent.firm if parent else False)
+        if whole:
             self.outside = self.firm
         else:
-            named = bool(names & UNWANTED) or bool(names & DOUBTFUL) and not names & WANTED
+            named = by_name and (bool(names & UNWANTED) or bool(names & DOUBTFUL) and not names & WANTED)
             self.outside = self.firm or named or (parent.outside if parent else False)
 
     def inside(self, *tags: str) -> bool:
@@ -110,10 +116,25 @@ class Node:
 
 
 def blocks_of(html: str) -> list[tuple[str, Node]]:
-    """Blocks of text outside menus and the like, each with the innermost block element around it."""
+    """Blocks of text outside menus and the like, each with the innermost block element around it; if names and
+    hidden elements leave none, those of the page's articles whatever they are named."""
+    if (blocks := read_blocks(html)) or not ("<article" in (low := html.lower()) or "<main" in low):
+        return blocks
+    blocks = [(text, node) for text, node in read_blocks(html, False) if node.inside("article", "main")]
+    counted: set[int] = set()
+    for _, node in blocks:  # words outside the articles count for nothing
+        for up in node.chain():
+            if id(up) not in counted:
+                counted.add(id(up))
+                if not up.inside("article", "main"):
+                    up.n_words = up.n_linked = 0
+    return blocks
+
+
+def read_blocks(html: str, by_name: bool = True) -> list[tuple[str, Node]]:
     root = Node("html", "", None)
     node, link, out, text, words = root, 0, [], [], [0, 0]
-    at, low = 0, None
+    at, low, endless = 0, None, set()
 
     def flush() -> None:
         if text:
@@ -168,8 +189,13 @@ def blocks_of(html: str) -> list[tuple[str, Node]]:
                         break
             continue
         if tag in RAW:
+            if tag in FOREIGN and (m["attrs"].endswith("/") or tag in endless):
+                continue
             low = low or html.lower()
             end = low.find(f"</{tag}", at)
+            if end < 0 and tag in FOREIGN:
+                endless.add(tag)
+                continue
             close = html.find(">", end) if end >= 0 else -1
             at = len(html) if close < 0 else close + 1
             continue
@@ -182,7 +208,7 @@ def blocks_of(html: str) -> list[tuple[str, Node]]:
             if tag == "body" and node.inside("body"):
                 continue
             if tag == "body":
-                node = Node("body", m["attrs"], root)
+                node = Node("body", m["attrs"], root, by_name)
         elif tag in BLOCK or tag == "button" or tag == "select":
             flush()
             if tag in CLOSES_P:
@@ -207,7 +233,7 @@ def blocks_of(html: str) -> list[tuple[str, Node]]:
                 continue
             if node.tag == "head":
                 node = Node("body", "", root)
-            node = Node(tag, m["attrs"], node)
+            node = Node(tag, m["attrs"], node, by_name)
     say(html[at:])
     flush()
     return out

@@ -175,6 +175,24 @@ def test_html_text_of_hosts_with_many_templates(spark):
         assert r["text"].count("word") == 60 and short not in r["text"]
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    ("<article class='post comments-open'><p>kept text</p></article>", "kept text"),
+    ("<article id='discussion-42'><p>kept text</p></article>", "kept text"),
+    ("<div class='post comments-open'><p>kept text</p></div>", "kept text"),
+    ("<div title='the hidden cost'><p>kept text</p></div>", "kept text"),
+    ("<div class='x hidden md:block'><p>kept text</p></div>", "kept text"),
+    ("<p>seen</p><div hidden><p>gone</p></div><div hidden=''>gone</div><div id=a hidden>gone</div>", "seen"),
+    ("<p>a</p><svg width='1'/><p>b</p><svg><text>no</text></svg><p>c</p><svg><p>d</p>", "a\nb\nc\nd"),
+    ("<p>a <math/> b <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> c</p>", "a b x=2 c"),
+    ("<div class='paywall'>Pay</div><article hidden><p>whole text</p></article>", "whole text"),
+    ("<article style='display:none'><div class='sidebar'><p>whole text</p></div></article><nav>menu</nav>", "whole text"),
+    ("<article><p>text here</p><div id='comments'><p>said</p></div><ol class='comment-list'><li class='comment' id='comment-7'><article><p>said</p></article></li></ol><div id='respond'>say</div></article>", "text here"),
+    ("<div class='cookie-notice'>We use cookies</div>", ""),
+])
+def test_html_names_do_not_take_articles(body, want):
+    assert html.extract(f"<html><body>{body}</body></html>", []) == want
+
+
 def test_katz_sums_to_one_and_scores(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40, 30), "en", "s") for i in range(200)] + [(1000, None, None, None), (1001, "", None, None), (None, "new words here", None, None), (7, rows7 := "w1x  w2x", "en", "s"), (7, rows7, "en", "s")]
