@@ -181,16 +181,12 @@ def id_list(source: DataFrame) -> DataFrame:
 
 def variances(source: DataFrame) -> tuple[float, float]:
     """(genetic, residual) variances of a key-value file."""
-    u = e = 0.0
-    got = False
-    for row in source.orderBy("line").limit(1000).collect():
-        f = row["text"].split()
-        if len(f) < 2 or f[0].lower() in ("item", "var", "component"):
-            continue
-        if f[0].lower() in ("e", "error", "residual"):
-            e = float(f[1])
-        elif not got:
-            u, got = float(f[1]), True
+    f = F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")
+    rows = source.select("line", F.lower(f[0]).alias("key"), F.get(f, F.lit(1)).try_cast("double").alias("v"))
+    rows = rows.where("v is not null and key not in ('item', 'var', 'component')")
+    rest = F.col("key").isin("e", "error", "residual")
+    # the first other row and the last residual one
+    u, e = (v or 0.0 for v in rows.agg(F.min_by("v", F.when(~rest, F.col("line"))), F.max_by("v", F.when(rest, F.col("line")))).first())
     if u == 0 and e == 0:
         raise ValueError("no variances")
     return u, e

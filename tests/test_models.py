@@ -200,6 +200,14 @@ def test_summary_statistics_and_phenotypes(spark):
     assert [r["why"] for r in p] == [None, "trait", "missing f", "short row"]
 
 
+def test_variances_of_a_long_file(spark):
+    text = "Item Var\n u 0.4\n" + "pe 0.1\n\n" * 800 + "note x\nE 0.5\nresidual\t0.6"
+    assert T.variances(lines(spark, text)) == (0.4, 0.6)
+    assert T.variances(lines(spark, "e 0.3")) == (0.0, 0.3)
+    with pytest.raises(ValueError):
+        T.variances(lines(spark, "item var\nu"))
+
+
 def test_stream_equals_batch(spark, geno, tmp_path):
     from kinforge.streaming.additive import streaming_counts
 
