@@ -540,7 +540,7 @@ def sblup(spark, sf_dir):
     g = L.genotypes(spark, sf_dir)
     n, m = L.table(spark, sf_dir, "supplier").count(), L.table(spark, sf_dir, "part").count()
     beta = G.aligned_effects(L.variants(spark, sf_dir), L.effects(spark, sf_dir))
-    return G.block_shrinkage(G.standardised(g), beta, n, m, 0.3, 200)
+    return G.block_shrinkage(G.standardised(g), beta, n, m, 0.3)
 
 
 @query()

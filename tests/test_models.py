@@ -82,6 +82,25 @@ def test_summary_blup(spark, geno):
     assert np.allclose([r["score"] for r in s.collect()], [0.093340, 0.062238, 0.153350, 0.069482, 0.128230, 0.081652], atol=1e-5)
 
 
+def test_summary_blup_query_uses_blocks_of_1000(spark, tmp_path):
+    from kinforge import lenses as L
+    from kinforge import registry
+
+    spark.createDataFrame([(i,) for i in range(12)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    parts = [(i, f"p{i}", i % 5, 900.0 + i % 37) for i in range(1100)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    x = L.genotypes(spark, str(tmp_path)).toPandas().pivot(index="sample", columns="snp", values="dosage")
+    z = ((x - x.mean()) / (((x - x.mean()) ** 2).sum() / 12) ** 0.5).fillna(0)
+    beta = {r["snp"]: r["beta"] for r in G.aligned_effects(L.variants(spark, str(tmp_path)), L.effects(spark, str(tmp_path))).collect()}
+    want = {}
+    for own in (range(1000), range(1000, 1100)):
+        names = [s for s in own if s in beta and np.isfinite(z[s]).all() and z[s].any()]
+        r = z[names].to_numpy().T @ z[names].to_numpy() / 12 + 1100 * 0.7 / 0.3 / 12 * np.eye(len(names))
+        want |= dict(zip(names, np.linalg.solve(r, [beta[s] for s in names]), strict=True))
+    got = {r["snp"]: r["effect"] for r in registry.sblup(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[s] for s in want], list(want.values()))
+
+
 def test_exact_tests():
     assert hwe_exact(1, 2, 3) == pytest.approx(1)
     assert hwe_exact(5, 0, 5) == pytest.approx(0.001364, abs=1e-6)
