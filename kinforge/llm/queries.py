@@ -25,7 +25,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(documents(spark, sf_dir))
+    return lm.score(documents(spark, sf_dir), order=3)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

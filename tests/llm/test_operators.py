@@ -232,6 +232,35 @@ def test_katz_sums_to_one_and_scores(spark):
     assert lm.score(docs.limit(0), shards=2).count() == 0
 
 
+def test_katz_of_order_three(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30, 12), "en", "s") for i in range(120)] + [(900, None, None, None), (901, "", None, None), (None, "new words w1x", None, None), (7, "w1x w2x", "en", "s")]
+    grams: list[dict] = [{}, {}, {}]  # context -> word -> count
+    n, texts = 0, [(zlib.crc32(str(i if i is not None else "").encode()) % 10 == 0, [None, None, *tokens_of(t), 0]) for i, t, *_ in rows]
+    for held, w in texts:
+        for j in range(2, len(w) if not held else 0):
+            n += 1
+            for k in range(3):
+                own = grams[k].setdefault(tuple(w[j - k : j]), {})
+                own[w[j]] = own.get(w[j], 0) + 1
+    of = lambda k: [c for x in grams[k].values() for c in x.values()]
+    counts = lambda k: np.array([sum(v == r for v in of(k)) for r in range(1, lm.CUT + 2)])
+    base = lm.Unigrams(np.array([n, len(grams[0][()]), *counts(0)]))
+    d = [None, lm.discounts(counts(1)), lm.discounts(counts(2))]
+
+    def p(w, h):
+        if not h:
+            return float(base.p(np.array([grams[0][()].get(w, 0)]))[0])
+        seen, own = grams[len(h)].get(h, {}), d[len(h)]
+        types = np.array([[sum(c == r for c in seen.values()) for r in range(1, lm.CUT + 1)]], float)
+        scale, alpha = lm.backoff(np.array([sum(seen.values())]), types, np.array([sum(p(x, h[1:]) for x in seen)]), own)
+        return float(lm.discounted(np.array([seen[w]]), own)[0] * scale[0]) if w in seen else float(alpha[0]) * p(w, h[1:])
+
+    assert sum(p(w, (b"w1x", b"w2x")) for w in grams[0][()]) + p(b"never", (b"w1x", b"w2x")) == pytest.approx(1)
+    want = sorted(sum(np.log10(p(w[j], tuple(w[j - 2 : j]))) for j in range(2, len(w))) for _, w in texts)
+    assert np.allclose(sorted(r["score"] for r in lm.score(docs_of(spark, rows), shards=3, order=3).collect()), want, atol=1e-6)
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     alphabets = {"aa": "abcde ", "bb": "defgh ", "cc": "жзийк "}
