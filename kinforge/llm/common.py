@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,11 +61,12 @@ class WordHasher:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local one only in local sessions without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints/kinforge"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return root.rstrip("/")
 
 
@@ -79,31 +80,48 @@ _SCRATCH: list[list[str]] = []
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written within go when the block ends, unless written to stay: what follows must not read them."""
+    """Tables written within go when the block ends, unless written to stay (until a block around it ends): what
+    follows must not read them."""
     _SCRATCH.append(paths := [])
     try:
         yield
     finally:
         _SCRATCH.remove(paths)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """The rows, written once as a table in the shared folder and read from there: lineage ends here."""
     path = shared_path(df.sparkSession, name)
-    if _SCRATCH and not stays:
-        _SCRATCH[-1].append(path)
+    if len(_SCRATCH) > stays:
+        _SCRATCH[-1 - stays].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ids_repeat(docs: DataFrame) -> bool:
-    """Whether any doc_id (null too) stands in more than one row; reads that column only."""
-    ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    return ids[0] != ids[1]
+def unused(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def hashable(df: DataFrame, *names: str) -> list[Column]:
+    """The columns in a form that Spark's hashes take: maps as text."""
+    return [F.to_json(df[c]) if "map<" in df.schema[c].dataType.simpleString() else df[c] for c in names]
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def open_fs(url: str):

@@ -6,16 +6,21 @@ none, is one run. Texts with equal sets are one node with a number of copies; al
 1. Signatures: ``rows`` x ``bands`` minimum hashes, chosen so that a pair at the threshold shares a band with the
    target probability. Nodes meet by shuffling on band hashes.
 2. Buckets of up to ``hot`` nodes yield candidate pairs; pairs whose whole signatures agree too little are
-   dropped (6 standard deviations below the threshold). Larger buckets yield one edge a node, to their smallest.
+   dropped (6 standard deviations below the threshold: a pair at the threshold goes with a probability below 2e-7,
+   by Chernoff's bound for 304 hashes, next to the 1e-3 of the bands). Larger buckets yield one edge a node, to their
+   smallest.
 3. Connected components of these edges bring together whatever may be similar. A component's nodes are dealt into
-   blocks of about ``block`` nodes and every pair of blocks is one unit of work: each node's set is shuffled once
-   for each block of its component (once, in nearly all), and all pairs are verified on the full sets there.
-   A unit returns a count of links for each node and a spanning star for each group, never the pairs.
+   blocks of about ``block`` nodes with sets of like size, and every pair of blocks whose sizes allow a link is one
+   unit of work. There all pairs are verified on the full sets: those that share none of the rarest n-grams that a
+   linked pair must share (prefix filter) at once, the others by counting. A unit returns a count of links for each
+   node and a spanning star for each group, never the pairs.
 4. Components of the verified links are the classes.
 
-Null texts and texts without words are classes of their own, without links. The class is named by the smallest
-doc_id of its members. Null ids are ordinary (they never name a class that has another id); rows that repeat a
-document are copies of it. Extra columns are ignored.
+A row is known by its doc_id and a hash of its text. Null texts and texts without words are classes of their own,
+without links. The class is named by the smallest doc_id of its members. Null ids are ordinary (they never name a
+class that has another id); rows that repeat a document are copies of it, and of rows with one id but different texts
+each is a document of its own. Texts of any length are read whole. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import WordHasher, column, ids_repeat, mix64, pieces, scratch, words_of, written
+from kinforge.llm.common import WordHasher, column, mix64, pieces, scratch, unused, words_of, written
 from kinforge.llm.components import components
 
 BLOCK, HOT = 256, 64
+#: Keys with more rows than one in so many of all are joined by a broadcast: there can't be more such keys than this.
+HEAVY = 10_000
+#: Blocks of a class of sizes.
+SUB = 1 << 32
 
 
 def banding(threshold: float, recall: float = 0.999, most_bands: int = 40) -> tuple[int, int]:
@@ -86,17 +95,24 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, signer = WordHasher(), Signer(bands, rows)
         for batch in pieces(batches):
-            keys, hashes, signatures = [], [], []
+            keys, hashes, signatures, sizes = [], [], [], []
             for text in column(batch, "text"):
                 grams = shingles(words_of(text), size, hasher)
                 band, signature = signer(grams) if len(grams) else (None, None)
                 keys.append(set_key(grams) if len(grams) else None)
                 hashes.append(band)
                 signatures.append(signature)
-            cols = [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "bands", "signature"])
+                sizes.append(len(grams))
+            cols = [batch.column("doc_id"), batch.column("mark"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "key", "bands", "signature", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, key binary, bands array<long>, signature binary")
+    schema = f"doc_id {kind}, mark long, key binary, bands array<long>, signature binary, n long"
+    return _marked(docs).mapInArrow(sign, schema)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): id and mark tell rows apart, but for those that repeat a document."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
 def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -128,20 +144,36 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def linked(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
-    """Matrix (first x second) of the pairs whose Jaccard similarity reaches the threshold, on full sets."""
+    """Matrix (first x second) of the pairs whose Jaccard similarity reaches the threshold, on full sets.
+
+    Linked sets share at least ``threshold`` of either one's n-grams, so of each one's n-grams in order of rarity the
+    first (1 - threshold) and one more must have one in common; only such pairs are counted in full.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mark = np.zeros(int(ids.max()) + 1, np.int32)
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, np.repeat(np.arange(len(sets)), sizes)))]
+    begins = np.cumsum(sizes) - sizes
+    heads = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    mark = np.zeros(len(often), np.int32)
     flat = np.concatenate([ids[begins[j] : begins[j] + sizes[j]] for j in second])
-    starts = np.concatenate(([0], np.cumsum(sizes[second])[:-1]))
+    starts = np.cumsum(sizes[second]) - sizes[second]
+    front = np.concatenate([ids[begins[j] : begins[j] + heads[j]] for j in second])
+    front_starts = np.cumsum(heads[second]) - heads[second]
     out = np.zeros((len(first), len(second)), bool)
     for row, i in enumerate(first):
         own = ids[begins[i] : begins[i] + sizes[i]]
+        mark[own[: heads[i]]] = 1
+        near = np.flatnonzero(np.add.reduceat(mark[front], front_starts))
         mark[own] = 1
-        common = np.add.reduceat(mark[flat], starts)
+        if 2 * len(near) > len(second):
+            common = np.add.reduceat(mark[flat], starts)[near]
+        else:
+            common = np.array([np.count_nonzero(mark[flat[starts[j] : starts[j] + sizes[second[j]]]]) for j in near], np.int64)
         mark[own] = 0
-        out[row] = common >= threshold * (sizes[i] + sizes[second] - common) - 1e-9
+        out[row, near] = common >= threshold * (sizes[i] + sizes[second[near]] - common) - 1e-9
     return out
 
 
@@ -189,61 +221,113 @@ def _verify(units: DataFrame, threshold: float) -> DataFrame:
     return units.groupBy("bin", "low", "high").applyInArrow(verify, "key binary, links long, other binary")
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), n_links (other rows whose
-    similarity reaches the threshold)."""
-    bands, rows = banding(threshold, recall)
-    signed = written(_signatures(docs, size, bands, rows), "near-signatures")
-    nodes = signed.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
-    )
-    nodes = written(nodes, "near-nodes")
-    groups = components(_candidates(nodes, threshold), "near-candidates")
-    groups = written(groups, "near-groups")
-    whole = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+def _units(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Sets of the nodes in groups, once for each unit (bin, low, high) of two blocks that they belong to.
+
+    A group of several blocks is dealt by classes of set size: linked sets are of one class or of neighbouring ones.
+    """
+    step = -math.log(threshold) * (1 + 1e-9)
+    of = nodes.select(F.col("key").alias("node"), "rep", "copies", F.floor(F.log("n") / step).cast("long").alias("sizes"))
+    placed = groups.join(of, "node")
+    whole = placed.groupBy("root", "sizes").agg(F.count(F.lit(1)).alias("n"))
+    by_root = Window.partitionBy("root")
+    whole = whole.withColumn("small", F.sum("n").over(by_root) <= BLOCK)
+    whole = whole.withColumn("blocks", F.when(F.col("small"), 1).otherwise(F.ceil(F.col("n") / BLOCK)))
+    up, down = (f("blocks").over(by_root.orderBy("sizes")) for f in (F.lead, F.lag))
+    up_at, down_at = (f("sizes").over(by_root.orderBy("sizes")) for f in (F.lead, F.lag))
+    beside = lambda n, at, by: F.when(~F.col("small") & (at == F.col("sizes") + by), n).otherwise(0)
+    whole = whole.withColumn("up", beside(up, up_at, 1)).withColumn("down", beside(down, down_at, -1)).drop("n")
     bins = max(1, groups.count() // BLOCK)
     placed = (
-        groups.join(whole, "root")
-        .join(nodes.select(F.col("key").alias("node"), "rep", "copies"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root")))
+        placed.join(whole, ["root", "sizes"])
+        .withColumn("sizes", F.when(F.col("small"), 0).otherwise(F.col("sizes")))
+        .withColumn("block", F.col("sizes") * SUB + F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("bin", F.when(F.col("small"), F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root")))
     )
-    rows_of = docs.select("doc_id", "text").join(placed, F.col("doc_id").eqNullSafe(F.col("rep")))
+    blocks = lambda n, by: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda k: (F.col("sizes") + by) * SUB + k)).otherwise(F.array().cast("array<long>"))
+    placed = placed.withColumn("with", F.concat(blocks("blocks", 0), blocks("up", 1), blocks("down", -1)))
+    placed = placed.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"), "node", "root", "bin", "with", "block", "copies")
+    rows_of = _marked(docs).join(placed, F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("mark").eqNullSafe(F.col("rep_mark")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for batch in pieces(batches):
             grams = [shingles(words_of(t), size, hasher) for t in column(batch, "text")]
-            keep = pa.array([set_key(g) == k for g, k in zip(grams, column(batch, "node"), strict=True)], pa.bool_())
-            cols = [batch.column("node"), pa.array([g.tobytes() for g in grams], pa.binary()), *(batch.column(c) for c in ("root", "bin", "blocks", "block", "copies"))]
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], ["key", "grams", "root", "bin", "blocks", "block", "copies"])
-
-    sets = rows_of.select("text", "node", "root", "bin", "blocks", "block", "copies").mapInArrow(
-        cut, "key binary, grams binary, root binary, bin long, blocks long, block long, copies long"
+            keep = []
+            for g, k in zip(grams, column(batch, "node"), strict=True):  # rows that repeat a document count once
+                keep.append(k not in seen and set_key(g) == k)
+                seen.add(k)
+            keep = pa.array(keep, pa.bool_())
+            names = ["root", "bin", "with", "block", "copies"]
+            cols = [batch.column("node"), pa.array([g.tobytes() for g in grams], pa.binary()), *(batch.column(c) for c in names)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], ["key", "grams", *names])
+
+    sets = rows_of.select("text", "node", "root", "bin", "with", "block", "copies").mapInArrow(
+        cut, "key binary, grams binary, root binary, bin long, with array<long>, block long, copies long"
     )
-    units = sets.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with", "blocks")
-    found = written(_verify(units, threshold), "near-links")
+    units = sets.withColumn("with", F.explode("with"))
+    return units.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with")
+
+
+def _classes(docs: DataFrame, size: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, mark, key), (keys: key, first: the row that names its class, copies, n_links)."""
+    bands, rows = banding(threshold, recall)
+    signed = written(_signatures(docs, size, bands, rows), "near-signatures")
+    nodes = signed.where("key is not null").groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep"),
+        F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n").alias("n"),
+    )
+    nodes = written(nodes, "near-nodes")
+    groups = written(components(_candidates(nodes, threshold), "near-candidates"), "near-groups")
+    found = written(_verify(_units(docs, nodes, groups, size, threshold), threshold), "near-links")
     links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), "near-classes")
     named = nodes.select("key", "rep").join(classes.withColumnRenamed("node", "key"), "key")
-    names = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    names = named.groupBy("root").agg(F.min("rep").alias("first"))
     about = (
         nodes.select("key", "rep", "copies")
         .join(links, "key", "left")
-        .join(named.select("key", "root").join(names, "root").select("key", "class_id"), "key", "left")
-        .select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    return signed.select("doc_id", "key").join(about, "key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        .join(named.select("key", "root").join(names, "root").select("key", "first"), "key", "left")
+        .select("key", F.coalesce("first", "rep").alias("first"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     )
+    return signed.select("doc_id", "mark", "key"), written(about, "near-about")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents that name their class, with all their columns; of rows that repeat one, one stays."""
+def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), n_links (other rows whose
+    similarity reaches the threshold).
+
+    Keys that many rows share are joined by a broadcast, of at most ``HEAVY`` keys whatever the input; the others by
+    a shuffle, in which no key has more than one in ``HEAVY`` of all rows (or 64).
+    """
+    with scratch(docs.sparkSession):
+        rows, about = _classes(docs, size, threshold, recall)
+        about = about.select("key", F.col("first.doc_id").alias("class_id"), "copies", "n_links")
+        bound = max(64, rows.count() // HEAVY)
+        heavy = about.where(F.col("copies") > bound)
+        # its size is bounded: copies add up to the rows, so at most HEAVY keys are above the bound
+        shared = rows.join(F.broadcast(heavy), "key")
+        rest = rows.join(F.broadcast(heavy.select("key")), "key", "left_anti").where("key is not null").join(about, "key")
+        alone = rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        out = shared.select("doc_id", "class_id", "n_links").union(rest.select("doc_id", "class_id", "n_links")).union(alone)
+        return written(out, "near-classes", stays=True)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """One row of each class, with all its columns: the one with the smallest doc_id (null only if all are), and
+    of those the smallest hash of the text; of rows that repeat it, any one. Rows without words all stay."""
+    id_, mark, n = (unused(c, docs) for c in ("kept_id", "kept_mark", "kept_n"))
     with scratch(docs.sparkSession):
-        classes = jaccard_join(docs, size, threshold)
-        named = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+        rows, about = _classes(docs, size, threshold, recall)
+        first = about.select("first.doc_id", "first.mark").distinct()
+        often = rows.where("key is not null").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("i", "m", "n")
+        named = first.join(often, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m")), "left")
+        named = named.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.coalesce("n", F.lit(1)).alias(n))
         named = written(named, "near-kept", stays=True)
-    kept = docs.join(named.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if ids_repeat(docs) else kept
+    words = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(mark))
+    kept = docs.where(~words).union(docs.where(words).join(named.where(F.col(n) == 1), same, "left_semi"))
+    many = named.where(F.col(n) > 1)
+    if not many.isEmpty():
+        kept = kept.union(docs.where(words).join(many, same).dropDuplicates([id_, mark]).select(*[docs[c] for c in docs.columns]))
+    return kept
