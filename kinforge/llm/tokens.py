@@ -1,19 +1,21 @@
 """Token ids in binary files with Elias-Fano document boundaries.
 
-Documents are range-partitioned by id and sorted; each partition becomes one file that holds the ids of its
-documents one after another (two bytes each where the vocabulary allows) and the ends of the documents as an
-Elias-Fano sequence. A file is written under a name of its own and only named in the manifest by the task
-attempt that succeeded, so lost executors leave at most unread files behind.
+Documents are range-partitioned by id and sorted; each partition becomes one or more pairs of files: the ids of its
+documents one after another (two bytes each where the vocabulary allows), streamed as they are encoded, and the ends
+of the documents as an Elias-Fano sequence with its document ids. A pair ends at ``file_bytes`` of ids, so neither a
+task's memory nor a file grows with the table. Files are written under names of their own and only named in the
+manifest by the task attempt that succeeded, so lost executors leave at most unread files behind. Readers get every
+boundary from the sequence's select structure.
 
 Texts are encoded by the tokenizers library. Where single spaces separate words, the pre-tokeniser never joins
 what stands on both sides, so the library encodes each distinct word with its leading space once and the ids are
-remembered; texts with runs of white space go to the library whole.
+remembered; texts with runs of white space go to the library whole. A text of any length is encoded whole.
 
-Null or empty texts have the end id only. Null document ids come first; repeated ids stay as they are, in order
-of text. An empty table gives no file and no rows. Extra columns are ignored.
+Null or empty texts have the end id only. Null document ids come first; documents with one id (or none) stand in order
+of a hash of their texts, and may span partitions. An empty table gives no file and no rows. Extra columns are ignored.
 
-File: magic, then 64-bit little-endian counts (documents, ids, bytes an id, low bits, bytes of each section), then
-the sections: validity of doc ids, doc ids (64-bit), low bits, high bits, select samples (32-bit), ids.
+Boundary file: magic, then 64-bit little-endian counts (documents, ids, bytes an id, low bits, bytes of each section),
+then the sections: validity of doc ids, doc ids (64-bit), low bits, high bits, select samples (32-bit).
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kinforge.llm.common import column, open_fs, pieces, shared_path
 
-MAGIC = b"KFTOKEF1"
+MAGIC = b"KFTOKEF2"
 SAMPLE = 64
 #: Letters that every version of the library takes for letters, and the ASCII punctuation but the apostrophe.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
@@ -81,13 +83,24 @@ class EliasFano:
         one = byte * 8 + (value & -value).bit_length() - 1
         return ((one - i) << self.low_bits) | self._low(i)
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low_bits
+    def select_run(self, begin: int, end: int) -> np.ndarray:
+        """The values from the begin-th to before the end-th: only the bytes between the samples around them are read."""
+        if not 0 <= begin <= end <= self.n:
+            raise IndexError((begin, end))
+        if begin == end:
+            return np.empty(0, np.int64)
+        first = begin // SAMPLE
+        after = -(-end // SAMPLE)
+        low_byte = int(self.samples[first]) // 8
+        high_byte = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[low_byte:high_byte], bitorder="little")) + 8 * low_byte
+        ones = ones[np.searchsorted(ones, int(self.samples[first])) + begin - first * SAMPLE :][: end - begin]
+        out = (ones - np.arange(begin, end)) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits)
-            out |= bits.reshape(self.n, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits))
+            at = begin * self.low_bits
+            some = np.frombuffer(self.low, np.uint8)[at // 8 : (end * self.low_bits + 7) // 8]
+            bits = np.unpackbits(some, bitorder="little")[at % 8 :][: (end - begin) * self.low_bits]
+            out |= bits.reshape(-1, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits))
         return out.astype(np.int64)
 
 
@@ -195,23 +208,37 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_file(url: str, doc_ids: list[int | None], ends: np.ndarray, parts: list[bytes], id_bytes: int) -> None:
-    ef = EliasFano.of(ends)
-    sections = [
-        np.packbits([d is not None for d in doc_ids], bitorder="little").tobytes(),
-        np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        ef.low,
-        ef.high.tobytes(),
-        ef.samples.tobytes(),
-    ]
-    n_ids = int(ends[-1]) if len(ends) else 0
-    head = np.array([len(doc_ids), n_ids, id_bytes, ef.low_bits, *map(len, sections)], "<i8").tobytes()
-    fs, path = open_fs(url)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as out:
-        out.write(MAGIC + head + b"".join(sections))
-        for part in parts:
-            out.write(part)
+class TokenWriter:
+    """A pair of files: ``url`` + .ids takes ids as they come, ``url`` + .ends the boundaries at the end."""
+
+    def __init__(self, url: str, id_bytes: int):
+        self.url, self.id_bytes, self.n_ids = url, id_bytes, 0
+        self.doc_ids, self.valid, self.sizes = array("q"), bytearray(), array("q")
+        self.fs, path = open_fs(url)
+        self.fs.create_dir(path.rpartition("/")[0], recursive=True)
+        self.path = path
+        self.out = self.fs.open_output_stream(f"{path}.ids")
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.out.write(ids.astype(f"<u{self.id_bytes}").tobytes())
+        self.doc_ids.append(doc_id or 0)
+        self.valid.append(doc_id is not None)
+        self.sizes.append(len(ids))
+        self.n_ids += len(ids)
+
+    def close(self) -> None:
+        self.out.close()
+        ef = EliasFano.of(np.cumsum(np.frombuffer(self.sizes, np.int64)))
+        sections = [
+            np.packbits(np.frombuffer(self.valid, np.uint8), bitorder="little").tobytes(),
+            np.frombuffer(self.doc_ids, np.int64).astype("<i8").tobytes(),
+            ef.low,
+            ef.high.tobytes(),
+            ef.samples.tobytes(),
+        ]
+        head = np.array([len(self.sizes), self.n_ids, self.id_bytes, ef.low_bits, *map(len, sections)], "<i8").tobytes()
+        with self.fs.open_output_stream(f"{self.path}.ends") as out:
+            out.write(MAGIC + head + b"".join(sections))
 
 
 class TokenFile:
@@ -219,32 +246,45 @@ class TokenFile:
 
     def __init__(self, url: str):
         fs, path = open_fs(url)
-        self.file = fs.open_input_file(path)
-        head = self.file.read(len(MAGIC) + 72)
-        if head[: len(MAGIC)] != MAGIC:
+        with fs.open_input_stream(f"{path}.ends") as file:
+            whole = file.read()
+        if whole[: len(MAGIC)] != MAGIC:
             raise ValueError(f"{url}: not a token file")
-        n, self.n_ids, self.id_bytes, low_bits, *sizes = np.frombuffer(head[len(MAGIC) :], "<i8").tolist()
-        raw = self.file.read(sum(sizes))
-        cuts = np.cumsum([0, *sizes])
-        valid, ids, low, high, samples = (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-        self.start = len(head) + sum(sizes)
-        self.valid = np.unpackbits(np.frombuffer(valid, np.uint8), bitorder="little", count=n).astype(bool)
+        at = len(MAGIC) + 72
+        self.n, self.n_ids, self.id_bytes, low_bits, *sizes = np.frombuffer(whole[len(MAGIC) : at], "<i8").tolist()
+        cuts = np.cumsum([at, *sizes])
+        valid, ids, low, high, samples = (whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        self.valid = np.unpackbits(np.frombuffer(valid, np.uint8), bitorder="little", count=self.n).astype(bool)
         self.doc_ids = np.frombuffer(ids, "<i8")
-        self.ends = EliasFano(n, low_bits, low, high, np.frombuffer(samples, "<u4"))
+        self.ends = EliasFano(self.n, low_bits, low, high, np.frombuffer(samples, "<u4"))
+        self.file = fs.open_input_file(f"{path}.ids")
 
     def ids(self, begin: int, end: int) -> np.ndarray:
-        self.file.seek(self.start + begin * self.id_bytes)
+        self.file.seek(begin * self.id_bytes)
         return np.frombuffer(self.file.read((end - begin) * self.id_bytes), f"<u{self.id_bytes}")
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document: its bounds come from two selects."""
         return self.ids(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
+    def documents(self, begin: int, end: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Bounds and ids of the documents from the begin-th to before the end-th, by one select of their run."""
+        bounds = np.concatenate(([self.ends.select(begin - 1) if begin else 0], self.ends.select_run(begin, end)))
+        ids = self.ids(int(bounds[0]), int(bounds[-1]))
+        return bounds, [ids[a:b] for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True)]
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, files: int | None = None) -> DataFrame:
-    """Writes the files; returns the manifest (part, path, n_docs, n_ids), itself a table in the shared folder."""
+
+MANIFEST = "part long, place long, path string, n_docs long, n_ids long"
+
+
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, files: int | None = None, file_bytes: int = 128 << 20) -> DataFrame:
+    """Writes the files; returns the manifest (part, place, path, n_docs, n_ids), itself a table in the shared folder.
+
+    ``files`` is the least number of partitions; more are made where Spark's estimate of the table asks for it.
+    """
     spark = docs.sparkSession
     files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = max(files, min(100_000, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (4 * file_bytes)))
     folder = shared_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,28 +293,36 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, files: int |
         encode = encoder(vocabulary)
         id_bytes = 2 if max(encode.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], "<u4")
-        doc_ids, sizes, parts = [], [], []
-        for batch in pieces(batches, 256):
-            doc_ids += column(batch, "doc_id")
-            for ids in encode(column(batch, "text")):
-                whole = np.concatenate((np.frombuffer(ids, "<u4"), end))
-                sizes.append(len(whole))
-                parts.append(whole.astype(f"<u{id_bytes}").tobytes())
-        if doc_ids:
-            part, path = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.tok"
-            write_file(path, doc_ids, np.cumsum(sizes), parts, id_bytes)
-            cols = [[part], [path], [len(sizes)], [sum(sizes)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "path", "n_docs", "n_ids"])
+        part, place, writer = TaskContext.get().partitionId(), 0, None
 
+        def finish() -> pa.RecordBatch:
+            writer.close()
+            cols = [[part], [place], [writer.url], [len(writer.sizes)], [writer.n_ids]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "place", "path", "n_docs", "n_ids"])
+
+        for batch in pieces(batches, 256):
+            for doc_id, ids in zip(column(batch, "doc_id"), encode(column(batch, "text")), strict=True):
+                writer = writer or TokenWriter(f"{folder}/{uuid.uuid4().hex}", id_bytes)
+                writer.add(doc_id, np.concatenate((np.frombuffer(ids, "<u4"), end)))
+                if writer.n_ids * id_bytes >= file_bytes:
+                    yield finish()
+                    place, writer = place + 1, None
+        if writer:
+            yield finish()
+
+    # documents with one id are dealt by their texts, and those with one text too by where they came from
+    by = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(write, "part long, path string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
-    return spark.read.schema("part long, path string, n_docs long, n_ids long").parquet(f"{folder}/manifest")
+    rows = rows.select("doc_id", "text", by[1].alias("mark"), by[2].alias("row"))
+    rows = rows.repartitionByRange(files, "doc_id", "mark", "row").sortWithinPartitions("doc_id", "mark", "row").select("doc_id", "text")
+    rows.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document of the files, in the order of the manifest's parts."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+def read_tokens(manifest: DataFrame, run: int = 1024) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of the files, in the order of the manifest's rows."""
+    # one row for each file of file_bytes: the window's one task sees a row for some 100 MB of ids
+    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -282,17 +330,14 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start in zip(column(batch, "path"), column(batch, "start"), strict=True):
                 file = TokenFile(path)
-                ends = file.ends.values()
-                begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                for at in range(0, len(ends), 1024):
-                    some = slice(at, at + 1024)
-                    first, ids = int(begins[at]), file.ids(int(begins[at]), int(ends[some][-1])).astype("<u4")
-                    crc = [zlib.crc32(ids[b - first : e - first].tobytes()) for b, e in zip(begins[some], ends[some], strict=True)]
+                for at in range(0, file.n, run):
+                    some = slice(at, min(at + run, file.n))
+                    bounds, ids = file.documents(some.start, some.stop)
                     cols = [
                         pa.array(file.doc_ids[some], pa.int64(), mask=~file.valid[some]),
-                        pa.array(begins[some] + start, pa.int64()),
-                        pa.array(ends[some] - begins[some], pa.int64()),
-                        pa.array(crc, pa.int64()),
+                        pa.array(bounds[:-1] + start, pa.int64()),
+                        pa.array(np.diff(bounds), pa.int64()),
+                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                     ]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
