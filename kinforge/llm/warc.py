@@ -1,22 +1,28 @@
 """WARC records in ZIP packages: writer, and a reader that never unpacks.
 
-Each task packs its pages into one ZIP file with two stored members: ``archive/data.warc.gz`` (one gzip member a
-record) and ``indexes/index.cdxj`` (a line a record with offset and length). The reader finds the end record and,
-where counts or offsets exceed the old limits, the ZIP64 one; walks the central directory; resolves the data
-offset of a stored member through its local header; and then range-reads single records by their index lines.
+Each task packs its pages into ZIP files of about ``package_bytes``, with stored members: ``archive/data.warc.gz`` (one
+gzip member a record), ``indexes/index.cdxj`` (sorted lines of key, time and JSON, with offset and length) and
+``datapackage.json`` (names, sizes and SHA-256 of the others). The reader finds the end record and, where counts or
+offsets exceed the old limits, the ZIP64 one; walks the central directory; resolves the data offset of stored members
+through their local headers; and then range-reads records by the index lines of any stored ``.cdx``, ``.cdxj`` or
+``.cdx.gz`` index, so it reads packages of other writers too. An index is cut at bytes, a task reads the lines that
+begin in its cut, and neighbouring records come in one read.
 
 Of the records with equal payloads of at least ``min_revisit`` bytes the one with the smallest page_id is a
 response, the others are revisits that refer to it and carry no payload; smaller payloads are always responses.
 
 A null html is an empty payload. A null page_id is written as such: it is a revisit if an equal payload has an
-id, else a response. Rows that repeat a page with its payload are responses alike. An empty table gives no file.
+id, else a response. Rows that repeat a page with its payload all have the smallest page_id, so all are responses: a
+revisit refers to another page. Payloads of any length are written and read whole. An empty table gives no file.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -26,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import column, open_fs, pieces, shared_path
+from kinforge.llm.common import column, open_fs, pieces, shared_path, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+DATE = "2000-01-01T00:00:00Z"
 
 
 class ZipWriter:
@@ -140,7 +147,7 @@ def page_urn(page_id: int | None) -> str:
 
 def urn_page(urn: str | None) -> int | None:
     tail = (urn or "").strip("<>").rpartition(":")[2]
-    return None if tail in ("", "none") else int(tail)
+    return int(tail) if re.fullmatch(r"-?[0-9]+", tail) else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool, refers_to: int | None) -> bytes:
@@ -152,7 +159,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool,
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {page_urn(page_id)}",
         "WARC-Target-URI: " + "".join((url or "").split()),
-        "WARC-Date: 2000-01-01T00:00:00Z",
+        f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -172,87 +179,198 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
+def sort_key(url: str | None) -> str:
+    """Host labels in reverse order, then port, path and query, in lower case: ``com,example)/a?b``."""
+    m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^#]*)", "".join((url or "").split()))
+    host = m[1].lower().removeprefix("www.")
+    return f"{','.join(reversed(host.split('.')))}{m[2] or ''}){(m[3] or '/').lower()}"
+
+
 def first_of_equals(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """The pages with ``first``: the smallest page_id among equal payloads, where others share them; else null."""
+    """The pages with ``first``: the smallest page_id among equal payloads, where others share them; else null.
+
+    Digests that several pages share are written first: from that table's size Spark decides whether it is broadcast,
+    so that no payload moves, or joined by a shuffle, whose large partitions (a common payload) it splits.
+    """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    own = own.withColumn("digest", F.unhex(F.sha2(F.col("html"), 256)))
-    # only digests and ids are compared across pages; payloads move once, spread by page
+    digest = F.unhex(F.sha2(F.col("html"), 256)).alias("digest")
     firsts = (
         own.where(F.octet_length("html") >= min_revisit)
+        .select("page_id", digest)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and first is not null")
         .select("digest", "first")
     )
-    return own.join(firsts, "digest", "left")
+    return own.select("*", digest).join(written(firsts, "warc-firsts"), "digest", "left")
+
 
+class Package:
+    """Writes one package: records as they come, then index and description."""
 
-def write_archives(pages: DataFrame, min_revisit: int = 0, level: int = 2) -> DataFrame:
-    """Writes one package a task into the shared folder; returns the manifest (path, records) as a table."""
+    def __init__(self, url: str):
+        fs, path = open_fs(url)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        self.url, self.stream, self.at, self.lines, self.sha = url, fs.open_output_stream(path), 0, [], hashlib.sha256()
+        self.zip = ZipWriter(self.stream)
+        self.zip.begin(DATA)
+
+    def add(self, raw: bytes, about: dict, level: int) -> None:
+        gz = zlib.compressobj(level, zlib.DEFLATED, 31)
+        member = gz.compress(raw) + gz.flush()
+        self.zip.write(member)
+        self.sha.update(member)
+        where = {"length": str(len(member)), "offset": str(self.at), "filename": DATA.rpartition("/")[2]}
+        self.lines.append((sort_key(about["url"]), self.at, json.dumps(about | where, ensure_ascii=False)))
+        self.at += len(member)
+
+    def close(self) -> None:
+        self.zip.end()
+        stamp = re.sub(r"\D", "", DATE)
+        index = "".join(f"{key} {stamp} {text}\n" for key, _, text in sorted(self.lines)).encode()
+        parts = [(DATA, self.at, self.sha), (INDEX, len(index), hashlib.sha256(index))]
+        resources = [{"name": name.rpartition("/")[2], "path": name, "hash": f"sha256:{sha.hexdigest()}", "bytes": n} for name, n, sha in parts]
+        for name, data in ((INDEX, index), ("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": resources}).encode())):
+            self.zip.begin(name)
+            self.zip.write(data)
+            self.zip.end()
+        self.zip.close()
+        self.stream.close()
+
+
+def write_archives(pages: DataFrame, min_revisit: int = 0, level: int = 2, package_bytes: int = 64 << 20) -> DataFrame:
+    """Writes packages into the shared folder; returns the manifest (path, records) as a table."""
     folder = shared_path(pages.sparkSession, "warc")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lines = None
-        path, at = f"{folder}/{uuid.uuid4().hex}.wacz", 0
+        package = None
+
+        def finish() -> pa.RecordBatch:
+            package.close()
+            return pa.RecordBatch.from_arrays([pa.array([package.url]), pa.array([len(package.lines)], pa.int64())], ["path", "records"])
+
         for batch in pieces(batches, 256):
             for page_id, url, html, first in zip(*(column(batch, c) for c in ("page_id", "url", "html", "first")), strict=True):
-                if out is None:
-                    fs, inner = open_fs(path)
-                    fs.create_dir(inner.rpartition("/")[0], recursive=True)
-                    stream = fs.open_output_stream(inner)
-                    out, lines = ZipWriter(stream), []
-                    out.begin(DATA)
+                package = package or Package(f"{folder}/{uuid.uuid4().hex}.wacz")
                 revisit = first is not None and first != page_id
-                raw = record(page_id, url, html.encode("utf-8", "replace"), revisit, first)
-                gz = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = gz.compress(raw) + gz.flush()
-                out.write(member)
-                lines.append(json.dumps({"id": page_id, "offset": at, "length": len(member)}))
-                at += len(member)
-        if out is not None:
-            out.end()
-            out.begin(INDEX)
-            out.write("\n".join(lines).encode())
-            out.end()
-            out.close()
-            stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(lines)], pa.int64())], ["path", "records"])
+                payload = html.encode("utf-8", "replace")
+                about = {"url": "".join((url or "").split()), "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": f"sha1:{base32_sha1(payload)}"}
+                package.add(record(page_id, url, payload, revisit, first), about, level)
+                if package.at >= package_bytes:
+                    yield finish()
+                    package = None
+        if package:
+            yield finish()
 
     rows = first_of_equals(pages, min_revisit).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "first")
     rows.mapInArrow(pack, "path string, records long").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema("path string, records long").parquet(f"{folder}/manifest")
 
 
-def read_archives(manifest: DataFrame, span: int = 2000) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record of the packages.
+class Cut:
+    """Bytes ``begin`` to before ``end`` of a stored member as a file to read on from; a packed index as a whole."""
+
+    def __init__(self, package: ZipReader, name: str):
+        self.package, self.name = package, name
+        self.start, self.size = package.range_of(name)
+        self.whole = gzip.decompress(package.read(name)) if name.endswith(".gz") else None
+
+    def lines(self, begin: int, end: int, step: int = 1 << 20) -> Iterator[bytes]:
+        """The lines that begin in the cut, as lines of a split text file."""
+        if self.whole is not None:
+            yield from self.whole.splitlines() if not begin else ()
+            return
+        at = max(0, begin - 1)  # the byte before tells whether a line begins here
+        rest = b"" if begin else b"\n"
+        line_at = at - len(rest)
+        while at < self.size:
+            data = self.package.read(self.name, at, step)
+            at += len(data)
+            rest += data
+            while (cut := rest.find(b"\n")) >= 0:
+                if line_at >= begin:
+                    yield rest[:cut]
+                line_at, rest = line_at + cut + 1, rest[cut + 1 :]
+                if line_at >= end:
+                    return
+                if line_at >= begin:
+                    # all whole lines at once
+                    *ready, rest = rest.split(b"\n")
+                    for line in ready:
+                        if line_at >= end:
+                            return
+                        yield line
+                        line_at += len(line) + 1
+        if rest and begin <= line_at < end:
+            yield rest
+
+
+def index_cuts(manifest: DataFrame, span: int = 4 << 20) -> DataFrame:
+    """(path, name, begin, end): every index of the packages, cut at every ``span`` bytes; directories only are read."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in column(batch, "path"):
+                fs, inner = open_fs(path)
+                with fs.open_input_file(inner) as file:
+                    for name, (_, _, size, _, _) in ZipReader(file).members.items():
+                        if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", name):
+                            cuts = range(0, size, span) if not name.endswith(".gz") else [0]
+                            rows += [(path, name, at, min(size, at + span)) for at in cuts]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "name", "begin", "end"])
 
-    Index lines are dealt out in spans, so a large package is read by several tasks.
-    """
+    return manifest.select("path").mapInArrow(look, "path string, name string, begin long, end long")
+
+
+def read_records(file, package: ZipReader, wanted: list[tuple[str, int, int]], gap: int = 64 << 10, most: int = 8 << 20) -> Iterator[bytes]:
+    """Records (member, offset, length) as they stand in the package; neighbours with small gaps come in one read."""
+    starts = {name: package.range_of(name)[0] for name in {x[0] for x in wanted}}
+    wanted = sorted((starts[name] + at, n) for name, at, n in wanted)
+    i = 0
+    while i < len(wanted):
+        begin, end, j = wanted[i][0], sum(wanted[i]), i + 1
+        while j < len(wanted) and wanted[j][0] - end <= gap and sum(wanted[j]) - begin <= most:
+            end, j = max(end, sum(wanted[j])), j + 1
+        file.seek(begin)
+        data = file.read(end - begin)
+        for at, n in wanted[i:j]:
+            yield data[at - begin : at - begin + n]
+        i = j
+
+
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def read_archives(manifest: DataFrame, span: int = 4 << 20) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record of the packages (path)."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
-            for path, begin, end in zip(*(column(batch, c) for c in ("path", "begin", "end")), strict=True):
+            for path, name, begin, end in zip(*(column(batch, c) for c in ("path", "name", "begin", "end")), strict=True):
                 fs, inner = open_fs(path)
                 with fs.open_input_file(inner) as file:
-                    package = ZipReader(file)
-                    start, _ = package.range_of(DATA)
-                    rows = []
-                    for line in package.read(INDEX).split(b"\n")[begin:end]:
-                        where = json.loads(line)
-                        file.seek(start + where["offset"])
-                        warc, http, payload = parse(zlib.decompress(file.read(where["length"]), 31))
-                        digest, size = warc["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
+                    package, wanted, rows = ZipReader(file), [], []
+                    for line in Cut(package, name).lines(begin, end):
+                        where = json.loads(line[line.index(b"{") :])
+                        wanted.append((f"archive/{where['filename']}", int(where["offset"]), int(where["length"])))
+                    for raw in read_records(file, package, wanted):
+                        warc, http, payload = parse(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
+                        digest, size = warc["warc-payload-digest"].removeprefix("sha1:"), int(http.get("content-length", len(payload)))
                         if warc["warc-type"] == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-                            raise ValueError(f"{path}: damaged record at {where['offset']}")
+                            raise ValueError(f"{path}: damaged record {warc['warc-record-id']}")
                         rows.append((urn_page(warc["warc-record-id"]), warc["warc-target-uri"], size, digest, warc["warc-type"], urn_page(warc.get("warc-refers-to"))))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        if len(rows) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                            rows = []
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spans = manifest.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(span).cast("long"))))
-    spans = spans.select("path", "begin", (F.col("begin") + span).alias("end")).repartition(n)
-    return spans.mapInArrow(fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return index_cuts(manifest, span).repartition(n).mapInArrow(fetch, READ)
 
 
 def warc_table(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
