@@ -359,7 +359,10 @@ def test_elias_fano():
     for values in ([], [0], [5], [7, 7, 7], np.sort(rng.integers(0, 1 << 40, 1000)), np.cumsum(rng.integers(0, 3, 5000))):
         values = np.asarray(values, np.int64)
         ef = tokens.EliasFano.of(values)
-        assert (ef.values() == values).all() and [ef.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
+        assert (ef.select_run(0, len(values)) == values).all() and [ef.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
+        for a, b in ((1, 2), (63, 65), (64, 128), (100, 777), (3, len(values))):
+            if a <= b <= len(values):
+                assert (ef.select_run(a, b) == values[a:b]).all()
         assert len(ef.low) + len(ef.high) <= len(values) * (2 + max(1, np.log2((values.max() if len(values) else 1) / max(1, len(values)) + 1))) / 8 + 40
 
 
@@ -370,7 +373,8 @@ def test_token_files(spark):
     rows = [(None if i == 3 else i * 7 % 5, t, "en", "s") for i, t in enumerate(texts)]
     docs = docs_of(spark, rows)
     tok = Tokenizer.from_file(tokens.default_vocabulary())
-    ordered = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, r[1] or "")))
+    marks = {r["text"]: r["m"] for r in docs.select("text", F.xxhash64("text").alias("m")).collect()}
+    ordered = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), marks[r[1]]))
     at, want = 0, []
     for i, t, *_ in ordered:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -379,29 +383,117 @@ def test_token_files(spark):
     manifest = tokens.write_tokens(docs, tokens.default_vocabulary(), files=3)
     got = [tuple(r) for r in tokens.read_tokens(manifest).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
-    file = tokens.TokenFile(manifest.orderBy("part").first()["path"])
+    file = tokens.TokenFile(manifest.orderBy("part", "place").first()["path"])
     assert zlib.crc32(file.document(0).astype("<u4").tobytes()) == want[0][3]
+    many = tokens.write_tokens(docs, tokens.default_vocabulary(), files=2, file_bytes=20)  # a file ends after some ids
+    assert many.count() > 2 and sorted((tuple(r) for r in tokens.read_tokens(many, run=1).collect()), key=lambda r: r[1]) == want
     assert tokens.token_table(docs.limit(0)).count() == 0
 
 
+def mix_by_hand(rows, weights=(3, 1, 2)):
+    """(size, taken) and so on of (doc_id, text, source) rows, one word at a time in exact arithmetic."""
+    import hashlib
+    from collections import defaultdict
+    from fractions import Fraction
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    seen: dict = defaultdict(int)
+    flows: dict = defaultdict(list)
+    for i, text, source in rows:
+        copy = seen[i, text, source]
+        seen[i, text, source] += 1
+        mark = "" if text is None else md5(text)
+        flows[source].append((i, len((text or "").split()), lambda p, i=i, mark=mark, copy=copy: md5(f"{'' if i is None else i}:{p}:{mark}:{copy}")))
+    order = sorted(flows, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(x[1] for x in flows[s]) for s in order}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, open_, target = Fraction(3, 2) * sum(size.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * size[s] < level * weight[s]}
+        target |= {s: Fraction(2 * size[s]) for s in full} or {s: level * weight[s] for s in open_}
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    parts = []
+    for k, s in enumerate(order):
+        at = 0
+        for p in (1, 2):
+            for row, (_, n, key) in sorted(enumerate(flows[s]), key=lambda x: (x[1][2](p), x[1][0] is not None, x[1][0] or 0, x[1][1])):
+                if n:
+                    cut = min(n, mixing.PACKETS) if at < target[s] < at + n else 1
+                    bounds = [n * j // cut for j in range(cut + 1)]
+                    parts += [((at + b) / target[s], k, at + b, b - a, s, row) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                at += n
+    budget, taken = sum(size.values()) * 3 // 2, defaultdict(int)
+    for *_, n, s, row in sorted(parts):
+        taken[s, row] += min(n, budget)
+        budget -= min(n, budget)
+    return [(x[0], x[1], size[s], float(target[s]), taken[s, row]) for s in order for row, x in enumerate(flows[s])]
+
+
 def test_fair_mix(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.choice([1, 50, 400])), "en", rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
-    rows += [(900, None, "en", "a"), (901, "", "en", "empty"), (None, "x y", "en", "a"), (5, "dup", "en", "a"), (5, "dup", "en", "a")]
-    out = mixing.mix_table(docs_of(spark, rows)).collect()
-    assert len(out) == len(rows) and sorted(tuple(r) for r in out if r[0] is not None) == sorted(tuple(r) for r in mixing.mix_table(docs_of(spark, rows[::-1])).collect() if r[0] is not None)
-    total = sum(r["size"] for r in out)
+    rows += [(900, None, "en", "a"), (901, "", "en", "empty"), (None, "x y", "en", "a"), (5, "dup", "en", "a"), (5, "dup", "en", "a"), (6, prose(rng, 9000), "en", "b")]
+    rows += [(None, "null id", "en", "a"), (None, "null id", "en", "a"), (None, None, "en", None)]
+    key = lambda r: (r[0] is not None, *(x or 0 for x in r))
+    got = [sorted((tuple(r) for r in mixing.mix_table(docs_of(spark, x), bucket_rows=b).collect()), key=key) for x, b in ((rows, 1000), (rows[::-1], 7))]
+    assert got[0] == got[1]
+    want = sorted(mix_by_hand([(i, t, s) for i, t, _, s in rows]), key=key)
+    assert [r[:3] + r[4:] for r in got[0]] == [r[:3] + r[4:] for r in want]
+    assert np.allclose([r[3] for r in got[0]], [r[3] for r in want])
+    assert all(r[4] <= 2 * r[1] for r in want)
     taken: dict = {}
-    for r in mixing.serve(docs_of(spark, rows)).collect():
-        words = sum(t["words"] for t in r["served"])
-        assert 0 <= words <= 2 * r["size"] and r["target"] <= 2 * r["source_size"] + 1e-6
-        key = (r["source"], r["target"])
-        taken[key] = taken.get(key, 0) + words
-    assert all(t - 1 <= n <= t for (_, t), n in taken.items()) and sum(t for _, t in taken) == pytest.approx(1.5 * total)
+    for r in want:
+        taken[r[2], r[3]] = taken.get((r[2], r[3]), 0) + r[4]
+    assert all(abs(n - t) <= 9000 / mixing.PACKETS + 2 for (_, t), n in taken.items())
     assert mixing.mix_table(docs_of(spark, rows).limit(0)).count() == 0
     assert {r["taken"] for r in mixing.mix_table(docs_of(spark, [(1, None, "en", None)])).collect()} == {0}
 
 
+def test_mixed_documents(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.choice([1, 50, 200])), "en", rng.choice(["a", "b", None])) for i in range(100)]
+    rows += [(7, "twin twin", "en", "a")] * 3 + [(None, "no id", "en", "b"), (None, "no id too", "en", "b"), (None, None, None, "b"), (8, "", "de", "a")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(c) for c in ("vfinish", "__id", "mark", "more", "row", "mix_finish", "mix_n")})
+    want: dict = {}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        key = (r["doc_id"], r["text"], r["source"])
+        want[key] = want.get(key, 0) + 1
+        assert r["vfinish"] == "vfinish" and r["mix_n"] == "mix_n"
+    known = {(i, t, s) for i, t, _, s in rows}
+    assert set(want) <= known and all(n <= 2 * rows.count((k[0], k[1], "en", k[2])) for k, n in want.items() if k[1])
+    words = sum(len((k[1] or "").split()) * n for k, n in want.items())
+    total = sum(len((t or "").split()) for _, t, *_ in rows)
+    assert abs(words - 1.5 * total) <= 3 * 200
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_rows_not_ids(spark):
+    rng = random.Random(12)
+    base = prose(rng, 100).split()
+    near = " ".join([*base[:50], "changed", *base[51:]])
+    base, other = " ".join(base), prose(rng, 90)
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in near_duplicates.one_of_each(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, kept_id string, mark string, key string")).collect()), key=str)
+    assert kept([(2, base), (5, near), (5, other)]) == sorted([(2, base), (5, other)], key=str)
+    assert len(kept([(None, base), (None, near), (None, other)])) == 2
+    assert kept([(None, base), (9, near), (9, near), (None, None), (None, None), (3, "!!"), (3, "!!")]) == sorted([(9, near), (None, None), (None, None), (3, "!!"), (3, "!!")], key=str)
+    assert kept([(5, base), (5, base), (5, base)]) == [(5, base)]
+
+
+def test_prefix_filter_loses_no_link():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 50))) for _ in range(120)]
+    sets += [np.unique(np.concatenate((sets[0], rng.choice(pool, k)))) for k in range(6)]
+    at = np.arange(len(sets))
+    got = near_duplicates.linked(sets, at, at, 0.8)
+    want = [[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9 for b in sets] for a in sets]
+    assert (got == np.array(want)).all() and got.sum() > len(sets)
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
