@@ -12,11 +12,13 @@ Inside the container, menus, headers, footers, asides, forms, scripts, styles, a
 left out. Character references are decoded, white space within a block becomes one space, blocks are joined by
 one line feed.
 
-Class names are only guesses: where they and hidden elements leave nothing of a page, the text of its articles is read
-without them.
+Class names are only guesses. An element whose names say that it is not the text, but which holds most of the page's
+words and an element that is named or tagged as text, is a wrapper: its names count for nothing. Where names and
+hidden elements leave nothing of a page, the text of its articles is read without them.
 
-Null or empty html, and pages without text, give an empty text. Repeated rows are pages of their own; extra
-columns are ignored.
+Null or empty html, and pages without text, give an empty text. Pages of any length are read whole. Of containers and
+paths with equal scores the greater path in code-point order counts. Repeated rows are pages of their own (they vote as
+often as they occur); a null page_id is an ordinary one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,17 +56,17 @@ UNWANTED = frozenset(
 DOUBTFUL = frozenset("header rail widget widgets popular share social follow legal alert form search skip print".split())
 WANTED = frozenset("article content main post entry story body text page maincontent".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<open_end>/?)(?P<open_tag>[a-zA-Z][^\s/>]*)(?P<open_attrs>[^<>]*)>", re.S)
 ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`]+)))?")
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "step", "outside", "firm", "way", "n_words", "n_linked", "n_blocks")
+    __slots__ = ("tag", "names", "parent", "step", "named", "firm", "way", "n_words", "n_linked")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None, by_name: bool = True):
         self.tag, self.parent, self.way = tag, parent, None
-        self.n_words = self.n_linked = self.n_blocks = 0
+        self.n_words = self.n_linked = 0
         classes, names, hidden, replies = "", frozenset(), False, False
         if attrs and not attrs.isspace():
             for key, a, b, c in ATTR.findall(attrs):
@@ -83,11 +85,16 @@ class Node:
         by_tag = tag in OUTSIDE and not (tag == "header" and in_text) or by_name and hidden and tag not in ("body", "html")
         # what readers say, and roles by tag, are never the text; class names may also sit on wrappers of it
         self.firm = by_tag or by_name and replies and not whole or (parent.firm if parent else False)
-        if whole:
-            self.outside = self.firm
-        else:
-            named = by_name and (bool(names & UNWANTED) or bool(names & DOUBTFUL) and not names & WANTED)
-            self.outside = self.firm or named or (parent.outside if parent else False)
+        self.named = not whole and by_name and (bool(names & UNWANTED) or bool(names & DOUBTFUL) and not names & WANTED)
+
+    def outside(self) -> bool:
+        """Whether a name around it, up to the article it stands in, says that it is not the text."""
+        for up in self.chain():
+            if up.named:
+                return True
+            if up.tag in ("article", "main", "body"):
+                break
+        return False
 
     def inside(self, *tags: str) -> bool:
         node: Node | None = self
@@ -131,9 +138,27 @@ def blocks_of(html: str) -> list[tuple[str, Node]]:
     return blocks
 
 
+def unwrap(found: list[tuple[str, Node, int, int]]) -> None:
+    """Takes the names off wrappers: they hold most of the page's words outside links, and something named as text."""
+    named: dict[int, list] = {}
+    total = 0
+    for _, node, n, linked in found:
+        total += n - linked
+        text = False
+        for up in node.chain():
+            text |= up.tag in ("article", "main", "h1") or bool(up.names & WANTED) and not up.named
+            if up.named:
+                held = named.setdefault(id(up), [up, 0, False])
+                held[1] += n - linked
+                held[2] |= text
+    for up, n, text in named.values():
+        if text and 2 * n > total:
+            up.named = False
+
+
 def read_blocks(html: str, by_name: bool = True) -> list[tuple[str, Node]]:
     root = Node("html", "", None)
-    node, link, out, text, words = root, 0, [], [], [0, 0]
+    node, link, found, text, words = root, 0, [], [], [0, 0]
     at, low, endless = 0, None, set()
 
     def flush() -> None:
@@ -141,16 +166,12 @@ def read_blocks(html: str, by_name: bool = True) -> list[tuple[str, Node]]:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
-                out.append((whole, node))
                 n = whole.count(" ") + 1
-                for i, up in enumerate(node.chain()):
-                    up.n_blocks += 1
-                    up.n_words += n
-                    up.n_linked += min(n, words[1])
+                found.append((whole, node, n, min(n, words[1])))
             words[0] = words[1] = 0
 
     def say(raw: str) -> None:
-        if raw and not node.outside:
+        if raw and not node.firm:
             raw = unescape(raw) if "&" in raw else raw
             text.append(raw)
             if link:
@@ -169,10 +190,11 @@ def read_blocks(html: str, by_name: bool = True) -> list[tuple[str, Node]]:
         if m["cdata"] is not None:
             say(m["cdata"])
             continue
-        if not m["tag"]:
+        tag = (m["tag"] or m["open_tag"] or "").lower()  # a quote left open ends with its tag
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["end"]:
+        attrs = m["attrs"] or m["open_attrs"] or ""
+        if m["end"] or m["open_end"]:
             if tag == "a":
                 link = max(0, link - 1)
             elif tag in BLOCK and tag not in ("html", "body"):
@@ -189,7 +211,7 @@ def read_blocks(html: str, by_name: bool = True) -> list[tuple[str, Node]]:
                         break
             continue
         if tag in RAW:
-            if tag in FOREIGN and (m["attrs"].endswith("/") or tag in endless):
+            if tag in FOREIGN and (attrs.endswith("/") or tag in endless):
                 continue
             low = low or html.lower()
             end = low.find(f"</{tag}", at)
@@ -208,7 +230,7 @@ def read_blocks(html: str, by_name: bool = True) -> list[tuple[str, Node]]:
             if tag == "body" and node.inside("body"):
                 continue
             if tag == "body":
-                node = Node("body", m["attrs"], root, by_name)
+                node = Node("body", attrs, root, by_name)
         elif tag in BLOCK or tag == "button" or tag == "select":
             flush()
             if tag in CLOSES_P:
@@ -233,9 +255,17 @@ def read_blocks(html: str, by_name: bool = True) -> list[tuple[str, Node]]:
                 continue
             if node.tag == "head":
                 node = Node("body", "", root)
-            node = Node(tag, m["attrs"], node, by_name)
+            node = Node(tag, attrs, node, by_name)
     say(html[at:])
     flush()
+    unwrap(found)
+    out = []
+    for whole, node, n, linked in found:
+        if not node.outside():
+            out.append((whole, node))
+            for up in node.chain():
+                up.n_words += n
+                up.n_linked += linked
     return out
 
 
