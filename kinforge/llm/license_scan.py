@@ -7,13 +7,15 @@ then place, a match is dropped when its interval lies within the interval of a m
 
 Base phrases are counted apart from that, at every place, and their labels always stay.
 
-Null and empty texts have no words and no labels. Repeated rows and null ids are ordinary rows; extra columns
-are ignored.
+Null and empty texts have no words and no labels. Texts of any length are scanned whole, in time that grows with their
+length and not with the square of their matches. Matches with one interval are ties: the one of higher priority stays.
+Repeated rows and null ids are ordinary rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -84,6 +86,94 @@ SENTENCES = (
     ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [0-9] [0-9]", 0.95),
     ("cc-by", "creativecommons", r"creativecommons org licenses by [0-9] [0-9]", 0.95),
     ("cc0", "creativecommons", r"creativecommons org publicdomain zero [0-9] [0-9]", 0.95),
+    ("mit", "included in all copies", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1.0),
+    ("mit", "provided as is without", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 0.8),
+    ("mit-0", "without limitation the rights", r"without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 0.9),
+    ("bsd", "neither the name", r"neither the name of (?:[^ ]+ ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products", 1.0),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 1.0),
+    ("bsd", "all advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledg[e]?ment", 1.0),
+    ("bsd", "copyright holders and contributors", r"this software is provided by the copyright holders and contributors as is", 0.9),
+    ("isc", "disclaims all warranties", r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", 0.8),
+    ("zlib", "misrepresent", r"the origin of this software must not be misrepresented", 1.0),
+    ("zlib", "altered from any source", r"this notice may not be removed or altered from any source distribution", 1.0),
+    ("zlib", "express or implied warranty", r"this software is provided as is without any express or implied warranty", 0.8),
+    ("apache", "except in compliance", r"you may not use this file except in compliance with the license", 1.0),
+    ("apache", "as is basis", r"distributed on an as is basis without warranties or conditions of any kind either express or implied", 0.95),
+    ("apache", "apache software foundation", r"licensed to the apache software foundation asf under one or more contributor license agreements", 1.0),
+    ("apache", "grant of patent", r"grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual", 0.95),
+    ("apache", "software developed by the apache", r"this product includes software developed (?:by|at) the apache (?:software foundation|group)", 0.95),
+    ("gpl", "free software you can redistribute", r"(?:this (?:program|library|file)|it) is free software you can redistribute it and or modify it under the terms of the gnu general public", 1.0),
+    ("gpl", "version 2 of the license", r"either version 2 of the license or at your option any later version", 0.8),
+    ("gpl", "version 3 of the license", r"either version 3 of the license or at your option any later version", 0.8),
+    ("gpl", "you should have received", r"you should have received a copy of the gnu general public licen[sc]e", 1.0),
+    ("gpl", "changing it is not allowed", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.9),
+    ("gpl", "freedom to share and change", r"the gnu general public license is intended to guarantee your freedom to share and change", 1.0),
+    ("lgpl", "you should have received", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 1.0),
+    ("lgpl", "such a work in isolation", r"such a work in isolation is not a derivative work of the library", 0.9),
+    ("lgpl", "lesser general public", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license", 1.0),
+    ("agpl", "you should have received", r"you should have received a copy of the gnu affero general public licen[sc]e", 1.0),
+    ("agpl", "remotely through a computer network", r"all users interacting with it remotely through a computer network", 1.0),
+    ("fdl", "invariant sections", r"with (?:no|the) invariant sections", 0.95),
+    ("fdl", "permission is granted to copy distribute", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation", 1.0),
+    ("mpl", "source code form is subject", r"this source code form is subject to the terms of the mozilla public", 1.0),
+    ("mpl", "mpl was not distributed", r"if a copy of the mpl was not distributed with this file you can obtain one", 1.0),
+    ("mpl", "contents of this file are subject", r"the contents of this file are subject to the mozilla public license", 1.0),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public", 1.0),
+    ("epl", "eclipse org", r"(?:www )?eclipse org (?:legal|org documents) epl (?:v10|2 0)", 0.95),
+    ("edl", "eclipse org", r"(?:www )?eclipse org org documents edl v10", 0.95),
+    ("cddl", "common development", r"the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("cddl", "opensolaris", r"(?:www )?opensolaris org os licensing", 0.9),
+    ("cpl", "common public", r"the accompanying program is provided under the terms of this common public license agreement", 1.0),
+    ("eupl", "eupl", r"licensed under the eupl (?:version [0-9] [0-9] )?or as soon they will be approved by the european commission", 1.0),
+    ("eupl", "joinup", r"joinup ec europa eu (?:collection eupl|software page eupl|community eupl)", 0.95),
+    ("cecill", "cecill", r"governed by the cecill(?: [bc])? license under french law", 1.0),
+    ("boost", "boost org", r"(?:www )?boost org license 1 0 txt", 0.95),
+    ("boost", "machine executable object code", r"unless such copies or derivative works are solely in the form of machine executable object code", 1.0),
+    ("boost", "boost software license", r"distributed under the boost software license version 1 0", 1.0),
+    ("artistic", "standard version", r"you may (?:make and give away|distribute) verbatim copies of the (?:source form of the )?standard version of this package without restriction", 1.0),
+    ("artistic", "same terms as perl", r"(?:this library|this program|it) is free software you (?:can|may) redistribute it and or modify it under the same terms as perl itself", 0.95),
+    ("psf", "python software foundation", r"this license agreement is between the python software foundation psf and the individual or organization", 1.0),
+    ("php", "this product includes php", r"this product includes php software freely available from", 1.0),
+    ("php", "php freely available", r"includes php (?:software )?freely available from http (?:www )?php net", 1.0),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project", 1.0),
+    ("openssl", "eric young", r"this product includes cryptographic software written by eric young", 0.95),
+    ("postgresql", "any purpose without fee", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", 0.9),
+    ("postgresql", "without a written agreement", r"without fee and without a written agreement is hereby granted", 1.0),
+    ("ncsa", "deal with the software", r"to deal with the software without restriction including without limitation the rights to use copy modify merge publish", 1.0),
+    ("w3c", "by obtaining using", r"by obtaining using and or copying this work you the licensee agree", 0.95),
+    ("ofl", "reserved font name", r"with reserved font names?", 0.95),
+    ("ofl", "scripts sil org", r"(?:www )?scripts sil org ofl", 0.95),
+    ("ofl", "font software", r"this font software is licensed under the sil open font license", 1.0),
+    ("wtfpl", "you just do what", r"you just do what the [a-z]+ you want to", 1.0),
+    ("beerware", "beer in return", r"(?:you )?can buy me a beer in return", 1.0),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software", 1.0),
+    ("json", "good not evil", r"the software shall be used for good not evil", 1.0),
+    ("ms-pl", "this license governs use", r"this license governs use of the accompanying software if you use the software you accept this license", 0.9),
+    ("cc-by", "free to share", r"you are free to share copy and redistribute the material in any medium or format", 0.8),
+    ("cc-by", "give appropriate credit", r"you must give appropriate credit provide a link to the license and indicate if changes were made", 0.85),
+    ("cc-by-sa", "same license as the original", r"you must distribute your contributions under the same license as the original", 0.9),
+    ("cc-by-nc", "for commercial purposes", r"you may not use the material for commercial purposes", 0.85),
+    ("cc-by-nd", "distribute the modified material", r"you may not distribute the modified material", 0.85),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by(?: [1-4] [05])? (?:deed|legalcode)", 0.95),
+    ("cc0", "waived all copyright", r"waived all copyright and related or neighbou?ring rights", 1.0),
+    ("cc0", "to the extent possible under law", r"to the extent possible under law the (?:person|author|authors|copyright holder) who associated cc0", 1.0),
+    ("odbl", "any rights in individual contents", r"any rights in individual contents of the database are licensed under", 0.95),
+    ("odbl", "opendatacommons", r"(?:www )?opendatacommons org licenses odbl", 0.95),
+    ("pddl", "opendatacommons", r"(?:www )?opendatacommons org licenses pddl", 0.95),
+    ("odc-by", "opendatacommons", r"(?:www )?opendatacommons org licenses by", 0.95),
+    ("ogl", "public sector information", r"contains public sector information licensed under the open government licen[sc]e", 1.0),
+    ("busl", "change date", r"on the change date or the fourth anniversary of the first publicly available distribution", 1.0),
+    ("sspl", "functionality of the program", r"if you make the functionality of the program or a modified version available to third parties as a service", 1.0),
+    ("elastic", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service", 1.0),
+    ("commons-clause", "right to sell the software", r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software", 1.0),
+    ("openrail", "use based restrictions", r"(?:use based restrictions as referenced in|subject to the use based restrictions)", 0.95),
+    ("llama", "llama", r"llama (?:2|3|3 [123]) community license(?: agreement)?", 1.0),
+    ("proprietary", "of this", r"unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:or [a-z]+ )?of this (?:file|software|document|program|material)", 0.9),
+    ("proprietary", "trade secret", r"(?:contains|constitutes?) (?:valuable )?trade secrets?", 0.8),
+    ("proprietary", "no part of this", r"no part of this (?:publication|book|work|document|site|website) may be reproduced", 0.9),
+    ("proprietary", "written", r"without (?:the )?(?:express |prior )*written (?:permission|consent) of", 0.6),
+    ("proprietary", "end user license", r"end user license agreement", 0.8),
+    ("proprietary", "reverse engineer", r"(?:you )?(?:may|shall|must) not (?:[a-z]+ ){0,6}reverse engineer", 0.8),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|donated) (?:in|to|into) the public domain", 0.9),
     ("public-domain", "unencumbered", r"free and unencumbered software released into the public domain", 1.0),
     ("proprietary", "all rights reserved", r"(?:copyright|c) (?:[0-9]{4} )?(?:[^ ]+ ){0,6}all rights reserved", 0.6),
@@ -154,7 +244,7 @@ SHORT = (
     ("mpl", "mpl 2", r"(?:the )?mpl 2 0(?: no copyleft exception)?", True),
     ("mpl", "mpl 1", r"(?:the )?mpl 1 [01]", True),
     ("mpl", "mplv", r"(?:the )?mplv[12](?: [01])?", True),
-    ("mpl", "mpl v", rf"(?:the )?mpl{V2}", True),
+    ("mpl", "mpl", r"(?:the )?mpl ?(?:version |ver |v ?)[12](?: [01])?", True),
     ("mpl", "mpl", r"(?:the )?mpl", False),
     ("epl", "epl 2", r"(?:the )?epl 2 0", True),
     ("epl", "epl 1", r"(?:the )?epl 1 0", True),
@@ -285,27 +375,33 @@ def rules() -> tuple[Rule, ...]:
 def by_keyword() -> dict[bytes, list[Rule]]:
     out: dict[bytes, list[Rule]] = {}
     for rule in rules():
-        out.setdefault(rule.keyword, []).append(rule)
+        out.setdefault(b" " + rule.keyword, []).append(rule)
     return out
 
 
 def detections(joined: bytes) -> list[tuple[Rule, int, int]]:
     """Kept matches (rule, begin, end) over the joined words, most important first."""
+    padded = b" " + joined
     found = [
         (r, m.start(), m.end())
         for key, gated in by_keyword().items()
-        if key in joined
+        if key in padded
         for r in gated
         for m in r.pattern.finditer(joined)
     ]
     found.sort(key=lambda d: (d[0].priority, d[1] - d[2], d[1]))
     kept: list[tuple[Rule, int, int]] = []
-    begins = np.empty(0, np.int64)
-    ends = np.empty(0, np.int64)
+    # kept intervals that no other holds: both ends rise, so the last that begins in time is the one that reaches furthest
+    begins: list[int] = []
+    ends: list[int] = []
     for d in found:
-        if not len(begins) or not ((begins <= d[1]) & (ends >= d[2])).any():
-            kept.append(d)
-            begins, ends = np.append(begins, d[1]), np.append(ends, d[2])
+        at = bisect_right(begins, d[1])
+        if at and ends[at - 1] >= d[2]:
+            continue
+        kept.append(d)
+        at = bisect_left(begins, d[1])
+        after = bisect_right(ends, d[2], at)
+        begins[at:after], ends[at:after] = [d[1]], [d[2]]
     return kept
 
 
@@ -324,12 +420,23 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(at)
 
 
-def scan_text(text: str | None) -> dict:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
+def word_places(joined: bytes, kept: list[tuple[Rule, int, int]]) -> list[dict]:
+    """The matches with their places in words."""
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    first = np.searchsorted(spaces, [b for _, b, _ in kept])
+    last = np.searchsorted(spaces, [e for _, _, e in kept])
+    return [
+        {"rule": r.name, "label": r.label, "first_word": int(a), "n_words": int(z - a) + 1, "weight": r.weight}
+        for (r, _, _), a, z in zip(kept, first, last, strict=True)
+    ]
+
+
+def scan_text(text: str | None, details: bool = True) -> dict:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, and with ``details`` the detections."""
     words = words_of(text)
     joined = b" ".join(words)
     places = base_places(words) if b"license" in joined else []
-    kept = detections(joined) if b"licen" in joined or b"right" in joined or any(k in joined for k in by_keyword()) else []
+    kept = detections(joined)
     base = {label for _, label in places}
     return {
         "n_words": len(words),
@@ -339,7 +446,7 @@ def scan_text(text: str | None) -> dict:
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | {r.label for r, _, _ in kept})),
         "score": max([0.65 * bool(base), *(r.weight for r, _, _ in kept)]),
-        "detections": [{"rule": r.name, "label": r.label, "first_word": joined.count(b" ", 0, b), "n_words": joined.count(b" ", b, e) + 1, "weight": r.weight} for r, b, e in kept],
+        "detections": word_places(joined, kept) if details and kept else [],
     }
 
 
@@ -349,19 +456,19 @@ SCHEMA = (
 )
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, details: bool = True) -> DataFrame:
     """doc_id with what ``scan_text`` finds in each document's whole text."""
     from pyspark.sql import types as T
 
     from kinforge.llm.common import arrow_schema
 
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL(SCHEMA).fields])
+    schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL(SCHEMA).fields[: None if details else -1]])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = list(arrow_schema(schema))[1:]
         for batch in pieces(batches):
-            rows = [scan_text(t) for t in column(batch, "text")]
+            rows = [scan_text(t, details) for t in column(batch, "text")]
             cols = [pa.array([r[f.name] for r in rows], f.type) for f in fields]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", *(f.name for f in fields)])
 

@@ -37,7 +37,7 @@ def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(documents(spark, sf_dir)).drop("detections")
+    return license_scan.scan(documents(spark, sf_dir), details=False)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
