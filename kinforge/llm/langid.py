@@ -7,7 +7,9 @@ share of the greatest possible sum.
 
 Profiles count all training documents, summed in Spark; ties in frequency go by the n-gram's code.
 Null texts, and texts without a letter, are ``und`` with score 0, and so is every text if nothing could be learned.
-Rows with null ids are ordinary rows; repeated rows count repeatedly; extra columns are ignored.
+Of languages with equal sums the first in code-point order is predicted. Texts of any length are read whole. Rows with
+null ids are ordinary rows; repeated rows count repeatedly; an empty table gives no rows; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinforge.llm.common import column, pieces
 
@@ -119,28 +122,24 @@ class Profiles:
 MAX_LANGS = 1000
 
 
-def predict(docs: DataFrame, profiles: DataFrame, depth: int = 300) -> DataFrame:
-    """The documents' columns with lang_pred and score."""
+def predict(docs: DataFrame, profiles: DataFrame, depth: int = 300, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents' columns with the predicted language and its score, under ``names`` that they don't have."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have columns {sorted(clash)}")
     rows = [tuple(r) for r in profiles.limit(MAX_LANGS * depth + 1).collect()]
     if len(rows) > MAX_LANGS * depth:
         raise ValueError(f"more than {MAX_LANGS} languages")
     model = docs.sparkSession.sparkContext.broadcast(Profiles(rows, depth))
-    inner = "__text" if "text" in docs.columns else "text"
-    wide = docs.withColumn(inner, F.col("text"))
+    at = [c.lower() for c in docs.columns].index("text")
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out = [model.value.predict(t) for t in column(batch, inner)]
-            kept = [i for i, name in enumerate(batch.schema.names) if name != inner]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in kept] + [pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())],
-                [batch.schema.names[i] for i in kept] + ["lang_pred", "score"],
-            )
-
-    if clash := {"lang_pred", "score"} & set(docs.columns):
-        wide = wide.drop(*clash)
-    schema = wide.drop(inner).schema.add("lang_pred", "string").add("score", "double")
-    return wide.mapInArrow(guess, schema)
+            out = [model.value.predict(t) for t in batch.column(at).to_pylist()]
+            more = [pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(guess, schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
