@@ -5,26 +5,32 @@ Windows of one length form a search: a block of two words (one, for windows of o
 table, so that the scan jumps over positions where no window can end; where the shift is 0, the block's bucket
 names the windows that end so, and comparing their words with the text's confirms or refutes each.
 
-The benchmark is cut into portions of at most ``portion_bytes`` of text, so that what reaches the executors has a
-bound; each portion is one narrow pass over the documents, and the passes need no shuffle.
-
-Null or empty texts have no words; items with a null id take no part; rows that repeat an item count as one item,
-rows that repeat a document are documents of their own. Extra columns are ignored.
+The benchmark is cut into portions of about ``portion_bytes`` of text, each a file in the shared folder, so that
+neither the driver nor a broadcast ever holds all of it. One narrow pass over the documents, without a shuffle, reads
+them all: a worker keeps the tables of up to ``KEPT`` portions as long as it lives. Beyond that many it goes through
+the portions for every ``BLOCK_BYTES`` of texts, with one portion's tables at a time.
+
+Null or empty texts have no words; texts of any length are read whole; items with a null id take no part; rows that
+repeat an item count as one item, rows that repeat a document are documents of their own. An empty table of documents
+gives no rows, an empty benchmark no hits. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import column, pieces, words_of
+from kinforge.llm.common import open_fs, pieces, shared_path, words_of
 
 TABLE_BITS = 18
+#: Portions whose tables a worker keeps; bytes of texts that meet all portions together beyond that.
+KEPT, BLOCK_BYTES = 8, 64 << 20
 
 
 class WuManber:
@@ -104,51 +110,98 @@ class Searcher:
         return hit, items
 
 
-def _portions(benchmark: DataFrame, portion_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _portions(benchmark: DataFrame, portion_bytes: int) -> list[str]:
+    """Writes the distinct items (id, text) in portions; their paths."""
+    folder = shared_path(benchmark.sparkSession, "benchmark")
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").distinct()
-    portion, used = [], 0
+    portion, used, paths = [], 0, []
+
+    def finish() -> None:
+        fs, inner = open_fs(f"{folder}/{len(paths)}")
+        fs.create_dir(inner.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(inner) as out:
+            out.write(pickle.dumps(portion))
+        paths.append(f"{folder}/{len(paths)}")
+
     for item, text in rows.toLocalIterator():
-        if portion and used + len(text) > portion_bytes:
-            yield portion
+        size = len(text.encode("utf-8", "replace"))
+        if portion and used + size > portion_bytes:
+            finish()
             portion, used = [], 0
         portion.append((item, text))
-        used += len(text)
-    yield portion
+        used += size
+    if portion:
+        finish()
+    return paths
+
+
+def _load(path: str, size: int) -> Searcher:
+    fs, inner = open_fs(path)
+    with fs.open_input_stream(inner) as file:
+        return Searcher(pickle.loads(file.read()), size)
+
+
+_kept = lru_cache(maxsize=KEPT)(_load)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes."""
+    held, used = [], 0
+    for batch in pieces(batches):
+        held.append(batch)
+        used += batch.nbytes
+        if used >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, used = [], 0
+    if held and any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], at: int, paths: list[str], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, set[str]]]]]:
+    """Batches, and for each row the hit words and the items found; ``at`` is the place of the texts' column."""
+    if len(paths) <= KEPT:
+        searchers = [_kept(p, size) for p in paths]
+        for batch in pieces(batches):
+            found = []
+            for text in batch.column(at).to_pylist():
+                words = words_of(text)
+                hit, items = np.zeros(len(words), bool), set()
+                for searcher in searchers:
+                    more, names = searcher.scan(words)
+                    hit |= more
+                    items |= names
+                found.append((hit, items))
+            yield batch, found
+        return
+    for batch in _blocks(batches, BLOCK_BYTES):
+        texts = batch.column(at).to_pylist()
+        found = [(np.zeros(len(words_of(t)), bool), set()) for t in texts]
+        for path in paths:
+            searcher = _load(path, size)
+            for text, (hit, items) in zip(texts, found, strict=True):
+                more, names = searcher.scan(words_of(text))
+                hit |= more
+                items |= names
+        yield batch, found
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, portion_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted array of item ids), hits (bit per word)."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
-    schema = rows.schema
-    for portion in _portions(benchmark, portion_bytes):
-        shared = spark.sparkContext.broadcast(portion)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(shared.value, size)
-            for batch in pieces(batches):
-                hits, found = [], []
-                for text, old, items in zip(column(batch, "text"), column(batch, "hits"), column(batch, "items"), strict=True):
-                    words = words_of(text)
-                    hit, more = searcher.scan(words)
-                    if old:
-                        hit |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(words)).astype(bool)
-                    hits.append(np.packbits(hit).tobytes() if hit.any() else b"")
-                    found.append(sorted(more.union(items)))
-                out = [batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "text", "hits", "items"])
-
-        rows = rows.mapInArrow(search, schema)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            n = [len(words_of(t)) for t in column(batch, "text")]
-            hit = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in column(batch, "hits")]
-            out = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), batch.column("items"), batch.column("hits")]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "items", "hits"])
+    paths = _portions(benchmark, portion_bytes)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _scanned(batches, 1, paths, size):
+            cols = [
+                batch.column(0),
+                pa.array([len(hit) for hit, _ in found], pa.int64()),
+                pa.array([int(hit.sum()) for hit, _ in found], pa.int64()),
+                pa.array([sorted(items) for _, items in found], pa.list_(pa.string())),
+                pa.array([np.packbits(hit).tobytes() if items else b"" for hit, items in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "items", "hits"])
 
-    kind = schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, items array<string>, hits binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, n_words long, n_hit long, items array<string>, hits binary")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -166,18 +219,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, portion_bytes: int = 4 << 20) -> DataFrame:
     """The documents without a hit word, with all their columns."""
-    spark, schema, rows = docs.sparkSession, docs.schema, docs
-    for portion in _portions(benchmark, portion_bytes):
-        shared = spark.sparkContext.broadcast(portion)
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(shared.value, size)
-            for batch in pieces(batches):
-                ok = [not searcher.scan(words_of(t))[1] for t in column(batch, "text")]
-                yield batch.filter(pa.array(ok, pa.bool_()))
-
-        rows = rows.mapInArrow(keep, schema)
-    return rows
+    paths, at = _portions(benchmark, portion_bytes), [c.lower() for c in docs.columns].index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _scanned(batches, at, paths, size):
+            yield batch.filter(pa.array([not items for _, items in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 CONTAMINATION_SQL = r"""
