@@ -162,6 +162,58 @@ def test_html_text(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    ("<div class='layout with-sidebar'><div class='content'><p>a long text of the page</p></div><div class='sidebar'>side</div></div>", "a long text of the page"),
+    ("<div class='page sidebar-left'><main><p>a long text</p></main><nav>menu</nav></div>", "a long text"),
+    ('<p title="abc>Text one', "Text one"),
+    ('<p title="abc>Text</p><p class=x>two</p>', "Text\ntwo"),
+    ('<p title="a > b">Text</p>', "Text"),
+    ("<p title='the hidden gem'>kept</p>", "kept"),
+    ("<article><p>own words of it</p></article><div class='related'><p>other words that are many more than the own ones of the page</p></div>", "own words of it"),
+])
+def test_html_wrappers_and_odd_tags(body, want):
+    assert html.extract(f"<html><body>{body}</body></html>", []) == want
+
+
+def test_html_consensus_equals_brute_force(spark):
+    """Votes of all pages added up by hand, then the winning path of each page by the rule as it is stated."""
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    rows, truth = [], []
+    for i in range(120):
+        text, kind = [words(rng.randrange(3, 40)) for _ in range(rng.randrange(1, 6))], rng.randrange(4)
+        inner = "".join(f"<p>{t}</p>" for t in text)
+        body = {
+            0: f"<nav>{words(5)}</nav><div class='content'>{inner}</div><footer>{words(9)}</footer>",
+            1: f"<div class='top menu'>{words(4)}</div><article class='p{i}'>{inner}<aside>{words(3)}</aside></article>",
+            2: f"<table><tr><td class='nav'>{words(3)}</td><td class='c'>{inner}</td></tr></table>",
+            3: f"<div>{inner}</div>",
+        }[kind]
+        rows.append((i, rng.choice(["http://a.x/1", "https://A.x:8/2", "http://b.x/", None]), f"<html><body>{body}</body></html>"))
+        truth.append("\n".join(text))
+    votes: dict = {}
+    for _, url, page in rows:
+        best = html.vote(page)
+        if url and best:
+            sums = votes.setdefault(("a.x" if "a.x" in url.lower() else "b.x", best[0]), [0.0, 0])
+            sums[0] += best[1]
+            sums[1] += 1
+    want = []
+    for i, url, page in rows:
+        host = url and ("a.x" if "a.x" in url.lower() else "b.x")
+        ranked = sorted((-round(v[0], 3), path) for (h, path), v in votes.items() if h == host and v[1] > 1)
+        blocks = html.blocks_of(page)
+        inside = [{up.path() for up in node.chain() if up.tag in html.CONTAINER} for _, node in blocks]
+        own, score = html.vote(page)
+        held = lambda p, q=None: sum(len(t.split()) for (t, _), at in zip(blocks, inside, strict=True) if p in at and (q is None or q in at))  # noqa: B023, E731
+        path = next((p for less, p in ranked if -less >= score and 2 * held(p, own) > held(own)), own)
+        path = path if ranked and any(p == path for _, p in ranked) else own
+        want.append((i, "\n".join(t for (t, _), at in zip(blocks, inside, strict=True) if path in at)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in html.extract_pages(pages).collect())
+    assert got == want and [t for _, t in got] == truth
+
+
 def test_html_text_of_hosts_with_many_templates(spark):
     long, short = "word " * 60, "teaser"
     page = lambda body: f"<html><body>{body}</body></html>"
@@ -282,6 +334,82 @@ def test_language_id(spark):
     assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
 
 
+def test_language_id_equals_brute_force(spark):
+    from collections import Counter
+
+    rng = random.Random(14)
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(rng.randrange(1, 7))) for _ in range(30)) + rng.choice("!?\U0001f600É"), lang, "s") for i, (lang, a) in enumerate([("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "efghij")] * 30)]
+    rows += [(500, "q", "bb", "s"), (501, "abc " * 5, "aa", "s")]
+
+    def grams(text):
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        out = Counter(c for w in runs for c in w)
+        row = [c for w in runs for c in [None, *w]] + [None] if runs else []
+        out.update((a, b) for a, b in zip(row, row[1:], strict=False))
+        out.update((a, b, c) for a, b, c in zip(row, row[1:], row[2:], strict=False) if b is not None)
+        return out
+
+    code = lambda g: sum((langid.EDGE.item() if c is None else ord(c)) << (21 * k) for k, c in enumerate(reversed(g if isinstance(g, tuple) else (g,))))
+    order = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+    learned: dict = {}
+    for i, t, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(grams(t))
+    places = {lang: {g: k for k, g in enumerate(order(c))} for lang, c in sorted(learned.items())}
+    want = []
+    for i, t, *_ in rows:
+        own = order(grams(t))
+        cost = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(cost, key=lambda lang: (cost[lang], lang))
+        want.append((i, best, round(1 - cost[best] / (300 * len(own)), 9)))
+    docs = docs_of(spark, rows).withColumns({"__text": F.lit("x"), "gram": F.lit(1)})
+    assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(docs).collect()) == want
+    kept = langid.predict(docs, langid.learn(docs), names=("p", "q"))
+    assert kept.columns == [*docs.columns, "p", "q"] and kept.where("score <> 0 or __text <> 'x'").count() == 0
+
+
+def test_index_cuts_give_each_line_once():
+    lines = [f"line {i} {'x' * (i % 7)}".encode() for i in range(200)]
+    raw = io.BytesIO()
+    writer = warc.ZipWriter(raw)
+    for name, data in (("indexes/a.cdxj", b"\n".join(lines) + b"\n"), ("indexes/b.cdx.gz", warc.gzip.compress(b"\n".join(lines)))):
+        writer.begin(name)
+        writer.write(data)
+        writer.end()
+    writer.close()
+
+    class Sized(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    package = warc.ZipReader(Sized(raw.getvalue()))
+    size = package.members["indexes/a.cdxj"][2]
+    for span in (1, 5, 64, 1000, size):
+        for step in (3, 50, 1 << 20):
+            if span > 1 or step > 3:
+                got = [x for at in range(0, size, span) for x in warc.Cut(package, "indexes/a.cdxj").lines(at, min(size, at + span), step)]
+                assert got == lines, (span, step)
+    assert list(warc.Cut(package, "indexes/b.cdx.gz").lines(0, 9)) == lines
+
+
+def test_packages_are_of_bounded_size_and_described(spark):
+    import json
+    import zipfile
+
+    pages = spark.createDataFrame([(i, f"http://www.a{i % 3}.example/p?{i}", f"<p>{i % 40} " + "y" * 50) for i in range(120)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, package_bytes=2000)
+    assert manifest.count() > 3 and manifest.agg(F.sum("records")).first()[0] == 120
+    with zipfile.ZipFile(manifest.first()["path"].removeprefix("file://")) as z:
+        index = z.read(warc.INDEX).decode().splitlines()
+        assert index == sorted(index) and index[0].startswith("example,a0)/p?") and index[0].split(" ")[1] == "20000101000000"
+        about = json.loads(z.read("datapackage.json"))
+        for r in about["resources"]:
+            assert len(z.read(r["path"])) == r["bytes"] and "sha256:" + warc.hashlib.sha256(z.read(r["path"])).hexdigest() == r["hash"]
+    rows = warc.read_archives(manifest, span=300).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(120)) and sum(r["record_type"] == "response" for r in rows) == 40
+    assert all(r["refers_to"] == r["page_id"] % 40 for r in rows if r["record_type"] == "revisit")
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://x/ 1", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (None, "u", "<p>é</p>"), (9, "u", "alone"), (9, "u", "alone"), (8, "u", "z" * 300_000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string")
@@ -354,6 +482,74 @@ def test_license_short_names(line, labels):
     assert got["labels"] == labels and (got["score"] > 0) == bool(labels)
 
 
+def example_of(pattern: str) -> str:
+    """A shortest text that the pattern matches, by its parse tree."""
+    from re import _constants as C
+    from re import _parser
+
+    def make(tree) -> str:
+        out = ""
+        for op, arg in tree:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.SUBPATTERN:
+                out += make(arg[3])
+            elif op is C.BRANCH:
+                out += make(arg[1][0])
+            elif op is C.MAX_REPEAT:
+                out += make(arg[2]) * arg[0]
+            elif op is C.IN:
+                kind, value = arg[0]
+                out += "x" if kind is C.NEGATE else chr(value if kind is C.LITERAL else value[0])
+            elif op is C.NOT_LITERAL:
+                out += "x"
+            else:
+                assert op is C.ASSERT_NOT
+        return out
+
+    return make(_parser.parse(pattern))
+
+
+def test_every_license_rule_matches_its_example():
+    for rule in license_scan.rules():
+        text = example_of(rule.pattern.pattern.decode())
+        assert b" " + rule.keyword in b" " + text.encode(), rule.name
+        assert rule.pattern.search(text.encode()), rule.name
+        assert license_scan.scan_text(f"aa {text} bb")["detections"], rule.name
+
+
+def test_license_scan_equals_brute_force():
+    rng = random.Random(5)
+    parts = ["mit license", "apache license", "general public license", "licensed under the", "version 2 0", "gpl", "the", "cc by 4 0", "license", "public", "apache", "or later", "zlib", "bsd"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 60)))
+        words, got = text.split(), license_scan.scan_text(text)
+        base = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        assert got["n_base"] == len(base) and got["first_word"] == min((i for i, _ in base), default=None) and got["last_word"] == max((i for i, _ in base), default=None)
+        raw = text.encode()
+        found = sorted(((r.priority, m.start() - m.end(), m.start(), m.end(), r) for r in license_scan.rules() for m in r.pattern.finditer(raw)), key=lambda x: x[:3])
+        kept: list = []
+        for x in found:
+            if not any(k[2] <= x[2] and k[3] >= x[3] for k in kept):
+                kept.append(x)
+        want = [(x[4].name, raw[: x[2]].count(b" "), raw[x[2] : x[3]].count(b" ") + 1) for x in kept]
+        assert [(d["rule"], d["first_word"], d["n_words"]) for d in got["detections"]] == want
+        assert got["labels"] == ",".join(sorted({label for _, label in base} | {x[4].label for x in kept}))
+        assert got["score"] == max([0.65 * bool(base), *(x[4].weight for x in kept)])
+
+
+def test_license_scan_of_very_long_texts():
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        began = time.perf_counter()
+        got = license_scan.scan_text("released under the mit license and apache license version 2 0 " * n)
+        took.append(time.perf_counter() - began)
+        assert got["n_base"] == 2 * n and len(got["detections"]) == 2 * n
+    assert took[1] < 25 * took[0] + 0.5  # ten times the text
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5], [7, 7, 7], np.sort(rng.integers(0, 1 << 40, 1000)), np.cumsum(rng.integers(0, 3, 5000))):
