@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge.llm import decontaminate, langid, mixing, near_duplicates, tokens
-from kinforge.llm.common import documents, written
+from kinforge.llm.common import documents, unused, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without any letter go. Learns from all labelled ones."""
     profiles = langid.learn(docs.where(langid.fold(F.col("doc_id"), 4) != 2))
-    return langid.predict(docs, profiles).where("lang_pred <> 'und'").select(*docs.columns)
+    lang, score = unused("lang_pred", docs), unused("lang_score", docs)
+    return langid.predict(docs, profiles, names=(lang, score)).where(F.col(lang) != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
