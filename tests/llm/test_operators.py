@@ -249,7 +249,7 @@ def test_katz_sums_to_one_and_scores(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40, 30), "en", "s") for i in range(200)] + [(1000, None, None, None), (1001, "", None, None), (None, "new words here", None, None), (7, rows7 := "w1x  w2x", "en", "s"), (7, rows7, "en", "s")]
     docs = docs_of(spark, rows)
-    out = lm.score(docs, shards=3).collect()
+    out = lm.score(docs, shards=3, order=2).collect()
     assert len(out) == len(rows)
     train, n = {}, 0
     pairs: dict = {}
@@ -310,7 +310,9 @@ def test_katz_of_order_three(spark):
 
     assert sum(p(w, (b"w1x", b"w2x")) for w in grams[0][()]) + p(b"never", (b"w1x", b"w2x")) == pytest.approx(1)
     want = sorted(sum(np.log10(p(w[j], tuple(w[j - 2 : j]))) for j in range(2, len(w))) for _, w in texts)
-    assert np.allclose(sorted(r["score"] for r in lm.score(docs_of(spark, rows), shards=3, order=3).collect()), want, atol=1e-6)
+    for unit, shards in ((1 << 20, 3), (400, 7), (60, 2)):  # one unit a task, and many: contexts within and across units, split ones
+        got = sorted(r["score"] for r in lm.score(docs_of(spark, rows), shards=shards, order=3, unit_tokens=unit).collect())
+        assert np.allclose(got, want, atol=1e-6)
 
 
 def test_language_id(spark):
