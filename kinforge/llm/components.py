@@ -9,9 +9,13 @@ from kinforge.llm.common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours move to the smallest node it knows."""
+    """Each node's larger neighbours move to the smallest node it knows.
+
+    A hub has many neighbours: its rows are summed map-side, and by one column more than the join's key, so that the
+    join has an exchange of its own on both sides and Spark can split a hub's partition.
+    """
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
+    least = both.groupBy("a", F.pmod(F.xxhash64("a"), F.lit(1))).agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
     return both.join(least, "a").where("b > a and b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
