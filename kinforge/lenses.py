@@ -31,12 +31,19 @@ def deep_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(snp, sample, dosage) of all parts for all suppliers; every part carries its dosages, so nothing is joined."""
-    n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).first()[0]
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("sample"))
-    s, p = F.col("sample"), F.col("snp")
-    g = (s * 31 + p * 17 + (s * p) % 7) % 4
-    return parts.select("snp", "sample", F.when(g != 3, g.cast("double")).alias("dosage"))
+    """(snp, dosage) of all parts, packed: a place for every supplier; every part carries its dosages, so nothing is joined."""
+    n = n_samples(spark, sf_dir)
+    p = F.col("p_partkey")
+
+    def dosage(s):
+        g = (s * 31 + p * 17 + (s * p) % 7) % 4
+        return F.when(g != 3, g.cast("tinyint"))
+
+    return table(spark, sf_dir, "part").select(p.alias("snp"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), dosage).alias("dosage"))
+
+
+def n_samples(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "supplier").count()
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:

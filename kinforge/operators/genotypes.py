@@ -1,7 +1,15 @@
-"""Genotype operators over long rows (snp, sample, dosage) or packed rows (snp, dosage ARRAY)."""
+"""Genotype operators over packed rows: one row a variant, (snp BIGINT, dosage ARRAY), null where missing.
+
+The array's places are the samples. Whatever depends on one variant (counts, frequencies, tests, effects) is a function
+of its row, computed without a shuffle. What depends on a sample is a vector over samples that each task adds up for
+its variants; vectors are cut into tiles and summed. Products of samples are tiles of samples, added up in place for
+runs of variants and emitted as whole tiles. Long rows (snp, sample, dosage) are packed first.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,14 +17,116 @@ from pyspark.sql import functions as F
 
 # Coding methods of the genomic relationship matrix.
 VANRADEN, ZENG, YANG, DOMINANCE, TRUE_VARIANCE = 1, 2, 3, 4, 5
+#: Samples of a tile of sums; cells of a dense block that a task decodes at once; orders that one task may hold whole.
+SUM_TILE, CELLS, WHOLE = 4096, 4_000_000, 4096
+#: Samples whose vector may be held by the driver and by tasks.
+VECTOR_CAP = 50_000_000
+
+
+def is_long(g: DataFrame) -> bool:
+    return "sample" in g.columns
+
+
+def pack(g: DataFrame, n: int | None = None) -> DataFrame:
+    """Packed rows of long ones; samples that a variant lacks are missing."""
+    if not is_long(g):
+        return g
+    n = n or int((g.agg(F.max("sample")).first()[0] or -1) + 1)
+    rows = g.groupBy("snp").agg(F.collect_list(F.struct("sample", F.col("dosage").cast("double").alias("dosage"))).alias("cells"))
+    rows = rows.select("snp", F.col("cells.sample").alias("sample"), F.col("cells.dosage").alias("dosage"))
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                x = np.full((1, n), np.nan)
+                sample, dosage = (batch.column(c)[at].values for c in ("sample", "dosage"))
+                x[0, sample.to_numpy()] = dosage.to_numpy(zero_copy_only=False)
+                yield packed_batch(batch.column("snp").slice(at, 1), x)
+
+    return rows.mapInArrow(scatter, "snp long, dosage array<double>")
+
+
+def packed_batch(snp: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of a block (variant x sample), NaN as null."""
+    flat = pa.array(x.ravel(), pa.float64(), from_pandas=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
+    return pa.RecordBatch.from_arrays([snp.cast(pa.int64()), lists], ["snp", "dosage"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], name: str = "dosage") -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches of a bounded number of cells, and their dosages (variant x sample), NaN where missing."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        width = max(1, len(batch.column(name)[0]))
+        step = max(1, CELLS // width)
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            flat = part.column(name).flatten()
+            if len(flat) != width * part.num_rows:
+                raise ValueError("variants have different numbers of samples")
+            yield part, flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _by_row(p: DataFrame, fields: str, of: Callable[[np.ndarray], list[np.ndarray]], keep: tuple[str, ...] = ("snp",)) -> DataFrame:
+    """The columns ``keep`` and new ones, made of each block's dosages."""
+    names = [f.split()[0] for f in fields.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in blocks(batches):
+            new = [pa.array(v, from_pandas=True) for v in of(x)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], [*keep, *names])
+
+    kinds = ", ".join(f"{c} {p.schema[c].dataType.simpleString()}" for c in keep)
+    return p.select(*dict.fromkeys((*keep, "dosage"))).mapInArrow(run, f"{kinds}, {fields}")
+
+
+def _by_sample(p: DataFrame, names: list[str], of: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]) -> DataFrame:
+    """(sample, names...): sums over variants of what ``of`` returns for a block, (name x sample).
+
+    Tasks' vectors are summed tile by tile, first in up to 64 groups a tile, so no task gathers all of them.
+    """
+    k = len(names)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for rows, x in blocks(batches):
+            sums = of(rows, x)
+            total = sums if total is None else total + sums
+        if total is not None:
+            from pyspark import TaskContext
+
+            at = range(0, total.shape[1], SUM_TILE)
+            cols = [[a // SUM_TILE for a in at], [TaskContext.get().partitionId() % 64] * len(at), [np.ascontiguousarray(total[:, a : a + SUM_TILE]).tobytes() for a in at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["tile", "salt", "sums"])
+
+    def added(table: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(b.as_buffer()).reshape(k, -1) for b in table["sums"])
+
+    def some(table: pa.Table) -> pa.Table:
+        return pa.table({"tile": table["tile"][:1], "sums": pa.array([added(table).tobytes()], pa.binary())})
+
+    def rows(table: pa.Table) -> pa.Table:
+        total, at = added(table), table["tile"][0].as_py() * SUM_TILE
+        return pa.table({"sample": np.arange(at, at + total.shape[1])} | {n: total[i] for i, n in enumerate(names)})
+
+    parts = p.mapInArrow(part, "tile long, salt long, sums binary").groupBy("tile", "salt").applyInArrow(some, "tile long, sums binary")
+    return parts.groupBy("tile").applyInArrow(rows, "sample long, " + ", ".join(f"{n} double" for n in names))
 
 
 def snp_counts(g: DataFrame) -> DataFrame:
-    """(snp, n0, n1, n2, missing, n) by rounded dosage."""
-    d = F.round("dosage")
-    return g.groupBy("snp").agg(
-        *[F.count_if(d == k).alias(f"n{k}") for k in (0, 1, 2)], F.count_if(F.col("dosage").isNull()).alias("missing"), F.count(F.lit(1)).alias("n")
-    )
+    """(snp, n0, n1, n2, missing, n) by rounded dosage. Streams of long rows are aggregated as they are."""
+    if is_long(g):
+        d = F.round("dosage")
+        return g.groupBy("snp").agg(
+            *[F.count_if(d == k).alias(f"n{k}") for k in (0, 1, 2)], F.count_if(F.col("dosage").isNull()).alias("missing"), F.count(F.lit(1)).alias("n")
+        )
+
+    def of(x: np.ndarray) -> list[np.ndarray]:
+        r = np.rint(x)
+        return [*[(r == k).sum(1) for k in (0, 1, 2)], np.isnan(x).sum(1), np.full(len(x), x.shape[1])]
+
+    return _by_row(g, "n0 long, n1 long, n2 long, missing long, n long", of)
 
 
 def snp_quality(g: DataFrame) -> DataFrame:
@@ -28,8 +138,13 @@ def snp_quality(g: DataFrame) -> DataFrame:
 
 def sample_quality(g: DataFrame) -> DataFrame:
     """(sample, n, valid, het, homo, miss_rate, het_rate)."""
-    d = F.round("dosage")
-    c = g.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.count("dosage").alias("valid"), F.count_if(d == 1).alias("het"), F.count_if((d == 0) | (d == 2)).alias("homo"))
+
+    def of(_: pa.RecordBatch, x: np.ndarray) -> np.ndarray:
+        r = np.rint(x)
+        return np.stack([np.full(x.shape[1], len(x)), (~np.isnan(x)).sum(0), (r == 1).sum(0), ((r == 0) | (r == 2)).sum(0)]).astype(float)
+
+    names = ["n", "valid", "het", "homo"]
+    c = _by_sample(pack(g), names, of).withColumns({n: F.col(n).cast("long") for n in names})
     return c.withColumn("miss_rate", 1 - F.col("valid") / F.col("n")).withColumn("het_rate", F.coalesce(F.try_divide("het", "valid"), F.lit(0.0)))
 
 
@@ -45,9 +160,30 @@ def passing_samples(q: DataFrame, mind: float = 1.0) -> DataFrame:
     return q.where(F.col("miss_rate") <= mind)
 
 
+def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, population variance and number of known dosages of each variant; NaN where none is known."""
+    known = ~np.isnan(x)
+    n = known.sum(1)
+    some = np.where(n > 0, n, 1)
+    mean = np.where(n > 0, np.where(known, x, 0).sum(1) / some, np.nan)
+    var = np.where(n > 0, np.where(known, (x - mean[:, None]) ** 2, 0).sum(1) / some, np.nan)
+    return mean, var, n
+
+
 def frequencies(g: DataFrame) -> DataFrame:
     """(snp, p, mean, var, valid): p is the counted allele's frequency, var the population variance."""
-    return g.groupBy("snp").agg((F.avg("dosage") / 2).alias("p"), F.avg("dosage").alias("mean"), F.var_pop("dosage").alias("var"), F.count("dosage").alias("valid"))
+
+    def of(x: np.ndarray) -> list[np.ndarray]:
+        mean, var, n = moments(x)
+        return [mean / 2, mean, var, n]
+
+    return _by_row(pack(g), "p double, mean double, var double, valid long", of)
+
+
+def usable(p: np.ndarray, maf: float) -> np.ndarray:
+    """Polymorphic variants with at least the minor allele frequency."""
+    with np.errstate(invalid="ignore"):
+        return (np.minimum(p, 1 - p) >= maf) & (p > 0) & (p < 1)
 
 
 def usable_frequencies(f: DataFrame, maf: float = 0.01) -> DataFrame:
@@ -55,85 +191,210 @@ def usable_frequencies(f: DataFrame, maf: float = 0.01) -> DataFrame:
     return f.where((F.least("p", 1 - F.col("p")) >= maf) & (F.col("p") > 0) & (F.col("p") < 1))
 
 
-def sum_2pq(f: DataFrame) -> DataFrame:
+def filtered(g: DataFrame, maf: float = 0.01, hwe: float = 0.0, chrom: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """The variants that a relationship matrix uses: polymorphic, with at least the minor allele frequency, optionally
+    in Hardy-Weinberg proportions and on one chromosome (variants (snp, chrom), name)."""
+    p = pack(g)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in blocks(batches):
+            yield part.filter(pa.array(usable(moments(x)[0] / 2, maf)))
+
+    out = p.mapInArrow(keep, p.schema)
+    if chrom is not None:
+        out = out.join(chrom[0].where(F.col("chrom") == chrom[1]).select("snp"), "snp", "left_semi")
+    if hwe > 0:
+        out = out.join(passing_snps(snp_quality(out), hwe=hwe).select("snp"), "snp", "left_semi")
+    return out
+
+
+def sum_2pq(f: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """One row of sums over variants, weighted by (snp, weight) if given (no weight: no variant)."""
+    w = F.lit(1.0)
+    if weights is not None:
+        f, w = f.join(weights.select("snp", "weight").where("weight > 0"), "snp"), F.col("weight")
     pq = 2 * F.col("p") * (1 - F.col("p"))
-    return f.agg(F.sum(pq).alias("sum2pq"), F.sum(pq * pq).alias("sum4p2q2"), F.sum("var").alias("sumvar"), F.count(F.lit(1)).alias("m"))
+    return f.agg(F.sum(w * pq).alias("sum2pq"), F.sum(w * pq * pq).alias("sum4p2q2"), F.sum(w * F.col("var")).alias("sumvar"), F.sum(w).cast("double").alias("sumw"), F.count(F.lit(1)).alias("m"))
+
+
+def classes(samples: DataFrame, population: DataFrame) -> DataFrame:
+    """(sample, grp): the class of each of (sample, fid, iid) by IID, else by FID:IID, else 0; ``population`` is
+    (id, pop), of repeated ids the first counts, and classes are numbered from 1 by the place (line) of their first row."""
+    first = population.groupBy("pop").agg(F.min("line").alias("at"))
+    from kinforge.operators.pedigree import numbered
+
+    number = numbered(first, "at", "pop").select("pop", (F.col("number") + 1).alias("grp"))
+    by_id = population.groupBy("id").agg(F.min_by("pop", "line").alias("pop")).join(number, "pop").select("id", "grp")
+    own = samples.join(by_id.toDF("iid", "g1"), "iid", "left")
+    both = own.withColumn("both", F.concat_ws(":", "fid", "iid")).join(by_id.toDF("both", "g2"), "both", "left")
+    return both.select("sample", F.coalesce("g1", "g2", F.lit(0)).cast("long").alias("grp"))
+
+
+def sample_vector(rows: DataFrame, name: str, n: int, fill: float = 0.0) -> np.ndarray:
+    """(sample, name) as a vector of all samples, within the cap on vectors."""
+    if n > VECTOR_CAP:
+        raise ValueError(f"{n} samples are beyond the cap of {VECTOR_CAP}")
+    pdf = rows.select("sample", name).toPandas()
+    out = np.full(n, fill)
+    out[pdf["sample"].to_numpy(np.int64)] = pdf[name].to_numpy(float)
+    return out
+
+
+def width(p: DataFrame) -> int:
+    """Number of samples of packed rows; 0 if there is no row."""
+    first = p.select(F.size("dosage")).first()
+    return int(first[0]) if first else 0
 
 
 def group_frequencies(g: DataFrame, groups: DataFrame) -> DataFrame:
-    """(snp, grp, p): frequency within each group of (sample, grp); the overall one where a group knows none."""
-    overall = frequencies(g).select("snp", F.col("p").alias("all_p"))
-    own = g.join(groups, "sample").groupBy("snp", "grp").agg((F.avg("dosage") / 2).alias("own_p"))
-    return own.join(overall, "snp").select("snp", "grp", F.coalesce("own_p", "all_p").alias("p"))
-
-
-def coded(g: DataFrame, f: DataFrame, method: int = VANRADEN, weights: DataFrame | None = None) -> DataFrame:
-    """(snp, sample, z): coded dosages, missing 0, times the root of the variant's weight (no weight: no variant)."""
-    p, x = F.col("p"), F.col("dosage")
-    q = 1 - p
-    hard = F.round(x)
-    z = {
-        VANRADEN: x - 2 * p,
-        ZENG: F.when(hard == 2, q).when(hard == 1, 1 - 2 * p).otherwise(-p),
-        YANG: (x - 2 * p) / F.sqrt(2 * p * q),
-        DOMINANCE: F.when(hard == 2, -2 * q * q).when(hard == 1, 2 * p * q).otherwise(-2 * p * p),
-        TRUE_VARIANCE: (x - 2 * p) / F.sqrt("var"),
-    }[method]
-    rows = g.join(f.select("snp", "p", "var"), "snp")
+    """(snp, grp, p): frequency within each class of (sample, grp), samples without one in class 0; the overall one
+    where a class knows none."""
+    p = pack(g)
+    of = sample_vector(groups, "grp", width(p)).astype(np.int64)
+    names = np.unique(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = (of[:, None] == names).astype(float)
+        for part, x in blocks(batches):
+            known = ~np.isnan(x)
+            total, n = np.where(known, x, 0) @ member, known @ member
+            own = np.where(n > 0, total / np.maximum(n, 1) / 2, (moments(x)[0] / 2)[:, None])
+            snp = np.repeat(part.column("snp").to_numpy(), len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(snp), pa.array(np.tile(names, len(x))), pa.array(own.ravel(), from_pandas=True)], ["snp", "grp", "p"])
+
+    return p.select("snp", "dosage").mapInArrow(run, "snp long, grp long, p double")
+
+
+def code(x: np.ndarray, method: int) -> tuple[np.ndarray, np.ndarray]:
+    """(z, share): coded dosages (missing 0), and each variant's share in the divisor of the method."""
+    mean, var, _ = moments(x)
+    p = (mean / 2)[:, None]
+    q, hard = 1 - p, np.rint(x)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if method == VANRADEN:
+            z, share = x - 2 * p, 2 * p * q
+        elif method == ZENG:
+            z, share = np.select([hard == 2, hard == 1], [q + 0 * x, 1 - 2 * p + 0 * x], -p + 0 * x), 0 * p
+        elif method == YANG:
+            z, share = (x - 2 * p) / np.sqrt(2 * p * q), 1 + 0 * p
+        elif method == DOMINANCE:
+            z, share = np.select([hard == 2, hard == 1], [-2 * q * q + 0 * x, 2 * p * q + 0 * x], -2 * p * p + 0 * x), (2 * p * q) ** 2
+        else:
+            z, share = (x - 2 * p) / np.sqrt(var)[:, None], var[:, None]
+    return np.nan_to_num(z, nan=0.0, posinf=0.0, neginf=0.0), share[:, 0]
+
+
+def coded(g: DataFrame, method: int = VANRADEN, weights: DataFrame | None = None, maf: float = 0.0) -> DataFrame:
+    """(snp, z, share): coded dosages, missing 0, times the root of the variant's weight (no weight: no variant), of
+    polymorphic variants with at least the minor allele frequency; ``share`` is what the variant adds to the divisor."""
+    p = pack(g)
     if weights is not None:
-        rows = rows.join(weights.select("snp", "weight").where("weight > 0"), "snp")
-        z = z * F.sqrt("weight")
-    return rows.select("snp", "sample", F.when(x.isNull(), 0.0).otherwise(z).alias("z"))
+        p = p.join(weights.select("snp", "weight").where("weight > 0"), "snp")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in blocks(batches):
+            keep = usable(moments(x)[0] / 2, maf)
+            z, share = code(x[keep], method)
+            w = part.column("weight").to_numpy()[keep] if weights is not None else np.ones(len(z))
+            row = packed_batch(part.column("snp").filter(pa.array(keep)), z * np.sqrt(w)[:, None])
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array(share * w)], ["snp", "z", "share"])
 
-def divisor(f: DataFrame, method: int, trace: float | None = None, n: int | None = None) -> float:
-    s = sum_2pq(f).first()
-    return {VANRADEN: s["sum2pq"], YANG: float(s["m"]), DOMINANCE: s["sum4p2q2"], TRUE_VARIANCE: s["sumvar"], ZENG: (trace or 0.0) / max(1, n or 1)}[method]
+    return p.mapInArrow(run, "snp long, z array<double>, share double")
 
 
-def cross_samples(z: DataFrame, n: int, tile: int = 2048, snps: int = 2048) -> DataFrame:
-    """ZZ' as (i, j, v), i >= j, from blocked products.
+def cross_samples(z: DataFrame, n: int, tile: int = 2048, run: int = 8192, whole: int = WHOLE) -> DataFrame:
+    """ZZ' as (i, j, v), i >= j, from rows (snp, z).
 
-    Variants fall into slices of ``snps``; a slice's coded dosages meet as tiles of samples, each pair of tiles is
-    one matrix product in one task, and products of slices are summed by Spark. A task holds two tiles of a slice
-    and their product, whatever the number of samples or variants.
+    Up to ``whole`` samples, a task adds up the product of all its variants; beyond, variants go in runs of ``run`` to one
+    task for each pair of tiles, with those tiles' values only. Either way whole tiles are emitted and summed.
     """
     tiles = max(1, -(-n // tile))
-    rows = z.withColumn("slice", F.floor(F.col("snp") / snps)).withColumn("t", F.floor(F.col("sample") / tile))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
-    rows = rows.withColumn("hi", F.greatest("t", "with")).withColumn("lo", F.least("t", "with"))
 
-    def product(table: pa.Table) -> pa.Table:
+    def tile_rows(total: dict) -> pa.RecordBatch:
+        keys = list(total)
+        cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([total[k].tobytes() for k in keys], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["hi", "lo", "v"])
+
+    if n <= whole:
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for _, x in blocks(batches, "z"):
+                total = x.T @ x if total is None else total + x.T @ x
+            if total is not None:
+                cut = lambda t: slice(t * tile, (t + 1) * tile)
+                yield tile_rows({(hi, lo): np.ascontiguousarray(total[cut(hi), cut(lo)]) for hi in range(tiles) for lo in range(hi + 1)})
+
+        parts = z.select("snp", "z").mapInArrow(product, "hi long, lo long, v binary")
+    else:
+        pairs = F.array(*[F.struct(F.lit(hi).cast("long").alias("hi"), F.lit(lo).cast("long").alias("lo")) for hi in range(tiles) for lo in range(hi + 1)])
+        rows = z.select(F.floor(F.col("snp") / run).alias("run"), "z", F.explode(pairs).alias("pair")).select("run", "pair.*", "z")
+        cut = lambda t: F.slice("z", F.col(t).cast("int") * tile + 1, tile)
+        rows = rows.select("run", "hi", "lo", cut("hi").alias("a"), F.when(F.col("hi") != F.col("lo"), cut("lo")).alias("b"))
+
+        def of_pair(table: pa.Table) -> pa.Table:
+            hi, lo, total = table["hi"][0].as_py(), table["lo"][0].as_py(), None
+            for batch in table.to_batches(max_chunksize=1024):
+                wide = lambda c, batch=batch: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                a = wide("a")
+                part = a.T @ (a if hi == lo else wide("b"))
+                total = part if total is None else total + part
+            return pa.Table.from_batches([tile_rows({(hi, lo): np.ascontiguousarray(total)})])
+
+        parts = rows.groupBy("run", "hi", "lo").applyInArrow(of_pair, "hi long, lo long, v binary")
+
+    def cells(table: pa.Table) -> pa.Table:
         hi, lo = table["hi"][0].as_py(), table["lo"][0].as_py()
-        snp, sample, z_of = (table[c].to_numpy() for c in ("snp", "sample", "z"))
-        column = snp - snp.min()
-        width = int(column.max()) + 1
-
-        def block(t: int) -> np.ndarray:
-            mine = sample // tile == t
-            out = np.zeros((min(tile, n - t * tile), width))
-            out[sample[mine] - t * tile, column[mine]] = z_of[mine]
-            return out
+        shape = (min(tile, n - hi * tile), min(tile, n - lo * tile))
+        v = sum(np.frombuffer(b.as_buffer()) for b in table["v"]).reshape(shape)
+        i, j = np.indices(shape)
+        i, j = i + hi * tile, j + lo * tile
+        keep = i >= j
+        return pa.table({"i": i[keep], "j": j[keep], "v": v[keep]})
 
-        a = block(hi)
-        v = a @ (a if hi == lo else block(lo)).T
-        i, j = np.indices(v.shape)
-        keep = (i + hi * tile) >= (j + lo * tile)
-        return pa.table({"i": (i + hi * tile)[keep], "j": (j + lo * tile)[keep], "v": v[keep]})
+    def summed(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_buffer()) for b in table["v"])
+        return pa.table({"hi": table["hi"][:1], "lo": table["lo"][:1], "v": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.select("slice", "hi", "lo", "snp", "sample", "z").groupBy("slice", "hi", "lo").applyInArrow(product, "i long, j long, v double")
-    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    # tiles are summed in two steps, so that no task gathers those of all runs
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(16)))
+    some = salted.groupBy("hi", "lo", "salt").applyInArrow(lambda t: summed(t.drop_columns(["salt"])), "hi long, lo long, v binary")
+    return some.groupBy("hi", "lo").applyInArrow(cells, "i long, j long, v double")
 
 
 def relationship(g: DataFrame, n: int, method: int = VANRADEN, maf: float = 0.01, weights: DataFrame | None = None) -> DataFrame:
     """Genomic relationship matrix (i, j, v), lower triangle."""
-    f = usable_frequencies(frequencies(g), maf)
-    raw = cross_samples(coded(g, f, method, weights), n)
-    if method == ZENG:
-        trace = raw.where("i = j").agg(F.avg("v").alias("mean"))
-        return raw.crossJoin(F.broadcast(trace)).select("i", "j", (F.col("v") / F.col("mean")).alias("v"))
-    by = divisor(f, method)
-    return raw.select("i", "j", (F.col("v") / by).alias("v"))
+    z = coded(pack(g, n), method, weights, maf)
+    raw = cross_samples(z, n)
+    by = raw.where("i = j").agg(F.avg("v").alias("by")) if method == ZENG else z.agg(F.sum("share").alias("by"))
+    return raw.crossJoin(F.broadcast(by)).select("i", "j", (F.col("v") / F.col("by")).alias("v"))
+
+
+def population_relationship(g: DataFrame, groups: DataFrame, n: int, maf: float = 0.01) -> DataFrame:
+    """VanRaden's matrix (i, j, v), lower triangle, with dosages centred within the classes of (sample, grp), and each
+    entry divided by the root of the product of its classes' mean diagonals."""
+    p = pack(g, n)
+    of = sample_vector(groups, "grp", n).astype(np.int64)
+    names, at = np.unique(of, return_inverse=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member = (of[:, None] == names).astype(float)
+        for part, x in blocks(batches):
+            keep = usable(moments(x)[0] / 2, maf)
+            x = x[keep]
+            known = ~np.isnan(x)
+            total, count = np.where(known, x, 0) @ member, known @ member
+            own = np.where(count > 0, total / np.maximum(count, 1), moments(x)[0][:, None])
+            yield packed_batch(part.column("snp").filter(pa.array(keep)), np.where(known, x - own[:, at], 0.0))
+
+    z = p.select("snp", "dosage").mapInArrow(run, "snp long, dosage array<double>").withColumnRenamed("dosage", "z")
+    raw = cross_samples(z, n)
+    # one mean diagonal for each class: classes are few, so the table of means is broadcast
+    grp = F.broadcast(p.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(of.tolist())], "sample long, grp long"))
+    means = raw.where("i = j").join(grp.toDF("i", "grp"), "i").groupBy("grp").agg(F.avg("v").alias("s"))
+    scale = grp.join(F.broadcast(means), "grp").select("sample", F.sqrt("s").alias("s"))
+    out = raw.join(F.broadcast(scale.toDF("i", "si")), "i").join(F.broadcast(scale.toDF("j", "sj")), "j")
+    return out.select("i", "j", (F.col("v") / (F.col("si") * F.col("sj"))).alias("v"))
 
 
 def full(lower: DataFrame) -> DataFrame:
@@ -150,43 +411,85 @@ def aligned_effects(variants: DataFrame, effects: DataFrame) -> DataFrame:
 
 def scores(g: DataFrame, samples: DataFrame, effects: DataFrame) -> DataFrame:
     """(sample, score): sum of dosage times effect, missing skipped, every sample kept."""
-    sums = g.where("dosage is not null").join(effects, "snp").groupBy("sample").agg(F.sum(F.col("dosage") * F.col("beta")).alias("score"))
+    rows = pack(g).join(effects.select("snp", "beta"), "snp").select("dosage", "beta")
+    sums = _by_sample(rows, ["score"], lambda part, x: (part.column("beta").to_numpy() @ np.nan_to_num(x))[None])
     return samples.select("sample").join(sums, "sample", "left").select("sample", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def snp_effects(z: DataFrame, q: DataFrame, by: float) -> DataFrame:
-    """(snp, effect) = Z'q / by for coded rows and q = K^-1 u as (sample, v)."""
-    return z.join(q, "sample").groupBy("snp").agg((F.sum(F.col("z") * F.col("v")) / by).alias("effect"))
+def times_samples(g: DataFrame, q: DataFrame, n: int, maf: float = 0.01) -> DataFrame:
+    """(snp, v, share): Z'q of the centred dosages of each variant for q as (sample, v), and the variant's 2pq."""
+    vector = sample_vector(q, "v", n)
+
+    def of(x: np.ndarray) -> list[np.ndarray]:
+        mean = moments(x)[0]
+        keep = usable(mean / 2, maf)
+        v = np.where(np.isnan(x), 0.0, x - mean[:, None]) @ vector
+        return [np.where(keep, v, np.nan), mean * (1 - mean / 2)]
+
+    return _by_row(pack(g, n), "v double, share double", of).where("v is not null")
+
+
+def times_variants(g: DataFrame, effects: DataFrame) -> DataFrame:
+    """(sample, v): Zv of the centred dosages for (snp, beta), missing 0."""
+    rows = pack(g).join(effects.select("snp", "beta"), "snp").select("dosage", "beta")
+
+    def of(part: pa.RecordBatch, x: np.ndarray) -> np.ndarray:
+        centred = np.where(np.isnan(x), 0.0, x - moments(x)[0][:, None])
+        return (part.column("beta").to_numpy() @ centred)[None]
+
+    return _by_sample(rows, ["v"], of)
+
+
+def snp_effects(g: DataFrame, q: DataFrame, n: int, maf: float = 0.01) -> DataFrame:
+    """(snp, effect) = Z'q / sum of 2pq for q = K^-1 u as (sample, v), over the variants of the relationship matrix."""
+    z = times_samples(g, q, n, maf)
+    return z.crossJoin(F.broadcast(z.agg(F.sum("share").alias("by")))).select("snp", (F.col("v") / F.col("by")).alias("effect"))
+
+
+def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(z, keep): centred, missing 0, then scaled to unit mean square over all samples; ``keep`` leaves out constant ones."""
+    z = np.where(np.isnan(x), 0.0, x - moments(x)[0][:, None])
+    square = np.nan_to_num((z * z).mean(1))
+    keep = square > 0
+    return z / np.sqrt(np.where(keep, square, 1))[:, None], keep
+
+
+def _by_block(p: DataFrame, window: int, of: Callable[[np.ndarray, np.ndarray, pa.Table], dict], schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """What ``of`` (snp, standardised dosages, table) returns for blocks of ``window`` consecutive variants."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("snp").combine_chunks()
+        x = table["dosage"].combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        z, keep = standardise(x)
+        return pa.table(of(table["snp"].to_numpy()[keep], z[keep], table.filter(pa.array(keep))))
 
-def block_shrinkage(x: DataFrame, beta: DataFrame, n: int, m: int, h2: float, window: int = 1000) -> DataFrame:
-    """(snp, effect): (R + lambda / n I)^-1 beta within blocks of consecutive variants; x holds standardised rows."""
+    return p.select(F.floor(F.col("snp") / window).alias("block"), "snp", "dosage", *more).groupBy("block").applyInArrow(run, schema)
+
+
+def block_correlations(g: DataFrame, window: int = 1000) -> DataFrame:
+    """(snp1, snp2, r) of the variants within each block of consecutive ones, snp1 < snp2."""
+
+    def of(snp: np.ndarray, z: np.ndarray, _: pa.Table) -> dict:
+        i, j = np.triu_indices(len(snp), 1)
+        return {"snp1": snp[i], "snp2": snp[j], "r": (z @ z.T / max(1, z.shape[1]))[i, j]}
+
+    return _by_block(pack(g), window, of, "snp1 long, snp2 long, r double")
+
+
+def block_shrinkage(g: DataFrame, beta: DataFrame, n: int, m: int, h2: float, window: int = 1000) -> DataFrame:
+    """(snp, effect): (R + lambda / n I)^-1 beta within blocks of consecutive variants."""
     if not 0 < h2 < 1:
         raise ValueError("h2 must lie between 0 and 1")
     ridge = m * (1 - h2) / h2 / n
-    rows = x.join(beta, "snp").withColumn("block", F.floor(F.col("snp") / window))
-
-    def solve(table: pa.Table) -> pa.Table:
-        snp, sample, z = (table[c].to_numpy() for c in ("snp", "sample", "z"))
-        names, at = np.unique(snp, return_inverse=True)
-        dense = np.zeros((n, len(names)))
-        dense[sample, at] = z
-        b = np.zeros(len(names))
-        b[at] = table["beta"].to_numpy()
-        r = dense.T @ dense / n
-        return pa.table({"snp": names, "effect": np.linalg.solve(r + ridge * np.eye(len(names)), b)})
-
-    return rows.select("block", "snp", "sample", "z", "beta").groupBy("block").applyInArrow(solve, "snp long, effect double")
 
+    def of(snp: np.ndarray, z: np.ndarray, table: pa.Table) -> dict:
+        return {"snp": snp, "effect": np.linalg.solve(z @ z.T / n + ridge * np.eye(len(snp)), table["beta"].to_numpy())}
 
-def standardised(g: DataFrame) -> DataFrame:
-    """(snp, sample, z): centred, missing 0, then scaled to unit mean square over all samples; constant variants go."""
-    f = g.groupBy("snp").agg(F.avg("dosage").alias("mean"), (F.var_pop("dosage") * F.count("dosage") / F.count(F.lit(1))).alias("square"))
-    return g.join(f.where("square > 0"), "snp").select("snp", "sample", F.coalesce((F.col("dosage") - F.col("mean")) / F.sqrt("square"), F.lit(0.0)).alias("z"))
+    return _by_block(pack(g, n).join(beta.select("snp", "beta"), "snp"), window, of, "snp long, effect double", ("beta",))
 
 
 def apy_inverse(g: np.ndarray, core: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    """Inverse by core and non-core animals; ``core`` holds the core's numbers (bounded by the dense cap)."""
+    """Inverse by core and non-core animals, on the driver; ``core`` holds the core's numbers."""
     n = len(g)
     rest = np.setdiff1d(np.arange(n), core)
     inner = np.linalg.inv(g[np.ix_(core, core)] + ridge * np.eye(len(core)))
@@ -200,12 +503,86 @@ def apy_inverse(g: np.ndarray, core: np.ndarray, ridge: float = 0.0) -> np.ndarr
     return out
 
 
+def apy_blocks(g: DataFrame, core: DataFrame, ridge: float = 0.0, cap: int = 8000) -> DataFrame:
+    """The same inverse as rows (i, j, v), both triangles, from the matrix (i, j, v), both triangles, and core (i): only the
+    core's block reaches the driver. An animal outside the core is a row of its own with its relationships to the core,
+    and the sum over such rows of p p' / m is added up by tasks."""
+    numbers = np.sort(core.select("i").toPandas()["i"].to_numpy(np.int64))
+    if not len(numbers):
+        raise ValueError("no animal of the core has a genotype")
+    if len(numbers) > cap:
+        raise ValueError(f"a core of {len(numbers)} is beyond the cap of {cap}")
+    flag = F.broadcast(core.select("i").distinct())  # at most ``cap`` rows
+    to_core = g.join(flag.withColumnRenamed("i", "j"), "j", "left_semi")
+    inside = to_core.join(flag, "i", "left_semi").toPandas()
+    c = len(numbers)
+    gcc = np.zeros((c, c))
+    gcc[np.searchsorted(numbers, inside["i"]), np.searchsorted(numbers, inside["j"])] = inside["v"]
+    inner = np.linalg.inv(gcc + ridge * np.eye(c))
+    rest = to_core.join(flag, "i", "left_anti").groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("row"))
+    diagonal = g.where("i = j").select("i", F.col("v").alias("d"))
+    rest = rest.join(diagonal, "i").select("i", "d", F.col("row.j").alias("j"), F.col("row.v").alias("v"))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((c, c))
+        for batch in batches:
+            for i, d, j, v in zip(*(batch.column(k) for k in ("i", "d", "j", "v")), strict=True):
+                own = np.zeros(c)
+                own[np.searchsorted(numbers, j.values.to_numpy())] = v.values.to_numpy()
+                p = inner @ own
+                m = max(d.as_py() + ridge - own @ p, 1e-8)
+                total += np.outer(p, p) / m
+                me = np.full(c, i.as_py())
+                cols = [np.concatenate((me, numbers, me[:1])), np.concatenate((numbers, me, me[:1])), np.concatenate((-p / m, -p / m, [1 / m]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["i", "j", "v"])
+        if total.any():
+            i, j = (x.ravel() for x in np.indices((c, c)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[i]), pa.array(numbers[j]), pa.array(total.ravel())], ["i", "j", "v"])
+
+    from kinforge.sources.matrices import coo as rows
+
+    own = rows(g.sparkSession, inner, -1.0).join(g.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(numbers)], "i long, a long"), "i")
+    own = own.join(g.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(numbers)], "j long, b long"), "j").select(F.col("a").alias("i"), F.col("b").alias("j"), "v")
+    return own.unionByName(rest.mapInArrow(cells, "i long, j long, v double")).groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
+
+
 def psd_inverse(m: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     """Inverse with bending: eigenvalues below max(1e-12 of the largest, 1e-6) are raised to that."""
     values, vectors = np.linalg.eigh(m + ridge * np.eye(len(m)))
     return (vectors / np.maximum(values, max(1e-12 * values.max(), 1e-6))) @ vectors.T
 
 
+def jittered_inverse(m: np.ndarray) -> np.ndarray:
+    """Inverse by Cholesky with the least of 0, 1e-10, 1e-9 ... 1e-2 on the diagonal that makes it positive definite."""
+    for jitter in (0.0, *(10.0**k for k in range(-10, -1))):
+        try:
+            half = np.linalg.inv(np.linalg.cholesky(m + jitter * np.eye(len(m))))
+        except np.linalg.LinAlgError:
+            continue
+        return half.T @ half
+    raise np.linalg.LinAlgError("not positive definite, even with 1e-2 on the diagonal")
+
+
+def tune_rows(g: DataFrame, a22: DataFrame) -> tuple[float, float]:
+    """(a, b) of G <- a + bG that gives G (i, j, v) the mean diagonal and off-diagonal of A22; both are full matrices,
+    entries that a sparse one lacks count as 0."""
+
+    def means(m: DataFrame, n: int) -> tuple[float, float]:
+        diagonal, off = m.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))), F.sum(F.when(F.col("i") != F.col("j"), F.col("v")))).first()
+        return (diagonal or 0.0) / n, (off or 0.0) / max(1, n * (n - 1))
+
+    n = g.where("i = j").count()
+    (da, oa), (dg, og) = means(a22, n), means(g, n)
+    b = (da - oa) / (dg - og)
+    return da - b * dg, b
+
+
+def blend_rows(g: DataFrame, a22: DataFrame, blend: float = 0.05, tuned: bool = True) -> DataFrame:
+    """G tuned to A22 (unless told not to) and blended with it, as rows."""
+    a, b = tune_rows(g, a22) if tuned else (0.0, 1.0)
+    return g.select("i", "j", (F.lit(1 - blend) * (F.lit(a) + F.lit(b) * F.col("v"))).alias("v")).unionByName(a22.select("i", "j", (F.lit(blend) * F.col("v")).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def tune(gm: np.ndarray, a22: np.ndarray, blend: float = 0.05, tuned: bool = True) -> np.ndarray:
     """G scaled and shifted to A22's mean diagonal and off-diagonal, then blended with it."""
     if tuned:
@@ -221,3 +598,27 @@ def principal_components(gm: np.ndarray, k: int = 10) -> np.ndarray:
     vectors = np.linalg.eigh(gm)[1][:, ::-1][:, :k]
     return vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
 
+
+def principal_components_of(g: DataFrame, n: int, k: int = 10, method: int = VANRADEN, maf: float = 0.01, rounds: int = 30, tol: float = 1e-9) -> np.ndarray:
+    """The same without the matrix: block power iteration with products ZZ'V, in which each task reads its variants once a
+    round; what is collected has samples x (k + 10) entries."""
+    z = coded(pack(g, n), method, None, maf).persist()
+    wide = min(n, k + 10)
+    v = np.linalg.qr(np.random.default_rng(20250101).normal(size=(n, wide)))[0]
+    was = np.zeros(wide)
+    for _ in range(rounds):
+        shared = g.sparkSession.sparkContext.broadcast(v)
+        of = lambda _, x: (x.T @ (x @ shared.value)).T  # noqa: B023, E731
+        pdf = _by_sample(z.select(F.col("z").alias("dosage")), [f"c{i}" for i in range(wide)], of).toPandas().sort_values("sample")
+        v, r = np.linalg.qr(pdf[[f"c{i}" for i in range(wide)]].to_numpy())
+        shared.unpersist()
+        now = np.abs(np.diag(r))
+        if np.abs(now - was).max() <= tol * now.max():
+            break
+        was = now
+    shared = g.sparkSession.sparkContext.broadcast(v)
+    pdf = _by_sample(z.select(F.col("z").alias("dosage")), [f"c{i}" for i in range(wide)], lambda _, x: (x.T @ (x @ shared.value)).T).toPandas().sort_values("sample")
+    inner = v.T @ pdf[[f"c{i}" for i in range(wide)]].to_numpy()
+    vectors = v @ np.linalg.eigh((inner + inner.T) / 2)[1][:, ::-1][:, :k]
+    z.unpersist()
+    return vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.tables import written
@@ -92,10 +92,27 @@ def relationship(ped: DataFrame, d: DataFrame, of: DataFrame | None = None) -> D
     return left.join(right, "ancestor").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """The rows with numbers from 0 in that order, without gathering them in one task: they are range-partitioned and
+    sorted, written with their places, and each partition's first number follows from the partitions' sizes."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(f"{name}__at", F.monotonically_increasing_id())
+    placed = written(placed, "numbered")
+    part = F.shiftright(f"{name}__at", 33)
+    sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    first, offsets = 0, []
+    for r in sizes:  # one row a partition
+        offsets.append((r["part"], first))
+        first += r["n"]
+    before = F.broadcast(rows.sparkSession.createDataFrame(offsets, f"{name}__part long, {name}__first long"))
+    place = F.col(f"{name}__at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.join(before, part == F.col(f"{name}__part")).withColumn(name, F.col(f"{name}__first") + place)
+    return out.drop(f"{name}__at", f"{name}__part", f"{name}__first")
+
+
 def first_appearance(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, level): levels numbered from 0 in order of first appearance."""
     firsts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("at"))
-    return firsts.select(key, (F.row_number().over(Window.orderBy("at", key)) - 1).cast("long").alias("level"))
+    return numbered(firsts, "at", key, name="level").select(key, "level")
 
 
 def to_dams(records: DataFrame, ped: DataFrame, id: str = "id", name: str = "dam_id") -> DataFrame:

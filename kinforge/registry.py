@@ -253,8 +253,7 @@ def qc_pass_ind(spark, sf_dir):
 @query(f"WITH {L.GENO}, {L.FREQ} SELECT sample, count_if(dosage IN (0, 2))::BIGINT AS homo, count_if(dosage = 1)::BIGINT AS het, count(dosage)::BIGINT AS valid FROM geno JOIN ok USING (snp) GROUP BY sample")
 def homo_hete(spark, sf_dir):
     g = L.genotypes(spark, sf_dir)
-    kept = G.usable_frequencies(G.frequencies(g)).select("snp")
-    return G.sample_quality(g.join(kept, "snp", "left_semi")).select("sample", "homo", "het", "valid")
+    return G.sample_quality(G.filtered(g)).select("sample", "homo", "het", "valid")
 
 
 @query(f"WITH {L.GENO}, {L.FREQ} SELECT snp, round(p, 6) AS p, round(var, 6) + 0.0 AS var, valid::BIGINT AS valid FROM freq")
@@ -350,20 +349,14 @@ def score_prs(spark, sf_dir):
 @query(f"""WITH {L.GENO}, {L.FREQ}, z AS (SELECT snp, sample, coalesce(dosage - 2 * p, 0) AS z FROM geno JOIN ok USING (snp))
 SELECT snp, round(sum(z * s_acctbal) / (SELECT sum(2 * p * (1 - p)) FROM ok), 4) + 0.0 AS effect FROM z JOIN supplier ON sample = s_suppkey GROUP BY snp""")
 def snp_backsolve(spark, sf_dir):
-    g = L.genotypes(spark, sf_dir)
-    f = G.usable_frequencies(G.frequencies(g))
     q = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_acctbal").alias("v"))
-    return G.snp_effects(G.coded(g, f), q, G.divisor(f, G.VANRADEN)).withColumn("effect", r6(F.col("effect"), 4))
+    return G.snp_effects(L.genotypes(spark, sf_dir), q, L.n_samples(spark, sf_dir)).withColumn("effect", r6(F.col("effect"), 4))
 
 
 @query(f"""WITH {L.GENO}, {L.FREQ}, z AS (SELECT snp, sample, coalesce((dosage - 2 * p) / sqrt(var * valid / (SELECT count(*) FROM supplier)), 0) AS z FROM geno JOIN freq USING (snp) WHERE var > 0)
 SELECT a.snp AS snp1, b.snp AS snp2, round(sum(a.z * b.z) / (SELECT count(*) FROM supplier), 6) + 0.0 AS r FROM z a JOIN z b ON a.sample = b.sample AND a.snp // 20 = b.snp // 20 AND a.snp < b.snp GROUP BY 1, 2""")
 def ld_block_corr(spark, sf_dir):
-    n = L.table(spark, sf_dir, "supplier").count()
-    z = G.standardised(L.genotypes(spark, sf_dir)).withColumn("block", F.floor(F.col("snp") / 20))
-    left, right = z.toDF("snp1", "sample", "z1", "block"), z.toDF("snp2", "sample", "z2", "block")
-    pairs = left.join(right, ["block", "sample"]).where("snp1 < snp2")
-    return pairs.groupBy("snp1", "snp2").agg(r6(F.sum(F.col("z1") * F.col("z2")) / n).alias("r"))
+    return G.block_correlations(L.genotypes(spark, sf_dir), 20).withColumn("r", r6(F.col("r")))
 
 
 @query("SELECT s_suppkey AS sample, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS core FROM supplier")
@@ -540,7 +533,7 @@ def sblup(spark, sf_dir):
     g = L.genotypes(spark, sf_dir)
     n, m = L.table(spark, sf_dir, "supplier").count(), L.table(spark, sf_dir, "part").count()
     beta = G.aligned_effects(L.variants(spark, sf_dir), L.effects(spark, sf_dir))
-    return G.block_shrinkage(G.standardised(g), beta, n, m, 0.3)
+    return G.block_shrinkage(g, beta, n, m, 0.3)
 
 
 @query()
