@@ -33,6 +33,7 @@ def multiply(m: DataFrame, x: DataFrame) -> DataFrame:
 
 def remap(m: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows and columns renumbered by (old, new); entries without a new number go."""
+    ids = ids.select("old", "new")
     rows = m.join(ids.toDF("i", "ni"), "i").join(ids.toDF("j", "nj"), "j")
     return rows.select(F.col("ni").alias("i"), F.col("nj").alias("j"), "v")
 
@@ -60,3 +61,35 @@ def dense(m: DataFrame, n: int, cap: int = 6000) -> np.ndarray:
     out = np.zeros((n, n))
     np.add.at(out, (pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64)), pdf["v"].to_numpy(float))
     return out
+
+
+def repair_signs(m: DataFrame, share: float = 0.6) -> DataFrame:
+    """Negates all off-diagonal entries if more than ``share`` of them are positive, as inverses written with the wrong
+    sign have them; for matrices other than inverses of genomic ones."""
+    off, positive = m.agg(F.count_if(F.col("i") != F.col("j")), F.count_if((F.col("i") != F.col("j")) & (F.col("v") > 0))).first()
+    if not off or positive <= share * off:
+        return m
+    return m.withColumn("v", F.when(F.col("i") != F.col("j"), -F.col("v")).otherwise(F.col("v")))
+
+
+def h_inverse(a_inverse: DataFrame, g_inverse: DataFrame, a22_inverse: DataFrame, typed: DataFrame | None = None, tau: float = 1.0, omega: float = 1.0) -> DataFrame:
+    """A^-1 + tau G^-1 - omega A22^-1 as rows (i, j, v): a union and one sum. ``typed`` is (sample, idx): the places of G's
+    animals in A; those without one take no part."""
+    parts = [scale(g_inverse, tau), scale(a22_inverse, -omega)]
+    if typed is not None:
+        ids = typed.where("idx is not null").select(F.col("sample").alias("old"), F.col("idx").alias("new"))
+        parts = [remap(p, ids) for p in parts]
+    return add(a_inverse.select("i", "j", "v"), *parts)
+
+
+def h_matrix(a: np.ndarray, g: np.ndarray, typed: np.ndarray) -> np.ndarray:
+    """H itself, within the dense cap: A with the block of the genotyped animals replaced by G and the others' relationships
+    adjusted through it, so that it is the inverse of H^-1 with tau and omega of 1."""
+    rest = np.setdiff1d(np.arange(len(a)), typed)
+    t = np.linalg.solve(a[np.ix_(typed, typed)], a[np.ix_(typed, rest)])
+    out = np.empty_like(a)
+    out[np.ix_(typed, typed)] = g
+    out[np.ix_(typed, rest)] = g @ t
+    out[np.ix_(rest, typed)] = (g @ t).T
+    out[np.ix_(rest, rest)] = a[np.ix_(rest, rest)] + t.T @ (g - a[np.ix_(typed, typed)]) @ t
+    return out

@@ -6,9 +6,11 @@ of any size is split by Spark; only the header line reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinforge.operators.pedigree import numbered
+
 # Missing phenotype tokens (any case) and unknown parents (this case only).
 MISSING = ("", "na", "nan", ".", "null")
 UNKNOWN_PARENT = ("", "NA", "0", ".")
@@ -41,12 +43,14 @@ def fields(text: Column, comma: bool) -> Column:
     return F.transform(F.split(text, ","), lambda x: F.trim(x)) if comma else F.split(F.trim(text), r"\s+")
 
 
-def header_of(source: DataFrame) -> tuple[list[str], bool]:
-    """Names in the first line, and whether commas delimit; a line that begins with white space lacks the id's name."""
+def first_line(source: DataFrame) -> tuple[int, str] | None:
+    """Number and text of the first line that isn't blank."""
     first = source.where(F.trim("text") != "").orderBy("line").limit(1).collect()
-    if not first:
-        return [], False
-    text = first[0]["text"]
+    return (first[0]["line"], first[0]["text"]) if first else None
+
+
+def names_of(text: str) -> tuple[list[str], bool]:
+    """Names in a header, and whether commas delimit; a line that begins with white space lacks the id's name."""
     comma = "," in text
     names = [x.strip() for x in text.split(",")] if comma else text.split()
     if not comma and text[:1] in (" ", "\t"):
@@ -54,6 +58,21 @@ def header_of(source: DataFrame) -> tuple[list[str], bool]:
     return names, comma
 
 
+def header_of(source: DataFrame) -> tuple[list[str], bool]:
+    first = first_line(source)
+    return names_of(first[1]) if first else ([], False)
+
+
+def body_of(source: DataFrame) -> tuple[list[str], DataFrame]:
+    """The header's names, and the lines after it with their fields ``f``; one look at the first line, then a filter."""
+    first = first_line(source)
+    if first is None:
+        return [], source.limit(0).withColumn("f", F.split("text", ","))
+    names, comma = names_of(first[1])
+    body = source.where((F.col("line") > first[0]) & (F.trim("text") != ""))
+    return names, body.withColumn("f", fields(F.col("text"), comma))
+
+
 def resolve(names: list[str], wanted: str | int, one_based: bool = False) -> int:
     """Place of a column: exact name, then any case, then a number (0-based unless told otherwise)."""
     wanted = str(wanted)
@@ -91,11 +110,11 @@ def pedigree(source: DataFrame, sire_first: bool | None = None) -> DataFrame:
     rows = parts.select("line", F.col("f")[0].alias("id"), known(1).alias("p1"), known(2).alias("p2"))
     seen = rows.select("line", F.posexplode(F.array("id", "p1", "p2")).alias("place", "id")).where("id is not null")
     firsts = seen.groupBy("id").agg(F.min(F.struct("line", "place")).alias("at"))
-    numbered = firsts.select("id", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("idx"))
+    numbers = numbered(firsts.select("id", "at.line", "at.place"), "line", "place", name="idx").select("id", "idx")
     own = rows.groupBy("id").agg(F.max_by(F.struct("p1", "p2"), "line").alias("p"))
     dam, sire = ("p2", "p1") if sire_first else ("p1", "p2")
-    out = numbered.join(own.select("id", F.col("p")[sire].alias("sire_id"), F.col("p")[dam].alias("dam_id")), "id", "left")
-    ids = numbered.select(F.col("id").alias("parent"), F.col("idx").alias("parent_idx"))
+    out = numbers.join(own.select("id", F.col("p")[sire].alias("sire_id"), F.col("p")[dam].alias("dam_id")), "id", "left")
+    ids = numbers.select(F.col("id").alias("parent"), F.col("idx").alias("parent_idx"))
     for side in ("sire", "dam"):
         out = out.join(ids.toDF(f"{side}_id", side), f"{side}_id", "left")
     return out.select("idx", "id", "sire", "dam")
@@ -110,10 +129,7 @@ def phenotypes(
     id_name: str | None = None,
 ) -> DataFrame:
     """(line, id, y, factors..., covariates..., randoms..., why): ``why`` is null for usable rows, else the reason."""
-    names, comma = header_of(source)
-    head = source.where(F.trim("text") != "").orderBy("line").limit(1).select("line")
-    body = source.join(F.broadcast(head.withColumnRenamed("line", "head")), F.col("line") > F.col("head")).where(F.trim("text") != "")
-    body = body.withColumn("f", fields(F.col("text"), comma))
+    names, body = body_of(source)
     at = {c: resolve(names, c) for c in [*factors, *covariates, *randoms]}
     y_at, id_at = resolve(names, trait), id_column(names, id_name)
     cell = lambda i: F.get("f", F.lit(i))
@@ -138,14 +154,19 @@ def last_row_per_id(rows: DataFrame, id_name: str = "id", order: str = "line") -
     return rows.groupBy(id_name).agg(F.max_by(F.struct(*others), order).alias("r")).select(id_name, "r.*")
 
 
-def multi_trait(source: DataFrame, traits: list[str] | None = None, id_name: str | None = None) -> DataFrame:
-    """(id, traits...): last row per id; missing traits are null."""
-    names, comma = header_of(source)
+def multi_trait(source: DataFrame, traits: list[str] | None = None, id_name: str | None = None, factors: list[str] = (), covariates: list[str] = ()) -> DataFrame:
+    """(id, traits..., factors..., covariates...): last row per id; missing traits are null, a row that lacks a factor or
+    covariate goes (before the last one is chosen). Without names every other column is a trait."""
+    names, body = body_of(source)
     id_at = id_column(names, id_name)
-    traits = traits or [n for i, n in enumerate(names) if i != id_at and n.upper() not in ("FID", "IID", "ID")]
-    body = source.withColumn("f", fields(F.col("text"), comma)).withColumn("n", F.row_number().over(Window.orderBy("line")))
-    cols = [number(F.get("f", F.lit(resolve(names, t, one_based=True)))).alias(t) for t in traits]
-    return last_row_per_id(body.where("n > 1").select("line", F.get("f", F.lit(id_at)).alias("id"), *cols)).drop("line")
+    others = {*factors, *covariates}
+    traits = traits or [n for i, n in enumerate(names) if i != id_at and n.upper() not in ("FID", "IID", "ID") and n not in others]
+    cell = lambda c: F.get("f", F.lit(resolve(names, c, one_based=True)))
+    cols = [number(cell(c)).alias(c) for c in [*traits, *covariates]] + [F.when(~is_missing(cell(c)), F.trim(cell(c))).alias(c) for c in factors]
+    rows = body.select("line", F.get("f", F.lit(id_at)).alias("id"), *cols)
+    if others:
+        rows = rows.dropna(subset=list(others))
+    return last_row_per_id(rows).select("id", *traits, *factors, *covariates)
 
 
 def triplets(source: DataFrame, zero: float = 1e-9) -> DataFrame:
@@ -155,7 +176,7 @@ def triplets(source: DataFrame, zero: float = 1e-9) -> DataFrame:
     if not n:
         return parts.select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v")).limit(0)
     if width == n and n != 3:
-        rows = parts.withColumn("i", (F.row_number().over(Window.orderBy("line")) - 1).cast("long"))
+        rows = numbered(parts.select("line", "f"), "line", name="i")
         cells = rows.select("i", F.posexplode("f").alias("j", "v")).select("i", F.col("j").cast("long"), F.col("v").cast("double"))
         return cells.where(F.abs("v") > zero)
     cells = parts.select(*[F.col("f")[k].cast(t).alias(c) for k, (c, t) in enumerate((("i", "long"), ("j", "long"), ("v", "double")))])
@@ -175,8 +196,8 @@ def symmetric(cells: DataFrame, zero: float = 1e-9) -> DataFrame:
 
 def id_list(source: DataFrame) -> DataFrame:
     """(idx, id) of the non-blank lines, idx from 0."""
-    rows = source.where(F.trim("text") != "")
-    return rows.select((F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("idx"), F.trim("text").alias("id"))
+    rows = numbered(source.where(F.trim("text") != ""), "line", name="idx")
+    return rows.select("idx", F.trim("text").alias("id"))
 
 
 def variances(source: DataFrame) -> tuple[float, float]:
@@ -194,7 +215,8 @@ def variances(source: DataFrame) -> tuple[float, float]:
 
 def summary_statistics(source: DataFrame) -> DataFrame:
     """(snp, a1, a2, beta): by header synonyms, else by place; bad effects go, of repeated SNPs the last counts."""
-    names, comma = header_of(source)
+    first = first_line(source)
+    names, comma = names_of(first[1]) if first else ([], False)
     upper = [n.upper() for n in names]
     at = {k: next((upper.index(n) for n in options if n in upper), None) for k, options in SUMMARY_NAMES.items()}
     if any(v is None for v in at.values()):
@@ -204,3 +226,62 @@ def summary_statistics(source: DataFrame) -> DataFrame:
         "line", cell("snp").alias("snp"), F.upper(cell("a1")).alias("a1"), F.upper(cell("a2")).alias("a2"), cell("beta").try_cast("double").alias("beta")
     )
     return last_row_per_id(rows.where("beta is not null and snp is not null"), "snp").drop("line")
+
+
+def snp_weights(source: DataFrame) -> DataFrame:
+    """(id, weight) of lines ``variant weight``; of repeated variants the last counts, lines without a number go."""
+    f = F.split(F.trim("text"), r"\s+")
+    rows = source.select("line", F.get(f, F.lit(0)).alias("id"), F.get(f, F.lit(1)).try_cast("double").alias("weight"))
+    return last_row_per_id(rows.where("weight is not null and id <> ''")).drop("line")
+
+
+def populations(source: DataFrame) -> DataFrame:
+    """(line, id, pop) of lines ``IID pop`` or ``FID IID pop``; the latter's id is FID:IID."""
+    f = F.split(F.trim("text"), r"\s+")
+    two = source.where(F.trim("text") != "").select("line", f.alias("f"))
+    long = F.size("f") >= 3
+    return two.where(F.size("f") >= 2).select(
+        "line", F.when(long, F.concat_ws(":", F.col("f")[0], F.col("f")[1])).otherwise(F.col("f")[0]).alias("id"), F.when(long, F.get("f", F.lit(2))).otherwise(F.col("f")[1]).alias("pop")
+    )
+
+
+def core_flags(samples: DataFrame, source: DataFrame) -> DataFrame:
+    """(sample, id, core): which of (sample, id) an id file names; an error if it names none."""
+    named = source.where(F.trim("text") != "").select(F.trim("text").alias("id")).distinct().withColumn("core", F.lit(True))
+    out = samples.select("sample", "id").join(named, "id", "left").select("sample", "id", F.coalesce("core", F.lit(False)).alias("core"))
+    if out.where("core").isEmpty():
+        raise ValueError("the core file names no genotyped animal")
+    return out
+
+
+def label_of(path: str) -> str:
+    """Name of a component from the file of its inverse: without folder, endings of formats and a trailing ``inv``."""
+    name = path.rstrip("/").rpartition("/")[2]
+    for ending in (".bin", ".txt", ".sparse", ".gz"):
+        name = name.removesuffix(ending)
+    name = name.rpartition(".")[2] or name
+    return name[:-3] if len(name) > 3 and name.lower().endswith("inv") else name
+
+
+def inverse_files(path: str) -> tuple[str, str]:
+    """(matrix, ids): for a file, its neighbour whose name has ``id``; in a folder, the pair of an ``inv`` and an ``id``
+    file (with as many ids as the matrix has rows, if there are several)."""
+    from pathlib import Path
+
+    at = Path(path)
+    if at.is_file():
+        ids = sorted(p for p in at.parent.iterdir() if p.is_file() and p != at and "id" in p.name.lower())
+        own = [p for p in ids if p.name.startswith(at.name.partition(".")[0])] or ids
+        if not own:
+            raise FileNotFoundError(f"{path}: no file of ids beside it")
+        return str(at), str(own[0])
+    files = sorted(p for p in at.iterdir() if p.is_file())
+    inverses, ids = ([p for p in files if word in p.name.lower()] for word in ("inv", "id"))
+    lines_in = lambda p: sum(1 for line in p.open(errors="replace") if line.strip())
+    pairs = [(m, i) for m in inverses for i in ids if m != i]
+    if len(pairs) > 1:
+        order = lambda m: max((int(line.split()[0]) for line in m.open() if line.strip()), default=0)
+        pairs = [(m, i) for m, i in pairs if m.suffix != ".bin" and lines_in(i) in (lines_in(m), order(m))] or pairs
+    if not pairs:
+        raise FileNotFoundError(f"{path}: no pair of an inverse and its ids")
+    return str(pairs[0][0]), str(pairs[0][1])
