@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -114,7 +115,9 @@ def hashable(df: DataFrame, *names: str) -> list[Column]:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
+    """Lets Spark delete shuffle files of finished jobs now: it does so when the driver's garbage is collected, and that
+    of Python first, which holds on to the JVM's."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
