@@ -6,13 +6,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinforge import dense_sql as D
 from kinforge import lenses as L
 from kinforge.functions.stats import with_hwe
 from kinforge.operators import coo, design
 from kinforge.operators import genotypes as G
 from kinforge.operators import pedigree as P
+from kinforge.plans import genomic as GP
+from kinforge.plans import random_regression as RR
 from kinforge.plans import variance as V
-from kinforge.plans.mixed_model import MixedModel
+from kinforge.plans.mixed_model import MixedModel, effects_table
 from kinforge.sources import text as T
 
 QUERIES: dict = {}
@@ -197,9 +200,9 @@ def ped_paths(spark, sf_dir):
     return P.ancestor_paths(L.deep_pedigree(spark, sf_dir)).withColumn("weight", r6(F.col("weight"), 9))
 
 
-@query()
+@query(D.INBREEDING)
 def ped_inbreeding(spark, sf_dir):
-    return P.inbreeding(L.deep_pedigree(spark, sf_dir))
+    return P.inbreeding(L.deep_pedigree(spark, sf_dir)).select("idx", r6(F.col("f"), 8).alias("f"), r6(F.col("d"), 8).alias("d"))
 
 
 @query(f"""WITH {L.PED} SELECT a.idx AS i, b.idx AS j, (CASE WHEN a.idx = b.idx THEN 1.0 WHEN a.sire = b.sire THEN 0.5 WHEN a.sire = b.idx OR a.dam = b.idx OR b.sire = a.idx OR b.dam = a.idx THEN 0.5 END)::DOUBLE AS v
@@ -325,13 +328,33 @@ def rel_coef(spark, sf_dir):
     return out.select("id1", "id2", r6(F.col("v")).alias("rc"))
 
 
-@query(f"""{_AINV}, gn AS (SELECT s_suppkey AS i, s_suppkey AS j, 0.7::DOUBLE AS v FROM supplier),
-  u AS (SELECT * FROM ainv UNION ALL SELECT * FROM gn) SELECT i, j, round(sum(v), 6) + 0.0 AS v FROM u GROUP BY 1, 2""")
+def _a22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships of the genotyped customers (those with a supplier's number)."""
+    ped = L.pedigree(spark, sf_dir)
+    d = ped.select("idx", (1 - F.when(F.col("sire").isNull(), 0.0).otherwise(0.5)).alias("d"))
+    return P.relationship(ped, d, L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx")))
+
+
+def _g_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.full(G.relationship(L.genotypes(spark, sf_dir), L.n_samples(spark, sf_dir)))
+
+
+@query(D.TUNED)
+def grm_tuned(spark, sf_dir):
+    """G tuned to unrelated animals and blended with them."""
+    eye = coo.identity(spark, L.n_samples(spark, sf_dir))
+    return G.blend_rows(_g_rows(spark, sf_dir), eye).withColumn("v", r6(F.col("v")))
+
+
+@query(D.h_inverse(_AINV))
 def hinv_union(spark, sf_dir):
-    """A^-1 plus a block for genotyped animals, as single-step models add G^-1 - A22^-1."""
-    ids = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
-    block = ids.select("i", F.col("i").alias("j"), F.lit(0.7).alias("v"))
-    return coo.add(_ainv(spark, sf_dir), block).withColumn("v", r6(F.col("v")))
+    """H^-1: A^-1 plus the inverse of G, tuned to and blended with A22, less that of A22, at the genotyped animals."""
+    from kinforge.sources.matrices import coo as to_rows
+
+    n, a22 = L.n_samples(spark, sf_dir), _a22(spark, sf_dir)
+    g = coo.dense(G.blend_rows(_g_rows(spark, sf_dir), a22), n)
+    parts = [to_rows(spark, G.psd_inverse(m), 0.0) for m in (g, coo.dense(a22, n))]
+    return coo.h_inverse(_ainv(spark, sf_dir), *parts).withColumn("v", r6(F.col("v"), 5)).where("v <> 0")
 
 
 @query(f"WITH {L.EFFECTS} SELECT snp, round(beta, 8) + 0.0 AS beta FROM beta")
@@ -378,10 +401,10 @@ def he_moments(spark, sf_dir):
     return pairs.agg(r6(F.sum(F.col("v") * F.col("v")), 4).alias("aa"), r6(F.sum(F.col("v") * F.col("ri") * F.col("rj")), 2).alias("ayy"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query()
+@query(D.HWE)
 def hwe_exact(spark, sf_dir):
     counts = G.snp_counts(L.genotypes(spark, sf_dir))
-    return with_hwe(counts, "n0", "n1", "n2").select("snp", "n0", "n1", "n2", "hwe_p")
+    return with_hwe(counts, "n0", "n1", "n2").select("snp", "n0", "n1", "n2", r6(F.col("hwe_p")).alias("hwe_p"))
 
 
 # --- models
@@ -394,7 +417,7 @@ def _model(spark, sf_dir) -> tuple[MixedModel, int]:
 
 
 def _vector(spark, name: str, values) -> DataFrame:
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"idx long, {name} double")
+    return effects_table(spark, {name: values})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,18 +426,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
 
 
-@query()
+@query(D.PBLUP)
 def pblup_fixed(spark, sf_dir):
-    return flagship(spark, sf_dir)
+    return flagship(spark, sf_dir).withColumn("u", r6(F.col("u"), 5))
 
 
-@query()
+@query(D.REPEAT)
 def repeatability(spark, sf_dir):
     """Additive and permanent effects of repeated records; one row per record."""
     model, n = _model(spark, sf_dir)
     model.records = model.records.withColumn("pe_id", F.col("id"))
     model.random("pe", "pe_id", n)
-    return model.fitted(model.solve({"u": 0.4, "pe": 0.2, "e": 0.6}, dense_cap=4000)).select("rec", "y", "fixed", "u", "pe", "fitted", "residual")
+    out = model.fitted(model.solve({"u": 0.4, "pe": 0.2, "e": 0.6}, dense_cap=4000))
+    return out.select("rec", *[r6(F.col(c), 4).alias(c) for c in ("y", "fixed", "u", "pe", "fitted", "residual")])
 
 
 def _genomic(spark, sf_dir, method: int = G.VANRADEN) -> tuple[np.ndarray, np.ndarray]:
@@ -425,14 +449,14 @@ def _genomic(spark, sf_dir, method: int = G.VANRADEN) -> tuple[np.ndarray, np.nd
     return g, y
 
 
-@query()
+@query(D.GBLUP)
 def gblup_fixed(spark, sf_dir):
     g, _ = _genomic(spark, sf_dir)
     rows = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rec"), F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("y"))
     from kinforge.sources.matrices import coo as to_rows
 
     model = MixedModel(rows).random("u", "id", len(g), to_rows(spark, G.psd_inverse(G.tune(g, np.eye(len(g))))))
-    return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
+    return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"]).withColumn("u", r6(F.col("u"), 5))
 
 
 @query(f"""WITH {L.PHENO}, {L.PED} SELECT dam, count(*) AS n, round(sum(y), 6) AS sum_y, count(DISTINCT id) AS n_offspring
@@ -494,11 +518,11 @@ def vce_em(spark, sf_dir):
     return spark.createDataFrame([("u", float(out["s2"][0])), ("e", float(out["s2"][1]))], "item string, var double")
 
 
-@query()
+@query(D.HE)
 def vce_he(spark, sf_dir):
     g, y = _genomic(spark, sf_dir)
     out = V.haseman_elston(y, np.ones((len(y), 1)), g)
-    return spark.createDataFrame([("u", float(out["s2"][0])), ("e", float(out["s2"][1]))], "item string, var double")
+    return spark.createDataFrame([("u", float(out["s2"][0])), ("e", float(out["s2"][1]))], "item string, var double").withColumn("var", r6(F.col("var")))
 
 
 @query()
@@ -513,12 +537,11 @@ def multitrait(spark, sf_dir):
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(u)], "idx long, trait1 double, trait2 double")
 
 
-@query()
+@query(D.APY)
 def apy_inverse(spark, sf_dir):
-    g, _ = _genomic(spark, sf_dir)
-    from kinforge.sources.matrices import coo as to_rows
-
-    return to_rows(spark, G.apy_inverse(G.tune(g, np.eye(len(g))), np.arange(len(g) // 2)))
+    n = L.n_samples(spark, sf_dir)
+    g = G.blend_rows(_g_rows(spark, sf_dir), coo.identity(spark, n))
+    return G.apy_blocks(g, spark.range(n // 2).toDF("i")).withColumn("v", r6(F.col("v"), 5))
 
 
 @query()
@@ -528,28 +551,63 @@ def pca(spark, sf_dir):
     return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(pcs)], "sample long, pc1 double, pc2 double, pc3 double")
 
 
-@query()
+@query(D.SBLUP)
 def sblup(spark, sf_dir):
     g = L.genotypes(spark, sf_dir)
     n, m = L.table(spark, sf_dir, "supplier").count(), L.table(spark, sf_dir, "part").count()
     beta = G.aligned_effects(L.variants(spark, sf_dir), L.effects(spark, sf_dir))
-    return G.block_shrinkage(g, beta, n, m, 0.3)
+    return G.block_shrinkage(g, beta, n, m, 0.3).withColumn("effect", r6(F.col("effect"), 9))
+
+
+def _regression(spark, sf_dir, permanent: bool = False):
+    n = L.table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
+    return RR.fit(L.phenotypes(spark, sf_dir), "mon", n, _ainv(spark, sf_dir), {"u": 0.4, "pe": 0.2, "e": 0.6}, 1, ["priority"], [], permanent=permanent, errors=False)
 
 
 @query()
 def rrm_curve(spark, sf_dir):
-    """Random regression of order 1 on month: (idx, t, value) over the observed times."""
-    rows = L.phenotypes(spark, sf_dir)
-    low, high = rows.agg(F.min("mon"), F.max("mon")).first()
-    p0, p1 = design.legendre(F.col("mon"), low, high, 1)
-    n = L.table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
-    kinv = _ainv(spark, sf_dir)
-    rows = rows.withColumn("k0", p0).withColumn("k1", p1).withColumn("id1", F.col("id"))
-    model = MixedModel(rows).fixed(["priority"], ["mon"]).random("u0", "id", n, kinv, "k0").random("u1", "id1", n, kinv, "k1")
-    s = model.solve({"u0": 0.4, "u1": 0.1, "e": 0.6})
-    coef = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(s.u["u0"], s.u["u1"], strict=True))], "idx long, c0 double, c1 double")
-    times = rows.select("mon", "k0", "k1").distinct()
-    return coef.crossJoin(F.broadcast(times)).select("idx", F.col("mon").alias("t"), (F.col("c0") * F.col("k0") + F.col("c1") * F.col("k1")).alias("value"))
+    """Random regression of order 1 on month, refined by K: (idx, t, value) over the grid of times."""
+    return _regression(spark, sf_dir).curves()
+
+
+@query()
+def rrm_coef(spark, sf_dir):
+    return _regression(spark, sf_dir).coefficients()
+
+
+@query()
+def rrm_k(spark, sf_dir):
+    """Covariances of additive and permanent coefficients."""
+    fit = _regression(spark, sf_dir, True)
+    return fit.covariance("u").union(fit.covariance("pe"))
+
+
+@query(D.GBLUP)
+def gblup_matrix_free(spark, sf_dir):
+    """The same model without the matrix: G tuned to and blended with I is a product with ZZ' and two constants."""
+    n = L.n_samples(spark, sf_dir)
+    product = GP.GenomicProduct(L.genotypes(spark, sf_dir), n)
+    d, one = product.diagonal(), np.ones(n)
+    dg = d.mean()
+    og = (float(one @ product(one)[:, 0]) - d.sum()) / (n * (n - 1))
+    b = 1 / (dg - og)
+    tuned = lambda v: 0.95 * (b * product(v) + (1 - b * dg) * v.reshape(n, -1).sum(0)) + 0.05 * v.reshape(n, -1)
+    tuned.diagonal = lambda: 0.95 * (b * d + 1 - b * dg) + 0.05
+    y = L.table(spark, sf_dir, "supplier").orderBy("s_suppkey").select((F.col("s_acctbal") / 1000).alias("y")).toPandas()["y"].to_numpy()
+    out = GP.gblup(tuned, y, np.ones((n, 1)), (0.4, 0.6))
+    product.close()
+    return _vector(spark, "u", out["u"]).withColumn("u", r6(F.col("u"), 5))
+
+
+@query()
+def vce_stochastic(spark, sf_dir):
+    """Average information with stochastic traces, over passes of the genotypes."""
+    n = L.n_samples(spark, sf_dir)
+    product = GP.GenomicProduct(L.genotypes(spark, sf_dir), n)
+    y = L.table(spark, sf_dir, "supplier").orderBy("s_suppkey").select((F.col("s_acctbal") / 1000).alias("y")).toPandas()["y"].to_numpy()
+    s2 = GP.stochastic_reml(product, y, np.ones((n, 1)), rounds=8)["s2"]
+    product.close()
+    return spark.createDataFrame([("u", float(s2[0])), ("e", float(s2[1]))], "item string, var double")
 
 
 @query("""SELECT s_suppkey AS sample, row_number() OVER (ORDER BY s_suppkey) <= 50 AS core FROM supplier""")

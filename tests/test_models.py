@@ -46,8 +46,13 @@ def test_pedigree_blup(spark):
     rhs = np.zeros(5)
     for r in wy.collect():
         rhs[r["i"]] = r["v"]
-    x = pcg(model.left_side(ww, first, s.s2), rhs)
-    assert np.allclose(x, [*s.beta, *s.u["u"]], atol=1e-8)
+    x, info = pcg(model.left_side(ww, first, s.s2), rhs)
+    assert info["converged"] and np.allclose(x, [*s.beta, *s.u["u"]], atol=1e-8)
+    for entries in (0, 10**6):  # by the cluster's rows, and by the driver's
+        other = model.solve({"u": 2.0, "e": 3.0}, dense_cap=0, driver_entries=entries)
+        assert np.allclose(other.u["u"], s.u["u"]) and np.allclose(other.se, s.se) and other.converged
+    with pytest.warns(UserWarning):
+        assert not model.solve({"u": 2.0, "e": 3.0}, dense_cap=0, rounds=1).converged
 
 
 def test_inbreeding_of_full_sib_mating(spark):
