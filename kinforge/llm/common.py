@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -117,8 +118,10 @@ def hashable(df: DataFrame, *names: str) -> list[Column]:
 def forget_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished jobs now: it does so when the driver's garbage is collected, and that
     of Python first, which holds on to the JVM's."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the last query leaves behind may become garbage only after a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def delete(spark: SparkSession, path: str) -> None:
