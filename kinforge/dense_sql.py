@@ -119,7 +119,7 @@ def pedigree_blup(pe: bool) -> str:
 
 PBLUP = f"{pedigree_blup(False)} SELECT idx, round(u, 5) + 0.0 AS u FROM blup"
 REPEAT = f"""{pedigree_blup(True)}, fit AS (SELECT rec, any_value(id) AS id, sum(val * b) AS fixed FROM x JOIN b USING (name) GROUP BY rec)
-SELECT rec, round(y, 4) AS y, round(fixed, 4) AS fixed, round(u, 4) + 0.0 AS u, round(pe, 4) + 0.0 AS pe, round(fixed + u + pe, 4) AS fitted, round(y - fixed - u - pe, 4) + 0.0 AS residual
+SELECT rec, y, round(fixed, 4) AS fixed, round(u, 4) + 0.0 AS u, round(pe, 4) + 0.0 AS pe, round(fixed + u + pe, 4) AS fitted, round(y - fixed - u - pe, 4) + 0.0 AS residual
 FROM fit JOIN pheno USING (rec) JOIN blup ON idx = fit.id"""
 
 INBREEDING = f"""WITH RECURSIVE {L.DEEP}, par AS (SELECT idx, sire AS p FROM deep WHERE sire IS NOT NULL UNION ALL SELECT idx, dam FROM deep WHERE dam IS NOT NULL),

@@ -438,7 +438,7 @@ def repeatability(spark, sf_dir):
     model.records = model.records.withColumn("pe_id", F.col("id"))
     model.random("pe", "pe_id", n)
     out = model.fitted(model.solve({"u": 0.4, "pe": 0.2, "e": 0.6}, dense_cap=4000))
-    return out.select("rec", *[r6(F.col(c), 4).alias(c) for c in ("y", "fixed", "u", "pe", "fitted", "residual")])
+    return out.select("rec", "y", *[r6(F.col(c), 4).alias(c) for c in ("fixed", "u", "pe", "fitted", "residual")])
 
 
 def _genomic(spark, sf_dir, method: int = G.VANRADEN) -> tuple[np.ndarray, np.ndarray]:
