@@ -31,6 +31,11 @@ def multiply(m: DataFrame, x: DataFrame) -> DataFrame:
     return m.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
+def full_of(triangle: DataFrame) -> DataFrame:
+    """Both triangles from either one."""
+    return triangle.select("i", "j", "v").union(triangle.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+
+
 def remap(m: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows and columns renumbered by (old, new); entries without a new number go."""
     ids = ids.select("old", "new")

@@ -156,14 +156,6 @@ class Bgen:
         about = {"chrom": chrom, "id": rsid or name, "pos": pos, "alleles": alleles}
         return about, self.file.tell(), length
 
-    def offsets(self) -> list[tuple[dict, int, int]]:
-        self.file.seek(self.start)
-        out = []
-        for _ in range(self.n_variants):
-            out.append(self.variant())
-            self.file.seek(out[-1][1] + out[-1][2])
-        return out
-
     def dosage(self, at: int, length: int) -> np.ndarray:
         """2 - 2 p0 - p1 of a biallelic, unphased, diploid variant; NaN where missing."""
         self.file.seek(at)
@@ -185,21 +177,83 @@ class Bgen:
         return np.where(ploidy & 0x80, np.nan, 2 - 2 * p[:, 0] - p[:, 1])
 
 
-def bgen(spark: SparkSession, url: str, step: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(variants, dosages) of the biallelic variants; their index is one driver pass over the variants' heads."""
+def bgen_samples(url: str) -> list[str] | None:
     with _open(url) as file:
-        index = [(i, x["chrom"], x["id"], x["pos"], *x["alleles"], at, n) for i, (x, at, n) in enumerate(Bgen(file).offsets()) if len(x["alleles"]) == 2]
-    variants = spark.createDataFrame(index, "snp long, chrom string, id string, pos long, a1 string, a2 string, at long, length long")
+        return Bgen(file).ids
+
+
+def bgen(spark: SparkSession, url: str, step: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(variants, dosages) of the biallelic variants; a1 is the second allele, which dosages count. One task walks the variants' heads (they have no index of their own)
+    and writes where each one's data lie; then ranges of ``step`` variants are decoded in parallel, a batch each."""
+    from kinforge.tables import written
+
+    about = "snp long, chrom string, id string, pos long, a1 string, a2 string, at long, length long"
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            with _open(url) as file:
+                source, rows = Bgen(file), []
+                file.seek(source.start)
+                for i in range(source.n_variants):
+                    x, at, length = source.variant()
+                    file.seek(at + length)
+                    if len(x["alleles"]) == 2:
+                        rows.append((i, x["chrom"], x["id"], x["pos"], *reversed(x["alleles"]), at, length))
+                    if len(rows) == 4096:
+                        yield _index_batch(rows)
+                        rows = []
+                if rows:
+                    yield _index_batch(rows)
+
+    found = written(spark.range(0, 1, 1, 1).mapInArrow(index, about), "bgen-index")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(url) as file:
             source = Bgen(file)
             for batch in batches:
-                for i, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield _rows(i, source.dosage(at, n)[None])
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    x = np.stack([source.dosage(a, n) for a, n in zip(part.column("at").to_pylist(), part.column("length").to_pylist(), strict=True)])
+                    flat = pa.array(x.ravel(), pa.float64(), from_pandas=True)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
+                    yield pa.RecordBatch.from_arrays([part.column("snp"), lists], ["snp", "dosage"])
+
+    parts = max(1, -(-found.count() // step))
+    rows = found.select("snp", "at", "length").repartitionByRange(parts, "snp").sortWithinPartitions("snp")
+    return found.drop("at", "length"), rows.mapInArrow(read, ROWS)
+
+
+def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["snp", "chrom", "id", "pos", "a1", "a2", "at", "length"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _plink2(spark: SparkSession, path: str, default: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """(idx, f) of the lines of a .pvar or .psam file, and the places of its columns."""
+    from kinforge.sources.text import id_list, lines
+
+    rows = lines(spark, path).where(~F.col("text").startswith("##"))
+    head = rows.where(F.col("text").startswith("#")).orderBy("line").limit(1).collect()
+    names = head[0]["text"].lstrip("#").split() if head else default
+    body = id_list(rows.where(~F.col("text").startswith("#")))
+    return body.withColumn("f", F.split("id", r"\s+")), {n: i for i, n in enumerate(names)}
+
+
+def psam(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, fid, iid) of a .psam file, sample from 0 in file order; without families the FID is 0."""
+    rows, at = _plink2(spark, path, ["FID", "IID"])
+    fid = F.get("f", F.lit(at["FID"])) if "FID" in at else F.lit("0")
+    return rows.select(F.col("idx").alias("sample"), fid.alias("fid"), F.get("f", F.lit(at["IID"])).alias("iid"))
+
 
-    parts = max(1, len(index) // step)
-    return variants.drop("at", "length"), variants.select("snp", "at", "length").repartition(parts).mapInArrow(read, ROWS)
+def pvar(spark: SparkSession, path: str) -> DataFrame:
+    """(snp, chrom, id, pos, a1, a2) of a .pvar file, snp from 0 in file order; a1 is ALT, the allele that dosages count."""
+    rows, at = _plink2(spark, path, ["CHROM", "ID", "CM", "POS", "ALT", "REF"])
+    cols = (("CHROM", "chrom", "string"), ("ID", "id", "string"), ("POS", "pos", "long"), ("ALT", "a1", "string"), ("REF", "a2", "string"))
+    return rows.select(F.col("idx").alias("snp"), *[F.get("f", F.lit(at[c])).try_cast(t).alias(f"{n}__") for c, n, t in cols]).toDF("snp", *[n for _, n, _ in cols])
 
 
 def long(variants: DataFrame) -> DataFrame:
