@@ -287,15 +287,15 @@ def code(x: np.ndarray, method: int) -> tuple[np.ndarray, np.ndarray]:
 def coded(g: DataFrame, method: int = VANRADEN, weights: DataFrame | None = None, maf: float = 0.0) -> DataFrame:
     """(snp, z, share): coded dosages, missing 0, times the root of the variant's weight (no weight: no variant), of
     polymorphic variants with at least the minor allele frequency; ``share`` is what the variant adds to the divisor."""
-    p = pack(g)
-    if weights is not None:
+    p, weighted = pack(g), weights is not None
+    if weighted:
         p = p.join(weights.select("snp", "weight").where("weight > 0"), "snp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in blocks(batches):
             keep = usable(moments(x)[0] / 2, maf)
             z, share = code(x[keep], method)
-            w = part.column("weight").to_numpy()[keep] if weights is not None else np.ones(len(z))
+            w = part.column("weight").to_numpy()[keep] if weighted else np.ones(len(z))
             row = packed_batch(part.column("snp").filter(pa.array(keep)), z * np.sqrt(w)[:, None])
             yield pa.RecordBatch.from_arrays([*row.columns, pa.array(share * w)], ["snp", "z", "share"])
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinforge import dense_sql as D
 from kinforge import lenses as L
 from kinforge.functions.stats import with_hwe
-from kinforge.operators import coo, design
+from kinforge import sinks
+from kinforge.operators import coo, design, joins
 from kinforge.operators import genotypes as G
+from kinforge.operators import moments as MO
 from kinforge.operators import pedigree as P
 from kinforge.plans import genomic as GP
 from kinforge.plans import random_regression as RR
@@ -103,19 +105,17 @@ _LONG = f"""WITH {L.PHENO}, d AS (SELECT rec, 'mu' AS name, 1.0 AS val FROM phen
 
 @query(f"{_LONG} SELECT a.name AS c1, b.name AS c2, round(sum(a.val * b.val)::DOUBLE, 6) AS v FROM d a JOIN d b USING (rec) GROUP BY 1, 2")
 def xtx(spark, sf_dir):
-    return design.cross_products(design.long_design(L.phenotypes(spark, sf_dir), ["priority"], ["mon"])).withColumn("v", r6(F.col("v")))
+    return MO.cross_products(L.phenotypes(spark, sf_dir), ["priority"], ["mon"]).withColumn("v", r6(F.col("v")))
 
 
 @query(f"{_LONG} SELECT name, round(sum(val * y)::DOUBLE, 2) AS v FROM d JOIN pheno USING (rec) GROUP BY 1")
 def xty(spark, sf_dir):
-    rows = L.phenotypes(spark, sf_dir)
-    long = design.long_design(rows, ["priority"], ["mon"]).join(rows.select("rec", "y"), "rec")
-    return long.groupBy("name").agg(r6(F.sum(F.col("val") * F.col("y")), 2).alias("v"))
+    return MO.right_side(L.phenotypes(spark, sf_dir), ["priority"], ["mon"]).withColumn("v", r6(F.col("v"), 2))
 
 
 @query("SELECT o_custkey AS i, count(*)::BIGINT AS v FROM orders GROUP BY 1")
 def ztz_diag(spark, sf_dir):
-    return L.phenotypes(spark, sf_dir).groupBy(F.col("id").alias("i")).agg(F.count(F.lit(1)).alias("v"))
+    return MO.level_counts(L.phenotypes(spark, sf_dir))
 
 
 _LEG = f"""WITH {L.PHENO}, t AS (SELECT rec, id, 2 * (mon - min(mon) OVER ()) / (max(mon) OVER () - min(mon) OVER ()) - 1 AS x FROM pheno),
@@ -142,8 +142,7 @@ def rr_xtx(spark, sf_dir):
 @query(f"""WITH {L.PHENO}, m AS (SELECT id, avg(y) AS mean, count(*) AS n, var_pop(y) AS v FROM pheno GROUP BY id)
 SELECT count(*)::BIGINT AS subjects, round(sum(n * v) / sum(n - 1), 4) AS within, round(var_samp(mean), 4) AS between_means FROM m""")
 def subject_anova(spark, sf_dir):
-    m = L.phenotypes(spark, sf_dir).groupBy("id").agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n"), F.var_pop("y").alias("v"))
-    return m.agg(F.count(F.lit(1)).alias("subjects"), r6(F.sum(F.col("n") * F.col("v")) / F.sum(F.col("n") - 1), 4).alias("within"), r6(F.var_samp("mean"), 4).alias("between_means"))
+    return MO.subject_variances(L.phenotypes(spark, sf_dir)).withColumns({c: r6(F.col(c), 4) for c in ("within", "between_means")})
 
 
 _RESIDUAL = f"""WITH {L.PHENO}, r AS (SELECT rec, id, y, avg(y) OVER (PARTITION BY priority) AS fit FROM pheno)"""
@@ -164,7 +163,7 @@ def obs_residuals(spark, sf_dir):
 def rand_means(spark, sf_dir):
     rows = L.phenotypes(spark, sf_dir)
     means = rows.groupBy("priority").agg(F.avg("y").alias("fit"))
-    return rows.join(means, "priority").groupBy("id").agg(r6(F.avg(F.col("y") - F.col("fit")), 5).alias("residual"), F.count(F.lit(1)).alias("n_obs"))
+    return MO.subject_means(rows.join(means, "priority"), {"residual": F.col("y") - F.col("fit")}).withColumn("residual", r6(F.col("residual"), 5))
 
 
 # --- pedigree
@@ -315,17 +314,15 @@ def grm_epistasis(spark, sf_dir):
 
 @query(_grm_sql("dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))")).replace("SELECT i, j, round(v, 6) + 0.0 AS v FROM g", "SELECT round(avg(v) FILTER (i = j), 6) AS diagonal, round(avg(v) FILTER (i <> j), 6) + 0.0 AS off FROM g"))
 def grm_tune_means(spark, sf_dir):
-    n = L.table(spark, sf_dir, "supplier").count()
-    g = G.relationship(L.genotypes(spark, sf_dir), n)
-    return g.agg(r6(F.avg(F.when(F.col("i") == F.col("j"), F.col("v")))).alias("diagonal"), r6(F.avg(F.when(F.col("i") != F.col("j"), F.col("v")))).alias("off"))
+    g = G.relationship(L.genotypes(spark, sf_dir), L.n_samples(spark, sf_dir))
+    return MO.mean_entries(g).withColumns({c: r6(F.col(c)) for c in ("diagonal", "off")})
 
 
 @query(_grm_sql("dosage - 2 * p", _OK.format("sum(2 * p * (1 - p))")).replace("SELECT i, j, round(v, 6) + 0.0 AS v FROM g", "SELECT a.s_name AS id1, b.s_name AS id2, round(v, 6) + 0.0 AS rc FROM g JOIN supplier a ON a.s_suppkey = i JOIN supplier b ON b.s_suppkey = j"))
 def rel_coef(spark, sf_dir):
-    ids = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
-    g = G.relationship(L.genotypes(spark, sf_dir), ids.count())
-    out = g.join(ids.toDF("i", "id1"), "i").join(ids.toDF("j", "id2"), "j")
-    return out.select("id1", "id2", r6(F.col("v")).alias("rc"))
+    ids = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("id"))
+    g = G.relationship(L.genotypes(spark, sf_dir), L.n_samples(spark, sf_dir))
+    return sinks.coefficients_table(g, ids).select("id1", "id2", r6(F.col("rc")).alias("rc"))
 
 
 def _a22(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,9 +381,11 @@ def ld_block_corr(spark, sf_dir):
 
 @query("SELECT s_suppkey AS sample, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS core FROM supplier")
 def apy_core_flag(spark, sf_dir):
-    core = L.table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey", F.lit(True).alias("core"))
-    s = L.table(spark, sf_dir, "supplier").join(core, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return s.select(F.col("s_suppkey").alias("sample"), F.coalesce("core", F.lit(False)).alias("core"))
+    """A core file that names the suppliers of a region's nations."""
+    samples = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_name").alias("id"), "s_nationkey")
+    nations = L.table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    named = samples.join(nations, "s_nationkey", "left_semi").select(F.col("sample").alias("line"), F.concat(F.lit("  "), "id").alias("text"))
+    return T.core_flags(samples, named).select("sample", "core")
 
 
 @query(f"""WITH {L.PHENO}, {L.PED}, m AS (SELECT id, avg(y) AS y FROM pheno GROUP BY id), r AS (SELECT id, y - avg(y) OVER () AS r FROM m),
@@ -394,11 +393,8 @@ def apy_core_flag(spark, sf_dir):
 SELECT round(sum(v * v)::DOUBLE, 4) AS aa, round(sum(v * x.r * y.r), 2) + 0.0 AS ayy, count(*)::BIGINT AS pairs FROM rel JOIN r x ON x.id = i JOIN r y ON y.id = j""")
 def he_moments(spark, sf_dir):
     """Haseman-Elston sums over related pairs j < i with records: only the matrix's entries are joined."""
-    m = L.phenotypes(spark, sf_dir).groupBy("id").agg(F.avg("y").alias("y"))
-    r = m.crossJoin(F.broadcast(m.agg(F.avg("y").alias("mean")))).select("id", (F.col("y") - F.col("mean")).alias("r"))
-    a = ped_relationship(spark, sf_dir).where("i > j")
-    pairs = a.join(r.toDF("i", "ri"), "i").join(r.toDF("j", "rj"), "j")
-    return pairs.agg(r6(F.sum(F.col("v") * F.col("v")), 4).alias("aa"), r6(F.sum(F.col("v") * F.col("ri") * F.col("rj")), 2).alias("ayy"), F.count(F.lit(1)).alias("pairs"))
+    out = MO.relative_moments(ped_relationship(spark, sf_dir), MO.centred_means(L.phenotypes(spark, sf_dir)))
+    return out.select(r6(F.col("aa"), 4).alias("aa"), r6(F.col("ayy"), 2).alias("ayy"), "pairs")
 
 
 @query(D.HWE)
@@ -612,8 +608,264 @@ def vce_stochastic(spark, sf_dir):
 
 @query("""SELECT s_suppkey AS sample, row_number() OVER (ORDER BY s_suppkey) <= 50 AS core FROM supplier""")
 def apy_first_core(spark, sf_dir):
-    place = F.row_number().over(Window.orderBy("s_suppkey"))
-    return L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), (place <= 50).alias("core"))
+    return MO.first_core(L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample")), 50)
+
+
+# --- files, joins by id, result tables
+
+@query("""WITH p AS (SELECT c_custkey AS line, 'a' || (1500000 - c_custkey) AS id, CASE WHEN c_custkey >= 4 THEN 'a' || (1500000 - c_custkey // 2) END AS dam, CASE WHEN c_custkey >= 4 THEN 'a' || (1500000 - c_custkey // 3) END AS sire FROM customer),
+  seen AS (SELECT line, 0 AS place, id FROM p UNION ALL SELECT line, 1, dam FROM p WHERE dam IS NOT NULL UNION ALL SELECT line, 2, sire FROM p WHERE sire IS NOT NULL),
+  n AS (SELECT id, (row_number() OVER (ORDER BY min(line * 3 + place)) - 1)::BIGINT AS idx FROM seen GROUP BY id)
+SELECT n.idx, n.id, s.idx AS sire, d.idx AS dam FROM n LEFT JOIN p USING (id) LEFT JOIN n s ON s.id = p.sire LEFT JOIN n d ON d.id = p.dam""")
+def ped_scan(spark, sf_dir):
+    """A pedigree file of customers in reverse numbers: ids numbered by first appearance over all three columns."""
+    k = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("a"), F.lit(1500000) - c)
+    parts = [name(k), F.when(k >= 4, name(F.floor(k / 2))).otherwise("0"), F.when(k >= 4, name(F.floor(k / 3))).otherwise("NA")]
+    body = L.table(spark, sf_dir, "customer").select(k.alias("line"), F.concat_ws(" ", *parts).alias("text"))
+    return T.pedigree(spark.createDataFrame([(-1, "id dam sire")], body.schema).union(body))
+
+
+@query(f"""SELECT line, id, y, f AS prio, c_custkey::BIGINT AS idx FROM ({_TEXT}) JOIN customer ON id = 'c' || c_custkey WHERE y IS NOT NULL AND f IS NOT NULL AND c_custkey % 3 <> 0""")
+def pheno_known(spark, sf_dir):
+    """Usable records of the animals that the matrix has."""
+    ids = L.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_custkey").alias("idx"))
+    rows = T.phenotypes(_pheno_lines(spark, sf_dir), "trait", ["prio"]).where("why is null")
+    return joins.known_records(rows.select("line", "id", "y", "prio"), ids).select("line", "id", "y", "prio", "idx")
+
+
+_TRAITS = """WITH t AS (SELECT o_orderkey AS line, o_custkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS t1, o_totalprice / 2 AS t2 FROM orders WHERE o_orderkey % 5 <> 0),
+  l AS (SELECT 'c' || k AS id, max_by(coalesce(t1, -1), line) AS t1, max_by(t2, line) AS t2 FROM t GROUP BY k)"""
+
+
+def _trait_lines(spark, sf_dir):
+    o = L.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.concat_ws(" ", F.concat(F.lit("c"), "o_custkey"), F.when(k % 7 == 0, "NA").otherwise(F.col("o_totalprice").cast("string")), (F.col("o_totalprice") / 2).cast("string"), F.when(k % 5 == 0, ".").otherwise("1"))
+    body = o.select(k.alias("line"), text.alias("text"))
+    return spark.createDataFrame([(-1, "IID t1 t2 x")], body.schema).union(body)
+
+
+@query(f"{_TRAITS} SELECT id, nullif(t1, -1) AS t1, t2 FROM l")
+def multi_trait_scan(spark, sf_dir):
+    """Last row of each animal among those that have the covariate; traits may be missing."""
+    return T.multi_trait(_trait_lines(spark, sf_dir), ["t1", "t2"], covariates=["x"]).drop("x")
+
+
+@query(f"{_TRAITS} SELECT 'c' || c_custkey AS id, c_custkey::BIGINT AS idx, nullif(t1, -1) AS t1, t2 FROM customer LEFT JOIN l ON id = 'c' || c_custkey WHERE c_custkey % 2 = 0")
+def aligned_traits(spark, sf_dir):
+    """A row for every animal of the matrix, with its traits or nulls."""
+    ids = L.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_custkey").alias("idx"))
+    return joins.aligned_records(T.multi_trait(_trait_lines(spark, sf_dir), ["t1", "t2"], covariates=["x"]).drop("x"), ids)
+
+
+@query(f"{_TRAITS} SELECT id, t1, t2 FROM l WHERE t1 >= 0")
+def complete_traits(spark, sf_dir):
+    return joins.complete_cases(T.multi_trait(_trait_lines(spark, sf_dir), ["t1", "t2"], covariates=["x"]).drop("x"), ["t1", "t2"])
+
+
+@query("SELECT s_suppkey AS sample, 'a' || s_suppkey AS id, c_custkey::BIGINT AS idx FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 1) ON s_suppkey = c_custkey")
+def typed_in_pedigree(spark, sf_dir):
+    samples = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.concat(F.lit("a"), "s_suppkey").alias("id"))
+    ped = L.table(spark, sf_dir, "customer").where("c_custkey % 4 <> 1").select(F.concat(F.lit("a"), "c_custkey").alias("id"), F.col("c_custkey").alias("idx"))
+    return joins.in_pedigree(samples, ped)
+
+
+_ALIAS = "s AS (SELECT s_suppkey AS sample, 'f' || s_nationkey AS fid, 'i' || (s_suppkey % 80) AS iid FROM supplier)"
+
+
+def _families(spark, sf_dir):
+    return L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.concat(F.lit("f"), "s_nationkey").alias("fid"), F.concat(F.lit("i"), F.col("s_suppkey") % 80).alias("iid"))
+
+
+@query(f"WITH {_ALIAS} SELECT fid || ':' || iid AS id, sample FROM s UNION ALL SELECT iid, min(sample) FROM s GROUP BY iid HAVING count(*) = 1")
+def sample_aliases(spark, sf_dir):
+    return joins.sample_aliases(_families(spark, sf_dir)).select("id", "sample")
+
+
+_POP = """pop AS (SELECT r_regionkey AS line, 'i' || (r_regionkey * 3) AS id, r_name AS pop FROM region UNION ALL SELECT 100 + n_nationkey, 'f' || n_nationkey || ':i' || n_nationkey, n_name FROM nation),
+  nr AS (SELECT pop, row_number() OVER (ORDER BY min(line), pop) AS grp FROM pop GROUP BY pop), own AS (SELECT id, min_by(pop, line) AS pop FROM pop GROUP BY id)"""
+
+
+@query(f"WITH {_ALIAS}, {_POP} SELECT sample, coalesce(a.grp, b.grp, 0)::BIGINT AS grp FROM s LEFT JOIN (SELECT id, grp FROM own JOIN nr USING (pop)) a ON a.id = iid LEFT JOIN (SELECT id, grp FROM own JOIN nr USING (pop)) b ON b.id = fid || ':' || iid")
+def pop_classes(spark, sf_dir):
+    """Classes of samples by IID, else by FID and IID, else 0."""
+    one = L.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("line"), F.concat(F.lit("i"), F.col("r_regionkey") * 3, F.lit("\t"), F.regexp_replace("r_name", " ", "_")).alias("text"))
+    two = L.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("line"), F.concat_ws(" ", F.concat(F.lit("f"), "n_nationkey"), F.concat(F.lit("i"), "n_nationkey"), F.regexp_replace("n_name", " ", "_")).alias("text"))
+    source = one.union(two)
+    return G.classes(_families(spark, sf_dir), T.populations(source))
+
+
+@query(f"""WITH {L.GENO}, {L.FREQ}, grp AS (SELECT s_suppkey AS sample, s_nationkey % 3 AS grp FROM supplier), x AS (SELECT geno.*, grp FROM geno JOIN ok USING (snp) JOIN grp USING (sample)),
+  c AS (SELECT snp, grp, avg(dosage) AS mean FROM x GROUP BY 1, 2), z AS (SELECT snp, sample, coalesce(dosage - coalesce(mean, 2 * p), 0) AS z FROM x JOIN c USING (snp, grp) JOIN ok USING (snp)),
+  raw AS (SELECT a.sample AS i, b.sample AS j, sum(a.z * b.z) AS v FROM z a JOIN z b ON a.snp = b.snp AND a.sample >= b.sample GROUP BY 1, 2),
+  sc AS (SELECT sample, grp, avg(v) OVER (PARTITION BY grp) AS s FROM raw JOIN grp ON i = sample WHERE i = j)
+SELECT i, j, round(v / sqrt(a.s * b.s), 6) + 0.0 AS v FROM raw JOIN sc a ON a.sample = i JOIN sc b ON b.sample = j""")
+def grm_population(spark, sf_dir):
+    groups = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_nationkey") % 3).alias("grp"))
+    return G.population_relationship(L.genotypes(spark, sf_dir), groups, L.n_samples(spark, sf_dir)).withColumn("v", r6(F.col("v")))
+
+
+_WEIGHT = "w AS (SELECT p_partkey AS snp, p_size / 10.0 AS weight FROM part WHERE p_size % 4 <> 0)"
+
+
+@query(f"WITH {L.GENO}, {L.FREQ}, {_WEIGHT} SELECT round(sum(weight * 2 * p * (1 - p)), 4) AS sum2pq, round(sum(weight * var), 4) AS sumvar, round(sum(weight), 4)::DOUBLE AS sumw, count(*)::BIGINT AS m FROM ok JOIN w USING (snp)")
+def weighted_sum2pq(spark, sf_dir):
+    """Sums with weights of a file; variants without one take no part."""
+    part = L.table(spark, sf_dir, "part").where("p_size % 4 <> 0")
+    source = part.select(F.col("p_partkey").alias("line"), F.concat_ws(" ", F.concat(F.lit("rs"), "p_partkey"), F.col("p_size") / 10).alias("text"))
+    weights = L.variants(spark, sf_dir).join(T.snp_weights(source), "id").select("snp", "weight")
+    s = G.sum_2pq(G.usable_frequencies(G.frequencies(L.genotypes(spark, sf_dir))), weights)
+    return s.select(*[r6(F.col(c), 4).alias(c) for c in ("sum2pq", "sumvar", "sumw")], "m")
+
+
+@query(f"""WITH {L.GENO}, {L.FREQ}, {_WEIGHT}, z AS (SELECT snp, sample, coalesce(dosage - 2 * p, 0) * sqrt(weight) AS z FROM geno JOIN ok USING (snp) JOIN w USING (snp)),
+  raw AS (SELECT a.sample AS i, b.sample AS j, sum(a.z * b.z) AS v FROM z a JOIN z b ON a.snp = b.snp AND a.sample >= b.sample GROUP BY 1, 2)
+SELECT i, j, round(v / (SELECT sum(weight * 2 * p * (1 - p)) FROM ok JOIN w USING (snp)), 6) + 0.0 AS v FROM raw""")
+def grm_weighted(spark, sf_dir):
+    weights = L.table(spark, sf_dir, "part").where("p_size % 4 <> 0").select(F.col("p_partkey").alias("snp"), (F.col("p_size") / 10).alias("weight"))
+    return G.relationship(L.genotypes(spark, sf_dir), L.n_samples(spark, sf_dir), weights=weights).withColumn("v", r6(F.col("v")))
+
+
+@query("SELECT n_nationkey::BIGINT AS i, n_regionkey::BIGINT AS j, CASE WHEN n_nationkey <> n_regionkey THEN -1.0 ELSE 1.0 END::DOUBLE AS v FROM nation")
+def sign_repair(spark, sf_dir):
+    """An inverse whose off-diagonals have the wrong sign."""
+    cells = L.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").cast("long").alias("j"), F.lit(1.0).alias("v"))
+    return coo.repair_signs(cells)
+
+
+@query("SELECT c_custkey::BIGINT AS idx, CASE WHEN c_custkey % 3 = 1 THEN c_custkey // 2 END::BIGINT AS sire, CASE WHEN c_custkey // 4 <> c_custkey THEN c_custkey // 4 END::BIGINT AS dam FROM customer")
+def ped_parents(spark, sf_dir):
+    """Parents that are not animals of the pedigree, or the animal itself, are unknown."""
+    k = F.col("c_custkey")
+    sire = F.when(k % 3 == 0, -5).when(k % 3 == 1, F.floor(k / 2)).otherwise(k + 10_000_000)
+    return joins.normalised_parents(L.table(spark, sf_dir, "customer").select(k.alias("idx"), sire.alias("sire"), F.floor(k / 4).alias("dam")))
+
+
+@query("SELECT (row_number() OVER (ORDER BY c_custkey DESC) - 1)::BIGINT AS idx, c_name AS id FROM customer WHERE c_custkey % 2 = 0")
+def id_list(spark, sf_dir):
+    """Trimmed lines that aren't blank, numbered in order."""
+    k = F.col("c_custkey")
+    return T.id_list(L.table(spark, sf_dir, "customer").select((-k).alias("line"), F.when(k % 2 == 0, F.concat(F.lit("  "), "c_name", F.lit(" "))).otherwise("   ").alias("text")))
+
+
+@query("""WITH l AS (SELECT p_partkey AS line, 'rs' || (p_partkey % 500) AS snp, CASE WHEN p_size % 9 <> 0 THEN p_retailprice / 7 END AS beta FROM part)
+SELECT snp, 'A' AS a1, 'C' AS a2, max_by(beta, line) AS beta FROM l WHERE beta IS NOT NULL GROUP BY snp""")
+def sumstat_scan(spark, sf_dir):
+    part = L.table(spark, sf_dir, "part")
+    beta = F.when(F.col("p_size") % 9 == 0, "x").otherwise((F.col("p_retailprice") / 7).cast("string"))
+    body = part.select(F.col("p_partkey").alias("line"), F.concat_ws("\t", F.lit("c"), F.lit("a"), beta, F.concat(F.lit("rs"), F.col("p_partkey") % 500)).alias("text"))
+    return T.summary_statistics(spark.createDataFrame([(-1, "OTHER_ALLELE\tEFFECT_ALLELE\tEFFECT\tVARIANT_ID")], body.schema).union(body))
+
+
+@query("""WITH n AS (SELECT r_regionkey AS i FROM region) SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, (CASE WHEN a.i = b.i THEN 2 ELSE 1.0 / (1 + a.i + b.i) END)::DOUBLE AS v FROM n a, n b""")
+def dense_matrix_scan(spark, sf_dir):
+    """A square text matrix: its lines are rows."""
+    i = F.col("r_regionkey")
+    cell = lambda j: F.when(i == j, 2.0).otherwise(1.0 / (1 + i + j)).cast("string")
+    rows = L.table(spark, sf_dir, "region").select(i.cast("long").alias("line"), F.concat_ws(" ", *[cell(j) for j in range(5)]).alias("text"))
+    return T.triplets(rows)
+
+
+@query(f"""{_AINV}, ids AS (SELECT c_custkey AS old, c_custkey // 2 AS new FROM customer WHERE c_custkey % 2 = 0) SELECT a.new::BIGINT AS i, b.new::BIGINT AS j, round(v, 6) AS v FROM ainv JOIN ids a ON a.old = i JOIN ids b ON b.old = j WHERE abs(v) > 1e-12""")
+def matrix_remap(spark, sf_dir):
+    k = F.col("c_custkey")
+    ids = L.table(spark, sf_dir, "customer").where(k % 2 == 0).select(k.alias("old"), F.floor(k / 2).alias("new"))
+    return coo.remap(_ainv(spark, sf_dir), ids).withColumn("v", r6(F.col("v")))
+
+
+@query("""WITH m AS (SELECT n_nationkey AS i, n_regionkey AS j, CASE WHEN n_nationkey = n_regionkey THEN 0.0 ELSE n_nationkey::DOUBLE END AS v FROM nation),
+  h AS (SELECT i, j, v / 2 AS v FROM m UNION ALL SELECT j, i, v / 2 FROM m) SELECT i::BIGINT AS i, j::BIGINT AS j, CASE WHEN i = j AND abs(sum(v)) < 1e-14 THEN 1e-10 ELSE sum(v) END AS v FROM h GROUP BY i, j""")
+def matrix_mirrored(spark, sf_dir):
+    i, j = F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")
+    return coo.mirrored(L.table(spark, sf_dir, "nation").select(i.alias("i"), j.alias("j"), F.when(i == j, 0.0).otherwise(i.cast("double")).alias("v")))
+
+
+@query(f"WITH {L.PED} SELECT (idx + 1)::BIGINT AS i, (j + 1)::BIGINT AS j, v FROM (SELECT idx, idx AS j, 1.0::DOUBLE AS v FROM ped UNION ALL SELECT idx, sire, 0.5 FROM ped WHERE sire IS NOT NULL UNION ALL SELECT idx, dam, 0.5 FROM ped WHERE dam IS NOT NULL UNION ALL SELECT a.idx, b.idx, 0.5 FROM ped a JOIN ped b ON a.sire = b.sire AND a.idx > b.idx)")
+def matrix_lower(spark, sf_dir):
+    """The exported lower triangle of A, numbered from 1."""
+    return sinks.matrix_table(ped_relationship(spark, sf_dir))
+
+
+_VARIANT = "v AS (SELECT p_partkey AS snp, '1' AS CHR, 'rs' || p_partkey AS SNP_ID FROM part)"
+
+
+def _variants(spark, sf_dir):
+    return L.variants(spark, sf_dir).select("snp", "id", F.lit("1").alias("chrom"), F.col("snp").alias("pos"), "a1", "a2")
+
+
+def _samples(spark, sf_dir):
+    return L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_name").alias("iid"), F.lit("0").alias("fid"))
+
+
+@query(f"""{D.HWE.rsplit("SELECT snp, n0", 1)[0]}, hw AS (SELECT snp, p FROM c JOIN p USING (n0, n1, n2)), {_QUALITY[_QUALITY.index("q AS"):]}
+SELECT '1' AS CHR, 'rs' || snp AS SNP, 'A' AS A1, 'C' AS A2, n0 AS HOM1, n1 AS HET, n2 AS HOM2, round(miss_rate, 6) AS MISS, round(maf, 6) AS MAF, round(hw.p, 6) AS HWE_P, (miss_rate <= 0.26 AND maf BETWEEN 0.3 AND 0.5)::INT AS PASS FROM m JOIN c USING (snp) JOIN hw USING (snp)""")
+def qc_snp_table(spark, sf_dir):
+    quality = G.snp_quality(L.genotypes(spark, sf_dir))
+    out = sinks.snp_qc_table(_variants(spark, sf_dir), quality, G.passing_snps(quality, geno=0.26, maf=0.3, max_maf=0.5)).drop("_snp")
+    return out.withColumns({c: r6(F.col(c)) for c in ("MISS", "MAF", "HWE_P")})
+
+
+@query(f"{_SAMPLES} SELECT '0' AS FID, s_name AS IID, round(1 - valid / n::DOUBLE, 6) AS MISS_RATE, round(het / valid::DOUBLE, 6) AS HET_RATE, (1 - valid / n::DOUBLE <= 0.25)::INT AS PASS FROM s JOIN supplier ON sample = s_suppkey")
+def qc_id_table(spark, sf_dir):
+    out = sinks.sample_qc_table(_samples(spark, sf_dir), G.sample_quality(L.genotypes(spark, sf_dir)), 0.25).drop("_sample")
+    return out.withColumns({c: r6(F.col(c)) for c in ("MISS_RATE", "HET_RATE")})
+
+
+@query(f"WITH {L.GENO}, {L.FREQ} SELECT '1' AS CHR, 'rs' || snp AS SNP, 'A' AS A1, 'C' AS A2, round(p, 6) AS FREQ_A1 FROM ok")
+def frq_table(spark, sf_dir):
+    f = G.usable_frequencies(G.frequencies(L.genotypes(spark, sf_dir)))
+    return sinks.frequency_table(_variants(spark, sf_dir), f).drop("_snp").withColumn("FREQ_A1", r6(F.col("FREQ_A1")))
+
+
+@query(f"WITH {L.GENO}, {L.FREQ}, c AS (SELECT sample, count_if(dosage IN (0, 2))::BIGINT AS n, count(dosage)::BIGINT AS valid FROM geno JOIN ok USING (snp) GROUP BY sample) SELECT s_name AS ID, n AS count, valid AS TOTAL_VALID, round(n / valid::DOUBLE, 6) AS rate FROM c JOIN supplier ON sample = s_suppkey")
+def homo_table(spark, sf_dir):
+    out = sinks.rate_table(_samples(spark, sf_dir), G.sample_quality(G.filtered(L.genotypes(spark, sf_dir))), "homo")
+    return out.drop("_sample").withColumn("rate", r6(F.col("rate")))
+
+
+@query(f"WITH {L.GENO}, {L.EFFECTS}, x AS (SELECT sample, sum(dosage * beta) AS score FROM geno JOIN beta USING (snp) WHERE dosage IS NOT NULL GROUP BY sample) SELECT s_name AS ID, round(coalesce(score, 0), 6) + 0.0 AS SCORE FROM supplier LEFT JOIN x ON sample = s_suppkey")
+def profile_table(spark, sf_dir):
+    return sinks.profile_table(_samples(spark, sf_dir), score_prs(spark, sf_dir)).drop("_sample")
+
+
+@query(f"{D.SBLUP.rsplit('SELECT snp, round', 1)[0]}, e AS (SELECT snp, (any_value(beta) - sum(z * s.v)) / any_value(c) AS effect FROM z JOIN s ON s.block = z.block AND s.i = z.sample, c GROUP BY snp) SELECT 'rs' || snp AS SNP, 'A' AS A1, 'C' AS A2, round(effect, 9) + 0.0 AS SBLUP_EFFECT FROM e")
+def sblup_table(spark, sf_dir):
+    return sinks.sblup_table(_variants(spark, sf_dir), sblup(spark, sf_dir)).drop("_snp")
+
+
+@query(f"{D.INBREEDING.rsplit('SELECT l.idx, round', 1)[0]} SELECT c_name AS ID, round(f, 8) + 0.0 AS F FROM (SELECT l.idx, greatest(0, sum(weight * weight * a.d) - 1) AS f FROM l JOIN d a ON a.idx = l.ancestor GROUP BY l.idx) JOIN customer ON c_custkey = idx")
+def ibc_table(spark, sf_dir):
+    ped = L.deep_pedigree(spark, sf_dir)
+    named = ped.join(L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("id")), "idx")
+    return sinks.inbreeding_table(named, P.inbreeding(ped)).drop("_idx").withColumn("F", r6(F.col("F"), 8))
+
+
+@query(f"""{D.REPEAT.rsplit('SELECT rec, y', 1)[0]}, o AS (SELECT fit.id, avg(y - fixed - u - pe) AS residuals, count(*) AS n, min(rec) AS first FROM fit JOIN pheno USING (rec) JOIN blup ON idx = fit.id GROUP BY fit.id)
+SELECT c_name AS ID, round(u, 4) + 0.0 AS u, round(pe, 4) + 0.0 AS pe, round(residuals, 4) + 0.0 AS residuals, coalesce(n, 0)::BIGINT AS n_obs, first AS first_rec FROM blup JOIN customer ON idx = c_custkey LEFT JOIN o ON o.id = idx""")
+def rand_file(spark, sf_dir):
+    """Effects and mean residuals of every animal, with what they are sorted by."""
+    model, n = _model(spark, sf_dir)
+    model.records = model.records.withColumn("pe_id", F.col("id"))
+    model.random("pe", "pe_id", n)
+    s = model.solve({"u": 0.4, "pe": 0.2, "e": 0.6}, dense_cap=4000)
+    ids = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_name").alias("id"))
+    out = sinks.rand_table(model, s, ids).withColumnRenamed("_first", "first_rec")
+    return out.withColumns({c: r6(F.col(c), 4) for c in ("u", "pe", "residuals")})
+
+
+@query(f"{D.PBLUP.rsplit('SELECT idx, round', 1)[0]} SELECT name AS Levels, round(b, 5) AS Estimation FROM b")
+def beta_file(spark, sf_dir):
+    model, _ = _model(spark, sf_dir)
+    out = sinks.beta_table(spark, model.solve({"u": 0.4, "e": 0.6}))
+    return out.select("Levels", r6(F.col("Estimation"), 5).alias("Estimation"))
+
+
+@query(f"""WITH v AS ({D.HE.replace("WITH ", "WITH ", 1)}) SELECT item AS Item, var AS Var, CASE WHEN item = 'e' THEN NULL ELSE round(var / (SELECT sum(var) FROM v), 5) END AS h2 FROM v""")
+def vars_file(spark, sf_dir):
+    s2 = {r["item"]: r["var"] for r in vce_he(spark, sf_dir).collect()}
+    out = sinks.vars_table(spark, {"u": s2["u"], "e": s2["e"]})
+    return out.select("Item", "Var", F.when(~F.isnan("h2"), r6(F.col("h2"), 5)).alias("h2"))
 
 
 def queries() -> dict:
