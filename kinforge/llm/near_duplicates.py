@@ -331,3 +331,23 @@ def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
     if not many.isEmpty():
         kept = kept.union(docs.where(words).join(many, same).dropDuplicates([id_, mark]).select(*[docs[c] for c in docs.columns]))
     return kept
+
+
+#: The same join by all pairs that share an n-gram, in DuckDB's SQL.
+JACCARD_SQL = r"""
+WITH RECURSIVE dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+grams AS (
+  SELECT DISTINCT r, hash(array_to_string(w[i:i + m - 1], ' ')) AS g
+  FROM (SELECT r, w, least(5, len(w)) AS m, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM dw WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+common AS (SELECT a.r AS r1, b.r AS r2, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+half AS (SELECT r1, r2 FROM common JOIN sizes a ON a.r = r1 JOIN sizes b ON b.r = r2 WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+links AS (SELECT r1, r2 FROM half UNION ALL SELECT r2, r1 FROM half),
+reach AS (SELECT r, r AS other FROM dw UNION SELECT reach.r, r2 FROM reach JOIN links ON r1 = reach.other),
+class AS (SELECT reach.r, min(dw.doc_id) AS class_id FROM reach JOIN dw ON dw.r = reach.other GROUP BY reach.r),
+degree AS (SELECT r1 AS r, count(*) AS n FROM links GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM dw JOIN class USING (r) LEFT JOIN degree USING (r)
+"""

@@ -70,4 +70,4 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.CONTAMINATION_SQL, "op10_fair_mix": mixing.MIX_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": near_duplicates.JACCARD_SQL, "op3_decontaminate": decontaminate.CONTAMINATION_SQL, "op10_fair_mix": mixing.MIX_SQL}
