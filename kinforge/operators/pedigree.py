@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import heapq
+import pickle
+import uuid
+from dataclasses import dataclass
+from functools import lru_cache, reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.tables import written
+from kinforge.tables import open_fs, shared_root, written
 
 
 def generations(ped: DataFrame, limit: int = 200) -> DataFrame:
@@ -46,32 +53,134 @@ def ancestor_paths(ped: DataFrame, limit: int = 100, of: DataFrame | None = None
     raise ValueError(f"paths of more than {limit} steps")
 
 
+#: Animals whose pedigree may be held as arrays (some 40 bytes each) by the driver and by tasks; families for a Spark job.
+ARRAY_CAP, FAMILIES = 50_000_000, 20_000
+
+
+@dataclass
+class Arrays:
+    """A pedigree by animal: parents (-1 unknown), generation, Mendelian variance; kept as one file in the shared folder."""
+
+    sire: np.ndarray
+    dam: np.ndarray
+    generation: np.ndarray
+    d: np.ndarray
+
+    @classmethod
+    def of(cls, ped: DataFrame, d: DataFrame | None = None) -> Arrays:
+        rows = ped.select("idx", "sire", "dam").join(generations(ped), "idx")
+        if d is not None:
+            rows = rows.join(d.select("idx", "d"), "idx")
+        n = int(ped.agg(F.max("idx")).first()[0] or 0) + 1
+        if n > ARRAY_CAP:
+            raise ValueError(f"{n} animals are beyond the cap of {ARRAY_CAP}")
+        pdf = rows.toPandas()
+        at = pdf["idx"].to_numpy(np.int64)
+        out = cls(*(np.full(n, -1, np.int64) for _ in range(2)), np.zeros(n, np.int32), np.ones(n))
+        for name, value in (("sire", pdf["sire"].fillna(-1)), ("dam", pdf["dam"].fillna(-1)), ("generation", pdf["generation"])):
+            getattr(out, name)[at] = value.to_numpy()
+        if d is not None:
+            out.d[at] = pdf["d"].to_numpy(float)
+        return out
+
+    def save(self, spark) -> str:
+        path = f"{shared_root(spark)}/pedigree-{uuid.uuid4().hex}"
+        fs, inner = open_fs(path)
+        fs.create_dir(inner.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(inner) as out:
+            out.write(pickle.dumps((self.sire, self.dam, self.generation, self.d), protocol=5))
+        return path
+
+    def levels(self) -> list[np.ndarray]:
+        """Animals of each generation."""
+        order = np.argsort(self.generation, kind="stable")
+        return np.split(order, np.cumsum(np.bincount(self.generation))[:-1])
+
+    def columns(self, animals: np.ndarray) -> np.ndarray:
+        """(animal, column): A's columns of some animals, by one sweep up the pedigree and one down."""
+        x = np.zeros((len(self.sire), len(animals)))
+        x[animals, np.arange(len(animals))] = 1.0
+        levels = self.levels()
+        for own in reversed(levels):
+            for parent in (self.sire, self.dam):
+                known = own[parent[own] >= 0]
+                np.add.at(x, parent[known], 0.5 * x[known])
+        x *= self.d[:, None]
+        for own in levels:
+            for parent in (self.sire, self.dam):
+                known = own[parent[own] >= 0]
+                x[known] += 0.5 * x[parent[known]]
+        return x
+
+    def excess(self, sire: int, dam: int) -> float:
+        """Sum of L^2 d over the ancestors of a child of two animals: from the youngest on, each is met once."""
+        share, heap, total = {sire: 0.5}, [(-int(self.generation[sire]), sire)], 0.0
+        if dam in share:
+            share[dam] = 1.0
+        else:
+            share[dam] = 0.5
+            heapq.heappush(heap, (-int(self.generation[dam]), dam))
+        while heap:
+            _, a = heapq.heappop(heap)
+            own = share.pop(a)
+            total += own * own * self.d[a]
+            for p in (int(self.sire[a]), int(self.dam[a])):
+                if p < 0:
+                    continue
+                if p in share:
+                    share[p] += 0.5 * own
+                else:
+                    share[p] = 0.5 * own
+                    heapq.heappush(heap, (-int(self.generation[p]), p))
+        return total
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Arrays:
+    fs, inner = open_fs(path)
+    with fs.open_input_stream(inner) as file:
+        return Arrays(*pickle.loads(file.read()))
+
+
 def inbreeding(ped: DataFrame) -> DataFrame:
     """(idx, f, d): inbreeding coefficient and Mendelian variance.
 
-    Generation by generation: a's variance d is known once its parents' F are, and F = sum of L^2 d over its
-    ancestors (itself included) less 1, with L the path weights.
+    Generation by generation: an animal's d is known once its parents' F are, and its F is the sum of L^2 d over its
+    ancestors, itself included, less 1. Full sibs are worked out once; many families are dealt to tasks that read the
+    pedigree's arrays from the shared folder, so no table of all pairs of animals and ancestors is ever made.
     """
-    paths = written(ancestor_paths(ped), "ped-all-paths")
-    rows = written(ped.join(generations(ped), "idx"), "ped-rows")
-    known = None
-    for g in range(int(rows.agg(F.max("generation")).first()[0] or 0) + 1):
-        level = rows.where(F.col("generation") == g).select("idx", "sire", "dam")
-        if known is None:
-            now = level.select("idx", F.lit(0.0).alias("f"), F.lit(1.0).alias("d"))
+    spark, a = ped.sparkSession, Arrays.of(ped)
+    f = np.zeros(len(a.sire))
+    for own in a.levels()[1:]:
+        sire, dam = a.sire[own], a.dam[own]
+        for parent in (sire, dam):
+            a.d[own] -= np.where(parent >= 0, 0.25 * (1 + f[parent]), 0.0)
+        both = (sire >= 0) & (dam >= 0)
+        families, member = np.unique(np.stack([sire[both], dam[both]], 1), axis=0, return_inverse=True)
+        if len(families) <= FAMILIES:
+            sums = np.array([a.excess(int(s), int(m)) for s, m in families])
         else:
-            f_of = known.select(F.col("idx").alias("parent"), F.col("f").alias("pf"))
-            for side in ("sire", "dam"):
-                level = level.join(f_of.toDF(side, f"f_{side}"), side, "left")
-            part = lambda s: F.when(F.col(s).isNotNull(), 0.25 * (1 + F.col(f"f_{s}"))).otherwise(0.0)
-            level = level.select("idx", (1 - part("sire") - part("dam")).alias("d"))
-            d_of = known.select(F.col("idx").alias("ancestor"), "d")
-            over = paths.join(level.select("idx"), "idx", "left_semi").join(d_of, "ancestor")
-            sums = over.groupBy("idx").agg(F.sum(F.col("weight") * F.col("weight") * F.col("d")).alias("s"))
-            now = level.join(sums, "idx", "left").select("idx", F.greatest(F.lit(0.0), F.coalesce("s", F.lit(0.0)) + F.col("d") - 1).alias("f"), "d")
-        now = written(now, "ped-inbreeding")
-        known = now if known is None else known.union(now)
-    return known
+            sums = _excess(spark, a, families)
+        f[own[both]] = np.maximum(0, sums[member.ravel()] + a.d[own[both]] - 1 if len(families) else 0)
+    rows = ped.select("idx").toPandas()["idx"].to_numpy(np.int64)
+    return spark.createDataFrame(pd.DataFrame({"idx": rows, "f": f[rows], "d": a.d[rows]}), "idx long, f double, d double")
+
+
+def _excess(spark, a: Arrays, families: np.ndarray) -> np.ndarray:
+    path = a.save(spark)
+
+    def run(batches):
+        for batch in batches:
+            known = _loaded(path)
+            sums = [known.excess(s, m) for s, m in zip(batch.column("sire").to_pylist(), batch.column("dam").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(sums, pa.float64())], ["at", "sum"])
+
+    rows = spark.createDataFrame(pd.DataFrame({"at": np.arange(len(families)), "sire": families[:, 0], "dam": families[:, 1]}))
+    parts = max(1, len(families) // 5000)
+    pdf = rows.repartition(parts).mapInArrow(run, "at long, sum double").toPandas()
+    out = np.zeros(len(families))
+    out[pdf["at"].to_numpy()] = pdf["sum"].to_numpy()
+    return out
 
 
 def a_inverse(ped: DataFrame, d: DataFrame) -> DataFrame:
@@ -84,12 +193,29 @@ def a_inverse(ped: DataFrame, d: DataFrame) -> DataFrame:
     return out.groupBy("i", "j").agg(F.sum("v").alias("v")).where(F.abs("v") > 1e-12)
 
 
-def relationship(ped: DataFrame, d: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """A = L D L' as one join on the common ancestor and one sum; entries (i, j, v). The block of ``of`` only, if given."""
-    paths = ancestor_paths(ped, of=of).join(d.select(F.col("idx").alias("ancestor"), "d"), "ancestor")
-    left = paths.select("ancestor", F.col("idx").alias("i"), (F.col("weight") * F.col("d")).alias("x"))
-    right = paths.select("ancestor", F.col("idx").alias("j"), F.col("weight").alias("y"))
-    return left.join(right, "ancestor").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+def relationship(ped: DataFrame, d: DataFrame, of: DataFrame | None = None, cells: int = 4_000_000) -> DataFrame:
+    """A's entries (i, j, v) other than 0; the block of the animals (idx) of ``of`` only, if given.
+
+    Columns of A are worked out by sweeps over the pedigree's arrays, which tasks read from the shared folder; a task
+    holds columns of at most ``cells`` entries at a time. Nothing is joined on ancestors.
+    """
+    a = Arrays.of(ped, d)
+    n, path = len(a.sire), a.save(ped.sparkSession)
+    animals = (ped if of is None else of).select("idx").distinct()
+    wanted = None if of is None else np.sort(animals.toPandas()["idx"].to_numpy(np.int64))
+    step = max(1, cells // n)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                own = batch.column("idx").slice(at, step).to_numpy()
+                x = _loaded(path).columns(own)
+                rows = np.arange(n) if wanted is None else wanted
+                i, j = np.nonzero(np.abs(x[rows]) > 1e-14)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(own[j]), pa.array(x[rows[i], j])], ["i", "j", "v"])
+
+    parts = max(1, min(10_000, int(animals.count()) // step))
+    return animals.select(F.col("idx").cast("long")).repartition(parts).mapInArrow(run, "i long, j long, v double")
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
