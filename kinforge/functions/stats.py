@@ -17,11 +17,13 @@ def hwe_exact(hom1: int, het: int, hom2: int) -> float:
     if n == 0:
         return 1.0
     counts = np.arange(rare % 2, rare + 1, 2)
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    log_p = counts * math.log(2) - lg(counts + 1) - lg((rare - counts) / 2 + 1) - lg((2 * n - rare - counts) / 2 + 1)
+    below = counts[:-1].astype(float)
+    # ratio of a count's probability to that of two heterozygotes fewer: both homozygotes give one each
+    ratio = np.log((rare - below) * (2.0 * n - rare - below)) - np.log((below + 2) * (below + 1))
+    log_p = np.concatenate(([0.0], np.cumsum(ratio)))
     p = np.exp(log_p - log_p.max())
     p /= p.sum()
-    return float(min(1.0, p[p <= p[counts == het][0] * (1 + 1e-9)].sum()))
+    return float(min(1.0, p[p <= p[(het - rare % 2) // 2] * (1 + 1e-9)].sum()))
 
 
 @F.pandas_udf(DoubleType())

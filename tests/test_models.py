@@ -249,3 +249,158 @@ def test_entry_has_sql_for_known_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_reml_modes_agree():
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(150, 60))
+    g, x, n = b @ b.T / 60, np.ones((150, 1)), 150
+    y = rng.multivariate_normal(np.zeros(n), 0.8 * g + 0.5 * np.eye(n))
+    best = V.ai_reml(y, x, [g])["s2"]
+    eye, k = [np.eye(n)], [g + 1e-6 * np.eye(n)]
+    assert np.allclose(V.emai_reml(y, x, eye, k)["s2"], best, rtol=1e-2)
+    assert np.allclose(V.hi_reml(y, x, eye, k)["s2"], best, rtol=1e-2)
+    fit = V.difference_reml(y, x, [g])
+    assert fit["converged"] and np.allclose(fit["s2"], best, rtol=1e-2)
+    assert np.allclose(V.em_reml(y, x, eye, k, rounds=2000, tol=1e-8)["s2"], best, rtol=2e-2)
+    assert np.allclose(V.mc_em(y, x, k[0], samples=200, rounds=80)["s2"], best, rtol=0.25)
+    with pytest.warns(UserWarning):
+        assert not V.em_reml(y, x, eye, k, rounds=2)["converged"]
+
+
+def test_traces_and_low_rank():
+    rng = np.random.default_rng(7)
+    b = rng.normal(size=(60, 60))
+    a = b @ b.T / 60 + np.eye(60)
+    mean, se = V.lanczos_log_trace(lambda v: a @ v, 60, steps=30, samples=200)
+    assert abs(mean - np.linalg.slogdet(a)[1]) < 4 * se + 0.05
+    trace, se, draws = V.adaptive_trace(lambda v: a @ v, 60)
+    assert abs(trace - np.trace(a)) < 5 * se and draws >= 20
+    mean, se = V.hutchinson(lambda v: a @ v, 60, 400)
+    assert abs(mean - np.trace(a)) < 5 * se
+    solve, logs = V.low_rank_solver(a, 60, 0.1)
+    assert np.allclose(solve(b), np.linalg.solve(a + 0.1 * np.eye(60), b)) and logs == pytest.approx(np.linalg.slogdet(a + 0.1 * np.eye(60))[1])
+    low = V.spd(np.diag([1.0, -1.0]))
+    assert np.linalg.eigvalsh(low).min() > 0 and np.allclose(G.jittered_inverse(a) @ a, np.eye(60))
+    with pytest.raises(np.linalg.LinAlgError):
+        G.jittered_inverse(np.diag([1.0, -1.0]))
+
+
+def test_equation_wald_and_heritability(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(v), "pq"[i % 2], "xyz"[i % 3], float(i % 5), i % 4) for i, v in enumerate(rng.normal(size=40))]
+    records = spark.createDataFrame(rows, "rec long, t double, a string, a_b string, z double, lev long")
+    model = MixedModel.from_equation(records, "t = 1 + a + a_b + id").fixed([], ["z"]).random("h", "lev", 4)
+    s = model.solve({"h": 0.3, "e": 0.7})
+    assert [(r["factor"], r["df"]) for r in s.anova] == [("a", 1), ("a_b", 2), ("z", 1)]  # a's columns are not those of a_b
+    x = np.column_stack([np.ones(40), *[[r[2] == "q" for r in rows]], *[[r[3] == v for r in rows] for v in "yz"], [r[4] for r in rows]]).astype(float)
+    z = np.eye(4)[[r[5] for r in rows]]
+    vi = np.linalg.inv(0.3 * z @ z.T + 0.7 * np.eye(40))
+    c = np.linalg.inv(x.T @ vi @ x)
+    beta = c @ x.T @ vi @ np.array([r[1] for r in rows])
+    assert np.allclose(s.beta, beta) and np.allclose(s.se, np.sqrt(np.diag(c)))
+    f = float(beta[2:4] @ np.linalg.solve(c[2:4, 2:4], beta[2:4])) / 2
+    assert s.anova[1]["f"] == pytest.approx(f) and s.anova[1]["p"] == pytest.approx(f_tail(f, 2, 35))
+    from kinforge.plans.mixed_model import heritability
+
+    rows = heritability({"u": 1.0, "e": 3.0}, {"u": 0.5, "e": 0.5})
+    assert rows[0]["share"] == 0.25 and rows[0]["share_se"] == pytest.approx(((0.1875 * 0.5) ** 2 + (0.0625 * 0.5) ** 2) ** 0.5) and 0 < rows[0]["p"] < 0.1
+
+
+def test_random_regression_equals_dense(spark):
+    from kinforge.plans import random_regression as RR
+
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 5, float(1 + (i * 3) % 7), float(v)) for i, v in enumerate(rng.normal(size=60))]
+    records = spark.createDataFrame(rows, "rec long, id long, t double, y double")
+    fit = RR.fit(records, "t", 5, None, {"u": 0.6, "pe": 0.2, "e": 0.5}, 1, level="id", permanent=True)
+    phi = RR.legendre_values(np.array([r[2] for r in rows]), 1.0, 7.0, 1)
+    z = [np.eye(5)[[r[1] for r in rows]] * phi[:, [k]] for k in (0, 1)]
+    y, one = np.array([r[3] for r in rows]), np.ones((60, 1))
+
+    def blup(ku):
+        g = {(a, b): np.kron(np.eye(1), np.eye(5)) * ku[a, b] for a in (0, 1) for b in (0, 1)}
+        v = sum(z[a] @ g[a, b] @ z[b].T for a in (0, 1) for b in (0, 1)) + sum(0.2 * m @ m.T for m in z) + 0.5 * np.eye(60)
+        vi = np.linalg.inv(v)
+        r = vi @ (y - one @ np.linalg.solve(one.T @ vi @ one, one.T @ vi @ y))
+        return np.stack([sum(ku[a, b] * z[b].T @ r for b in (0, 1)) for a in (0, 1)], 1)
+
+    first = blup(0.6 * np.eye(2))
+    k = RR.covariance_of(first)
+    assert np.allclose(fit.k["u"], k)
+    want = blup(k)
+    got = np.array([[r["c0"], r["c1"]] for r in fit.coefficients().orderBy("idx").collect()])
+    assert np.allclose(got, want)
+    curve = {(r["idx"], r["t"]): r["value"] for r in fit.curves().collect()}
+    assert len(curve) == 35 and curve[2, 4.0] == pytest.approx(float(want[2] @ RR.legendre_values(np.array([4.0]), 1.0, 7.0, 1)[0]))
+
+
+def test_products_without_the_matrix(spark, geno):
+    from kinforge.plans import genomic as GP
+
+    packed = G.pack(geno, 6)
+    g = coo.dense(G.full(G.relationship(geno, 6)), 6)
+    product = GP.GenomicProduct(packed, 6)
+    v = np.random.default_rng(1).normal(size=(6, 3))
+    assert np.allclose(product(v), g @ v) and np.allclose(product.diagonal(), np.diag(g))
+    y, x = np.array([1.0, 2, 0, 1, 3, 2]), np.ones((6, 1))
+    out = GP.gblup(product, y, x, (0.4, 0.6))
+    vi = np.linalg.inv(0.4 * g + 0.6 * np.eye(6))
+    beta = (x.T @ vi @ y) / (x.T @ vi @ x)[0, 0]
+    assert out["converged"] and np.allclose(out["u"], 0.4 * g @ vi @ (y - beta[0]), atol=1e-7)
+    r = y - y.mean()
+    he = GP.haseman_elston(product, y, x, samples=400)["s2"]
+    exact = np.linalg.solve([[(g * g).sum(), np.trace(g)], [np.trace(g), 6]], [r @ g @ r, r @ r])
+    assert np.allclose(he, np.maximum(exact, 1e-6), atol=0.35)
+    pcs, want = G.principal_components_of(packed, 6, 2, maf=0.01, rounds=200), G.principal_components(g, 2)
+    assert np.allclose(np.abs(pcs.T @ want), np.eye(2), atol=1e-3)
+    apy = coo.dense(G.apy_blocks(G.full(G.relationship(geno, 6)).unionByName(coo.identity(spark, 6)).groupBy("i", "j").agg(F.sum("v").alias("v")), spark.range(3).toDF("i")), 6)
+    assert np.allclose(apy, G.apy_inverse(g + np.eye(6), np.arange(3)))
+    effects = spark.createDataFrame([(s, 0.5 * s) for s in range(4)], "snp long, beta double")
+    zv = np.array([r["v"] for r in G.times_variants(packed, effects).orderBy("sample").collect()])
+    centred = np.nan_to_num(DOSAGE - np.nanmean(DOSAGE, 1, keepdims=True))
+    assert np.allclose(zv, np.array([0, 0.5, 1, 1.5]) @ centred)
+
+
+def test_streamed_scores_equal_batch(spark, geno, tmp_path):
+    from kinforge.streaming.additive import streaming_scores
+
+    geno.repartition(2).write.parquet(str(tmp_path / "in"))
+    effects = spark.createDataFrame([(s, 0.1 * s) for s in range(4)], "snp long, beta double")
+    stream = streaming_scores(spark.readStream.schema(geno.schema).parquet(str(tmp_path / "in")), effects)
+    run = stream.writeStream.format("memory").queryName("scores").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r["sample"]: r["score"] for r in spark.table("scores").collect()}
+    want = {r["sample"]: r["score"] for r in G.scores(geno, spark.range(6).toDF("sample"), effects).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
+
+
+def test_pedigree_sweeps_equal_paths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i < 6 else int(rng.integers(0, i)), None if i < 4 else int(rng.integers(0, i))) for i in range(60)]
+    ped = spark.createDataFrame(rows, "idx long, sire long, dam long")
+    a = np.zeros((60, 60))  # by the tabular method
+    for i, s, d in rows:
+        for j in range(i):
+            a[i, j] = a[j, i] = 0.5 * ((a[j, s] if s is not None else 0) + (a[j, d] if d is not None else 0))
+        a[i, i] = 1 + (0.5 * a[s, d] if s is not None and d is not None else 0)
+    f = P.inbreeding(ped)
+    assert np.allclose([r["f"] for r in f.orderBy("idx").collect()], np.diag(a) - 1)
+    assert np.allclose(coo.dense(P.relationship(ped, f, cells=500), 60), a)
+    assert np.allclose(coo.dense(P.a_inverse(ped, f), 60) @ a, np.eye(60))
+    P.FAMILIES, old = 3, P.FAMILIES
+    try:
+        assert np.allclose([r["f"] for r in P.inbreeding(ped).orderBy("idx").collect()], np.diag(a) - 1)
+    finally:
+        P.FAMILIES = old
+
+
+def test_sources_by_name(tmp_path):
+    assert [T.label_of(p) for p in ("/x/run.GAinv.txt", "a/PA.bin", "HAinv.sparse", "inv")] == ["GA", "PA", "HA", "inv"]
+    (tmp_path / "m.GAinv.txt").write_text("1 1 2\n2 2 2\n")
+    (tmp_path / "m.GA.id").write_text("a\nb\n")
+    want = (str(tmp_path / "m.GAinv.txt"), str(tmp_path / "m.GA.id"))
+    assert T.inverse_files(str(tmp_path / "m.GAinv.txt")) == want == T.inverse_files(str(tmp_path))
+    (tmp_path / "m.GA.id").unlink()
+    with pytest.raises(FileNotFoundError):
+        T.inverse_files(str(tmp_path))
