@@ -705,6 +705,81 @@ def test_pipeline(spark, tmp_path, corpus):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count() > 40
 
 
+def test_pipeline_stages_one_by_one(spark, tmp_path):
+    """Each stage on its own input, with columns whose names the operators use inside."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    base = prose(rng, 80)
+    near = base.replace(base.split()[40], "changed", 1)
+    item = prose(rng, 14, 50)
+    texts = [(i, prose(rng, 60)) for i in range(40)] + [(100, base), (50, near), (101, base), (50, "12 !!"), (None, prose(rng, 30)), (60, None), (61, "?? 34"), (62, f"{prose(rng, 20)} {item} tail"), (63, prose(rng, 3000))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, kept_id long, mark long, vfinish double, __text string, `row` string"
+    rows = [(i, t, "en", f"s{k % 3}" if k % 4 else None, len(t or ""), -7.0, "was", 1, 2, 3.0, "x", "y") for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language", "near_duplicates", "decontamination", "mixing", "token_files"]
+    want = [r for r in texts if r[1] and any(c.isalpha() for c in r[1])]
+    out = stages["language"](spark, docs, str(tmp_path))
+    assert key(out) == sorted(want, key=str)
+    want = [r for r in want if r not in ((100, base), (101, base))]  # the near copy has the smaller id
+    out = near_out = stages["near_duplicates"](spark, out, str(tmp_path))
+    assert key(out) == sorted(want, key=str)
+    want = [r for r in want if r[0] != 62]
+    out = stages["decontamination"](spark, out, str(tmp_path))
+    assert key(out) == sorted(want, key=str)
+    clean = out
+    out = stages["mixing"](spark, out, str(tmp_path))
+    taken = {(r[0], near_r) for r in want for near_r in (r[1],)}
+    mixed = key(out)
+    assert set(mixed) <= taken and max(mixed.count(r) for r in set(mixed)) <= 2
+    words = lambda rows: sum(len(t.split()) for _, t in rows)
+    assert abs(words(mixed) - 1.5 * words(want)) <= 4 * 80 + 3000 // 2
+    for d in (out, clean, near_out):
+        assert d.columns == docs.columns
+        assert d.where("score <> -7 or lang_pred <> 'was' or kept_id <> 1 or mark <> 2 or vfinish <> 3 or __text <> 'x' or `row` <> 'y'").count() == 0
+    ids = stages["token_files"](spark, out, str(tmp_path)).orderBy("start").collect()
+    assert len(ids) == len(mixed) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(ids, ids[1:], strict=False))
+
+
+def test_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    words = [f"w{i % 4000}x" for i in range(60_000)]
+    long = " ".join(words)
+    docs = docs_of(spark, [(1, long, "en", "a"), (2, f"{long} end", "en", "b"), (3, "short text here", "en", "a")])
+    assert sorted(tuple(r) for r in near_duplicates.jaccard_join(docs).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+    bench = spark.createDataFrame([(1, " ".join(words[-12:]))], "item_id long, text string")
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert hits == {1: (60_000, 15 * 12), 2: (60_001, 15 * 12), 3: (3, 0)}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.score(docs, shards=2).collect()} == {1: 60_001, 2: 60_002, 3: 4}
+    assert {r["size"] for r in mixing.mix_table(docs).collect()} == {60_000, 60_001, 3}
+    assert license_scan.scan_text(long)["n_words"] == 60_000 and langid.counted(long)[1].sum() > 300_000
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_table(docs).collect()}
+    assert got[1] == len(Tokenizer.from_file(tokens.default_vocabulary()).encode(long, add_special_tokens=False).ids) + 1
+    page = f"<html><body><nav>menu</nav><article><p>{long}</p></article></body></html>"
+    assert html.extract(page, []) == long
+    pages = spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")
+    assert warc.warc_table(pages).first()["payload_bytes"] == len(long)
+
+
+def test_ties(spark):
+    """Equal scores, sizes and profiles: the stated order, whatever the order of rows."""
+    rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(9)] + [(50, [1.0, 0.0, 0.0, 0.0])]
+    for some in (rows, rows[::-1]):
+        got = ann.neighbours(spark.createDataFrame(some, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+        assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4] and {r["score"] for r in got} == {1.0}
+    profiles = langid.Profiles([("bb", ord("a"), 0), ("aa", ord("a"), 0)], 300)
+    assert profiles.predict("a")[0] == "aa"
+    same = [(i, "one two three", "en", "ab"[i % 2]) for i in range(10)]
+    first, second = (sorted(tuple(r) for r in mixing.mix_table(docs_of(spark, x)).collect()) for x in (same, same[::-1]))
+    assert first == second
+    two = "<div class='a'><p>one two three</p></div><div class='b'><p>four five six</p></div>"
+    assert html.vote(f"<html><body>{two}</body></html>") == html.vote(f"<html><body>{two}</body></html>")
+
+
 @pytest.mark.parametrize("limit", [3, 1000])
 def test_encoder_equals_library_on_odd_texts(limit):
     encode = tokens.Encoder(tokens.default_vocabulary(), limit)
