@@ -41,12 +41,6 @@ def wide_columns(columns: list[tuple[str, str, str | None]]) -> list[Column]:
     ]
 
 
-def cross_products(long: DataFrame) -> DataFrame:
-    """X'X as (c1, c2, v)."""
-    left, right = long.toDF("rec", "c1", "v1"), long.toDF("rec", "c2", "v2")
-    return left.join(right, "rec").groupBy("c1", "c2").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
-
-
 def cross_wide(rows: DataFrame, columns: list[tuple[str, str, str | None]], y: str = "y"):
     """(X'X, X'y, y'y, n) on the driver from one map-side combined aggregation over the records."""
     import numpy as np

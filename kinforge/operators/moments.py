@@ -65,11 +65,3 @@ def mean_entries(m: DataFrame) -> DataFrame:
 def first_core(samples: DataFrame, size: int, order: str = "sample") -> DataFrame:
     """(sample, core): whether a sample is among the first ``size``."""
     return numbered(samples.select(order), order).select(order, (F.col("number") < size).alias("core"))
-
-
-def total_sum(frames: list[DataFrame]) -> DataFrame:
-    """The sum of vectors (i, v) of one length."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("i").agg(F.sum("v").alias("v"))
