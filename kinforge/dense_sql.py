@@ -135,3 +135,64 @@ INBREEDING = f"""WITH RECURSIVE {L.DEEP}, par AS (SELECT idx, sire AS p FROM dee
     WHERE k < (SELECT max(generation) FROM age)),
   d AS (SELECT idx, d FROM steps WHERE k = (SELECT max(generation) FROM age))
 SELECT l.idx, round(greatest(0, sum(weight * weight * a.d) - 1), 8) + 0.0 AS f, round(any_value(o.d), 8) AS d FROM l JOIN d a ON a.idx = l.ancestor JOIN d o ON o.idx = l.idx GROUP BY l.idx"""
+
+#: x: the fixed effects' columns, xy: those and y, names: columns by number, of the phenotype lens.
+_COLUMNS = f"""{L.PHENO}, {L.PED}, x AS (SELECT rec, id, 'mu' AS name, 1.0::DOUBLE AS val FROM pheno UNION ALL
+    SELECT rec, id, 'priority_' || priority, 1.0 FROM pheno WHERE priority <> (SELECT min(priority) FROM pheno) UNION ALL SELECT rec, id, 'mon', mon FROM pheno),
+  xy AS (SELECT * FROM x UNION ALL SELECT rec, id, 'y', y FROM pheno),
+  names AS (SELECT name, (row_number() OVER (ORDER BY name = 'y', name) - 1)::INT AS c FROM (SELECT DISTINCT name FROM xy)),
+  r AS (SELECT id, c, sum(val) AS r FROM xy JOIN names USING (name) GROUP BY 1, 2), n AS (SELECT id, count(*) AS n FROM pheno GROUP BY 1),
+  d AS (SELECT *, CASE WHEN sire IS NULL THEN 1.0 ELSE 0.5 END AS d FROM ped),
+  t AS (SELECT idx AS k, idx, 1.0 AS c, d FROM d UNION ALL SELECT sire, idx, -0.5, d FROM d WHERE sire IS NOT NULL UNION ALL SELECT dam, idx, -0.5, d FROM d WHERE dam IS NOT NULL),
+  ainv AS (SELECT a.k AS i, b.k AS j, sum(a.c * b.c / a.d)::DOUBLE AS v FROM t a JOIN t b USING (idx) GROUP BY 1, 2)"""
+
+
+def _fixed(sol: str, key: str) -> str:
+    """Tables b (c, b): the fixed effects, from the right sides ``rhs`` ({key}, c, v) and their solutions ``sol`` ({key}, c, v)."""
+    return f"""cells AS (SELECT a.c AS i, b.c AS j, sum(x.val * z.val) AS v FROM x JOIN names a USING (name) JOIN xy z ON z.rec = x.rec JOIN names b ON b.name = z.name GROUP BY 1, 2
+    UNION ALL SELECT a.c, b.c, -sum(a.v * b.v) FROM rhs a JOIN {sol} b USING ({key}) WHERE a.c < (SELECT count(*) - 1 FROM names) GROUP BY 1, 2),
+  fwide AS (SELECT i, j, sum(v) AS v FROM cells GROUP BY 1, 2),
+  {solved("fs", "fwide", "(SELECT count(*) - 1 FROM names)")},
+  b AS (SELECT i AS c, v AS b FROM fs)"""
+
+
+#: Direct and maternal effects: a family (two founders and their children) is one system of eight equations.
+MATERNAL = f"""WITH RECURSIVE {_COLUMNS},
+  fam AS (SELECT *, CASE WHEN sire IS NOT NULL THEN sire // 4 WHEN idx % 4 IN (0, 1) THEN idx // 4 ELSE 1000000000 + idx END AS f FROM ped),
+  loc AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY sire IS NOT NULL, idx) - 1 AS l FROM fam),
+  eq AS (SELECT f, l, idx, 0 AS what FROM loc UNION ALL SELECT f, l + 4, idx, 1 FROM loc),
+  mat AS (SELECT a.f, a.l AS i, b.l AS j, (CASE a.what WHEN 0 THEN 1.25 ELSE 5.0 END) * v AS v FROM ainv JOIN eq a ON a.idx = ainv.i JOIN eq b ON b.idx = ainv.j AND b.what = a.what
+    UNION ALL SELECT f, l, l, n FROM loc JOIN n ON id = idx
+    UNION ALL SELECT c.f, m.l + 4, m.l + 4, n FROM loc c JOIN n ON id = c.idx JOIN loc m ON m.idx = c.dam
+    UNION ALL SELECT c.f, c.l, m.l + 4, n FROM loc c JOIN n ON id = c.idx JOIN loc m ON m.idx = c.dam
+    UNION ALL SELECT c.f, m.l + 4, c.l, n FROM loc c JOIN n ON id = c.idx JOIN loc m ON m.idx = c.dam),
+  rhs AS (SELECT f, l, c, sum(v) AS v FROM (SELECT f, l, c, r AS v FROM loc JOIN r ON id = idx UNION ALL SELECT k.f, m.l + 4, c, r FROM loc k JOIN r ON id = k.idx JOIN loc m ON m.idx = k.dam) GROUP BY ALL),
+  ff AS (SELECT DISTINCT f FROM loc), eight AS (SELECT f, unnest(range(8)) AS l FROM ff),
+  wide AS (SELECT f, i, j, sum(v)::DOUBLE AS v FROM (
+    SELECT * FROM mat UNION ALL SELECT a.f, a.l, b.l, 0 FROM eight a JOIN eight b USING (f) UNION ALL SELECT f, l, l, 1 FROM eight ANTI JOIN eq USING (f, l)
+    UNION ALL SELECT f, l, 8 + c, 0 FROM eight, names UNION ALL SELECT f, l, 8 + c, v FROM rhs) GROUP BY ALL),
+  {solved("s", "wide", "8", "f")},
+  sol AS (SELECT f, i AS l, j AS c, v FROM s),
+  {_fixed("sol", "f, l")}
+SELECT idx, round(sum(CASE WHEN what = 0 THEN v * coalesce(-b, 1) END), 5) + 0.0 AS u, round(sum(CASE WHEN what = 1 THEN v * coalesce(-b, 1) END), 5) + 0.0 AS mat
+FROM eq JOIN sol USING (f, l) LEFT JOIN b USING (c) GROUP BY idx"""
+
+#: Single-step: the genotyped animals and their families are one system, every other family one of four equations.
+SINGLE_STEP = f"""WITH RECURSIVE {_COLUMNS}, {GRM}, {A22}, {tuned("a22")}, {inverse("gi", "k", N)}, {inverse("ai", "a22", N)},
+  hinv AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM ainv UNION ALL SELECT * FROM gi UNION ALL SELECT i, j, -v FROM ai) GROUP BY 1, 2),
+  fam AS (SELECT *, CASE WHEN sire IS NOT NULL THEN sire // 4 WHEN idx % 4 IN (0, 1) THEN idx // 4 ELSE 1000000000 + idx END AS f0 FROM ped),
+  typed AS (SELECT DISTINCT f0 FROM fam WHERE idx < {N}),
+  loc AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY idx) - 1 AS l FROM (SELECT fam.*, CASE WHEN typed.f0 IS NULL THEN fam.f0 ELSE -1 END AS f FROM fam LEFT JOIN typed USING (f0))),
+  rhs AS (SELECT f, l, c, r AS v FROM loc JOIN r ON id = idx),
+  mat AS (SELECT a.f, a.l AS i, b.l AS j, 1.5 * v AS v FROM hinv JOIN loc a ON a.idx = hinv.i JOIN loc b ON b.idx = hinv.j UNION ALL SELECT f, l, l, n FROM loc JOIN n ON id = idx),
+  ff AS (SELECT f, count(*) AS size FROM loc GROUP BY f), big AS (SELECT size FROM ff WHERE f = -1),
+  small AS (SELECT f, unnest(range(4)) AS l FROM ff WHERE f >= 0),
+  cellsA AS (SELECT * FROM mat UNION ALL SELECT a.f, a.l, b.l, 0 FROM small a JOIN small b USING (f) UNION ALL SELECT f, l, l, 1 FROM small ANTI JOIN loc USING (f, l)),
+  wideA AS (SELECT f, i, j, sum(v)::DOUBLE AS v FROM (SELECT * FROM cellsA WHERE f >= 0 UNION ALL SELECT f, l, 4 + c, 0 FROM small, names UNION ALL SELECT f, l, 4 + c, v FROM rhs WHERE f >= 0) GROUP BY ALL),
+  {solved("sa", "wideA", "4", "f")},
+  wideB AS (SELECT i, j, sum(v)::DOUBLE AS v FROM (SELECT i, j, v FROM mat WHERE f = -1 UNION ALL SELECT a.l, b.l, 0 FROM loc a, loc b WHERE a.f = -1 AND b.f = -1
+    UNION ALL SELECT l, size + c, 0 FROM loc, names, big WHERE f = -1 UNION ALL SELECT l, size + c, v FROM rhs, big WHERE f = -1) GROUP BY ALL),
+  {solved("sb", "wideB", "(SELECT size FROM big)")},
+  sol AS (SELECT f, i AS l, j AS c, v FROM sa UNION ALL SELECT -1, i, j, v FROM sb),
+  {_fixed("sol", "f, l")}
+SELECT idx, round(sum(v * coalesce(-b, 1)), 5) + 0.0 AS u FROM loc JOIN sol USING (f, l) LEFT JOIN b USING (c) GROUP BY idx"""

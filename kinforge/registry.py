@@ -465,17 +465,17 @@ def maternal_remap(spark, sf_dir):
     return by_id.groupBy(F.col("dam_id").alias("dam")).agg(F.sum("n").alias("n"), F.round(F.sum("y"), 6).alias("sum_y"), F.count(F.lit(1)).alias("n_offspring"))
 
 
-@query()
+@query(D.MATERNAL)
 def maternal_blup(spark, sf_dir):
     """Direct and maternal effects over one A inverse: (idx, u, mat)."""
     model, n = _model(spark, sf_dir)
     model.records = P.to_dams(model.records, L.pedigree(spark, sf_dir))
     model.random("mat", "dam_id", n, _ainv(spark, sf_dir))
     u = model.solve({"u": 0.4, "mat": 0.1, "e": 0.5}).u
-    return spark.createDataFrame([(i, float(a), float(m)) for i, (a, m) in enumerate(zip(u["u"], u["mat"], strict=True))], "idx long, u double, mat double")
+    return effects_table(spark, {"u": u["u"], "mat": u["mat"]}).withColumns({c: r6(F.col(c), 5) for c in ("u", "mat")})
 
 
-@query()
+@query(D.SINGLE_STEP)
 def single_step(spark, sf_dir):
     """Single-step BLUP: A inverse plus the inverse of tuned, blended G less that of A22, for genotyped animals."""
     from kinforge.sources.matrices import coo as to_rows
@@ -489,7 +489,7 @@ def single_step(spark, sf_dir):
     n = L.table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
     model = MixedModel(L.phenotypes(spark, sf_dir)).fixed(["priority"], ["mon"])
     model.random("u", "id", n, coo.add(P.a_inverse(ped, d), to_rows(spark, block)))
-    return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"])
+    return _vector(spark, "u", model.solve({"u": 0.4, "e": 0.6}).u["u"]).withColumn("u", r6(F.col("u"), 5))
 
 
 @query()
