@@ -196,3 +196,45 @@ SINGLE_STEP = f"""WITH RECURSIVE {_COLUMNS}, {GRM}, {A22}, {tuned("a22")}, {inve
   sol AS (SELECT f, i AS l, j AS c, v FROM sa UNION ALL SELECT -1, i, j, v FROM sb),
   {_fixed("sol", "f, l")}
 SELECT idx, round(sum(v * coalesce(-b, 1)), 5) + 0.0 AS u FROM loc JOIN sol USING (f, l) LEFT JOIN b USING (c) GROUP BY idx"""
+
+
+def _stage(tag: str, terms: list[tuple[int, int, str]], lam: str) -> str:
+    """Tables c{tag} (idx, e, a, v): coefficients of the random regression, family by family. ``terms`` are (effect, polynomial)
+    with the matrix of the effect, ``lam`` (e, a, b, v) the inverse covariances times the residual variance."""
+    order = 4 * len(terms)
+    place = "CASE " + " ".join(f"WHEN e = {e} AND a = {a} THEN {4 * k}" for k, (e, a, _) in enumerate(terms)) + " END"
+    kinds = " UNION ALL ".join(f"SELECT {e} AS e, {a} AS a, '{kind}' AS kind" for e, a, kind in terms)
+    fixed = _fixed(f"sol{tag}", "f, l").replace("cells AS", f"cells{tag} AS").replace("FROM cells", f"FROM cells{tag}").replace("fwide", f"fwide{tag}").replace("fs", f"fs{tag}").replace(" rhs ", f" rhs{tag} ").replace("  b AS (", f"  b{tag} AS (")
+    return f"""terms{tag} AS ({kinds}), eq{tag} AS (SELECT f, l + {place} AS l, idx, e, a, kind FROM loc, terms{tag}),
+  mat{tag} AS (SELECT x.f, x.l AS i, y.l AS j, lam.v * k.v AS v FROM kin k JOIN eq{tag} x ON x.idx = k.i AND x.kind = k.kind JOIN eq{tag} y ON y.idx = k.j AND y.kind = k.kind AND y.e = x.e JOIN {lam} lam ON lam.e = x.e AND lam.a = x.a AND lam.b = y.a
+    UNION ALL SELECT x.f, x.l, y.l, zz.v FROM eq{tag} x JOIN eq{tag} y USING (f, idx) JOIN zz ON zz.id = x.idx AND zz.a = x.a AND zz.b = y.a),
+  rhs{tag} AS (SELECT f, l, c, zr.v FROM eq{tag} x JOIN zr ON zr.id = x.idx AND zr.a = x.a),
+  all{tag} AS (SELECT f, unnest(range({order})) AS l FROM (SELECT DISTINCT f FROM loc)),
+  wide{tag} AS (SELECT f, i, j, sum(v)::DOUBLE AS v FROM (SELECT * FROM mat{tag} UNION ALL SELECT p.f, p.l, q.l, 0 FROM all{tag} p JOIN all{tag} q USING (f)
+    UNION ALL SELECT f, l, l, 1 FROM all{tag} ANTI JOIN eq{tag} USING (f, l) UNION ALL SELECT f, l, {order} + c, 0 FROM all{tag}, names UNION ALL SELECT f, l, {order} + c, v FROM rhs{tag}) GROUP BY ALL),
+  {solved(f"s{tag}", f"wide{tag}", str(order), "f")},
+  sol{tag} AS (SELECT f, i AS l, j AS c, v FROM s{tag}),
+  {fixed},
+  c{tag} AS (SELECT idx, e, a, sum(v * coalesce(-b, 1)) AS v FROM eq{tag} JOIN sol{tag} USING (f, l) LEFT JOIN b{tag} USING (c) GROUP BY ALL)"""
+
+
+_REGRESSION = f"""WITH RECURSIVE {_COLUMNS.replace(" UNION ALL SELECT rec, id, 'mon', mon FROM pheno)", ")", 1)},
+  fam AS (SELECT *, CASE WHEN sire IS NOT NULL THEN sire // 4 WHEN idx % 4 IN (0, 1) THEN idx // 4 ELSE 1000000000 + idx END AS f FROM ped),
+  loc AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY idx) - 1 AS l FROM fam),
+  kin AS (SELECT 'a' AS kind, * FROM ainv UNION ALL SELECT 'i', idx, idx, 1 FROM ped),
+  lim AS (SELECT min(mon) AS low, max(mon) AS high FROM pheno),
+  phi AS (SELECT rec, id, unnest([0, 1]) AS a, unnest([sqrt(0.5::DOUBLE), sqrt(1.5::DOUBLE) * (2 * (mon - low) / (high - low) - 1)]) AS p FROM pheno, lim),
+  zz AS (SELECT x.id, x.a, y.a AS b, sum(x.p * y.p) AS v FROM phi x JOIN phi y USING (rec) GROUP BY ALL),
+  zr AS (SELECT phi.id, a, c, sum(p * val) AS v FROM phi JOIN xy USING (rec) JOIN names USING (name) GROUP BY ALL)"""
+_FIRST = "lam0 AS (SELECT 0 AS e, 0 AS a, 0 AS b, 1.5 AS v UNION ALL SELECT 0, 1, 1, 1.5 UNION ALL SELECT 1, 0, 0, 3.0 UNION ALL SELECT 1, 1, 1, 3.0)"
+_U = [(0, 0, "a"), (0, 1, "a")]
+#: Coefficients after one refinement: K of the first solution (positive definite, so its floor is idle) takes the place of 0.4 I.
+_REFINED = f"""{_REGRESSION}, {_FIRST}, {_stage("1", _U, "lam0")},
+  kk AS (SELECT avg(x.v * x.v) AS k00, avg(x.v * y.v) AS k01, avg(y.v * y.v) AS k11 FROM c1 x JOIN c1 y ON x.idx = y.idx AND x.a = 0 AND y.a = 1),
+  lam1 AS (SELECT 0 AS e, unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b, unnest([0.6 * k11, -0.6 * k01, -0.6 * k01, 0.6 * k00]) / (k00 * k11 - k01 * k01) AS v FROM kk),
+  {_stage("2", _U, "lam1")}"""
+RR_COEF = f"{_REFINED} SELECT idx, round(sum(v) FILTER (a = 0), 3) + 0.0 AS c0, round(sum(v) FILTER (a = 1), 3) + 0.0 AS c1 FROM c2 GROUP BY idx"
+RR_CURVE = f"""{_REFINED}, times AS (SELECT DISTINCT mon AS t, sqrt(0.5::DOUBLE) AS p0, sqrt(1.5::DOUBLE) * (2 * (mon - low) / (high - low) - 1) AS p1 FROM pheno, lim)
+SELECT x.idx, t, round(x.v * p0 + y.v * p1, 2) + 0.0 AS value FROM c2 x JOIN c2 y ON x.idx = y.idx AND x.a = 0 AND y.a = 1, times"""
+RR_K = f"""{_REGRESSION}, {_FIRST}, {_stage("1", [*_U, (1, 0, "i"), (1, 1, "i")], "lam0")}
+SELECT CASE x.e WHEN 0 THEN 'u' ELSE 'pe' END AS effect, x.a AS "row", y.a AS col, round(avg(x.v * y.v), 5) + 0.0 AS v FROM c1 x JOIN c1 y USING (idx, e) GROUP BY x.e, x.a, y.a"""

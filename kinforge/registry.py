@@ -560,22 +560,22 @@ def _regression(spark, sf_dir, permanent: bool = False):
     return RR.fit(L.phenotypes(spark, sf_dir), "mon", n, _ainv(spark, sf_dir), {"u": 0.4, "pe": 0.2, "e": 0.6}, 1, ["priority"], [], permanent=permanent, errors=False)
 
 
-@query()
+@query(D.RR_CURVE)
 def rrm_curve(spark, sf_dir):
     """Random regression of order 1 on month, refined by K: (idx, t, value) over the grid of times."""
-    return _regression(spark, sf_dir).curves()
+    return _regression(spark, sf_dir).curves().withColumn("value", r6(F.col("value"), 2))
 
 
-@query()
+@query(D.RR_COEF)
 def rrm_coef(spark, sf_dir):
-    return _regression(spark, sf_dir).coefficients()
+    return _regression(spark, sf_dir).coefficients().withColumns({c: r6(F.col(c), 3) for c in ("c0", "c1")})
 
 
-@query()
+@query(D.RR_K)
 def rrm_k(spark, sf_dir):
     """Covariances of additive and permanent coefficients."""
     fit = _regression(spark, sf_dir, True)
-    return fit.covariance("u").union(fit.covariance("pe"))
+    return fit.covariance("u").union(fit.covariance("pe")).withColumn("v", r6(F.col("v"), 5))
 
 
 @query(D.GBLUP)
