@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import written
+from kinforge.llm.common import few_files, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """(node, root) of every node of the edges (a, b); root is the smallest node of its component.
 
     Nodes may be of any orderable type; null ends and loops count for nothing. Every round is a table in the
-    shared folder, so lineage stays short and a lost executor costs one round at most.
+    shared folder, so lineage stays short and a lost executor costs one round at most. No round has more edges than
+    the one before, which bounds its files.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     # a small star first: a node with many hubs keeps one edge, and its hubs are joined among themselves
@@ -43,11 +44,12 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         if not was[0]:
             break
-        edges = written(_small_star(_large_star(edges)), name)
+        edges = written(_small_star(_large_star(edges)), name, rows=was[0])
         now = _print(edges)
         if now == was:
             break
         was = now
     else:
         raise RuntimeError(f"no fixed point in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct()
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct()
+    return few_files(nodes, 2 * was[0])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinforge.llm.common import WordHasher, column, mix64, pieces, scratch, unused, words_of, written
+from kinforge.llm.common import FILE_TEXTS, WordHasher, column, few_files, mix64, pieces, scratch, unused, words_of, written
 from kinforge.llm.components import components
 
 BLOCK, HOT = 256, 64
@@ -94,7 +94,7 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, signer = WordHasher(), Signer(bands, rows)
-        for batch in pieces(batches):
+        for batch in pieces(batches, release=True):
             keys, hashes, signatures, sizes = [], [], [], []
             for text in column(batch, "text"):
                 grams = shingles(words_of(text), size, hasher)
@@ -115,11 +115,11 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+def _candidates(nodes: DataFrame, threshold: float, members_at_most: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair that shares a band (and may reach the threshold)."""
     members = nodes.select("key", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1")
-    met = written(members.join(sizes, "bucket"), "near-buckets")
+    met = written(members.join(sizes, "bucket"), "near-buckets", rows=members_at_most)
     star = met.where((F.col("n") > HOT) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b"))
     hot = written(components(star, "near-hot"), "near-hot-groups")
     cold = met.where(F.col("n") <= HOT).select("bucket", "key").join(hot.withColumnRenamed("node", "key"), "key", "left")
@@ -251,7 +251,7 @@ def _units(docs: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, thre
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
-        for batch in pieces(batches):
+        for batch in pieces(batches, release=True):
             grams = [shingles(words_of(t), size, hasher) for t in column(batch, "text")]
             keep = []
             for g, k in zip(grams, column(batch, "node"), strict=True):  # rows that repeat a document count once
@@ -277,8 +277,9 @@ def _classes(docs: DataFrame, size: int, threshold: float, recall: float) -> tup
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep"),
         F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("n").alias("n"),
     )
-    nodes = written(nodes, "near-nodes")
-    groups = written(components(_candidates(nodes, threshold), "near-candidates"), "near-groups")
+    nodes = written(nodes, "near-nodes", rows=signed.count())
+    n_nodes = nodes.count()
+    groups = written(components(_candidates(nodes, threshold, n_nodes * bands), "near-candidates"), "near-groups")
     found = written(_verify(_units(docs, nodes, groups, size, threshold), threshold), "near-links")
     links = found.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), "near-classes")
@@ -290,7 +291,7 @@ def _classes(docs: DataFrame, size: int, threshold: float, recall: float) -> tup
         .join(named.select("key", "root").join(names, "root").select("key", "first"), "key", "left")
         .select("key", F.coalesce("first", "rep").alias("first"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     )
-    return signed.select("doc_id", "mark", "key"), written(about, "near-about")
+    return signed.select("doc_id", "mark", "key"), written(about, "near-about", rows=n_nodes)
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
@@ -303,14 +304,15 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
     with scratch(docs.sparkSession):
         rows, about = _classes(docs, size, threshold, recall)
         about = about.select("key", F.col("first.doc_id").alias("class_id"), "copies", "n_links")
-        bound = max(64, rows.count() // HEAVY)
+        n = rows.count()
+        bound = max(64, n // HEAVY)
         heavy = about.where(F.col("copies") > bound)
         # its size is bounded: copies add up to the rows, so at most HEAVY keys are above the bound
         shared = rows.join(F.broadcast(heavy), "key")
         rest = rows.join(F.broadcast(heavy.select("key")), "key", "left_anti").where("key is not null").join(about, "key")
         alone = rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
         out = shared.select("doc_id", "class_id", "n_links").union(rest.select("doc_id", "class_id", "n_links")).union(alone)
-        return written(out, "near-classes", stays=True)
+        return written(out, "near-classes", stays=True, rows=n)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
@@ -323,14 +325,15 @@ def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
         often = rows.where("key is not null").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("i", "m", "n")
         named = first.join(often, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m")), "left")
         named = named.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.coalesce("n", F.lit(1)).alias(n))
-        named = written(named, "near-kept", stays=True)
+        n_rows = rows.count()
+        named = written(named, "near-kept", stays=True, rows=n_rows)
     words = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
     same = docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(mark))
     kept = docs.where(~words).union(docs.where(words).join(named.where(F.col(n) == 1), same, "left_semi"))
     many = named.where(F.col(n) > 1)
     if not many.isEmpty():
         kept = kept.union(docs.where(words).join(many, same).dropDuplicates([id_, mark]).select(*[docs[c] for c in docs.columns]))
-    return kept
+    return few_files(kept, n_rows, FILE_TEXTS)
 
 
 #: The same join by all pairs that share an n-gram, in DuckDB's SQL.

@@ -787,3 +787,61 @@ def test_encoder_equals_library_on_odd_texts(limit):
     odd += ["é,,x1a a1b2", "À×b ÷a", "a\r\nb c", "İi ɏɐ", "x_y a\\b [q] ^_`{~}", "a’b", "\nq w", "4th x²y", "Ⅷa ªb", "a\x1c b", "", "\n", "ǅ'll we'll", "end.\nNext, word*** a.\n-b"]
     for text in odd * 2:
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_small_tables_go_to_few_files(spark, corpus, monkeypatch):
+    from contextlib import nullcontext
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    want = sorted(near_duplicates.jaccard_join(corpus).collect(), key=str)
+    monkeypatch.setattr(near_duplicates, "scratch", lambda _: nullcontext())
+    before = set(shared.iterdir())
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert sorted(near_duplicates.jaccard_join(corpus).collect(), key=str) == want
+        kept = near_duplicates.one_of_each(corpus)
+        assert kept.rdd.getNumPartitions() <= 4
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {p.name: len([*p.glob("part-*")]) for p in set(shared.iterdir()) - before}
+    rounds = {n: k for n, k in files.items() if n.startswith(("near-nodes", "near-buckets", "near-hot-groups", "near-groups", "near-about", "near-kept"))}
+    assert len(rounds) == 11
+    assert max(rounds.values()) <= 4  # one for each core; it was one for each shuffle partition that has rows
+
+
+def test_language_counts_a_few_texts_at_a_time():
+    import tracemalloc
+
+    rng = random.Random(8)
+    texts = [prose(rng, 300) for _ in range(2000)] + ["", "ß", "Ä b", prose(rng, 60_000)]
+    for some in (texts, texts[-4:], [], [""]):
+        whole, parts = langid.counted("\n".join(some)), langid.counted_together(some)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    tracemalloc.start()
+    langid.counted_together(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 63 MB with all texts joined, 12 MB in runs
+
+
+def test_workers_give_free_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from kinforge.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release_memory", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    assert [b.num_rows for b in common.pieces(iter([batch, batch]), 600, release=True)] == [600, 400, 600, 400]
+    assert calls == [1]
+    some = common.pieces(iter([batch]), 600, release=True)
+    next(some)
+    some.close()  # a task that stops early
+    assert calls == [1, 1]
+    monkeypatch.undo()
+    common.release_memory()
