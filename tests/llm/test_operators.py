@@ -315,6 +315,20 @@ def test_katz_of_order_three(spark):
         assert np.allclose(got, want, atol=1e-6)
 
 
+def test_katz_shuffles_each_reply_once(spark):
+    rng = random.Random(8)
+    docs = docs_of(spark, [(i, prose(rng, 30, 60), "en", "s") for i in range(120)]).coalesce(1)
+    units, shards = 10, 4  # 13 documents have 403 tokens
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    old = stages()
+    before = {old.apply(i).stageId() for i in range(old.size())}
+    assert lm.score(docs, shards=shards, order=4, unit_tokens=400).count() == 120
+    now = stages()
+    moved = [x.shuffleWriteRecords() for i in range(now.size()) if (x := now.apply(i)).stageId() not in before]
+    assert units * shards <= max(moved) <= units * shards + units  # the replies of one round and the units, not of all rounds
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     alphabets = {"aa": "abcde ", "bb": "defgh ", "cc": "жзийк "}
