@@ -258,4 +258,8 @@ def pvar(spark: SparkSession, path: str) -> DataFrame:
 
 def long(variants: DataFrame) -> DataFrame:
     """(snp, sample, dosage) rows."""
+    if dict(variants.dtypes)["dosage"] == "binary":
+        from kinforge.operators.genotypes import blocks, packed_batch
+
+        variants = variants.select("snp", "dosage").mapInArrow(lambda batches: (packed_batch(part.column("snp"), x) for part, x in blocks(batches)), "snp long, dosage array<double>")
     return variants.select("snp", F.posexplode("dosage").alias("sample", "dosage")).select("snp", F.col("sample").cast("long"), "dosage")
