@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.operators import design
-from kinforge.plans.mixed_model import MixedModel, Solution, effects_table
+from kinforge.plans.mixed_model import MixedModel, Solution
 
 #: Observed times are the grid of the curves up to so many; beyond, it has GRID points.
 MOST_TIMES, GRID = 50, 21
@@ -34,8 +34,7 @@ class Regression:
 
     def coefficients(self, effect: str = "u") -> DataFrame:
         """(idx, c0, c1, ...)."""
-        u = {f"c{i}": self.solution.u[n] for i, n in enumerate(self.names(effect))}
-        return effects_table(self.model.records.sparkSession, u)
+        return self.solution.table(self.model.records.sparkSession, {f"c{i}": n for i, n in enumerate(self.names(effect))})
 
     def covariance(self, effect: str = "u") -> DataFrame:
         """(effect, row, col, v) of K."""
@@ -54,7 +53,10 @@ class Regression:
 
 def covariance_of(coefficients: np.ndarray) -> np.ndarray:
     """K = mean of c c' over animals, eigenvalues floored at max(1e-10, 1e-8 max(1, largest))."""
-    k = coefficients.T @ coefficients / len(coefficients)
+    return floored(coefficients.T @ coefficients / len(coefficients))
+
+
+def floored(k: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh(k)
     return (vectors * np.maximum(values, max(1e-10, 1e-8 * max(1.0, values.max())))) @ vectors.T
 
@@ -86,7 +88,7 @@ def fit(
     variances = {f"{e}{k}": s2[e] for e in effects for k in range(order + 1)} | {"e": s2["e"]}
     solution = model.solve(variances, **solve)
     names = [f"u{k}" for k in range(order + 1)]
-    known = {e: covariance_of(np.stack([solution.u[f"{e}{k}"] for k in range(order + 1)], 1)) for e in effects}
+    known = {e: floored(solution.mean_products(records.sparkSession, [f"{e}{k}" for k in range(order + 1)])) for e in effects}
     if refine:
         solution = model.solve(variances, together=(names, s2["e"] * np.linalg.inv(known["u"])), **solve)
     if n_times <= MOST_TIMES:

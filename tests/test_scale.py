@@ -55,3 +55,33 @@ def test_effects_come_to_the_genotypes(spark, forms):
     assert "Join" not in plan
     with pytest.raises(ValueError):
         G.block_shrinkage(bits, effects.union(effects), 75, 40, 0.3)
+
+
+def test_models_by_tasks_equal_dense(spark, monkeypatch):
+    """Matrix and vectors of large models were on the driver; chunks of 8 equations here, effects of a level side by side."""
+    from kinforge.operators import pedigree as P
+    from kinforge.plans import cluster
+    from kinforge.plans.mixed_model import MixedModel
+
+    monkeypatch.setattr(cluster, "CHUNK", 8)
+    n, rng = 41, np.random.default_rng(2)
+    ped = [(i, int(rng.integers(0, i // 2 + 1)), i // 2 + 1 + int(rng.integers(0, i - i // 2 - 1))) if i > 3 else (i, None, None) for i in range(n)]
+    ped = spark.createDataFrame(ped, "idx long, sire long, dam long")
+    rows = [(r, int(rng.integers(0, n - 1)), int(rng.integers(0, n)) if r % 3 else None, "abc"[r % 3], "x" if r % 3 == 0 else "y", float(rng.normal()), float(rng.normal())) for r in range(90)]
+    # the second factor depends on the first: the fixed effects' part has no full rank
+    rows = spark.createDataFrame(rows, "rec long, id long, dam_id long, f string, g string, t double, y double")
+    ainv = P.a_inverse(ped, P.inbreeding(ped))
+    for factors, pe in ((["f"], n), (["f", "g"], n + 7)):
+        model = MixedModel(rows).fixed(factors, ["t"]).random("u", "id", n, ainv).random("pe", "dam_id", pe)
+        s2 = {"u": 0.4, "pe": 0.2, "e": 0.6}
+        want, got = model.solve(s2), model.solve(s2, dense_cap=0, driver_entries=0)
+        assert isinstance(got.u, cluster.Effects) and got.converged
+        table = {r["idx"]: r["u"] for r in got.table(spark, {"u": "u"}).collect()}
+        assert np.allclose([table[i] for i in range(n)], want.u["u"], atol=1e-7)
+        assert np.allclose(got.u["u"], want.u["u"], atol=1e-7) and np.allclose(got.u["pe"], want.u["pe"], atol=1e-7)
+        same(model.fitted(want), model.fitted(got), "rec")
+        if len(factors) == 1:
+            assert np.allclose(got.beta, want.beta) and np.allclose(got.se, want.se)
+            assert np.allclose(got.mean_products(spark, ["u", "pe"]), want.mean_products(spark, ["u", "pe"]))
+    with pytest.warns(UserWarning):
+        assert not model.solve(s2, dense_cap=0, driver_entries=0, rounds=1).converged
