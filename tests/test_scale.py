@@ -85,3 +85,32 @@ def test_models_by_tasks_equal_dense(spark, monkeypatch):
             assert np.allclose(got.mean_products(spark, ["u", "pe"]), want.mean_products(spark, ["u", "pe"]))
     with pytest.warns(UserWarning):
         assert not model.solve(s2, dense_cap=0, driver_entries=0, rounds=1).converged
+
+
+def test_relationships_shuffle_no_genotypes(spark, forms):
+    """Variants went to a task for each pair of tiles; now tiles are added up where the variants lie, in several passes."""
+    from kinforge.plans import genomic as GP
+
+    arrays, bits = forms
+    plan = G.sample_products(bits, "dosage", lambda _, x: x.known(), 75, tile=32, whole=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    z = np.array([[v or 0.0 for v in r["dosage"]] for r in arrays.orderBy("snp").collect()])
+    for whole in (0, 64, 128):
+        got = G.sample_products(bits, "dosage", lambda _, x: x.known(), 75, tile=32, whole=whole).toPandas()
+        want = z.T @ z
+        assert len(got) == 75 * 76 // 2 and np.allclose(got["v"], want[got["i"], got["j"]])
+    v = np.random.default_rng(3).normal(size=(75, 2))
+    for method in (G.VANRADEN, G.ZENG, G.YANG, G.DOMINANCE, G.TRUE_VARIANCE):
+        same(G.relationship(arrays, 75, method), G.relationship(bits, 75, method), "i", "j")
+    assert np.allclose(GP.GenomicProduct(bits, 75)(v), GP.GenomicProduct(arrays, 75)(v))
+
+
+def test_gblup_beyond_the_dense_bound(spark, tmp_path, monkeypatch):
+    from kinforge import registry
+
+    spark.createDataFrame([(i, i * 37 % 101 * 90.0) for i in range(30)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(i,) for i in range(300)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    want = registry.gblup_fixed(spark, str(tmp_path))
+    monkeypatch.setattr(registry, "DENSE_SAMPLES", 10)
+    monkeypatch.setattr(registry, "_genomic", None)  # the dense matrix isn't asked for
+    same(want, registry.gblup_fixed(spark, str(tmp_path)), "idx")
