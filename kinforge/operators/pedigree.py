@@ -11,6 +11,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def generations(ped: DataFrame, limit: int = 200) -> DataFrame:
     front = written(ped.where("sire is null and dam is null").select("idx"), "ped-level")
     levels = [front.withColumn("generation", F.lit(0))]
     for g in range(1, limit):
-        front = written(parents.join(front.toDF("parent"), "parent").select("idx").distinct(), "ped-level")
+        front = written(parents.join(front.toDF("parent").hint("merge"), "parent").select("idx").distinct(), "ped-level")
         if front.isEmpty():
             every = reduce(DataFrame.union, levels)
             return every.groupBy("idx").agg(F.max("generation").alias("generation"))
@@ -38,14 +39,15 @@ def generations(ped: DataFrame, limit: int = 200) -> DataFrame:
 def ancestor_paths(ped: DataFrame, limit: int = 100, of: DataFrame | None = None) -> DataFrame:
     """(idx, ancestor, weight): sum over all paths of 0.5 to the number of steps; itself with weight 1.
 
-    Of all animals, or of the rows (idx) of ``of`` only.
+    Of all animals, or of the rows (idx) of ``of`` only. Steps are merge joins: a broadcast in each of them would send the
+    driver a table a generation.
     """
     parents = ped.select("idx", F.explode(F.array("sire", "dam")).alias("parent")).where("parent is not null")
     front = (ped if of is None else of).select("idx", F.col("idx").alias("ancestor"), F.lit(1.0).alias("weight"))
     out = front
     step = parents.select(F.col("idx").alias("ancestor"), "parent")
     for _ in range(limit):
-        longer = front.join(step, "ancestor").groupBy("idx", "parent").agg(F.sum(F.col("weight") * 0.5).alias("weight"))
+        longer = front.join(step.hint("merge"), "ancestor").groupBy("idx", "parent").agg(F.sum(F.col("weight") * 0.5).alias("weight"))
         front = written(longer.select("idx", F.col("parent").alias("ancestor"), "weight"), "ped-paths")
         if front.isEmpty():
             return out.groupBy("idx", "ancestor").agg(F.sum("weight").alias("weight"))
@@ -74,13 +76,13 @@ class Arrays:
         n = int(ped.agg(F.max("idx")).first()[0] or 0) + 1
         if n > ARRAY_CAP:
             raise ValueError(f"{n} animals are beyond the cap of {ARRAY_CAP}")
-        pdf = rows.toPandas()
-        at = pdf["idx"].to_numpy(np.int64)
+        got = rows.toArrow()
+        at = got["idx"].to_numpy()
         out = cls(*(np.full(n, -1, np.int64) for _ in range(2)), np.zeros(n, np.int32), np.ones(n))
-        for name, value in (("sire", pdf["sire"].fillna(-1)), ("dam", pdf["dam"].fillna(-1)), ("generation", pdf["generation"])):
-            getattr(out, name)[at] = value.to_numpy()
+        for name in ("sire", "dam", "generation"):
+            getattr(out, name)[at] = pc.fill_null(got[name], -1).to_numpy()
         if d is not None:
-            out.d[at] = pdf["d"].to_numpy(float)
+            out.d[at] = got["d"].to_numpy()
         return out
 
     def save(self, spark) -> str:
@@ -112,6 +114,51 @@ class Arrays:
                 x[known] += 0.5 * x[parent[known]]
         return x
 
+    def children(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, child): an animal's children are those from its first on to the next animal's first."""
+        parent = np.concatenate((self.sire, self.dam))
+        known = np.flatnonzero(parent >= 0)
+        order = known[np.argsort(parent[known], kind="stable")]
+        return np.searchsorted(parent[order], np.arange(len(self.sire) + 1)), order % len(self.sire)
+
+    def sparse_columns(self, animals: np.ndarray, children: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(animal, place of the column, value): the same columns' entries, by sweeps over relatives only."""
+        k, (first, child) = len(animals), children
+        top = int(self.generation.max(initial=0)) + 1
+        waiting: list[list] = [[] for _ in range(top)]
+
+        def send(keys: np.ndarray, values: np.ndarray) -> None:
+            g = self.generation[keys // k]
+            for level in np.unique(g):
+                waiting[level].append((keys[g == level], values[g == level]))
+
+        def arrived(level: int) -> tuple[np.ndarray, np.ndarray]:
+            parts, waiting[level] = waiting[level], []
+            if not parts:
+                return np.empty(0, np.int64), np.empty(0)
+            keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return keys, np.bincount(place, np.concatenate([p[1] for p in parts]), len(keys))
+
+        send(animals * k + np.arange(k), np.ones(k))
+        up = []
+        for level in reversed(range(top)):
+            keys, values = arrived(level)
+            up.append((keys, values * self.d[keys // k]))
+            for parent in (self.sire, self.dam):
+                p = parent[keys // k]
+                send(p[p >= 0] * k + keys[p >= 0] % k, 0.5 * values[p >= 0])
+        for keys, values in up:
+            send(keys, values)
+        out = []
+        for level in range(top):
+            keys, values = arrived(level)
+            out.append((keys, values))
+            n = first[keys // k + 1] - first[keys // k]
+            at = np.repeat(first[keys // k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            send(child[at] * k + np.repeat(keys % k, n), 0.5 * np.repeat(values, n))
+        keys, values = (np.concatenate(x) for x in zip(*out, strict=True))
+        return keys // k, keys % k, values
+
     def excess(self, sire: int, dam: int) -> float:
         """Sum of L^2 d over the ancestors of a child of two animals: from the youngest on, each is met once."""
         share, heap, total = {sire: 0.5}, [(-int(self.generation[sire]), sire)], 0.0
@@ -142,6 +189,11 @@ def _loaded(path: str) -> Arrays:
         return Arrays(*pickle.loads(file.read()))
 
 
+@lru_cache(maxsize=1)
+def _children(path: str) -> tuple[np.ndarray, np.ndarray]:
+    return _loaded(path).children()
+
+
 def inbreeding(ped: DataFrame) -> DataFrame:
     """(idx, f, d): inbreeding coefficient and Mendelian variance.
 
@@ -196,25 +248,32 @@ def a_inverse(ped: DataFrame, d: DataFrame) -> DataFrame:
 def relationship(ped: DataFrame, d: DataFrame, of: DataFrame | None = None, cells: int = 4_000_000) -> DataFrame:
     """A's entries (i, j, v) other than 0; the block of the animals (idx) of ``of`` only, if given.
 
-    Columns of A are worked out by sweeps over the pedigree's arrays, which tasks read from the shared folder; a task
-    holds columns of at most ``cells`` entries at a time. Nothing is joined on ancestors.
+    Columns of A are worked out by sweeps over an animal's relatives in the pedigree's arrays, which tasks read from the
+    shared folder; a task takes as many columns at a time as have some ``cells`` entries. Nothing is joined on ancestors.
     """
     a = Arrays.of(ped, d)
     n, path = len(a.sire), a.save(ped.sparkSession)
     animals = (ped if of is None else of).select("idx").distinct()
     wanted = None if of is None else np.sort(animals.toPandas()["idx"].to_numpy(np.int64))
-    step = max(1, cells // n)
+    few = max(1, cells // n)
 
     def run(batches):
+        step = few
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                own = batch.column("idx").slice(at, step).to_numpy()
-                x = _loaded(path).columns(own)
-                rows = np.arange(n) if wanted is None else wanted
-                i, j = np.nonzero(np.abs(x[rows]) > 1e-14)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(own[j]), pa.array(x[rows[i], j])], ["i", "j", "v"])
-
-    parts = max(1, min(10_000, int(animals.count()) // step))
+            known, children, at = _loaded(path), _children(path), 0
+            every = batch.column("idx").to_numpy()
+            while at < len(every):
+                own = every[at : at + step]
+                i, j, v = known.sparse_columns(own, children)
+                at += len(own)
+                # as many columns as the last ones' entries allow, if all were full at least ``few``
+                step = max(few, min(4 * step, cells * len(own) // max(1, len(i))))
+                keep = np.abs(v) > 1e-14
+                if wanted is not None:
+                    keep &= wanted[np.minimum(np.searchsorted(wanted, i), len(wanted) - 1)] == i
+                yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(own[j[keep]]), pa.array(v[keep])], ["i", "j", "v"])
+
+    parts = max(1, min(10_000, int(animals.count()) // 4096))
     return animals.select(F.col("idx").cast("long")).repartition(parts).mapInArrow(run, "i long, j long, v double")
 
 

@@ -114,3 +114,31 @@ def test_gblup_beyond_the_dense_bound(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "DENSE_SAMPLES", 10)
     monkeypatch.setattr(registry, "_genomic", None)  # the dense matrix isn't asked for
     same(want, registry.gblup_fixed(spark, str(tmp_path)), "idx")
+
+
+def test_sparse_columns_equal_sweeps_over_all(spark):
+    from kinforge.operators.pedigree import Arrays
+
+    rng, n = np.random.default_rng(4), 60
+    sire = np.array([-1 if i < 6 else rng.integers(0, i) for i in range(n)])
+    dam = np.array([-1 if i < 6 or i % 9 == 0 else rng.integers(0, i) for i in range(n)])
+    dam[10] = sire[10]
+    level = np.zeros(n, np.int32)
+    for i in range(n):
+        level[i] = max([level[p] + 1 for p in (sire[i], dam[i]) if p >= 0], default=0)
+    a = Arrays(sire, dam, level, rng.uniform(0.4, 1, n))
+    own = np.array([3, 59, 10, 27])
+    i, j, v = a.sparse_columns(own, a.children())
+    got = np.zeros((n, 4))
+    got[i, j] = v
+    assert len(set(zip(i, j, strict=True))) == len(i) and np.allclose(got, a.columns(own))
+
+
+def test_ancestor_steps_are_not_broadcast(spark, monkeypatch):
+    from kinforge.operators import pedigree as P
+
+    plans, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    ped = spark.createDataFrame([(i, i // 2 if i > 3 else None, i // 3 if i > 3 else None) for i in range(40)], "idx long, sire long, dam long")
+    assert P.ancestor_paths(ped).count() and P.generations(ped).count() == 40
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
