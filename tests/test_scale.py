@@ -142,3 +142,25 @@ def test_ancestor_steps_are_not_broadcast(spark, monkeypatch):
     ped = spark.createDataFrame([(i, i // 2 if i > 3 else None, i // 3 if i > 3 else None) for i in range(40)], "idx long, sire long, dam long")
     assert P.ancestor_paths(ped).count() and P.generations(ped).count() == 40
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_inverses_are_made_by_a_task(spark, monkeypatch):
+    """The core's block and G came to the driver as rows."""
+    from kinforge.operators import coo
+    from kinforge.sources.matrices import coo as rows_of
+
+    x = np.random.default_rng(6).normal(size=(12, 30))
+    g = x @ x.T
+    rows, core = rows_of(spark, g), spark.createDataFrame([(i,) for i in (1, 4, 5, 9, 11)], "i long")
+    want = G.apy_inverse(g, np.array([1, 4, 5, 9, 11]), 0.1)
+    monkeypatch.setattr(coo, "dense", None)
+    got = G.apy_blocks(rows, core, 0.1).toPandas()
+    m = np.zeros((12, 12))
+    m[got["i"], got["j"]] = got["v"]
+    assert len(got) == len(got.drop_duplicates(["i", "j"])) and np.allclose(m, want)
+    inverse = coo.by_one_task(rows, 12, G.definite_inverse).toPandas()
+    m[:] = 0
+    m[inverse["i"], inverse["j"]] = inverse["v"]
+    assert np.allclose(m, G.psd_inverse(g))
+    low = x[:, :4] @ x[:, :4].T  # no full rank: eigenvalues are raised
+    assert np.allclose(G.definite_inverse(low), G.psd_inverse(low))
